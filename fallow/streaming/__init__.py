@@ -1,0 +1,5 @@
+"""Nothing to build here: every input of the modelled workload is a file read once.
+
+There is no watermark, event-time window or state anywhere in it (see the
+README), so the package offers batch operators only.
+"""
