@@ -79,7 +79,7 @@ class QuantileBins:
 
         numbers = F.sequence(F.lit(1), F.lit(self.n + 1))
         spans = self.breaks.select(*keys, F.explode(F.transform(numbers, span)).alias("s"))
-        bins = settle(
+        bins = (
             spans.select(*keys, "s.*")
             .where("end > start")
             .select(
@@ -90,17 +90,12 @@ class QuantileBins:
                 F.expr("start + (end - start) div 2 + 1").alias("hi"),
             )
         )
-        ranks = bins.select(*keys, F.explode(F.array("lo", "hi")).alias("rank"))
-        at = settle(stats.at(ranks))
-        lo = at.select(*keys, F.col("rank").alias("lo"), F.col("x").alias("x_lo"))
-        hi = at.select(*keys, F.col("rank").alias("hi"), F.col("x").alias("x_hi"))
-        value = F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * 0.5
-        return standardise_bins(
-            bins.join(lo, [*keys, "lo"])
-            .join(hi, [*keys, "hi"])
-            .select(*keys, "bin", "rows", value.alias("value")),
-            keys,
+        found = stats.lookup(bins.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")))
+        low, high = F.col("at")[F.col("lo")]["x"], F.col("at")[F.col("hi")]["x"]
+        labels = bins.join(found, keys).select(
+            *keys, "bin", "rows", (low + (high - low) * 0.5).alias("value")
         )
+        return standardise_bins(labels, keys)
 
     def apply(self, df: DataFrame, number: str = "", value: str = "", scaled: str = "") -> DataFrame:
         """Add per column the bin number, bin value and scaled bin value.
@@ -129,8 +124,7 @@ class QuantileBins:
         joined = df.join(lookup, self.by, "left")
         out: dict[str, Column] = {}
         for c in self.columns:
-            x = F.col(c).cast("double")
-            at = F.when(x.isNotNull(), cuts_below(x, F.col(f"__{c}.cuts"), self.n + 1))
+            at = F.when(F.col(c).isNotNull(), cuts_below(f"cast(`{c}` as double)", f"`__{c}`.cuts", self.n + 1))
             if number:
                 out[number.format(c)] = at
             if value:
@@ -142,16 +136,18 @@ class QuantileBins:
 
 def standardise_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Standardised bin values, weighted by the rows of each bin (n - 1 in the sd)."""
-    mean = F.try_divide(F.sum(F.col("rows") * F.col("value")), F.sum("rows"))
-    means = bins.groupBy(*keys).agg(mean.alias("mean"))
-    off = F.col("value") - F.col("mean")
-    with_mean = bins.join(means, list(keys))
-    sds = with_mean.groupBy(*keys).agg(
-        F.sqrt(F.try_divide(F.sum(F.col("rows") * off * off), F.sum("rows") - 1)).alias("sd")
+    packed = bins.groupBy(*keys).agg(
+        F.collect_list(F.struct("bin", "rows", "value")).alias("b"),
+        F.sum("rows").alias("n"),
+        F.try_divide(F.sum(F.col("rows") * F.col("value")), F.sum("rows")).alias("mean"),
     )
-    return with_mean.join(sds, list(keys)).select(
-        *keys, "bin", "rows", "value", F.try_divide(off, F.col("sd")).alias("scaled")
+    squares = F.aggregate(
+        "b", F.lit(0.0), lambda a, e: a + e.rows * F.pow(e.value - F.col("mean"), F.lit(2.0))
     )
+    sd = F.sqrt(F.try_divide(squares, F.col("n") - 1))
+    rows = packed.withColumn("sd", sd).select(*keys, "mean", "sd", F.explode("b").alias("e"))
+    scaled = F.try_divide(F.col("e.value") - F.col("mean"), F.col("sd"))
+    return rows.select(*keys, "e.bin", "e.rows", "e.value", scaled.alias("scaled"))
 
 
 def standardise(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

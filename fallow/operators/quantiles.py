@@ -27,16 +27,21 @@ from fallow.session import settle
 ACCURACY = 10_000
 
 
-def cuts_below(x: Column, cuts: Column, size: int) -> Column:
-    """How many of the ``size`` sorted ``cuts`` are less than x, by bisection."""
+def cuts_below(x: str, cuts: str, size: int) -> Column:
+    """How many of the ``size`` sorted ``cuts`` are less than x, by bisection.
 
-    def search(lo: int, hi: int) -> Column:
+    Takes SQL text for both operands: the nested comparison is one parsed
+    expression, compiled with the rest of the stage.
+    """
+
+    def search(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(F.get(cuts, F.lit(mid)) < x, search(mid + 1, hi)).otherwise(search(lo, mid))
+        above, below = search(mid + 1, hi), search(lo, mid)
+        return f"CASE WHEN get({cuts}, {mid}) < {x} THEN {above} ELSE {below} END"
 
-    return search(0, size)
+    return F.expr(search(0, size))
 
 
 class OrderStatistics:
@@ -82,7 +87,7 @@ class OrderStatistics:
         )
 
     def _slot(self) -> Column:
-        return cuts_below(F.col(self.value), F.col("cuts"), len(self.near))
+        return cuts_below(self.value, "cuts", len(self.near))
 
     def at(self, ranks: DataFrame) -> DataFrame:
         """``ranks`` (keys, rank; 1 = smallest) with the value ``x`` at that rank
@@ -90,7 +95,7 @@ class OrderStatistics:
         and ``upto``, the number of rows of the group whose value is at most x.
         """
         ahead = F.filter("before", lambda b: b < F.col("rank"))
-        wanted = settle(
+        wanted = (
             ranks.select(*self.keys, "rank")
             .distinct()
             .join(self.table, self.keys)
@@ -124,6 +129,13 @@ class OrderStatistics:
             .select(*self.keys, "rank", "x", (F.col("start") + F.col("to")).alias("upto"))
         )
 
+    def lookup(self, ranks: DataFrame) -> DataFrame:
+        """One row per group with ``at``: rank -> (x, upto)."""
+        pair = F.struct("rank", F.struct("x", "upto"))
+        return self.at(ranks).groupBy(*self.keys).agg(
+            F.map_from_entries(F.collect_list(pair)).alias("at")
+        )
+
 
 def type7_position(n: Column, num: Column, den: Column) -> tuple[Column, Column]:
     """1-based lower rank and fraction of quantile num/den among n rows.
@@ -164,10 +176,7 @@ def exact_quantiles(
         F.least(low.cast("long") + 1, F.col("n")).alias("hi"),
         part.cast("double").alias("part"),
     )
-    ranks = places.select(*keys, F.explode(F.array("lo", "hi")).alias("rank"))
-    at = settle(stats.at(ranks))
-    low_at = at.select(*keys, F.col("rank").alias("lo"), F.col("x").alias("x_lo"), "upto")
-    high_at = at.select(*keys, F.col("rank").alias("hi"), F.col("x").alias("x_hi"))
-    joined = places.join(low_at, [*keys, "lo"]).join(high_at, [*keys, "hi"])
-    q = F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * F.col("part")
-    return joined.select(*keys, "k", q.alias("q"), "upto")
+    found = stats.lookup(places.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")))
+    low, high = F.col("at")[F.col("lo")], F.col("at")[F.col("hi")]
+    q = low["x"] + (high["x"] - low["x"]) * F.col("part")
+    return places.join(found, keys).select(*keys, "k", q.alias("q"), low["upto"].alias("upto"))

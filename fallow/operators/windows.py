@@ -2,7 +2,9 @@
 
 All of them are positional: the neighbour of a row is the next row of the same
 entity, whatever its year.  Every column built from one ``PanelWindow`` shares
-one window specification, so Spark plans one exchange and one sort for all.
+one window specification, so Spark plans one exchange and one sort for all; a
+window function that several columns need (the mean of a frame, its row count)
+is evaluated once.
 """
 
 from __future__ import annotations
@@ -12,8 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fallow.functions.scalars import as_col
-
 CHUNK = "__chunk"
 HALO = "__halo"
 
@@ -41,15 +41,16 @@ class PanelWindow:
         self.keys = list(keys)
         self.time = [time] if isinstance(time, str) else list(time)
         self.chunk = chunk
-        parts = self.keys + ([CHUNK] if chunk is not None else [])
-        self.spec = Window.partitionBy(*parts).orderBy(*self.time)
+        self.parts: dict[str, Column] = {}
+        groups = self.keys + ([CHUNK] if chunk is not None else [])
+        self.spec = Window.partitionBy(*groups).orderBy(*self.time)
 
-    def change(self, c: Column | str) -> Column:
+    def change(self, c: str) -> Column:
         """Next row's value minus this row's value."""
-        return F.lead(as_col(c), 1).over(self.spec) - as_col(c)
+        return self._part(f"lead {c}", F.lead(c, 1).over(self.spec)) - F.col(c)
 
-    def lag(self, c: Column | str) -> Column:
-        return F.lag(as_col(c), 1).over(self.spec)
+    def lag(self, c: str) -> Column:
+        return self._part(f"lag {c}", F.lag(c, 1).over(self.spec))
 
     def frame(self, width: int, align: str = "center"):
         """Row frame of a rolling window; an even centred one leans forward."""
@@ -59,34 +60,43 @@ class PanelWindow:
             raise ValueError("a chunked window reaches one row to each side")
         return self.spec.rowsBetween(-back, ahead)
 
-    def roll(self, c: Column | str, agg, width: int, align: str = "center") -> Column:
+    def roll(self, c: str, agg, width: int, align: str = "center") -> Column:
         """Any aggregate over a full rolling frame.
 
         Frames cut off by the end of the series give NULL.  Missing values
         inside a full frame are skipped, so the frame is counted in rows.
         """
         f = self.frame(width, align)
-        full = F.count(F.lit(1)).over(f) == width
-        return F.when(full, agg(as_col(c)).over(f))
+        rows = self._part(f"rows {width} {align}", F.count(F.lit(1)).over(f))
+        value = self._part(f"{agg.__name__} {id(agg)} {width} {align} {c}", agg(F.col(c)).over(f))
+        return F.when(rows == width, value)
 
-    def rolling_mean(self, c: Column | str, width: int) -> Column:
+    def rolling_mean(self, c: str, width: int) -> Column:
         return self.roll(c, F.avg, width)
 
-    def rolling_sd(self, c: Column | str, width: int) -> Column:
+    def rolling_sd(self, c: str, width: int) -> Column:
         return self.roll(c, F.stddev_samp, width)
 
-    def rolling_cv(self, c: Column | str, width: int = 3) -> Column:
+    def rolling_cv(self, c: str, width: int = 3) -> Column:
         """Coefficient of variation: sd / mean of the frame."""
         return F.try_divide(self.rolling_sd(c, width), self.rolling_mean(c, width))
 
+    def _part(self, name: str, window_function: Column) -> Column:
+        """A window function that several columns may use; it is evaluated once."""
+        self.parts[f"__{name}"] = window_function
+        return F.col(f"`__{name}`")
+
+    def _evaluate(self, df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+        return df.withColumns(self.parts).withColumns(dict(columns)).drop(*self.parts)
+
     def with_columns(self, df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-        """Add the window columns to ``df`` (in one projection)."""
+        """Add columns built from this window's methods to ``df``."""
         if self.chunk is None:
-            return df.withColumns(dict(columns))
+            return self._evaluate(df, columns)
         names = df.columns
         rows = df.withColumn(CHUNK, self.chunk)
         both = rows.withColumn(HALO, F.lit(False)).unionByName(self._halo(rows, names))
-        return both.withColumns(dict(columns)).where(~F.col(HALO)).drop(CHUNK, HALO)
+        return self._evaluate(both, columns).where(~F.col(HALO)).drop(CHUNK, HALO)
 
     def _halo(self, rows: DataFrame, names: list[str]) -> DataFrame:
         """Border rows, each addressed to the neighbouring chunk of its entity."""
@@ -96,11 +106,12 @@ class PanelWindow:
             F.min_by(whole, order).alias("first"), F.max_by(whole, order).alias("last")
         )
         w = Window.partitionBy(*self.keys).orderBy(CHUNK)
-        sent = borders.select(
+        around = borders.withColumns({"next": F.lead(CHUNK).over(w), "before": F.lag(CHUNK).over(w)})
+        sent = around.select(
             F.explode(
                 F.array(
-                    F.struct(F.lead(CHUNK).over(w).alias("to"), F.col("last").alias("row")),
-                    F.struct(F.lag(CHUNK).over(w).alias("to"), F.col("first").alias("row")),
+                    F.struct(F.col("next").alias("to"), F.col("last").alias("row")),
+                    F.struct(F.col("before").alias("to"), F.col("first").alias("row")),
                 )
             ).alias("s")
         ).where(F.col("s.to").isNotNull())
