@@ -97,13 +97,22 @@ class QuantileBins:
         )
         return standardise_bins(labels, keys)
 
-    def apply(self, df: DataFrame, number: str = "", value: str = "", scaled: str = "") -> DataFrame:
+    def apply(
+        self,
+        df: DataFrame,
+        number: str = "",
+        value: str = "",
+        scaled: str = "",
+        columns: Sequence[str] | None = None,
+    ) -> DataFrame:
         """Add per column the bin number, bin value and scaled bin value.
 
         Each argument is a name pattern such as ``"{}_bin"``; an empty one adds
-        nothing and ``"{}"`` replaces the column.  One join with one small row
-        per ``by`` group, no shuffle of ``df`` and no reshaping.
+        nothing and ``"{}"`` replaces the column.  ``columns`` narrows the work to
+        some of the columns.  One join with one small row per ``by`` group, no
+        shuffle of ``df`` and no reshaping.
         """
+        columns = list(columns or self.columns)
         by_bin = F.map_from_entries(
             F.collect_list(F.struct("bin", F.struct("value", "scaled")))
         )
@@ -117,13 +126,13 @@ class QuantileBins:
         lookup = settle(
             self.breaks.join(per_column, [*self.by, "column"])
             .groupBy(*self.by)
-            .pivot("column", self.columns)
+            .pivot("column", columns)
             .agg(F.first(packed))
-            .withColumnsRenamed({c: f"__{c}" for c in self.columns})
+            .withColumnsRenamed({c: f"__{c}" for c in columns})
         )
         joined = df.join(lookup, self.by, "left")
         out: dict[str, Column] = {}
-        for c in self.columns:
+        for c in columns:
             at = F.when(F.col(c).isNotNull(), cuts_below(f"cast(`{c}` as double)", f"`__{c}`.cuts", self.n + 1))
             if number:
                 out[number.format(c)] = at
@@ -131,7 +140,7 @@ class QuantileBins:
                 out[value.format(c)] = F.get(f"__{c}.value", at - 1)
             if scaled:
                 out[scaled.format(c)] = F.get(f"__{c}.scaled", at - 1)
-        return joined.withColumns(out).drop(*[f"__{c}" for c in self.columns])
+        return joined.withColumns(out).drop(*[f"__{c}" for c in columns])
 
 
 def standardise_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,0 +1,271 @@
+"""Posterior of one Gaussian additive model from its sufficient statistics.
+
+The heavy sums are done by Spark (``design``); what arrives here is a system
+whose size is the number of term levels.  Each term is written in a basis in
+which its prior covariance is diagonal (the scaled eigenvectors of its
+structure matrix), so the whole prior is a diagonal of precisions.  The
+hyperparameters maximise evidence times prior; the posterior given them is
+exact.  This is a point estimate of the hyperparameters, not an integral over
+them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from fallow.plans.spec import AREA_U, PC_ALPHA, PHI_ALPHA, PHI_U
+
+# Log-gamma(shape, rate) prior of a log precision.
+GAMMA_SHAPE = 1.0
+GAMMA_RATE = 5e-5
+
+
+@dataclass
+class Part:
+    """Columns of the basis with one common precision parameter."""
+
+    name: str
+    basis: np.ndarray  # levels x dimensions
+    at: np.ndarray  # where the levels sit in the system
+    prior: str = "flat"  # flat, pc or default
+    u: float = 1.0
+    weights: np.ndarray | None = None  # bym2: structured variance per dimension
+
+
+@dataclass
+class Fit:
+    names: list[str]
+    theta: np.ndarray
+    sd: np.ndarray
+    tau: float
+    mean: np.ndarray
+    cov: np.ndarray
+    log_evidence: float
+    evaluations: int = field(default=0)
+
+
+def structured_basis(structure: np.ndarray, groups: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvectors of a graph Laplacian and the variances along them.
+
+    Each connected group is scaled so that the geometric mean of its marginal
+    variances is one; its constant vector, and a group of one, have variance 0.
+    """
+    n = len(structure)
+    basis, variance = np.zeros((n, n)), np.zeros(n)
+    at = 0
+    for g in groups:
+        values, vectors = np.linalg.eigh(structure[np.ix_(g, g)])
+        inverse = np.where(values > 1e-9 * max(values[-1], 1.0), 1 / np.maximum(values, 1e-300), 0.0)
+        marginal = (vectors**2) @ inverse
+        if len(g) > 1:
+            inverse = inverse / np.exp(np.mean(np.log(marginal)))
+        basis[np.ix_(g, range(at, at + len(g)))] = vectors
+        variance[at : at + len(g)] = inverse
+        at += len(g)
+    return basis, variance
+
+
+def connected(n: int, edges: np.ndarray) -> list[np.ndarray]:
+    """Connected components: every node takes the smallest label it can reach."""
+    label = np.arange(n)
+    while len(edges):
+        low = np.minimum(label[edges[:, 0]], label[edges[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, edges[:, 0], low)
+        np.minimum.at(new, edges[:, 1], low)
+        if (new == label).all():
+            break
+        label = new
+    return [np.flatnonzero(label == k) for k in np.unique(label)]
+
+
+def walk_part(name: str, at: np.ndarray, prior: str, u: float) -> Part | None:
+    """First-order random walk over consecutive levels, summing to zero."""
+    if len(at) < 2:
+        return None
+    d = np.diff(np.eye(len(at)), axis=0)
+    basis, variance = structured_basis(d.T @ d, [np.arange(len(at))])
+    keep = variance > 0
+    return Part(name, basis[:, keep] * np.sqrt(variance[keep]), at, prior, u)
+
+
+def area_parts(kind: str, at: np.ndarray, edges: np.ndarray, prior: str) -> list[Part]:
+    n = len(at)
+    structure = np.zeros((n, n))
+    structure[edges[:, 0], edges[:, 1]] = -1.0
+    np.fill_diagonal(structure, -structure.sum(axis=1))
+    basis, variance = structured_basis(structure, connected(n, edges))
+    if kind == "bym2":
+        return [Part("CNTY", basis, at, prior, AREA_U, variance)]
+    keep = variance > 0
+    return [
+        Part("CNTY independent", np.eye(n), at, prior, AREA_U),
+        Part("CNTY spatial", basis[:, keep] * np.sqrt(variance[keep]), at, prior, AREA_U),
+    ]
+
+
+def log_precision_prior(theta: float, prior: str, u: float) -> tuple[float, float]:
+    """Log density and derivative of a log precision."""
+    if prior == "pc":
+        rate = -np.log(PC_ALPHA) / u
+        root = np.exp(-theta / 2)
+        return np.log(rate / 2) - theta / 2 - rate * root, -0.5 + rate * root / 2
+    size = GAMMA_RATE * np.exp(theta)
+    return GAMMA_SHAPE * theta - size, GAMMA_SHAPE - size
+
+
+def mixing_distance(phi: float, variance: np.ndarray) -> tuple[float, float]:
+    """Distance of a bym2 mix from pure independence, and its derivative."""
+    gain = variance - 1
+    twice = np.sum(phi * gain - np.log1p(phi * gain))
+    slope = np.sum(gain - gain / (1 + phi * gain))
+    distance = np.sqrt(max(twice, 1e-300))
+    return distance, slope / (2 * distance)
+
+
+def log_mixing_prior(psi: float, variance: np.ndarray) -> float:
+    """Log density of logit(phi) when the distance is exponential with P(phi < u) = alpha."""
+    phi = 1 / (1 + np.exp(-psi))
+    at_u, _ = mixing_distance(PHI_U, variance)
+    rate = -np.log(1 - PHI_ALPHA) / max(at_u, 1e-12)
+    distance, slope = mixing_distance(phi, variance)
+    return np.log(rate) - rate * distance + np.log(max(abs(slope), 1e-300)) + np.log(phi * (1 - phi))
+
+
+class Evidence:
+    """Log evidence plus log prior of the hyperparameters, with its gradient.
+
+    Parameters: log noise precision, one log precision per non-flat part, and
+    logit(phi) for a bym2 part.
+    """
+
+    def __init__(self, g: np.ndarray, h: np.ndarray, yy: float, n: float, parts: list[Part]):
+        size = sum(p.basis.shape[1] for p in parts)
+        self.map = np.zeros((len(h), size))
+        self.parts, self.spans = parts, []
+        at = 0
+        for p in parts:
+            k = p.basis.shape[1]
+            self.map[p.at, at : at + k] += p.basis
+            self.spans.append(slice(at, at + k))
+            at += k
+        self.g, self.h = self.map.T @ g @ self.map, self.map.T @ h
+        self.yy, self.n = yy, n
+        # Scale of the response about its mean (position 0 is the intercept).
+        self.size = yy - (h[0] ** 2 / g[0, 0] if g[0, 0] > 0 else 0.0)
+        self.names = ["noise precision"]
+        self.names += [f"precision {p.name}" for p in parts if p.prior != "flat"]
+        self.names += [f"phi {p.name}" for p in parts if p.weights is not None]
+
+    def start(self) -> np.ndarray:
+        noise = np.log(self.n / max(self.size, 1e-12))
+        theta = [noise + 1]
+        theta += [noise + 3 for p in self.parts if p.prior != "flat"]
+        theta += [0.0 for p in self.parts if p.weights is not None]
+        return np.array(theta)
+
+    def precisions(self, theta: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.h))
+        k, m = 1, 1 + sum(p.prior != "flat" for p in self.parts)
+        for p, s in zip(self.parts, self.spans):
+            if p.prior == "flat":
+                continue
+            out[s] = np.exp(theta[k])
+            k += 1
+            if p.weights is not None:
+                phi = 1 / (1 + np.exp(-theta[m]))
+                out[s] /= (1 - phi) + phi * p.weights
+                m += 1
+        return out
+
+    def posterior(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        tau = np.exp(theta[0])
+        a = tau * self.g + np.diag(self.precisions(theta))
+        low = np.linalg.cholesky(a)
+        half = np.linalg.inv(low)
+        inverse = half.T @ half
+        return inverse @ (tau * self.h), inverse, 2 * np.log(np.diag(low)).sum()
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        theta = np.clip(theta, -30, 30)
+        tau, d = np.exp(theta[0]), self.precisions(theta)
+        m, inverse, logdet = self.posterior(theta)
+        spread = np.diag(inverse)
+        residual = self.yy - 2 * self.h @ m + m @ self.g @ m
+        value = self.n / 2 * (theta[0] - np.log(2 * np.pi)) - logdet / 2
+        value += -tau / 2 * residual - d @ (m * m) / 2
+        grad = np.zeros(len(theta))
+        grad[0] = self.n / 2 - (len(m) - d @ spread) / 2 - tau * residual / 2
+        prior, slope = log_precision_prior(theta[0], "default", 1.0)
+        value, grad[0] = value + prior, grad[0] + slope
+        k, j = 1, 1 + sum(p.prior != "flat" for p in self.parts)
+        for p, s in zip(self.parts, self.spans):
+            if p.prior == "flat":
+                continue
+            value += np.log(d[s]).sum() / 2
+            pull = 0.5 - d[s] * (spread[s] + m[s] ** 2) / 2
+            prior, slope = log_precision_prior(theta[k], p.prior, p.u)
+            value, grad[k] = value + prior, pull.sum() + slope
+            k += 1
+            if p.weights is not None:
+                phi = 1 / (1 + np.exp(-theta[j]))
+                change = -(p.weights - 1) / ((1 - phi) + phi * p.weights) * phi * (1 - phi)
+                value += log_mixing_prior(theta[j], p.weights)
+                step = 1e-5
+                slope = log_mixing_prior(theta[j] + step, p.weights)
+                slope = (slope - log_mixing_prior(theta[j] - step, p.weights)) / (2 * step)
+                grad[j] = pull @ change + slope
+                j += 1
+        return value, grad
+
+
+def climb(f: Evidence, x: np.ndarray, rounds: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, int]:
+    """Quasi-Newton ascent with step halving."""
+    inverse = np.eye(len(x)) / max(f.n / 4, 1.0)
+    value, grad = f(x)
+    calls = 1
+    for _ in range(rounds):
+        step = inverse @ grad
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        if grad @ step < 1e-10:
+            break
+        size = 1.0
+        while True:
+            try:
+                new_value, new_grad = f(x + size * step)
+            except np.linalg.LinAlgError:
+                new_value = -np.inf
+            calls += 1
+            if new_value >= value + 1e-4 * size * (grad @ step) or size < 1e-8:
+                break
+            size /= 2
+        if not np.isfinite(new_value) or new_value < value:
+            break
+        s, y = size * step, grad - new_grad
+        done = new_value - value < tol
+        x, value, grad = x + s, new_value, new_grad
+        if s @ y > 1e-12:
+            rho = 1 / (s @ y)
+            left = np.eye(len(x)) - rho * np.outer(s, y)
+            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+        if done:
+            break
+    return x, value, calls
+
+
+def fit(g: np.ndarray, h: np.ndarray, yy: float, n: float, parts: list[Part]) -> Fit:
+    """Estimate the hyperparameters and return the posterior of all levels."""
+    f = Evidence(g, h, yy, n, parts)
+    theta, value, calls = climb(f, f.start())
+    step = 1e-3
+    hessian = np.array([(f(theta + step * e)[1] - f(theta - step * e)[1]) / (2 * step) for e in np.eye(len(theta))])
+    curvature = -(hessian + hessian.T) / 2
+    values, vectors = np.linalg.eigh(curvature)
+    sd = np.sqrt((vectors**2) @ (1 / np.maximum(values, 1e-6)))
+    m, inverse, _ = f.posterior(theta)
+    return Fit(
+        f.names, theta, sd, float(np.exp(theta[0])), f.map @ m, f.map @ inverse @ f.map.T, value, calls
+    )
