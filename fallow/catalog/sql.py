@@ -159,12 +159,9 @@ select crop, GEOID, YEAR, STATE, Yr, CNTY, {finite('YIELD')} as YIELD, {', '.joi
   {finite('volume')} / nullif(TOTAL_ACRES, 0) as volume,
   fert / nullif(TOTAL_ACRES, 0) as fert, herb / nullif(TOTAL_ACRES, 0) as herb
 from built left join nodes using (crop, GEOID)
-left join fert_long using (Cnty_yr) left join herb_long using (Cnty_yr)
-where YIELD is not null""".replace(
-    "left join fert_long using (Cnty_yr) left join herb_long using (Cnty_yr)",
-    "left join (select Cnty_yr, fert from fert_long) using (Cnty_yr)\n"
-    "left join (select Cnty_yr, herb from herb_long) using (Cnty_yr)",
-)
+left join (select Cnty_yr, fert from fert_long) using (Cnty_yr)
+left join (select Cnty_yr, herb from herb_long) using (Cnty_yr)
+where YIELD is not null"""
 
 CTES["prepared_raw"] = f"select *,\n  {named(PREPARED)}\nfrom normalised"
 

@@ -117,7 +117,7 @@ def _symmetric(size: int, t: pd.DataFrame) -> np.ndarray:
 def _solver(specs: Sequence[ModelSpec], bins: int, years: dg.YearRange):
     by_family = {m.family: m for m in specs}
 
-    def solve_one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         spec = by_family[key[2]]
         parts = {name: t for name, t in pdf.groupby("part")}
         none = pdf.iloc[:0]
@@ -192,44 +192,79 @@ def _solver(specs: Sequence[ModelSpec], bins: int, years: dg.YearRange):
     return solve_one
 
 
-def linear_forms(items: DataFrame, posterior: DataFrame, id_columns: Sequence[str]) -> DataFrame:
-    """Mean and variance of weighted sums of levels: w'b and w'Sw, and w'S.
+def linear_forms(
+    items: DataFrame, posterior: DataFrame, carry: Sequence[str], with_cov: bool = False
+) -> DataFrame:
+    """Mean and variance of sums of levels per item: w'b and w'Sw, also w'S.
 
-    ``items`` has MODEL, the id columns and an array ``e`` of (i, v).  Items are
-    spread over groups of bounded size; each group gets the posterior of its
-    model, whose size does not depend on the number of items.
+    ``items`` has MODEL, ``carry`` columns that pass through, the positions
+    ``at`` and the weights ``weight`` (1 where there is no such column).  Items
+    are spread over groups of bounded size; each group gets the posterior of
+    its model, whose size does not depend on the number of items.
     """
     counts = items.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
     groups = max(1, -(-(counts.agg(F.max("n")).first()[0] or 1) // GROUP_ROWS))
-    ids = list(id_columns)
     base = (
         posterior.where("kind = 'base'")
         .select("model_id", "pos", "mean", "cov")
         .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     )
+    weighted = "weight" in items.columns
+    columns = [*MODEL, *carry, "at", *(["weight"] if weighted else [])]
     spread = items.select(
-        *MODEL, *ids, F.col("e.i").alias("at"), F.col("e.v").alias("weight"),
-        F.pmod(F.xxhash64(*ids), F.lit(groups)).cast("int").alias("bucket"),
+        *columns, F.pmod(F.xxhash64(*carry, "at"), F.lit(groups)).cast("int").alias("bucket")
     )
 
     def forms(rows: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*MODEL, *ids]].copy()
-        if len(rows) == 0 or len(b) == 0:
-            return out.iloc[:0].assign(mean=0.0, var=0.0, cov=None)
+        out = rows[[*MODEL, *carry, "at"]]
+        if len(rows) == 0:
+            out = out.assign(mean=0.0, var=0.0)
+            return out.assign(cov=None) if with_cov else out
         b = b.sort_values("pos")
         mean, cov = b["mean"].to_numpy(), np.stack(b["cov"].to_numpy())
-        w = np.zeros((len(rows), len(mean)))
         line = np.repeat(np.arange(len(rows)), rows["at"].map(len))
-        np.add.at(w, (line, np.concatenate(rows["at"].to_numpy())), np.concatenate(rows["weight"].to_numpy()))
+        w = np.zeros((len(rows), len(mean)))
+        w[line, np.concatenate(rows["at"].to_numpy())] = (
+            np.concatenate(rows["weight"].to_numpy()) if weighted else 1.0
+        )
         ws = w @ cov
-        return out.assign(mean=w @ mean, var=(ws * w).sum(axis=1), cov=list(ws))
+        out = out.assign(mean=w @ mean, var=(ws * w).sum(axis=1))
+        return out.assign(cov=list(ws)) if with_cov else out
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*MODEL, *ids])
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*MODEL, *carry, "at"])
+    schema += ", mean double, var double" + (", cov array<double>" if with_cov else "")
     return (
         spread.groupBy("model_id", "bucket")
         .cogroup(base.groupBy("model_id", "bucket"))
-        .applyInPandas(forms, f"{schema}, mean double, var double, cov array<double>")
+        .applyInPandas(forms, schema)
+    )
+
+
+def free_area_effects(areas: DataFrame, posterior: DataFrame) -> DataFrame:
+    """Effects of free area levels: mean of y minus the fitted mean of the area.
+
+    The covariance with the term levels is -S c/n, the variance 1/(tau n) plus
+    the variance of the fitted mean, for column means c/n.
+    """
+    n = dg.entry_at(dg.INTERCEPT)
+    levels = F.filter("e", lambda x: x.i > dg.INTERCEPT)
+    means = areas.select(
+        *MODEL,
+        "CNTY",
+        n.alias("n"),
+        (dg.entry_at(dg.RESPONSE) / n).alias("y"),
+        F.transform(levels, lambda x: x.i).alias("at"),
+        F.transform(levels, lambda x: x.v / n).alias("weight"),
+    )
+    tau = posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
+    fitted = linear_forms(means, posterior, ["CNTY", "n", "y"], with_cov=True)
+    return fitted.join(tau, "model_id").select(
+        *MODEL,
+        "CNTY",
+        (F.col("y") - F.col("mean")).alias("mean"),
+        (F.col("var") + 1 / (F.col("tau") * F.col("n"))).alias("var"),
+        F.transform("cov", lambda v: -v).alias("cov"),
     )
 
 
@@ -253,7 +288,6 @@ def free_area_effects(areas: DataFrame, posterior: DataFrame) -> DataFrame:
     fitted = linear_forms(means.select(*MODEL, "CNTY", "e"), posterior, ["CNTY"])
     tau = posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
     other = fitted.select("model_id", F.col("CNTY").alias("c"), "mean", "var", "cov")
-    same = (means["model_id"] == other["model_id"]) & means["CNTY"].eqNullSafe(other["c"])
     return (
         means.join(other.withColumnRenamed("model_id", "m2"),
                    (F.col("model_id") == F.col("m2")) & F.col("CNTY").eqNullSafe(F.col("c")))
@@ -302,37 +336,33 @@ def score_rows(fits: Fits) -> DataFrame:
     the matching distribution function, ``p_value`` the distribution function of
     the row's fitted value at y.  They are missing where y is.
     """
-    ids = ["GEOID", "YEAR"]
-    entries = fits.rows.select(
-        *MODEL, *ids, F.transform("idx", lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("v"))).alias("e")
-    )
-    own = linear_forms(entries, fits.posterior, ids).select(
-        "model_id", *ids, F.col("mean").alias("m"), F.col("var").alias("s")
-    )
+    items = fits.rows.withColumnRenamed("idx", "at")
+    own = linear_forms(items, fits.posterior, ["GEOID", "YEAR", "CNTY", "y"])
     tau = fits.posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
     area = fits.areas.select(
         F.col("model_id").alias("am"), F.col("CNTY").alias("ac"),
         F.col("mean").alias("a_mean"), F.col("var").alias("a_var"), F.col("cov").alias("a_cov"),
     )
-    joined = (
-        fits.rows.join(own, ["model_id", *ids])
-        .join(area, (F.col("model_id") == F.col("am")) & F.col("CNTY").eqNullSafe(F.col("ac")), "left")
-        .join(tau, "model_id")
-    )
-    shared = F.aggregate("idx", F.lit(0.0), lambda t, i: t + F.get("a_cov", i))
+    joined = own.join(
+        area, (F.col("model_id") == F.col("am")) & F.col("CNTY").eqNullSafe(F.col("ac")), "left"
+    ).join(tau, "model_id")
+    shared = F.aggregate("at", F.lit(0.0), lambda t, i: t + F.get("a_cov", i))
     scored = joined.select(
-        *MODEL, *ids, "CNTY", "y", "tau",
-        (F.col("m") + F.coalesce("a_mean", F.lit(0.0))).alias("mean"),
-        (F.col("s") + F.coalesce(F.col("a_var") + 2 * shared, F.lit(0.0))).alias("var"),
+        *MODEL, "GEOID", "YEAR", "CNTY", "y", "tau",
+        (F.col("mean") + F.coalesce("a_mean", F.lit(0.0))).alias("mean"),
+        (F.col("var") + F.coalesce(F.col("a_var") + 2 * shared, F.lit(0.0))).alias("var"),
     )
-    return leave_one_out(scored).drop("var", "tau")
+    return leave_one_out(scored).drop("var")
 
 
 def leave_one_out(scored: DataFrame) -> DataFrame:
-    """Add sd, cpo, pit and p_value to rows with y, mean, var and tau."""
+    """Add sd, cpo, pit and p_value to rows with y, mean, var and tau.
+
+    A row that alone determines its fitted value has no leave-one-out value.
+    """
     mean, var, tau, y = (F.col(c) for c in ("mean", "var", "tau", "y"))
     rest = F.try_divide(F.lit(1.0), var) - tau
-    loo_var = F.when((rest > 0) & y.isNotNull(), 1 / rest)
+    loo_var = F.when((rest > 1e-9 * tau) & y.isNotNull(), 1 / rest)
     loo_mean = loo_var * (mean / var - tau * y)
     total = loo_var + 1 / tau
     z = (y - loo_mean) / F.sqrt(total)
@@ -346,23 +376,21 @@ def leave_one_out(scored: DataFrame) -> DataFrame:
     )
 
 
-def model_fit(scored: DataFrame, fits: Fits) -> DataFrame:
-    """(MODEL, n, p_eff, dic): deviance information criterion per model."""
-    tau = fits.posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
+def model_fit(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
+    """(by, n, p_eff, dic): deviance information criterion per model."""
     off = F.col("y") - F.col("mean")
-    sums = scored.where(F.col("y").isNotNull()).groupBy(*MODEL).agg(
+    sums = scored.where(F.col("y").isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(off * off).alias("sse"),
         F.sum(F.col("sd") * F.col("sd")).alias("ssd"),
+        F.max("tau").alias("tau"),
     )
     p_eff = F.col("tau") * F.col("ssd")
     deviance = F.col("n") * F.ln(2 * F.pi() / F.col("tau")) + F.col("tau") * F.col("sse")
-    return sums.join(tau, "model_id").select(
-        *MODEL, "n", p_eff.alias("p_eff"), (deviance + 2 * p_eff).alias("dic")
-    )
+    return sums.select(*by, "n", p_eff.alias("p_eff"), (deviance + 2 * p_eff).alias("dic"))
 
 
-def _quantiles(mean, sd) -> list:
+def quantile_columns(mean, sd) -> list:
     return [
         (mean - Z975 * sd).alias("q025"),
         mean.alias("q50"),
@@ -385,7 +413,7 @@ def effect_table(fits: Fits) -> DataFrame:
         F.col("pos").cast("double").alias("x"), "mean", F.sqrt("var").alias("sd"),
     )
     out = smooth.unionByName(spatial).unionByName(_against_first(fits))
-    return out.select("*", *_quantiles(F.col("mean"), F.col("sd")))
+    return out.select("*", *quantile_columns(F.col("mean"), F.col("sd")))
 
 
 def _against_first(fits: Fits) -> DataFrame:
@@ -464,5 +492,5 @@ def intercept_table(fits: Fits) -> DataFrame:
     both = base.unionByName(first)
     return both.select(
         *MODEL, F.lit("(Intercept)").alias("name"), "mean", F.sqrt("var").alias("sd"),
-        *_quantiles(F.col("mean"), F.sqrt("var")),
+        *quantile_columns(F.col("mean"), F.sqrt("var")),
     )
