@@ -268,40 +268,6 @@ def free_area_effects(areas: DataFrame, posterior: DataFrame) -> DataFrame:
     )
 
 
-def free_area_effects(areas: DataFrame, posterior: DataFrame) -> DataFrame:
-    """Effects of free area levels: mean of y minus the fitted mean of the area.
-
-    The covariance with the term levels is -S c/n, the variance 1/(tau n) plus
-    the variance of the fitted mean, for column means c/n.
-    """
-    n = dg.entry_at(dg.INTERCEPT)
-    means = areas.select(
-        *MODEL,
-        "CNTY",
-        n.alias("n"),
-        (dg.entry_at(dg.RESPONSE) / n).alias("y"),
-        F.transform(
-            F.filter("e", lambda x: x.i > dg.INTERCEPT),
-            lambda x: F.struct(x.i.alias("i"), (x.v / n).alias("v")),
-        ).alias("e"),
-    )
-    fitted = linear_forms(means.select(*MODEL, "CNTY", "e"), posterior, ["CNTY"])
-    tau = posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
-    other = fitted.select("model_id", F.col("CNTY").alias("c"), "mean", "var", "cov")
-    return (
-        means.join(other.withColumnRenamed("model_id", "m2"),
-                   (F.col("model_id") == F.col("m2")) & F.col("CNTY").eqNullSafe(F.col("c")))
-        .join(tau, "model_id")
-        .select(
-            *MODEL,
-            "CNTY",
-            (F.col("y") - F.col("mean")).alias("mean"),
-            (F.col("var") + 1 / (F.col("tau") * F.col("n"))).alias("var"),
-            F.transform("cov", lambda v: -v).alias("cov"),
-        )
-    )
-
-
 def fit_models(
     prepared: DataFrame,
     bins: QuantileBins,
@@ -316,8 +282,13 @@ def fit_models(
     products = settle(dg.gram(rows))
     areas = settle(dg.area_sums(rows))
     system = systems(rows, products, areas, edges, levels, prior_scale(prepared), specs)
+    # A fixed number of partitions: the systems are small in bytes, but each is
+    # work for a core of its own, so they must not be merged into few tasks.
+    models = products.where("i = 0 and j = 0").count()
     posterior = settle(
-        system.groupBy(*MODEL).applyInPandas(_solver(specs, bins.n, years), POSTERIOR)
+        system.repartition(4 * models, *MODEL)
+        .groupBy(*MODEL)
+        .applyInPandas(_solver(specs, bins.n, years), POSTERIOR)
     )
     free = [m.family for m in specs if m.area == "factor"]
     effects = posterior.where("kind = 'area'").select(

@@ -12,7 +12,7 @@ them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -44,7 +44,7 @@ class Fit:
     mean: np.ndarray
     cov: np.ndarray
     log_evidence: float
-    evaluations: int = field(default=0)
+    evaluations: int
 
 
 def structured_basis(structure: np.ndarray, groups: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +107,14 @@ def area_parts(kind: str, at: np.ndarray, edges: np.ndarray, prior: str) -> list
     ]
 
 
-def log_precision_prior(theta: float, prior: str, u: float) -> tuple[float, float]:
-    """Log density and derivative of a log precision."""
+def log_precision_prior(theta: float, prior: str, u: float) -> tuple[float, float, float]:
+    """Log density of a log precision, with its first and second derivative."""
     if prior == "pc":
         rate = -np.log(PC_ALPHA) / u
-        root = np.exp(-theta / 2)
-        return np.log(rate / 2) - theta / 2 - rate * root, -0.5 + rate * root / 2
+        pull = rate * np.exp(-theta / 2)
+        return np.log(rate / 2) - theta / 2 - pull, -0.5 + pull / 2, -pull / 4
     size = GAMMA_RATE * np.exp(theta)
-    return GAMMA_SHAPE * theta - size, GAMMA_SHAPE - size
+    return GAMMA_SHAPE * theta - size, GAMMA_SHAPE - size, -size
 
 
 def mixing_distance(phi: float, variance: np.ndarray) -> tuple[float, float]:
@@ -136,10 +136,12 @@ def log_mixing_prior(psi: float, variance: np.ndarray) -> float:
 
 
 class Evidence:
-    """Log evidence plus log prior of the hyperparameters, with its gradient.
+    """Log evidence plus log prior of the hyperparameters, with two derivatives.
 
     Parameters: log noise precision, one log precision per non-flat part, and
-    logit(phi) for a bym2 part.
+    logit(phi) for a bym2 part.  With A the posterior precision and D the
+    diagonal prior precision, the derivatives need only the inverse of A: the
+    noise part of A is A - D, and every other parameter scales D.
     """
 
     def __init__(self, g: np.ndarray, h: np.ndarray, yy: float, n: float, parts: list[Part]):
@@ -167,105 +169,120 @@ class Evidence:
         theta += [0.0 for p in self.parts if p.weights is not None]
         return np.array(theta)
 
-    def precisions(self, theta: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.h))
-        k, m = 1, 1 + sum(p.prior != "flat" for p in self.parts)
+    def precisions(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Diagonal d of the prior precision, and the first and second derivative
+
+        of log d by each parameter; a parameter pair has no mixed derivative.
+        """
+        first = np.zeros((len(theta), len(self.h)))
+        second = np.zeros((len(theta), len(self.h)))
+        log_d = np.full(len(self.h), -np.inf)
+        k, j = 1, 1 + sum(p.prior != "flat" for p in self.parts)
         for p, s in zip(self.parts, self.spans):
             if p.prior == "flat":
                 continue
-            out[s] = np.exp(theta[k])
+            log_d[s] = theta[k]
+            first[k, s] = 1.0
             k += 1
             if p.weights is not None:
-                phi = 1 / (1 + np.exp(-theta[m]))
-                out[s] /= (1 - phi) + phi * p.weights
-                m += 1
-        return out
+                phi = 1 / (1 + np.exp(-theta[j]))
+                gain, q = p.weights - 1, phi * (1 - phi)
+                w = 1 + phi * gain
+                log_d[s] -= np.log(w)
+                first[j, s] = -gain * q / w
+                second[j, s] = -gain * q * (1 - 2 * phi) / w + (gain * q / w) ** 2
+                j += 1
+        return np.exp(log_d), first, second
 
     def posterior(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         tau = np.exp(theta[0])
-        a = tau * self.g + np.diag(self.precisions(theta))
-        low = np.linalg.cholesky(a)
-        half = np.linalg.inv(low)
-        inverse = half.T @ half
+        a = tau * self.g + np.diag(self.precisions(theta)[0])
+        low = np.linalg.cholesky(a)  # fails if the prior does not identify the model
+        inverse = np.linalg.inv(a)
         return inverse @ (tau * self.h), inverse, 2 * np.log(np.diag(low)).sum()
 
-    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        theta = np.clip(theta, -30, 30)
-        tau, d = np.exp(theta[0]), self.precisions(theta)
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        tau = np.exp(theta[0])
+        d, u, uu = self.precisions(theta)
         m, inverse, logdet = self.posterior(theta)
-        spread = np.diag(inverse)
-        residual = self.yy - 2 * self.h @ m + m @ self.g @ m
-        value = self.n / 2 * (theta[0] - np.log(2 * np.pi)) - logdet / 2
-        value += -tau / 2 * residual - d @ (m * m) / 2
-        grad = np.zeros(len(theta))
-        grad[0] = self.n / 2 - (len(m) - d @ spread) / 2 - tau * residual / 2
-        prior, slope = log_precision_prior(theta[0], "default", 1.0)
-        value, grad[0] = value + prior, grad[0] + slope
+        spread, squared = np.diag(inverse), inverse**2
+        dm = d * m
+        rest = tau * (self.yy - self.h @ m) - dm @ m  # tau times the residual sum
+        value = self.n / 2 * (theta[0] - np.log(2 * np.pi)) - (logdet + rest + dm @ m) / 2
+        value += np.log(d[d > 0]).sum() / 2
+
+        w = u * d
+        both = spread + m**2
+        grad = (u.sum(axis=1) - w @ both) / 2
+        wm = w * m
+        curve = w @ squared @ w.T / 2 + wm @ inverse @ wm.T
+        # A pair of parameters of one part also bends d itself.
+        curve -= (w * both) @ u.T / 2
+        curve[np.diag_indices(len(theta))] += (uu.sum(axis=1) - (uu * d) @ both) / 2
+
+        change = squared @ d - spread
+        pushed = inverse @ dm
+        grad[0] = (self.n - len(m) + d @ spread - rest) / 2
+        curve[0] = -w @ change / 2 - wm @ pushed
+        curve[:, 0] = curve[0]
+        curve[0, 0] = (d @ change - rest) / 2 + dm @ pushed
+        return self._with_priors(theta, value, grad, curve)
+
+    def _with_priors(self, theta, value, grad, curve):
         k, j = 1, 1 + sum(p.prior != "flat" for p in self.parts)
-        for p, s in zip(self.parts, self.spans):
+        priors = [(0, "default", 1.0)]
+        for p in self.parts:
             if p.prior == "flat":
                 continue
-            value += np.log(d[s]).sum() / 2
-            pull = 0.5 - d[s] * (spread[s] + m[s] ** 2) / 2
-            prior, slope = log_precision_prior(theta[k], p.prior, p.u)
-            value, grad[k] = value + prior, pull.sum() + slope
+            priors.append((k, p.prior, p.u))
             k += 1
             if p.weights is not None:
-                phi = 1 / (1 + np.exp(-theta[j]))
-                change = -(p.weights - 1) / ((1 - phi) + phi * p.weights) * phi * (1 - phi)
-                value += log_mixing_prior(theta[j], p.weights)
-                step = 1e-5
-                slope = log_mixing_prior(theta[j] + step, p.weights)
-                slope = (slope - log_mixing_prior(theta[j] - step, p.weights)) / (2 * step)
-                grad[j] = pull @ change + slope
+                step = 1e-3
+                low, at, high = (log_mixing_prior(theta[j] + x, p.weights) for x in (-step, 0, step))
+                value += at
+                grad[j] += (high - low) / (2 * step)
+                curve[j, j] += (high - 2 * at + low) / step**2
                 j += 1
-        return value, grad
+        for k, kind, u in priors:
+            at, slope, bend = log_precision_prior(theta[k], kind, u)
+            value, grad[k], curve[k, k] = value + at, grad[k] + slope, curve[k, k] + bend
+        return value, grad, curve
 
 
-def climb(f: Evidence, x: np.ndarray, rounds: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, int]:
-    """Quasi-Newton ascent with step halving."""
-    inverse = np.eye(len(x)) / max(f.n / 4, 1.0)
-    value, grad = f(x)
+def climb(f: Evidence, x: np.ndarray, rounds: int = 100, tol: float = 1e-8):
+    """Newton ascent with step halving: place, value, curvature, evaluations."""
+    value, grad, curve = f(x)
     calls = 1
     for _ in range(rounds):
-        step = inverse @ grad
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        if grad @ step < 1e-10:
+        values, vectors = np.linalg.eigh(-curve)
+        step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3))
+        step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-300))
+        expected = grad @ step
+        if expected < tol:
             break
         size = 1.0
-        while True:
+        while size > 1e-6:
+            calls += 1
             try:
-                new_value, new_grad = f(x + size * step)
+                new = f(x + size * step)
             except np.linalg.LinAlgError:
-                new_value = -np.inf
-            calls += 1
-            if new_value >= value + 1e-4 * size * (grad @ step) or size < 1e-8:
+                new = (-np.inf,)
+            if new[0] >= value + 1e-4 * size * expected:
                 break
             size /= 2
-        if not np.isfinite(new_value) or new_value < value:
-            break
-        s, y = size * step, grad - new_grad
-        done = new_value - value < tol
-        x, value, grad = x + s, new_value, new_grad
-        if s @ y > 1e-12:
-            rho = 1 / (s @ y)
-            left = np.eye(len(x)) - rho * np.outer(s, y)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-        if done:
+        else:
             break
-    return x, value, calls
+        x = x + size * step
+        value, grad, curve = new
+    return x, value, curve, calls
 
 
 def fit(g: np.ndarray, h: np.ndarray, yy: float, n: float, parts: list[Part]) -> Fit:
     """Estimate the hyperparameters and return the posterior of all levels."""
     f = Evidence(g, h, yy, n, parts)
-    theta, value, calls = climb(f, f.start())
-    step = 1e-3
-    hessian = np.array([(f(theta + step * e)[1] - f(theta - step * e)[1]) / (2 * step) for e in np.eye(len(theta))])
-    curvature = -(hessian + hessian.T) / 2
-    values, vectors = np.linalg.eigh(curvature)
+    theta, value, curve, calls = climb(f, f.start())
+    values, vectors = np.linalg.eigh(-curve)
     sd = np.sqrt((vectors**2) @ (1 / np.maximum(values, 1e-6)))
     m, inverse, _ = f.posterior(theta)
-    return Fit(
-        f.names, theta, sd, float(np.exp(theta[0])), f.map @ m, f.map @ inverse @ f.map.T, value, calls
-    )
+    cov = f.map @ inverse @ f.map.T
+    return Fit(f.names, theta, sd, float(np.exp(theta[0])), f.map @ m, cov, value, calls)
