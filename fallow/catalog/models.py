@@ -273,7 +273,11 @@ def simple_sql(tail: str) -> str:
 
 
 def simple_scores(spark, d) -> DataFrame:
-    """Rows of the three simple models, scored like those of a fit."""
+    """Rows of the three simple models, scored like those of a fit, as a stored table."""
+    return a.stage(spark, d, "simple_scores", lambda: score_simple_models(spark, d))
+
+
+def score_simple_models(spark, d) -> DataFrame:
     rows = prepared_stage(spark, d).select(*KEYS, "CNTY", F.col("YIELD").alias("y"))
     tau = rows.groupBy("crop").agg((1 / F.var_samp("y")).alias("tau"))
     out = None

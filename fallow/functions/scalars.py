@@ -121,7 +121,10 @@ def _polynomial(x: Column, coefficients: list[float]) -> Column:
 
 
 def normal_cdf(c: Column | str) -> Column:
-    """P(Z <= z) for a standard normal Z, without a Python round trip."""
+    """P(Z <= z) for a standard normal Z, without a Python round trip.
+
+    Give it a plain column: the expression uses its argument many times.
+    """
     z = as_col(c)
     a = F.abs(z)
     bell = F.exp(-a * a / 2)
@@ -134,4 +137,4 @@ def normal_cdf(c: Column | str) -> Column:
         .when(a < CDF_SPLIT, middle)
         .otherwise(bell / tail / F.lit(ROOT_TWO_PI))
     )
-    return F.when(z > 0, 1 - upper).otherwise(upper)
+    return F.when(z > 0, 1 - upper).when(z <= 0, upper)

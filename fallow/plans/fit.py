@@ -334,17 +334,24 @@ def leave_one_out(scored: DataFrame) -> DataFrame:
     mean, var, tau, y = (F.col(c) for c in ("mean", "var", "tau", "y"))
     rest = F.try_divide(F.lit(1.0), var) - tau
     loo_var = F.when((rest > 1e-9 * tau) & y.isNotNull(), 1 / rest)
-    loo_mean = loo_var * (mean / var - tau * y)
-    total = loo_var + 1 / tau
-    z = (y - loo_mean) / F.sqrt(total)
-    return scored.withColumns(
+    loo_mean = F.col("__v") * (F.try_divide(mean, var) - tau * y)
+    z = F.col("__z")
+    # Step by step: a value that is used many times is a column of its own.
+    steps = scored.withColumn("__v", loo_var).withColumns(
         {
-            "sd": F.sqrt(var),
-            "cpo": F.exp(-z * z / 2) / F.sqrt(2 * F.pi() * total),
-            "pit": normal_cdf(z),
-            "p_value": F.when(y.isNotNull(), normal_cdf((y - mean) / F.sqrt(var))),
+            "__s": F.sqrt(F.col("__v") + 1 / tau),
+            "__z": (y - loo_mean) / F.sqrt(F.col("__v") + 1 / tau),
+            "__p": F.try_divide(y - mean, F.sqrt(var)),
         }
     )
+    return steps.withColumns(
+        {
+            "sd": F.sqrt(var),
+            "cpo": F.exp(-z * z / 2) / (F.sqrt(2 * F.pi()) * F.col("__s")),
+            "pit": normal_cdf("__z"),
+            "p_value": normal_cdf("__p"),
+        }
+    ).drop("__v", "__s", "__z", "__p")
 
 
 def model_fit(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
