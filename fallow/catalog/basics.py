@@ -344,7 +344,6 @@ def bin_table(spark, d):
     from pyspark.sql import Window
 
     found = bins(spark, d)
-    long = binning.to_long(prepared_stage(spark, d), ["crop"], p.MODEL_COLUMNS)
     numbered = found.apply(prepared_stage(spark, d), number="no_{}").select(
         "crop", *p.MODEL_COLUMNS, *[f"no_{c}" for c in p.MODEL_COLUMNS]
     )

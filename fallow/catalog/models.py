@@ -195,7 +195,9 @@ def suff_stats_area(spark, d):
 def demeaned_xty(spark, d):
     """X'y after subtracting area means: sum over a level's rows of y minus its area mean."""
     rows, names = _stats(spark, d)
-    product = design.demeaned_gram(settle(design.gram(rows)), design.area_sums(rows))
+    years = design.year_range(prepared_stage(spark, d))
+    size = max(design.positions(m, bins(spark, d).n, years) for m in SPECS)
+    product = design.demeaned_gram(design.gram(rows), settle(design.area_sums(rows)), size)
     return tidy(
         product.where(f"i = {design.RESPONSE} and j > 0")
         .join(names.withColumnRenamed("pos", "j"), ["model_id", "j"])

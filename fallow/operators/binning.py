@@ -27,10 +27,13 @@ def bin_probs(n: int) -> list[tuple[int, int]]:
 
 
 def to_long(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, column, x): one row per row and column; only these columns are read."""
-    return df.select(*by, *[F.col(c).cast("double") for c in columns]).unpivot(
-        list(by), list(columns), "column", "x"
-    )
+    """(by, place, x): one row per row and column, ``place`` being the column's index.
+
+    Only these columns are read.  Exploding one array of numbers compiles to a
+    small loop, whereas ``unpivot`` compiles one branch per column.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return df.select(*by, F.posexplode(values).alias("place", "x"))
 
 
 class QuantileBins:
@@ -50,7 +53,8 @@ class QuantileBins:
         self.by = list(by)
         self.columns = list(columns)
         self.n = n
-        keys = [*self.by, "column"]
+        keys = [*self.by, "place"]
+        names = F.array(*[F.lit(c) for c in self.columns])
         long = to_long(df, self.by, self.columns)
         probs = bin_probs(n)
         p = [a / b for a, b in probs]
@@ -65,12 +69,16 @@ class QuantileBins:
         self.breaks = settle(
             breaks.select(
                 *keys,
+                F.get(names, F.col("place")).alias("column"),
                 F.transform("b", lambda e: F.when(e.q == lowest, -INF).otherwise(e.q)).alias("cuts"),
                 F.transform("b", lambda e: F.when(e.q == lowest, 0).otherwise(e.upto)).alias("upto"),
                 F.col("b.upto")[n].alias("rows"),
             )
         )
-        self.table = settle(self._labels(stats, keys))
+        named = F.get(names, F.col("place")).alias("column")
+        self.table = settle(
+            self._labels(stats, keys).select(*self.by, named, "bin", "rows", "value", "scaled")
+        )
 
     def _labels(self, stats: OrderStatistics, keys: list[str]) -> DataFrame:
         def span(k: Column) -> Column:

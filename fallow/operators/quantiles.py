@@ -64,8 +64,9 @@ class OrderStatistics:
 
     ``probs`` are the quantiles around which the cut points are placed; any
     rank can be asked for, those near ``probs`` read the fewest rows.  ``table``
-    holds one row per group: the row count ``n``, the ``cuts``, and ``before``,
-    where ``before[s]`` is the number of rows in the slots ahead of slot ``s``.
+    holds one row per group: the row count ``n``, the ``cuts``, and the
+    ``spans`` (slot, start, end) of the slots that have rows: those with the
+    ranks start + 1 to end.
     """
 
     def __init__(
@@ -88,18 +89,15 @@ class OrderStatistics:
             .groupBy(*self.keys, "slot")
             .agg(F.count(F.lit(1)).alias("rows"))
         )
-        sizes = per_slot.groupBy(*self.keys).agg(
-            F.map_from_entries(F.collect_list(F.struct("slot", "rows"))).alias("sizes")
-        )
-        before = F.expr(
-            f"transform(sequence(0, {len(self.near)}), s -> aggregate("
-            "sequence(0, s), 0L, (a, i) -> a + if(i < s, coalesce(sizes[i], 0L), 0L)))"
-        )
-        self.table = settle(
-            sketch.join(sizes, self.keys).select(
-                *self.keys, "n", "cuts", before.alias("before")
-            )
+        run = (
+            Window.partitionBy(*self.keys)
+            .orderBy("slot")
+            .rowsBetween(Window.unboundedPreceding, 0)
         )
+        ended = per_slot.withColumn("end", F.sum("rows").over(run))
+        span = F.struct("slot", (F.col("end") - F.col("rows")).alias("start"), "end")
+        spans = ended.groupBy(*self.keys).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+        self.table = settle(sketch.join(spans, self.keys))
 
     def _with_slot(self, df: DataFrame) -> DataFrame:
         return with_cuts_below(df, "slot", self.value, "cuts", len(self.near))
@@ -109,7 +107,8 @@ class OrderStatistics:
 
         and ``upto``, the number of rows of the group whose value is at most x.
         """
-        ahead = F.filter("before", lambda b: b < F.col("rank"))
+        rank = F.col("rank")
+        hit = F.get(F.filter("spans", lambda s: (s.start < rank) & (rank <= s.end)), F.lit(0))
         wanted = (
             ranks.select(*self.keys, "rank")
             .distinct()
@@ -117,8 +116,8 @@ class OrderStatistics:
             .select(
                 *self.keys,
                 "rank",
-                (F.size(ahead) - 1).alias("slot"),
-                F.array_max(ahead).alias("start"),
+                hit["slot"].alias("slot"),
+                hit["start"].alias("start"),
             )
         )
         needed = settle(wanted.select(*self.keys, "slot").distinct())

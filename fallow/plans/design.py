@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from fallow.plans.spec import ModelSpec
 
 RESPONSE = -1  # position of the response in the augmented [y, X]
 INTERCEPT = 0
+AREAS_PER_GROUP = 20_000
 
 
 @dataclass(frozen=True)
@@ -101,49 +104,43 @@ def design_rows(
     return rows.select("crop", "GEOID", "YEAR", "CNTY", "m.*").withColumn("model_id", model_id())
 
 
-def augmented() -> Column:
-    """The non-zero entries (i, v) of a row of [y, X], by position."""
-    ones = F.transform("idx", lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("v")))
-    y = F.array(F.struct(F.lit(RESPONSE).alias("i"), F.col("y").alias("v")))
-    return F.concat(y, ones)
-
-
-def cross_products(entries: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """Sum over rows of v_i * v_j for i <= j, as (keys, i, j, v) rows.
-
-    ``entries`` has a sorted array ``e`` of (i, v) per row.
-    """
-    scale = F.lit(1.0) if weight is None else weight
-    first = entries.select(*keys, "e", scale.alias("w"), F.posexplode("e").alias("at", "a"))
-    tail = F.explode(F.slice("e", F.col("at") + 1, F.size("e"))).alias("b")
-    pairs = first.select(*keys, "w", "a", tail)
-    return pairs.groupBy(*keys, F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(
-        F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v")
-    )
-
-
 def gram(rows: DataFrame) -> DataFrame:
-    """[y, X]'[y, X] of every model as (model_id, crop, family, i, j, v), i <= j.
+    """[y, X]'[y, X] of every model as (model_id, i, j, v) rows, i <= j.
 
-    v at (0, 0) is the number of observed rows and v at (-1, -1) is y'y.
+    v at (0, 0) is the number of observed rows and v at (-1, -1) is y'y.  The
+    entries of X are ones, so its products are counts of position pairs.
     """
-    observed = rows.where(F.col("y").isNotNull())
-    entries = observed.select("model_id", "crop", "family", augmented().alias("e"))
-    return cross_products(entries, ["model_id", "crop", "family"])
+    observed = rows.where(F.col("y").isNotNull()).select("model_id", "y", "idx")
+    first = observed.select("model_id", "idx", F.posexplode("idx").alias("at", "i"))
+    later = F.explode(F.slice("idx", F.col("at") + 1, F.size("idx"))).alias("j")
+    pairs = first.select("model_id", "i", later).groupBy("model_id", "i", "j")
+    products = pairs.agg(F.count(F.lit(1)).cast("double").alias("v"))
+    y = F.lit(RESPONSE)
+    with_y = observed.select("model_id", "y", F.explode("idx").alias("j")).groupBy("model_id", "j")
+    sums = with_y.agg(F.sum("y").alias("v")).select("model_id", y.alias("i"), "j", "v")
+    square = observed.groupBy("model_id").agg(F.sum(F.col("y") * F.col("y")).alias("v"))
+    own = square.select("model_id", y.alias("i"), y.alias("j"), "v")
+    return products.unionByName(sums).unionByName(own)
 
 
 def area_sums(rows: DataFrame) -> DataFrame:
-    """Column sums of [y, X] per model and area: the array ``e`` of (i, v).
+    """Column sums of [y, X] per model and area: (model_id, CNTY, e), e an array of (i, v).
 
     The entry at the intercept is the number of observed rows of the area.
     """
     observed = rows.where(F.col("y").isNotNull())
-    each = observed.select("model_id", "crop", "family", "CNTY", F.explode(augmented()).alias("x"))
-    sums = each.groupBy("model_id", "crop", "family", "CNTY", F.col("x.i").alias("i")).agg(
-        F.sum("x.v").alias("v")
+    each = observed.select("model_id", "CNTY", "y", F.explode("idx").alias("i"))
+    sums = each.groupBy("model_id", "CNTY", "i").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")
     )
-    return sums.groupBy("model_id", "crop", "family", "CNTY").agg(
-        F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e")
+    # Every row has the intercept, where the sum of y is that of the area.
+    entries = F.collect_list(F.struct("i", F.col("n").alias("v")))
+    total = F.sum(F.when(F.col("i") == INTERCEPT, F.col("y")))
+    response = F.array(F.struct(F.lit(RESPONSE).alias("i"), F.col("total").alias("v")))
+    return (
+        sums.groupBy("model_id", "CNTY")
+        .agg(entries.alias("x"), total.alias("total"))
+        .select("model_id", "CNTY", F.concat(response, F.array_sort("x")).alias("e"))
     )
 
 
@@ -152,17 +149,40 @@ def entry_at(position: int) -> Column:
     return F.get(F.filter("e", lambda x: x.i == position), F.lit(0))["v"]
 
 
-def demeaned_gram(products: DataFrame, areas: DataFrame) -> DataFrame:
+def demeaned_gram(products: DataFrame, areas: DataFrame, size: int) -> DataFrame:
     """The Gram matrix of [y, X] after subtracting area means from every column.
 
     X'X - sum over areas of c c' / n, where c are the column sums and n the rows
     of an area; no demeaned row is ever formed.  This is the system of a model
-    with one free level per area, for any number of areas.
+    with one free level per area, for any number of areas: they are spread over
+    groups of bounded size, each of which returns one ``size`` x ``size`` sum.
     """
-    keys = ["model_id", "crop", "family"]
-    taken = cross_products(areas.select(*keys, "e"), keys, 1 / entry_at(INTERCEPT))
-    parts = products.unionByName(taken.withColumn("v", -F.col("v")))
-    return parts.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    counts = areas.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = max(1, -(-(counts.agg(F.max("n")).first()[0] or 1) // AREAS_PER_GROUP))
+    spread = areas.select(
+        "model_id",
+        F.col("e.i").alias("i"),
+        F.col("e.v").alias("v"),
+        F.pmod(F.xxhash64("CNTY"), F.lit(groups)).cast("int").alias("bucket"),
+    )
+
+    def outer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.repeat(np.arange(len(pdf)), pdf["i"].map(len))
+        at = np.concatenate(pdf["i"].to_numpy())
+        c = np.zeros((len(pdf), size + 1))
+        c[line, at - RESPONSE] = np.concatenate(pdf["v"].to_numpy())
+        c /= np.sqrt(c[:, [INTERCEPT - RESPONSE]])
+        taken = np.triu(c.T @ c)
+        i, j = np.nonzero(taken)
+        return pd.DataFrame(
+            {"model_id": key[0], "i": i + RESPONSE, "j": j + RESPONSE, "v": -taken[i, j]}
+        )
+
+    taken = spread.groupBy("model_id", "bucket").applyInPandas(
+        outer, "model_id string, i int, j int, v double"
+    )
+    parts = products.unionByName(taken)
+    return parts.groupBy("model_id", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def level_table(

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallow.functions.scalars import normal_cdf
@@ -50,12 +51,13 @@ def prior_scale(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _part(df: DataFrame, part: str, i="i", j="j", v="v") -> DataFrame:
+def _part(df: DataFrame, part: str, i: Column, j: Column, v: Column) -> DataFrame:
     return df.select(
-        *MODEL, F.lit(part).alias("part"),
-        F.col(i).cast("int").alias("i") if isinstance(i, str) else i.cast("int").alias("i"),
-        F.col(j).cast("int").alias("j") if isinstance(j, str) else j.cast("int").alias("j"),
-        F.col(v).cast("double").alias("v") if isinstance(v, str) else v.cast("double").alias("v"),
+        "model_id",
+        F.lit(part).alias("part"),
+        i.cast("int").alias("i"),
+        j.cast("int").alias("j"),
+        v.cast("double").alias("v"),
     )
 
 
@@ -66,7 +68,9 @@ def systems(
     edges: DataFrame,
     levels: DataFrame,
     scale: DataFrame,
+    models: DataFrame,
     specs: Sequence[ModelSpec],
+    size: int,
 ) -> DataFrame:
     """Everything one model's solve needs, as rows (MODEL, part, i, j, v).
 
@@ -74,37 +78,33 @@ def systems(
     not depend on the number of areas; models with a spatial effect get the
     area columns and the adjacency.
     """
-    free = [m.family for m in specs if m.area == "factor"]
-    is_free = F.col("family").isin(free)
-    zero = F.lit(0)
-    models = products.where("i = 0 and j = 0").select(*MODEL, F.col("v").alias("n"))
+    is_free = F.col("family").isin([m.family for m in specs if m.area == "factor"])
+    free, spatial = models.where(is_free), models.where(~is_free)
+
+    def of(df: DataFrame, which: DataFrame) -> DataFrame:
+        return df.join(which.select("model_id"), "model_id")
+
+    i, j, v, zero = F.col("i"), F.col("j"), F.col("v"), F.lit(0)
+    area, x = F.col("CNTY"), F.col("x")
+    free_areas = of(areas, free)
+    located = of(areas, spatial).where(area.isNotNull())
+    reduced = dg.demeaned_gram(of(products, free), free_areas, size)
+    # Areas without an observation keep their place on the map.
+    nodes = of(rows, spatial).where(area.isNotNull()).select("model_id", "CNTY").distinct()
     pieces = [
-        _part(dg.demeaned_gram(products.where(is_free), areas.where(is_free)), "gram"),
-        _part(products.where(~is_free), "gram"),
-        _part(models, "n", zero, zero, "n"),
-        _part(models.join(scale, "crop"), "scale", zero, zero, "scale"),
-        _part(levels, "level", "pos", zero, "x"),
-        _part(
-            areas.where(is_free).groupBy(*MODEL).agg(F.count(F.lit(1)).alias("k")),
-            "areas", zero, zero, "k",
-        ),
-        _part(
-            areas.where(~is_free & F.col("CNTY").isNotNull())
-            .select(*MODEL, "CNTY", F.explode("e").alias("x")),
-            "area", "CNTY", F.col("x.i"), F.col("x.v"),
-        ),
-        _part(
-            models.where(~is_free).join(edges, "crop").withColumn("one", F.lit(1.0)),
-            "edge", "i", "j", "one",
+        _part(reduced, "gram", i, j, v),
+        _part(of(products, spatial), "gram", i, j, v),
+        _part(products.where("i = 0 and j = 0"), "n", zero, zero, v),
+        _part(models.join(scale, "crop"), "scale", zero, zero, F.col("scale")),
+        _part(levels, "level", F.col("pos"), zero, F.col("x")),
+        _part(free_areas, "areas", zero, zero, F.lit(1)).groupBy("model_id", "part", "i", "j").agg(
+            F.sum("v").alias("v")
         ),
+        _part(located.select("model_id", "CNTY", F.explode("e").alias("x")), "area", area, x["i"], x["v"]),
+        _part(spatial.join(edges, "crop"), "edge", i, j, F.lit(1)),
+        _part(nodes, "node", area, zero, zero),
     ]
-    # Areas without an observation keep their place in the map.
-    located = rows.where(~is_free & F.col("CNTY").isNotNull()).select(*MODEL, "CNTY").distinct()
-    pieces.append(_part(located, "node", "CNTY", zero, F.lit(0.0)))
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out
+    return reduce(DataFrame.unionByName, pieces).join(models, "model_id")
 
 
 def _symmetric(size: int, t: pd.DataFrame) -> np.ndarray:
@@ -279,24 +279,25 @@ def fit_models(
     years = dg.year_range(prepared)
     rows = settle(dg.design_rows(prepared, bins, specs, years))
     levels = settle(dg.level_table(spark, bins, specs, years))
+    models = settle(levels.select(*MODEL).distinct())
     products = settle(dg.gram(rows))
     areas = settle(dg.area_sums(rows))
-    system = systems(rows, products, areas, edges, levels, prior_scale(prepared), specs)
+    size = max(dg.positions(m, bins.n, years) for m in specs)
+    system = systems(
+        rows, products, areas, edges, levels, settle(prior_scale(prepared)), models, specs, size
+    )
     # A fixed number of partitions: the systems are small in bytes, but each is
     # work for a core of its own, so they must not be merged into few tasks.
-    models = products.where("i = 0 and j = 0").count()
     posterior = settle(
-        system.repartition(4 * models, *MODEL)
+        system.repartition(4 * models.count(), *MODEL)
         .groupBy(*MODEL)
         .applyInPandas(_solver(specs, bins.n, years), POSTERIOR)
     )
-    free = [m.family for m in specs if m.area == "factor"]
+    free = models.where(F.col("family").isin([m.family for m in specs if m.area == "factor"]))
     effects = posterior.where("kind = 'area'").select(
         *MODEL, F.col("pos").alias("CNTY"), "mean", "var", "cov"
     )
-    if free:
-        own = areas.where(F.col("family").isin(free))
-        effects = effects.unionByName(free_area_effects(own, posterior))
+    effects = effects.unionByName(free_area_effects(areas.join(free, "model_id"), posterior))
     return Fits(rows, posterior, settle(effects), levels)
 
 

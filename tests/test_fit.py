@@ -114,7 +114,7 @@ def test_gram_and_demeaning(spark):
     for k in np.unique(area):
         centred[area == k] -= full[area == k].mean(axis=0)
     want = centred.T @ centred
-    for r in design.demeaned_gram(products, design.area_sums(df)).collect():
+    for r in design.demeaned_gram(products, design.area_sums(df), size).collect():
         assert r.v == pytest.approx(want[r.i + 1, r.j + 1], abs=1e-9)
 
 
