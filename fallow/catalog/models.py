@@ -65,7 +65,7 @@ def _stats(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = prepared_stage(spark, d)
     found = bins(spark, d)
     years = design.year_range(rows)
-    names = design.level_table(spark, found, SPECS, years).select("model_id", "pos", "term", "x")
+    names = design.level_table(found, SPECS, years).select("model_id", "pos", "term", "x")
     models = names.select("model_id").distinct()
     intercept = models.select(
         "model_id", F.lit(design.INTERCEPT).alias("pos"), F.lit("(Intercept)").alias("term"), F.lit(0.0).alias("x")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallow.operators.binning import QuantileBins
@@ -185,30 +185,35 @@ def demeaned_gram(products: DataFrame, areas: DataFrame, size: int) -> DataFrame
     return parts.groupBy("model_id", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def level_table(
-    spark: SparkSession,
-    bins: QuantileBins,
-    specs: Sequence[ModelSpec],
-    years: YearRange,
-) -> DataFrame:
+def level_table(bins: QuantileBins, specs: Sequence[ModelSpec], years: YearRange) -> DataFrame:
     """(crop, family, model_id, term, level, pos, x) of every level that occurs.
 
     x is the standardised bin value, or the year index.
     """
-    layout = [
-        (m.family, b.term, b.kind, b.start) for m in specs for b in blocks(m, bins.n, years)
-    ]
-    at = spark.createDataFrame(layout, "family string, term string, kind string, start int")
+    layout = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(m.family).alias("family"),
+                    F.lit(b.term).alias("term"),
+                    F.lit(b.kind).alias("kind"),
+                    F.lit(b.start).alias("start"),
+                )
+                for m in specs
+                for b in blocks(m, bins.n, years)
+            ]
+        )
+    )
+    at = bins.table.select("crop").distinct().select("crop", layout.alias("b")).select("crop", "b.*")
     smooth = (
         bins.table.select("crop", F.col("column").alias("term"), "bin", "scaled")
-        .join(at.where("kind = 'rw1'"), "term")
+        .join(at.where("kind = 'rw1'"), ["crop", "term"])
         .select("crop", "family", "term", F.col("bin").alias("level"),
                 (F.col("start") + F.col("bin") - 1).alias("pos"), F.col("scaled").alias("x"))
     )
     number = F.explode(F.sequence(F.lit(years.first), F.lit(years.last)))
     yearly = (
-        bins.table.select("crop").distinct()
-        .join(at.where("kind = 'iid'"), F.lit(True))
+        at.where("kind = 'iid'")
         .select("crop", "family", "term", "start", number.alias("level"))
         .select("crop", "family", "term", "level",
                 (F.col("start") + F.col("level") - years.first).alias("pos"),

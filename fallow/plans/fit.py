@@ -275,10 +275,9 @@ def fit_models(
     specs: Sequence[ModelSpec],
 ) -> Fits:
     """Fit every (crop, family); ``prepared`` and ``edges`` should be stored tables."""
-    spark = prepared.sparkSession
     years = dg.year_range(prepared)
     rows = settle(dg.design_rows(prepared, bins, specs, years))
-    levels = settle(dg.level_table(spark, bins, specs, years))
+    levels = settle(dg.level_table(bins, specs, years))
     models = settle(levels.select(*MODEL).distinct())
     products = settle(dg.gram(rows))
     areas = settle(dg.area_sums(rows))

@@ -9,7 +9,12 @@ from fallow.operators.joins import left_join_keys
 
 
 def outlines(vertices: DataFrame) -> DataFrame:
-    """One row per area with its outline as an array of (part, ring, seq, x, y)."""
+    """One row per area with its outline as an array of (part, ring, seq, x, y).
+
+    An outline is one value, bounded by the area's own vertices; copies of
+    vertex rows are dropped first.
+    """
+    vertices = vertices.select("GEOID", "STATEFP", "part", "ring", "seq", "x", "y").distinct()
     points = F.array_sort(F.collect_list(F.struct("part", "ring", "seq", "x", "y")))
     return vertices.groupBy("GEOID", "STATEFP").agg(points.alias("geometry"))
 
