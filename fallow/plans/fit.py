@@ -20,7 +20,7 @@ from fallow.operators.binning import QuantileBins
 from fallow.plans import design as dg
 from fallow.plans import solve
 from fallow.plans.spec import SD_FACTOR, ModelSpec
-from fallow.session import settle
+from fallow.session import settle, ship_package
 
 MODEL = ["model_id", "crop", "family"]
 MAX_LEVELS = 5000  # largest system that is solved densely
@@ -275,6 +275,7 @@ def fit_models(
     specs: Sequence[ModelSpec],
 ) -> Fits:
     """Fit every (crop, family); ``prepared`` and ``edges`` should be stored tables."""
+    ship_package(prepared.sparkSession)
     years = dg.year_range(prepared)
     rows = settle(dg.design_rows(prepared, bins, specs, years))
     levels = settle(dg.level_table(bins, specs, years))
