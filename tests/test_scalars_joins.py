@@ -104,3 +104,11 @@ def test_contiguity(spark):
     assert lap.count() == 80 + 26
     sums = lap.groupBy("i").agg(F.sum("q").alias("s")).where("s <> 0").count()
     assert sums == 0 and lap.where("i = j and q = 0").count() == 1
+
+
+def test_bind_columns_by_key(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, None)], "g string, t int, y double")
+    fitted = spark.createDataFrame([("a", 2, 2.5), ("b", 1, 0.5)], "g string, t int, fitted double")
+    got = {(r.g, r.t): (r.y, r.fitted) for r in joins.bind_columns(rows, fitted, ["g", "t"]).collect()}
+    assert got == {("a", 1): (2.0, None), ("a", 2): (3.0, 2.5), ("b", 1): (None, 0.5)}
+    assert joins.drop_missing(rows, "y").count() == 2
