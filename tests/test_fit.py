@@ -228,3 +228,23 @@ def test_result_tables(spark, fitted):
     # Smooth effects sum to zero over their levels.
     assert smooth.groupBy("model_id", "term").agg(F.sum("mean").alias("s")).where("abs(s) > 1e-8").count() == 0
     assert scored.where("y is null and (cpo is not null or p_value is not null)").count() == 0
+
+
+def test_bym_and_two_terms(spark, sf_dir):
+    """Two spatial precisions, default priors, and two diversity terms."""
+    rows, found = m.prepared_stage(spark, sf_dir), m.bins(spark, sf_dir)
+    specs = [
+        spec.yield_model("two_precisions", area="bym", priors="default"),
+        spec.change_model("two_terms", ["dSIDI", "dRICH"], spec.CHANGE_CONTROLS, "factor", {"dTP": "default"}),
+    ]
+    fits = fit.fit_models(rows, found, m.edges(spark, sf_dir), specs)
+    scored = fit.score_rows(fits)
+    names = {r.name for r in fit.hyper_table(fits).where("family = 'two_precisions'").collect()}
+    assert {"precision CNTY independent", "precision CNTY spatial"} <= names and "phi CNTY" not in names
+    got = scored.groupBy("family").agg(F.count("y").alias("n"), F.count(F.when(F.col("sd") > 0, 1)).alias("ok"),
+                                       F.count(F.lit(1)).alias("rows"), F.avg(F.col("y") - F.col("mean")).alias("off")).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.ok == r.rows and r.n > 0 and abs(r.off) < 1e-3
+    terms = fit.effect_table(fits).where("family = 'two_terms'").select("term").distinct().count()
+    assert terms == 8 + 2 + 1
