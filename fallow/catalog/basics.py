@@ -45,11 +45,17 @@ def query(sql: str | None = None):
     return add
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six decimals, in arithmetic every engine shares."""
+def tidy(df: DataFrame, nine: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded to six decimals, in arithmetic every engine shares.
+
+    The columns ``nine`` keep nine: plain sums of measures stored with nine
+    decimals may lie half-way between two values of six, where the order of
+    summation would decide.
+    """
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    scale = {c: 1e9 if c in nine else 1e6 for c in doubles}
     return df.withColumns(
-        {c: F.floor(F.col(f"`{c}`") * 1e6 + 0.5).cast("double") / 1e6 for c in doubles}
+        {c: F.floor(F.col(f"`{c}`") * k + 0.5).cast("double") / k for c, k in scale.items()}
     )
 
 

@@ -148,7 +148,7 @@ def suff_stats_xtx(spark, d):
 
 @query(
     design_sql(
-        f"select model_id, term, {s.r6('x')}, {s.r6('sum(y)', 'sum_y')} "
+        f"select model_id, term, {s.r6('x')}, {s.r9('sum(y)', 'sum_y')} "
         "from observed group by model_id, term, x"
     )
 )
@@ -158,14 +158,15 @@ def suff_stats_xty(spark, d):
     return tidy(
         sums.join(names.withColumnRenamed("pos", "j"), ["model_id", "j"]).select(
             "model_id", "term", "x", F.col("v").alias("sum_y")
-        )
+        ),
+        nine=("sum_y",),
     )
 
 
 @query(
     design_sql(
         "select model_id, CNTY, cast(count(*) as double) as n, "
-        + s.r6("sum(y)", "sum_y")
+        + s.r9("sum(y)", "sum_y")
         + " from observed where term = '(Intercept)' group by model_id, CNTY"
     )
 )
@@ -177,7 +178,8 @@ def suff_stats_area(spark, d):
             "CNTY",
             design.entry_at(design.INTERCEPT).alias("n"),
             design.entry_at(design.RESPONSE).alias("sum_y"),
-        )
+        ),
+        nine=("sum_y",),
     )
 
 

@@ -20,6 +20,11 @@ def r6(x: str, name: str = "") -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6 as {name or x}"
 
 
+def r9(x: str, name: str) -> str:
+    """Nine decimals, for plain sums of measures that are stored with nine."""
+    return f"floor(({x}) * 1e9 + 0.5) / 1e9 as {name}"
+
+
 def finite(x: str) -> str:
     return f"case when isfinite({x}) then {x} end"
 
