@@ -1,4 +1,4 @@
-"""The operators of this subpackage as queries on the given tables, and their SQL where SQL can state it."""
+"""The operators of this subpackage as queries on the given tables (``QUERIES``), with their statements (``SQL``)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallow.llm import chat_format, decontaminate, license_scan, nearest, packing, secret_scan, sharding, url_rules
+from fallow.llm import chat_format, decontaminate, language_id, license_scan, minmax_dedup, nearest, packing, secret_scan, sharding, url_rules
+from fallow.llm.sql import SQL
 from fallow.session import shared_dir
 
 
+__all__ = ["QUERIES", "SQL"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +42,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def op4_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -73,7 +86,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_secret_scan, op4_shard_stratified, op5_chat_format, op6_license_scan,
+    op1_secret_scan, op2_minmax_dedup, op3_language_id, op4_shard_stratified, op5_chat_format, op6_license_scan,
     op7_url_rules, op8_decontaminate, op9_pack, op10_nearest,
 )}
-SQL: dict[str, str] = {}

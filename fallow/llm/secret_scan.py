@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Kinds of the contract first, in its order.
@@ -87,32 +87,38 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
 
     Spans are sorted by start, then by the rule's place in `rules`.
     """
+    scan_unseen(versions, ledger, rules, text)
+    own = versions.select(F.col(path).alias(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__blob"))
+    known = findings(versions.sparkSession, ledger, rules).withColumnRenamed("blob", "__blob")
+    return own.join(known, "__blob", "left").select(path, F.col("__blob").alias("blob"), F.coalesce("spans", F.expr(NONE)).alias("spans"))
+
+
+def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> None:
+    """Scan the (blob, rule version) pairs that the ledger lacks and append them."""
     spark = versions.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # an empty ledger on first use
-    own = versions.select(F.col(path).alias("__path"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    own = own.withColumn("blob", F.sha2("__text", 256))
-
+    own = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     wanted = F.array(*[F.lit(r.pair) for r in rules])
     seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("seen"))
     unseen = (
-        own.groupBy("blob").agg(F.first("__text").alias("__text"))
+        own.groupBy("blob").agg(F.first("text").alias("text"))
         .join(seen, "blob", "left")
         .withColumn("pairs", F.array_except(wanted, F.coalesce("seen", F.expr("cast(array() as array<string>)"))))
         .where(F.size("pairs") > 0)
     )
     spans = F.concat(*[
-        F.when(F.array_contains("pairs", r.pair), spans_of(F.col("__text"), r, i)).otherwise(F.expr(NONE)) for i, r in enumerate(rules)
+        F.when(F.array_contains("pairs", r.pair), spans_of(F.col("text"), r, i)).otherwise(F.expr(NONE)) for i, r in enumerate(rules)
     ])
     unseen.select("blob", "pairs", spans.alias("spans")).write.mode("append").parquet(ledger)
 
+
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and its spans of the kinds in `rules`, for blobs that have any."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     known = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0)
     known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     known = known.withColumn("spans", F.array_sort(F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))))
-    return (
-        own.select("__path", "blob").join(known, "blob", "left")
-        .select(F.col("__path").alias(path), "blob", F.coalesce("spans", F.expr(NONE)).alias("spans"))
-    )
+    return known.where(F.size("spans") > 0)
 
 
 def spans_text(spans: Column) -> Column:
@@ -132,3 +138,17 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """`docs`, with all their columns, with spans redacted and the column `size` brought up to date in changed rows."""
+    blob = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    scan_unseen(docs, ledger, rules, text)
+    found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    marked = docs.withColumn("__blob", blob).join(found, "__blob", "left")
+    spans = F.coalesce("__spans", F.expr(NONE))
+    marked = marked.withColumn("__new", redact(F.col(text), spans))
+    new = {text: F.col("__new")}
+    if size in docs.columns:
+        new[size] = F.when(F.size(spans) > 0, F.length("__new").cast(docs.schema[size].dataType)).otherwise(F.col(size))
+    return marked.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
