@@ -24,6 +24,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -42,60 +45,70 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32768
 POOL = 512
 NEIGHBOURS = 64
-CACHED = 600_000
+CACHED = 1_500_000
 _encoders: dict[str, CachedEncoder] = {}
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    SEPARATOR = b"\x01"
+    The vocabulary's rules compose and lower characters, drop white space and cut at letters, digits and
+    other characters; its merges then see one piece at a time.  A new string in plain lower-case letters is
+    cut here, and only its new pieces go to the merges; any other string goes through the whole tokenizer.
+    """
+
+    #: The vocabulary's rule for pieces, for ASCII and for text.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+"
+    SPACES = frozenset("\x1c\x1d\x1e\x1f\x85\xa0")  # white space to one regex engine and not to another
+    PLAIN = "\u0250"  # first character that is left to the tokenizer
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+        self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        alone = self._ids(self.SEPARATOR.decode())
-        self.separator = int(alone[0]) if len(alone) == 1 else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, strings: list[bytes]) -> None:
-        """Encode new strings, many in one call with a separator between them."""
-        if len(self.known) + len(strings) > CACHED:
-            self.known.clear()
-        plain = [s for s in strings if self.SEPARATOR not in s and b"<|" not in s] if self.separator is not None else []
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = self._ids((b" " + self.SEPARATOR + b" ").join(part).decode())
-            cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) != len(part) - 1:
-                plain = plain[:at]  # cannot be told apart: one by one
-                break
-            for s, x in zip(part, np.split(ids, cuts), strict=True):
-                self.known[s] = (x if s is part[0] else x[1:]).tobytes()
-        for s in set(strings).difference(plain):
-            self.known[s] = self._ids(s.decode()).tobytes()
+        self.ascii = re.compile(self.RULE.format(letter="a-z", digit="0-9").encode())
+        self.text = regex.compile(self.RULE.format(letter=r"\p{L}", digit=r"\p{N}"))
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}  # bytes as the vocabulary spells them
+
+    def _pieces(self, string: bytes) -> list[bytes] | None:
+        if string.isascii():
+            return self.ascii.findall(string)
+        text = string.decode()
+        if max(text) < self.PLAIN and text.lower() == text and unicodedata.is_normalized("NFC", text) and self.SPACES.isdisjoint(text):
+            return [p.encode() for p in self.text.findall(text)]
+        return None
+
+    def _learn(self, string: bytes) -> bytes:
+        pieces = None if b"<|" in string else self._pieces(string)
+        if pieces is None:
+            ids = self.tokenizer.encode(string.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif len(pieces) == 1:
+            ids = [t.id for t in self.merges.tokenize(string.decode("latin-1").translate(self.shown))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            found = b"".join([self.known.get(p) or self._learn(p) for p in pieces])
+        self.known[string] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        if len(self.known) > CACHED:
+            self.known.clear()
+        out, find = [], self.known.get
         for text in texts:
             raw = text.encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        out = []
-        known = self.known
-        new = {s for strings in split for s in strings if s not in known}
-        if new:
-            self._learn(sorted(new))
-        for strings in split:
-            try:
-                out.append(b"".join([known[s] for s in strings]))
-            except KeyError:  # the cache was emptied meanwhile
-                self._learn(sorted({s for s in strings if s not in known}))
-                out.append(b"".join([known[s] for s in strings]))
+            # a reserved token is one in its own case only
+            strings = raw.lower().split() if b"<|" not in raw else [s if b"<|" in s else s.lower() for s in raw.split()]
+            found = list(map(find, strings))
+            if None in found:
+                found = [find(s) or self._learn(s) if x is None else x for s, x in zip(strings, found, strict=True)]
+            out.append(b"".join(found))
         return out
 
 

@@ -142,6 +142,17 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
         assert list(np.frombuffer(got, "<u4")) == list(want[i][:-1])
 
 
+ODD = ["a", "B", "é", "É", "'s", "'LL", "'", "!", "1", "½", "²", " ", "\x85", "\xa0", "\x1c", "<|", "|>", "<|endoftext|>", "ß", "ŉ", "ª", "Σ", "İ", "\n", "\u0301", "x"]
+_encoder = packing.CachedEncoder(packing.VOCABULARY)
+
+
+@given(st.lists(st.sampled_from(ODD), max_size=9))
+@settings(max_examples=500)
+def test_cut_strings_encode_like_the_tokenizer(parts):
+    text = "".join(parts)
+    assert list(np.frombuffer(_encoder.encode([text])[0], "<u4")) == _encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 5000), max_size=60))
 @settings(max_examples=50)
 def test_packer_loses_nothing(sizes):
