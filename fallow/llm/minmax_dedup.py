@@ -9,11 +9,11 @@ bands; documents that agree in a whole band are candidates, and the band shape i
 chosen so that a pair at the threshold is missed with probability 1e-6 at most.
 
 Documents with one set are one class before anything else, by a 128-bit digest.  In
-each bucket every class is compared with the smallest, on the full sets.  Only classes
-that this leaves in other groups than the bucket's main one are then compared with
-the rest of their bucket, so a large group of near copies costs one comparison per
-member and bucket, not one per pair, and still no candidate pair between different
-groups is left out.
+each bucket every class is compared with the smallest, on the full sets, so a large
+group of near copies costs one comparison per member and bucket, not one per pair.
+Buckets that this leaves with several groups are the rest: their classes are paired by
+the exact prefix filter for set similarity, across groups only, and confirmed alike,
+so no candidate pair between different groups is left out.
 
 Words are runs of anything but ASCII white space, with ASCII letters lowered.  A text
 of fewer words than the width has its whole sequence as its one shingle.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallow.llm.components import components
@@ -198,14 +198,48 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
 
     roots = components(near).withColumnRenamed("id", "member")
     placed = members.join(roots, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("members"))
-    mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("members", "root")).alias("main")).where("groups > 1")
-    placed = settle(placed.join(mixed.drop("groups"), "bucket"))
-    rest = placed.where("root != main").select("bucket", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    pairs = rest.join(placed, "bucket").where(
-        (F.col("x_root") != F.col("root"))
-        & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("id")))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rest = placed.join(mixed.drop("low", "high"), "bucket", "left_semi").select("id", "n", "root").distinct()
+    pairs = _prefix_pairs(texts.join(rest, F.col("doc_id") == F.col("id")), width, percent)
+    return near.unionByName(confirm(pairs.join(first, ["a", "b"], "left_anti")))
+
+
+def _exploder(width: int):
+    """One row per shingle."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("token", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t, width).view(np.int64) for t in part["text"].to_pylist()]
+                each = [np.repeat(part[c].to_numpy(), [len(x) for x in sets]) for c in ("id", "n", "root")]
+                yield pa.record_batch([pa.array(c) for c in (*each, np.concatenate(sets))], schema=schema)
+
+    return run
+
+
+def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `docs` (id, n, root, text) of different roots that may meet the threshold.
+
+    The exact prefix filter for set similarity: shingles are ordered by how many documents hold them, rarest
+    first.  Two sets that meet the threshold share one of the first n - (least overlap) + 1 of each, and
+    after the first that they share enough must be left in both.  Documents that have a long passage in
+    common, but differ otherwise, share none of their rare shingles and never become a pair.
+    """
+    tokens = settle(docs.select("id", "n", "root", "text").mapInArrow(_exploder(width), "id long, n long, root long, token long"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("held > 1")
+    of_doc = Window.partitionBy("id")  # at most one document's shingles
+    place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("held", "token"))
+    prefix = tokens.join(held, "token").withColumn("place", place)
+    prefix = prefix.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("low") < F.col("high")))
+    prefix = settle(prefix.select("token", "id", "n", "root", "place"))
+    x = prefix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root", "place")])
+    left = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) + 1
+    pairs = x.join(prefix, "token").where(
+        (F.col("x_id") < F.col("id"))
+        & (F.col("x_root") != F.col("root"))
         & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
+        & (left * (100 + percent) >= percent * (F.col("n") + F.col("x_n")))
     )
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return near.unionByName(confirm(pairs))
+    return pairs.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
