@@ -45,7 +45,7 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32768
 POOL = 512
 NEIGHBOURS = 64
-CACHED = 1_500_000
+CACHED = 500_000
 _encoders: dict[str, CachedEncoder] = {}
 
 
