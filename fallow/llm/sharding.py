@@ -30,7 +30,7 @@ def _running(counts: DataFrame, bucket: str, source: list[str]) -> DataFrame:
     return counts.withColumn("before", F.sum("n").over(by.orderBy(bucket)) - F.col("n")).withColumn("total", F.sum("n").over(by))
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20, key: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 4096) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20, key: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 2048) -> DataFrame:
     """Per row: key, source, size, text_crc32, shard (0 to shards - 1) and slot (its place there, gapless from 0)."""
     content = F.coalesce(F.col(text), F.lit(""))
     own = settle(docs.select(
