@@ -94,7 +94,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     )
     own = settle(own)
 
-    met = _met_sets(spark, own.select(F.explode("sets").alias("words")).distinct(), sets)
+    met = settle(_met_sets(spark, own.select(F.explode("sets").alias("words")).distinct(), sets))
     per_row = (
         own.select("row", F.explode("sets").alias("words")).join(met, "words")
         .groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("score").alias("score"))
