@@ -49,6 +49,8 @@ def main():
         "stage_built": lambda: basics.built_stage(spark, SF_DIR),
         "stage_prepared": lambda: basics.prepared_stage(spark, SF_DIR),
         "stage_bins": lambda: basics.bins(spark, SF_DIR),
+        "stage_design": lambda: models.design_stage(spark, SF_DIR),
+        "stage_simple_scores": lambda: models.simple_scores(spark, SF_DIR),
         "stage_fit": lambda: models.fits(spark, SF_DIR),
         "stage_scores": lambda: models.scored(spark, SF_DIR),
     }

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from fallow.session import settle
 
 YEAR0 = 1995
-HEADERS = [f"X{y}" for y in range(1995, 2002)]
 KEYS = ["crop", "GEOID", "YEAR"]
 MONEY = "decimal(15,2)"
 GRID = 25  # suppliers per row of the map of unit squares
-SCARCE = 250  # quantity under which a cell has no outcome
 
 _stages: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -28,24 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage_key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
+    """A stage by application, name and state of its table folder: changed files make another key."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted(f"{f.getPath().getName()}:{f.getModificationTime()}:{f.getLen()}" for f in files)
+    return spark.sparkContext.applicationId, f"{sf_dir} {hash(tuple(state))}", name
+
+
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage table, written once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A stage table, written once per application and state of the table folder."""
+    key = stage_key(spark, sf_dir, name)
     if key not in _stages:
         _stages[key] = settle(build())
     return _stages[key]
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with crop, entity and year."""
+def lines(spark: SparkSession, sf_dir: str, crop: bool = True, parts: bool = True) -> DataFrame:
+    """Order lines with entity and year, and with crop or part where a result reads them."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("YEAR"),
         F.col("o_totalprice").cast(MONEY).alias("total"),
     )
-    customers = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_mktsegment").alias("crop")
-    )
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     price, discount = F.col("l_extendedprice").cast(MONEY), F.col("l_discount").cast(MONEY)
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus",
@@ -54,11 +56,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("price"), discount.alias("discount"), F.col("l_tax").cast(MONEY).alias("tax"),
         (price * (1 - discount)).alias("net"),
     )
-    return (
-        items.join(orders, items.l_orderkey == orders.o_orderkey)
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    )
+    out = items.join(orders, items.l_orderkey == orders.o_orderkey)
+    if crop:
+        customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("crop"))
+        out = out.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    if parts:
+        out = out.join(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return out
 
 
 def _where(condition: Column, value: str) -> Column:
@@ -73,6 +77,7 @@ def build_input_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         F.sum("qty").alias("qty"),
         _where((flag == "R") & (status == "F"), "net").alias("net_rf"),
+        _where((flag == "R") & (status == "F"), "qty").alias("qty_rf"),
         _where(status == "O", "qty").alias("qty_o"),
         F.sum("discount").alias("discount"),
         F.sum("tax").alias("tax"),
@@ -80,7 +85,7 @@ def build_input_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("p_size").alias("size"),
     )
     per_class = settle(per_class)
-    sums = ["lines", "qty", "net_rf", "qty_o", "discount", "tax", "total", "size"]
+    sums = ["lines", "qty", "net_rf", "qty_rf", "qty_o", "discount", "tax", "total", "size"]
     cells = per_class.groupBy(*KEYS).agg(*[F.sum(c).cast("double").alias(c) for c in sums])
     classes = diversity_indices(per_class, KEYS, "p_type", "qty")
     acres = per_class.groupBy("GEOID", "YEAR").agg(F.sum("qty").cast("double").alias("TOTAL_ACRES"))
@@ -103,7 +108,7 @@ def build_input_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             *KEYS,
             "STATE",
-            F.when(F.col("qty") >= SCARCE, F.col("net_rf") / F.col("qty")).alias("YIELD"),
+            F.try_divide("net_rf", "qty_rf").alias("YIELD"),
             F.col("simpson").alias("LSM_SIDI_ALL"),
             F.col("shannon").alias("LSM_SHDI_ALL"),
             F.col("richness").cast("double").alias("LSM_RICH_ALL"),
@@ -127,11 +132,11 @@ def input_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Water per cell with the amount as text: ``n/a`` from one line, ``0`` from two."""
+    """Water per cell with the amount as text."""
 
     def build() -> DataFrame:
         cells = (
-            lines(spark, sf_dir)
+            lines(spark, sf_dir, parts=False)
             .where(F.col("l_returnflag") == "A")
             .groupBy(*KEYS)
             .agg(
@@ -141,33 +146,36 @@ def water(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.min("price").alias("low"),
             )
         )
-        text = (
-            F.when(F.col("n") == 1, "n/a").when(F.col("n") == 2, "0")
-            .otherwise(F.col("amount").cast("string"))
-        )
         return cells.select(
             "crop",
             "GEOID",
             (F.col("YEAR") - YEAR0).alias("Yr"),
             (F.col("amount").cast("double") / F.col("n")).alias("avg_water"),
             (F.col("high") - F.col("low")).cast("double").alias("range_water"),
-            text.alias("volume"),
+            F.col("amount").cast("string").alias("volume"),
         )
 
     return stage(spark, sf_dir, "water", build)
 
 
+def headers(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The year columns of the expense files: every year with an order."""
+    years = stage(spark, sf_dir, "years", lambda: table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).distinct())
+    return [f"X{r.y}" for r in years.where("y is not null").orderBy("y").collect()]
+
+
 def expenses(spark: SparkSession, sf_dir: str, priority: str) -> DataFrame:
     """Spending per supplier, wide by year, like an expense file."""
 
+    def sums() -> DataFrame:
+        rows = lines(spark, sf_dir, crop=False, parts=False)
+        return rows.groupBy("o_orderpriority", F.col("GEOID").alias("X"), "YEAR").agg(F.sum("price").alias("price"))
+
     def build() -> DataFrame:
-        rows = lines(spark, sf_dir).where(F.col("o_orderpriority") == priority)
-        wide = (
-            rows.groupBy(F.col("GEOID").alias("X"))
-            .pivot("YEAR", [int(h[1:]) for h in HEADERS])
-            .agg(F.sum("price").cast("double"))
-        )
-        return wide.withColumnsRenamed({h[1:]: h for h in HEADERS})
+        years = headers(spark, sf_dir)
+        own = stage(spark, sf_dir, "expense sums", sums).where(F.col("o_orderpriority") == priority)
+        wide = own.groupBy("X").pivot("YEAR", [int(h[1:]) for h in years]).agg(F.sum("price").cast("double"))
+        return wide.withColumnsRenamed({h[1:]: h for h in years})
 
     return stage(spark, sf_dir, f"expenses {priority}", build)
 

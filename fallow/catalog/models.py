@@ -21,16 +21,22 @@ from fallow.plans import curves, design, diagnostics, fit, maps, spec
 from fallow.session import settle
 
 SPECS = spec.report_families()
-FAMILY_TERMS = [
-    (m.family, m.response, k, t.name, t.kind, t.prior) for m in SPECS for k, t in enumerate(m.terms)
-]
 
-# ---- the report's models in SQL -------------------------------------------
-
-_values = ", ".join(str(t) for t in FAMILY_TERMS)
-SPEC_CTE = (
-    "select * from (values " + _values + ") v(family, response, ord, term, kind, prior)"
-)
+# ---- the report's models in SQL, written out apart from the plans -----------
+
+SPEC_CTE = """
+select family, response, area, ord, term, case when ord < 7 then 'rw1' else 'iid' end as kind,
+  case when ord < 7 then 'pc' else 'default' end as prior
+from (select family, response, area, unnest(range(9)) as ord,
+    unnest(list_concat(controls, [diversity, 'YEAR_id', 'YEAR_id2'])) as term
+  from (values
+    ('yield', 'YIELD', ['fert', 'herb', 'volume', 'TP', 'GDD', 'SDD'], 'SIDI', 'LSM_SIDI_ALL'),
+    ('dyield', 'dYield', ['dVol', 'dTP', 'dGDD', 'dSDD', 'dfert', 'dherb'], 'aveSIDI', 'aveSIDI2yr'),
+    ('dyield', 'dYield', ['dVol', 'dTP', 'dGDD', 'dSDD', 'dfert', 'dherb'], 'dSIDI', 'dSIDI'),
+    ('covyield', 'covYield', ['covVol', 'covTP', 'covGDD', 'covSDD', 'covfert', 'covherb'], 'aveSIDI', 'aveSIDI3yr'),
+    ('covyield', 'covYield', ['covVol', 'covTP', 'covGDD', 'covSDD', 'covfert', 'covherb'], 'covSIDI', 'covSIDI')
+  ) m(prefix, response, controls, short, diversity), (values ('fe', 'factor'), ('bym', 'bym2')) k(tag, area),
+  lateral (select prefix || '_' || short || '_' || tag as family))"""
 _responses = " union all ".join(
     f"select crop, GEOID, YEAR, CNTY, Yr, '{r}' as response, {r} as y from prepared"
     for r in s.OUTCOMES
@@ -60,20 +66,29 @@ def design_sql(tail: str) -> str:
     return s.statement(tail, **DESIGN_CTES)
 
 
-def _stats(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Design rows and level names of the report's models."""
+def model_keys(spark, d) -> DataFrame:
+    """(model_id, design_id) of the report's models."""
+    return a.stage(spark, d, "models", lambda: design.model_table(prepared_stage(spark, d), SPECS)).select("model_id", "design_id")
+
+
+def design_stage(spark, d) -> DataFrame:
+    """Design rows of the report's models."""
     rows = prepared_stage(spark, d)
-    found = bins(spark, d)
-    years = design.year_range(rows)
-    names = design.level_table(found, SPECS, years).select("model_id", "pos", "term", "x")
-    models = names.select("model_id").distinct()
-    intercept = models.select(
-        "model_id", F.lit(design.INTERCEPT).alias("pos"), F.lit("(Intercept)").alias("term"), F.lit(0.0).alias("x")
-    )
-    design_rows = a.stage(
-        spark, d, "design", lambda: design.design_rows(rows, found, SPECS, years)
-    )
-    return design_rows, settle(names.unionByName(intercept))
+    return a.stage(spark, d, "design", lambda: design.design_rows(rows, bins(spark, d), SPECS, design.year_range(rows)))
+
+
+def level_names(spark, d) -> DataFrame:
+    """(design_id, pos, term, x) of the report's models, the intercept included."""
+
+    def build() -> DataFrame:
+        names = design.level_table(bins(spark, d), SPECS, design.year_range(prepared_stage(spark, d)))
+        names = names.select("design_id", "pos", "term", "x")
+        intercept = names.select("design_id").distinct().select(
+            "design_id", F.lit(design.INTERCEPT).alias("pos"), F.lit("(Intercept)").alias("term"), F.lit(0.0).alias("x")
+        )
+        return names.unionByName(intercept)
+
+    return a.stage(spark, d, "level names", build)
 
 
 @query(
@@ -87,23 +102,37 @@ def prior_scale(spark, d):
 
 @query(
     design_sql(
-        "select m.crop, v.family, v.response, v.term, v.kind, v.prior, "
-        "count(distinct c.z) as levels from "
-        "(select distinct family, response, term, kind, prior from spec where kind = 'rw1') v "
-        "cross join (select distinct crop from prepared) m "
-        "join scaled c on c.crop = m.crop and c.col = v.term group by all"
+        "select crop, family, response, term, kind, prior, levels, "
+        + ", ".join(s.r6(f"case when prior = 'pc' then {e} end", n) for e, n in (
+            ("case when kind = 'rw1' then scale else 0.2 / 0.31 end", "u"), ("0.01", "alpha"),
+            ("case when kind = 'bym2' then 0.5 end", "phi_u"), ("case when kind = 'bym2' then 2.0 / 3 end", "phi_alpha"),
+        ))
+        + " from ("
+        "select c.crop, family, response, term, kind, prior, count(distinct c.z) as levels from spec join scaled c on c.col = term "
+        "where kind = 'rw1' group by all "
+        "union all select y.crop, family, response, term, kind, prior, y.n from spec, "
+        "(select crop, (select max(Yr) - min(Yr) + 1 from prepared) as n from prepared group by crop) y where kind = 'iid' "
+        "union all select n.crop, family, response, 'CNTY', area, case area when 'factor' then 'flat' else 'pc' end, n.n "
+        "from (select distinct family, response, area from spec), "
+        "(select crop, count(distinct CNTY) as n from prepared group by crop) n"
+        ") join (select crop, stddev_samp(YIELD) / 0.31 as scale from prepared group by crop) using (crop)"
     )
 )
 def model_terms(spark, d):
-    """Every smooth term of every model with the levels it has in the data."""
-    terms = spec.spec_table(spark, SPECS).where("kind = 'rw1'")
-    levels = (
-        bins(spark, d).table.groupBy("crop", F.col("column").alias("term"))
-        .agg(F.count_distinct("scaled").alias("levels"))
-    )
-    return terms.join(levels, "term").select(
-        "crop", "family", "response", "term", "kind", "prior", "levels"
-    )
+    """Every term of every model, the area included, with its prior's constants and its levels in the data."""
+    rows = prepared_stage(spark, d)
+    years = design.year_range(rows)
+    smooth = bins(spark, d).table.groupBy("crop", F.col("column").alias("term")).agg(F.count_distinct("scaled").alias("levels"))
+    each = rows.groupBy("crop").agg(F.count_distinct("CNTY").alias("areas"), F.lit(years.size).cast("long").alias("years"))
+    others = each.select("crop", F.explode(F.array(
+        F.struct(F.lit("YEAR_id").alias("term"), F.col("years").alias("levels")),
+        F.struct(F.lit("YEAR_id2").alias("term"), F.col("years").alias("levels")),
+        F.struct(F.lit("CNTY").alias("term"), F.col("areas").alias("levels")),
+    )).alias("t")).select("crop", "t.*")
+    terms = spec.spec_table(spark, SPECS).join(smooth.unionByName(others), "term").join(fit.prior_scale(rows).drop("n"), "crop")
+    return tidy(spec.with_constants(terms).select(
+        "crop", "family", "response", "term", "kind", "prior", "levels", "u", "alpha", "phi_u", "phi_alpha"
+    ))
 
 
 @query(
@@ -115,15 +144,13 @@ def model_terms(spark, d):
     )
 )
 def design_counts(spark, d):
-    rows, _ = _stats(spark, d)
-    return tidy(
-        rows.groupBy("model_id").agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count("y").alias("n"),
-            F.count_distinct("CNTY").alias("areas"),
-            F.avg(F.size("idx")).alias("mean_terms"),
-        )
+    counts = design_stage(spark, d).groupBy("design_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("y").alias("n"),
+        F.count_distinct("CNTY").alias("areas"),
+        F.avg(F.size("idx")).alias("mean_terms"),
     )
+    return tidy(counts.join(model_keys(spark, d), "design_id").drop("design_id"))
 
 
 @query(
@@ -135,15 +162,11 @@ def design_counts(spark, d):
     )
 )
 def suff_stats_xtx(spark, d):
-    rows, names = _stats(spark, d)
-    i = names.select("model_id", F.col("pos").alias("i"), F.col("term").alias("term_i"), F.col("x").alias("x_i"))
-    j = names.select("model_id", F.col("pos").alias("j"), F.col("term").alias("term_j"), F.col("x").alias("x_j"))
-    return tidy(
-        design.gram(rows)
-        .join(i, ["model_id", "i"])
-        .join(j, ["model_id", "j"])
-        .select("model_id", "term_i", "x_i", "term_j", "x_j", F.col("v").alias("n"))
-    )
+    names = level_names(spark, d)
+    i = names.select("design_id", F.col("pos").alias("i"), F.col("term").alias("term_i"), F.col("x").alias("x_i"))
+    j = names.select("design_id", F.col("pos").alias("j"), F.col("term").alias("term_j"), F.col("x").alias("x_j"))
+    products = design.gram(design_stage(spark, d)).join(i, ["design_id", "i"]).join(j, ["design_id", "j"])
+    return tidy(products.join(model_keys(spark, d), "design_id").select("model_id", "term_i", "x_i", "term_j", "x_j", F.col("v").alias("n")))
 
 
 @query(
@@ -153,14 +176,8 @@ def suff_stats_xtx(spark, d):
     )
 )
 def suff_stats_xty(spark, d):
-    rows, names = _stats(spark, d)
-    sums = design.gram(rows).where(f"i = {design.RESPONSE} and j >= 0")
-    return tidy(
-        sums.join(names.withColumnRenamed("pos", "j"), ["model_id", "j"]).select(
-            "model_id", "term", "x", F.col("v").alias("sum_y")
-        ),
-        nine=("sum_y",),
-    )
+    sums = design.xty(design_stage(spark, d)).join(level_names(spark, d), ["design_id", "pos"])
+    return tidy(sums.join(model_keys(spark, d), "design_id").select("model_id", "term", "x", "sum_y"), nine=("sum_y",))
 
 
 @query(
@@ -171,16 +188,8 @@ def suff_stats_xty(spark, d):
     )
 )
 def suff_stats_area(spark, d):
-    rows, _ = _stats(spark, d)
-    return tidy(
-        design.area_sums(rows).select(
-            "model_id",
-            "CNTY",
-            design.entry_at(design.INTERCEPT).alias("n"),
-            design.entry_at(design.RESPONSE).alias("sum_y"),
-        ),
-        nine=("sum_y",),
-    )
+    areas = design.area_table(design_stage(spark, d)).where("n > 0").join(model_keys(spark, d), "design_id")
+    return tidy(areas.select("model_id", "CNTY", "n", "sum_y"), nine=("sum_y",))
 
 
 @query(
@@ -196,15 +205,8 @@ def suff_stats_area(spark, d):
 )
 def demeaned_xty(spark, d):
     """X'y after subtracting area means: sum over a level's rows of y minus its area mean."""
-    rows, names = _stats(spark, d)
-    years = design.year_range(prepared_stage(spark, d))
-    size = max(design.positions(m, bins(spark, d).n, years) for m in SPECS)
-    product = design.demeaned_gram(design.gram(rows), settle(design.area_sums(rows)), size)
-    return tidy(
-        product.where(f"i = {design.RESPONSE} and j > 0")
-        .join(names.withColumnRenamed("pos", "j"), ["model_id", "j"])
-        .select("model_id", "term", "x", F.col("v").alias("sum_y"))
-    )
+    sums = design.demeaned_xty(design_stage(spark, d)).where("pos > 0").join(level_names(spark, d), ["design_id", "pos"])
+    return tidy(sums.join(model_keys(spark, d), "design_id").select("model_id", "term", "x", "sum_y"))
 
 
 @query(
@@ -250,23 +252,24 @@ def phi_sql(z: str) -> str:
 
 SIMPLE_CTES = {
     "simple": " union all ".join(
-        f"select crop || '_{name}' as model_id, crop, GEOID, YEAR, CNTY, YIELD as y, "
-        f"avg(YIELD) over (partition by crop, {by}) as mean, "
-        f"count(YIELD) over (partition by crop, {by}) as k, "
-        "1 / var_samp(YIELD) over (partition by crop) as tau from prepared"
+        f"select crop || '_{r}_{name}' as model_id, crop, GEOID, YEAR, CNTY, {r} as y, "
+        f"avg({r}) over (partition by crop, {by}) as mean, "
+        f"count({r}) over (partition by crop, {by}) as k, "
+        f"1 / var_samp({r}) over (partition by crop) as tau from prepared"
+        for r in ("YIELD", "dYield", "covYield")
         for name, by in SIMPLE.items()
     ),
     "loo": """
-select *, 1 / (tau * k) as s2,
+select *, case when k > 0 then 1 / (tau * k) end as s2,
   case when y is not null and k > 1 then 1 / (tau * (k - 1)) end as v,
   case when y is not null and k > 1 then (mean * k - y) / (k - 1) end as m
 from simple""",
     "scores0": """
 select *, (y - m) / sqrt(v + 1 / tau) as z,
-  exp(-(y - m) * (y - m) / (2 * (v + 1 / tau))) / sqrt(2 * pi() * (v + 1 / tau)) as cpo,
+  -(y - m) * (y - m) / (2 * (v + 1 / tau)) - ln(sqrt(2 * pi() * (v + 1 / tau))) as log_cpo,
   case when k > 0 then (y - mean) / sqrt(1 / (tau * k)) end as zp
 from loo""",
-    "scores": f"select *, {phi_sql('z')} as pit0, {phi_sql('zp')} as p0 from scores0",
+    "scores": f"select *, exp(log_cpo) as cpo, {phi_sql('z')} as pit0, {phi_sql('zp')} as p0 from scores0",
     "scored": "select * exclude (pit0, p0), case when z is not null then pit0 end as pit, "
     "case when zp is not null then p0 end as p_value from scores",
 }
@@ -282,16 +285,17 @@ def simple_scores(spark, d) -> DataFrame:
 
 
 def score_simple_models(spark, d) -> DataFrame:
-    rows = prepared_stage(spark, d).select(*KEYS, "CNTY", F.col("YIELD").alias("y"))
-    tau = rows.groupBy("crop").agg((1 / F.var_samp("y")).alias("tau"))
+    responses = F.explode(F.array(*[F.struct(F.lit(r).alias("response"), F.col(r).alias("y")) for r in s.OUTCOMES]))
+    rows = prepared_stage(spark, d).select(*KEYS, "CNTY", responses.alias("r")).select(*KEYS, "CNTY", "r.*")
+    tau = rows.groupBy("crop", "response").agg((1 / F.var_samp("y")).alias("tau"))
     out = None
     for name, by in SIMPLE.items():
-        group = ["crop"] if by == "crop" else ["crop", by]
-        means = rows.groupBy(*group).agg(F.avg("y").alias("mean"), F.count("y").alias("k"))
-        part = rows.join(means, group).withColumn("model_id", F.concat("crop", F.lit(f"_{name}")))
+        group = ["response", "crop"] if by == "crop" else ["response", "crop", by]
+        means = settle(rows.groupBy(*group).agg(F.avg("y").alias("mean"), F.count("y").alias("k")))
+        part = rows.join(means, group).withColumn("model_id", F.concat_ws("_", "crop", "response", F.lit(name)))
         out = part if out is None else out.unionByName(part)
     var = F.try_divide(F.lit(1.0), F.col("tau") * F.col("k"))
-    return fit.leave_one_out(out.join(tau, "crop").withColumn("var", var))
+    return fit.leave_one_out(out.join(settle(tau), ["crop", "response"]).withColumn("var", var))
 
 
 @query(
@@ -305,17 +309,34 @@ def ppp_values(spark, d):
 
 @query(
     simple_sql(
-        "select model_id, cast(least(floor(pit * 30) + 1, 30) as integer) as bin, count(*) as n "
+        "select model_id, cast(least(floor(round(pit, 9) * 30) + 1, 30) as integer) as bin, count(*) as n "
         "from scored where pit is not null group by 1, 2"
     )
 )
 def pit_histogram(spark, d):
-    return diagnostics.histogram(simple_scores(spark, d), "pit", ["model_id"], 30, 0.0, 1.0)
+    # a value that lies on an edge but for its last bits counts alike in every engine
+    return diagnostics.histogram(simple_scores(spark, d).withColumn("pit", F.round("pit", 9)), "pit", ["model_id"], 30, 0.0, 1.0)
+
+
+@query(
+    simple_sql(
+        "select model_id, cast(least(floor(round(p_value, 9) * 30) + 1, 30) as integer) as bin, count(*) as n "
+        "from scored where p_value is not null group by 1, 2"
+    )
+)
+def p_value_histogram(spark, d):
+    return diagnostics.histogram(simple_scores(spark, d).withColumn("p_value", F.round("p_value", 9)), "p_value", ["model_id"], 30, 0.0, 1.0)
+
+
+BINNED = (
+    "case when lo = hi then case when x = lo then 1 end "
+    "when x between lo and hi then cast(least(floor((x - lo) / (hi - lo) * 30) + 1, 30) as integer) end"
+)
 
 
 @query(
     s.statement(
-        "select col, cast(least(floor((x - lo) / (hi - lo) * 30) + 1, 30) as integer) as bin, count(*) as n "
+        f"select col, {BINNED} as bin, count(*) as n "
         "from cols_long join (select col, min(x) as lo, max(x) as hi from cols_long group by col) using (col) "
         "where col in ('fert', 'herb', 'volume') group by 1, 2"
     )
@@ -329,11 +350,31 @@ def value_histogram(spark, d):
     return long.join(ends, "col").groupBy("col", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    s.statement(
+        f"select col, {BINNED} as bin, count(*) as n from ("
+        "select col, x, case col when 'fert' then avg(x) over w else avg(x) over w - stddev_samp(x) over w end as lo, "
+        "case col when 'fert' then avg(x) over w else avg(x) over w + stddev_samp(x) over w end as hi "
+        "from cols_long where col in ('fert', 'herb', 'volume') window w as (partition by col)) group by 1, 2"
+    )
+)
+def histogram_edges(spark, d):
+    """Histogram within one sd of the mean, values beyond in no bin; for fert, between two equal ends."""
+    inputs = ["fert", "herb", "volume"]
+    long = prepared_stage(spark, d).select(*inputs).unpivot([], inputs, "col", "x").where("x is not null")
+    half = F.when(F.col("col") == "fert", 0.0).otherwise(F.col("sd"))
+    ends = settle(long.groupBy("col").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).select(
+        "col", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi")
+    ))
+    bin_ = diagnostics.equal_bins(F.col("x"), F.col("lo"), F.col("hi"), 30)
+    return long.join(ends, "col").groupBy("col", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 DIAG_SQL = simple_sql(
     "select model_id, count(*) as n_rows, count(y) as n, "
     + ", ".join(
         [
-            s.r6("sum(ln(cpo))", "cpo"),
+            s.r6("sum(log_cpo)", "cpo"),
             s.r6("sum((y - mean) * (y - mean)) / count(*)", "mse"),
             s.r6("sum((y - mean) * (y - mean)) / count(y)", "mse_obs"),
             s.r6("avg(p_value)", "mean_p_value"),
@@ -358,23 +399,27 @@ def diag_mse_r2(spark, d):
             "dic",
         )
         + ", "
-        + s.r6("sum(ln(cpo))", "cpo")
+        + s.r6("sum(log_cpo)", "cpo")
         + ", "
         + s.r6("sum((y - mean) * (y - mean)) / max(n_all)", "mse")
-        + " from (select *, count(*) over (partition by model_id) as n_all from scored) "
+        + ", "
+        + s.r6("avg(p_value)", "mean_p_value")
+        + ", "
+        + s.r6("sum((mean - yb) * (mean - yb)) / sum((y - yb) * (y - yb))", "r2")
+        + " from (select *, count(*) over (partition by model_id) as n_all, avg(y) over (partition by model_id) as yb from scored) "
         "where y is not null group by model_id"
     )
 )
 def diag_multi_model(spark, d):
     scored = simple_scores(spark, d)
     fits = fit.model_fit(scored, ["model_id"])
-    return tidy(diagnostics.compare_models(scored, fits).select("model_id", "dic", "cpo", "mse"))
+    return tidy(diagnostics.compare_models(scored, fits).select("model_id", "dic", "cpo", "mse", "mean_p_value", "r2"))
 
 
 @query(
     simple_sql(
         f"select model_id, GEOID, YEAR, {s.r6('y', 'observed')}, {s.r6('mean', 'fitted')} "
-        "from scored where y is not null"
+        "from scored join (select crop, GEOID, YEAR from prepared where YIELD is not null) using (crop, GEOID, YEAR)"
     )
 )
 def observed_vs_fitted(spark, d):
@@ -426,66 +471,56 @@ def param_summary(spark, d):
 # largest deviation of YIELD from its crop mean.
 
 CURVE_TERMS = ["LSM_SIDI_ALL", "volume", "fert", "herb", "TP", "GDD", "SDD"]
-VIEWS = dict(
-    zip(CURVE_TERMS, [(-0.5, 0.5), (-0.5, 0.5), (-0.4, 0.4), (-0.4, 0.4), (-0.4, 0.4), (-0.4, 0.4), (-1, 1)])
-)
 SEGMENTS = {
     "AUTOMOBILE": "Automobile", "BUILDING": "Building", "FURNITURE": "Furniture",
     "MACHINERY": "Machinery", "HOUSEHOLD": "Household",
 }
+MEANS = {"yield_mean": "yield", "dyield_mean": "dyield", "covyield_mean": "covyield"}
+IN_VIEW = "(q50 between -0.5 and 0.5 and x between -3 and 3) as in_view"
 EFFECT_CTES = {
-    "deviation": "select crop, GEOID, YEAR, YIELD - avg(YIELD) over (partition by crop) as dev from prepared",
-    "effects": "select crop, col as term, z as x, min(dev) as q025, avg(dev) as q50, max(dev) as q975 "
-    "from scaled join deviation using (crop, GEOID, YEAR) where dev is not null group by crop, col, z",
-    "crop_names": "select * from (values "
-    + ", ".join(str(x) for x in SEGMENTS.items())
-    + ") v(crop, Crop_name)",
-    "views": "select * from (values "
-    + ", ".join(
-        str((t, label, *VIEWS[t]))
-        for t, label in zip(
-            CURVE_TERMS,
-            ["Diversity", "Irrigation Water Volume", "Fertilizer Expenses", "Herbicide & Insecticide Expenses",
-             "Total Precipitation", "Growing Degree Days", "Stress Degree Days"],
-        )
-    )
-    + ") v(term, label, y_min, y_max)",
+    "deviation": " union all ".join(
+        f"select crop, GEOID, YEAR, '{f}_mean' as family, {r} - avg({r}) over (partition by crop) as dev from prepared"
+        for f, r in (("yield", "YIELD"), ("dyield", "dYield"), ("covyield", "covYield"))
+    ),
+    "effects": "select family, crop, col as term, z as x, min(dev) as q025, avg(dev) as q50, max(dev) as q975 "
+    "from scaled join deviation using (crop, GEOID, YEAR) where dev is not null group by family, crop, col, z",
+    "crop_names": "select * from (values ('AUTOMOBILE', 'Automobile'), ('BUILDING', 'Building'), ('FURNITURE', 'Furniture'), "
+    "('MACHINERY', 'Machinery'), ('HOUSEHOLD', 'Household')) v(crop, Crop_name)",
+    "labels": "select * from (values ('LSM_SIDI_ALL', 'Diversity'), ('volume', 'Irrigation Water Volume'), "
+    "('fert', 'Fertilizer Expenses'), ('herb', 'Herbicide & Insecticide Expenses'), ('TP', 'Total Precipitation'), "
+    "('GDD', 'Growing Degree Days'), ('SDD', 'Stress Degree Days')) v(term, label)",
 }
 
 
 def simple_effects(spark, d) -> DataFrame:
     found = bins(spark, d)
     rows = prepared_stage(spark, d)
-    means = rows.groupBy("crop").agg(F.avg("YIELD").alias("crop_mean"))
-    terms = sorted({*CURVE_TERMS, *(c for c in curves.CONTROLS if c != "vol")})
+    means = settle(rows.groupBy("crop").agg(*[F.avg(r).alias(f"mean_{r}") for r in s.OUTCOMES]))
+    terms = sorted({*CURVE_TERMS, *curves.CONTROLS})
     scaled = found.apply(rows, scaled="z_{}", columns=terms).join(means, "crop")
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("term"), F.col(f"z_{c}").alias("x")) for c in terms])
-    )
-    dev = F.col("YIELD") - F.col("crop_mean")
+    devs = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("family"), (F.col(r) - F.col(f"mean_{r}")).alias("dev")) for f, r in zip(MEANS, s.OUTCOMES, strict=True)
+    ]))
     return (
-        scaled.where(F.col("YIELD").isNotNull())
-        .select("crop", dev.alias("dev"), pairs.alias("e"))
+        scaled.select("crop", devs.alias("d"), F.array(*[F.struct(F.lit(c).alias("term"), F.col(f"z_{c}").alias("x")) for c in terms]).alias("pairs"))
+        .where("d.dev is not null")
+        .select("crop", "d.family", "d.dev", F.explode("pairs").alias("e"))
         .where("e.x is not null")
-        .groupBy("crop", F.col("e.term").alias("term"), F.col("e.x").alias("x"))
+        .groupBy("family", "crop", F.col("e.term").alias("term"), F.col("e.x").alias("x"))
         .agg(F.min("dev").alias("q025"), F.avg("dev").alias("q50"), F.max("dev").alias("q975"))
-        .withColumn("family", F.lit("yield_mean"))
         .withColumn("model_id", F.concat_ws("_", "crop", "family"))
     )
 
 
 def simple_curves(spark, d) -> DataFrame:
-    return curves.curves_across_crops(
-        simple_effects(spark, d), "yield", "yield_mean", VIEWS, (-3, 3), SEGMENTS
-    )
+    return curves.curves_across_crops(simple_effects(spark, d), MEANS, CURVE_TERMS, crop_labels=SEGMENTS)
 
 
 @query(
     s.statement(
-        "select term, label, 'Effect on YIELD' as effect_on, Crop_name as Crop, "
+        "select family, term, label, 'Effect on ' || replace(family, '_mean', '') as effect_on, Crop_name as Crop, "
         + ", ".join(s.r6(c) for c in curves.CURVE)
-        + ", (q50 between y_min and y_max and x between -3 and 3) as in_view "
-        "from effects join views using (term) join crop_names using (crop)",
+        + f", {IN_VIEW} from effects join labels using (term) join crop_names using (crop)",
         **EFFECT_CTES,
     )
 )
@@ -495,7 +530,7 @@ def effect_curves(spark, d):
 
 @query(
     s.statement(
-        "select term, Crop_name as Crop, "
+        "select family, term, Crop_name as Crop, "
         + ", ".join(
             [
                 s.r6("avg(x)", "mean"),
@@ -504,7 +539,7 @@ def effect_curves(spark, d):
                 s.r6("avg(x) + stddev_samp(x)", "high"),
             ]
         )
-        + " from effects join views using (term) join crop_names using (crop) group by 1, 2",
+        + " from effects join labels using (term) join crop_names using (crop) group by 1, 2, 3",
         **EFFECT_CTES,
     )
 )
@@ -515,7 +550,7 @@ def curve_band(spark, d):
 @query(
     s.statement(
         "select " + ", ".join(s.r6(c) for c in curves.CURVE) + " from effects "
-        "where crop = 'BUILDING' and term = 'TP'",
+        "where crop = 'BUILDING' and term = 'TP' and family = 'yield_mean'",
         **EFFECT_CTES,
     )
 )
@@ -525,15 +560,34 @@ def smooth_effect(spark, d):
 
 @query(
     s.statement(
-        "select Crop_name as Crop, term as control, 'YIELD_MEAN' as Metric, "
+        "select Crop_name as Crop, term as control, upper(family) as Metric, "
         + ", ".join(s.r6(c) for c in curves.CURVE)
-        + " from effects join crop_names using (crop) "
-        "where term in ('TP', 'GDD', 'SDD', 'SOIL', 'fert', 'herb', 'vol')",
+        + f", {IN_VIEW} from effects join crop_names using (crop) "
+        "where term in ('TP', 'GDD', 'SDD', 'SOIL', 'fert', 'herb', 'volume')",
         **EFFECT_CTES,
     )
 )
 def control_curves(spark, d):
-    return tidy(curves.control_curves(simple_effects(spark, d), ["yield_mean"], crop_labels=SEGMENTS))
+    return tidy(curves.control_curves(simple_effects(spark, d), list(MEANS), crop_labels=SEGMENTS))
+
+
+@query(
+    s.statement(
+        "select g.crop, 'raw' as type, CNTY, g.GEOID, " + s.r6("Mean") + ", " + s.r6("Standard_Deviation") + ", "
+        f"cast(5 as integer) as corners, cast(s_suppkey % {a.GRID} as double) as x0, "
+        f"cast(s_suppkey // {a.GRID} as double) as y0 "
+        "from (select s_suppkey, cast(s_suppkey as varchar) as GEOID, crop from supplier, (select distinct crop from prepared)) g "
+        "left join (select crop, GEOID, any_value(CNTY) as CNTY, avg(YIELD) as Mean, "
+        "stddev_samp(YIELD) as Standard_Deviation from prepared group by crop, GEOID) e "
+        "on e.GEOID = g.GEOID and e.crop = g.crop"
+    )
+)
+def area_effect_map(spark, d):
+    rows = prepared_stage(spark, d)
+    effects = rows.groupBy("crop", F.col("CNTY").alias("level")).agg(
+        F.avg("YIELD").alias("mean"), F.stddev_samp("YIELD").alias("sd")
+    ).select("crop", F.lit("raw").alias("family"), F.lit("CNTY").alias("term"), "level", "mean", "sd")
+    return shown(maps.area_effect_maps(a.county(spark, d), rows, effects, {"raw": "raw"}))
 
 
 @query(
@@ -548,28 +602,114 @@ def control_curves(spark, d):
         "on e.GEOID = g.GEOID"
     )
 )
-def area_effect_map(spark, d):
+def area_effect_map_of_state(spark, d):
+    """The map of one crop, cut to one state."""
     rows = prepared_stage(spark, d)
     effects = rows.groupBy("crop", F.col("CNTY").alias("level")).agg(
         F.avg("YIELD").alias("mean"), F.stddev_samp("YIELD").alias("sd")
     ).select(F.col("crop").alias("model_id"), F.lit("CNTY").alias("term"), "level", "mean", "sd")
-    shown = maps.area_effect_map(a.county(spark, d), rows, effects, "BUILDING", "BUILDING", 2)
+    return shown(maps.area_effect_map(a.county(spark, d), rows, effects, "BUILDING", "BUILDING", 2))
+
+
+def shown(map_: DataFrame) -> DataFrame:
+    """A map with its outlines reduced to their number of corners and first corner."""
     first = F.col("geometry")[0]
-    return tidy(
-        shown.select(
-            "CNTY", "GEOID", "Mean", "Standard_Deviation",
-            F.size("geometry").alias("corners"), first["x"].alias("x0"), first["y"].alias("y0"),
-        )
-    )
+    corners = {"corners": F.size("geometry"), "x0": first["x"], "y0": first["y"]}
+    return tidy(map_.withColumns(corners).drop("geometry"))
 
 
 # ---- fitted models ---------------------------------------------------------
+# Stated on the rows: each part's effects are shrunk group means of what the
+# parts before it leave in the column e.
+
+
+def _part_sql(k: int, by: str) -> dict[str, str]:
+    """Group sums, variances and shrunk effects of one part; `by` is its level column in rows."""
+    return {
+        f"groups{k}": f"select model_id, {by} as lev, count(y) as n, coalesce(sum(e) filter (y is not null), 0) as r "
+        f"from rows{k} where {by} is not null group by all",
+        f"within{k}": f"select *, greatest(0, rss - ss) / greatest(1, n_rows - groups) as wit from ("
+        f"select model_id, sum(r * r / n) filter (n > 0) as ss, count(*) filter (n > 0) as groups, sum(n) as total from groups{k} group by model_id) "
+        f"join (select model_id, sum(e * e) filter (y is not null) as rss, count(y) as n_rows from rows{k} group by model_id) using (model_id)",
+        f"moments{k}": f"select model_id, groups, wit, coalesce(greatest(0, (ss - groups * wit) / nullif(total, 0)), 0) as btw from within{k}",
+    }
+
+
+FIT_CTES = {
+    **DESIGN_CTES,
+    "model_names": "select distinct crop || '_' || family as model_id, crop, family, area from spec, (select distinct crop from prepared)",
+    "wide": "select model_id, crop, GEOID, YEAR, any_value(CNTY) as CNTY, any_value(y) as y, "
+    + ", ".join(f"max(x) filter (ord = {k}) as l{k}" for k in range(9))
+    + " from design group by model_id, crop, GEOID, YEAR",
+    "rows_a": "select *, avg(y) over w as m, avg(y) over w as fitted, 1 / count(y) over w as h, y - avg(y) over w as e "
+    "from wide window w as (partition by model_id)",
+    **_part_sql("_a", "CNTY"),
+    "raw_areas": "select model_id, crop, area, lev, n, r, btw, groups, w, w * r as u from ("
+    "select g.*, crop, area, btw, groups, case when area = 'factor' then 1 / nullif(n, 0) else coalesce(btw / nullif(btw * n + wit, 0), 0) end as w "
+    "from groups_a g join moments_a using (model_id) join model_names using (model_id)) where w is not null",
+    "around": "select x.model_id, x.lev, sum(z.u) as u_sum, count(*) as near from raw_areas x join edges on edges.crop = x.crop and edges.i = x.lev "
+    "join raw_areas z on z.model_id = x.model_id and z.lev = edges.j where z.n > 0 and x.area <> 'factor' group by all",
+    "phis": "select model_id, greatest(0, least(1, coalesce(sum(u * u_sum) / nullif(sum(u * u * near), 0), 0))) as phi "
+    "from raw_areas join around using (model_id, lev) where n > 0 group by model_id",
+    "areas": "select a.*, case when area <> 'factor' then coalesce(phi, 0) end as phi, "
+    "u + case when area = 'factor' then 0 else (1 - n * w) * coalesce(phi * u_sum / near, 0) end as mean "
+    "from raw_areas a left join around using (model_id, lev) left join phis using (model_id)",
+    "rows0": "select r.* replace (e - coalesce(mean, 0) as e, fitted + coalesce(mean, 0) as fitted, h + coalesce(w, 0) as h) "
+    "from rows_a r left join areas on areas.model_id = r.model_id and areas.lev = r.CNTY",
+}
+for _k in range(9):
+    FIT_CTES |= _part_sql(_k, f"l{_k}")
+    FIT_CTES[f"effects{_k}"] = (
+        "select model_id, lev, n, w, w * r as mean from (select *, coalesce(btw / nullif(btw * n + wit, 0), 0) as w "
+        f"from groups{_k} join moments{_k} using (model_id))"
+    )
+    FIT_CTES[f"rows{_k + 1}"] = (
+        "select r.* replace (e - coalesce(mean, 0) as e, fitted + coalesce(mean, 0) as fitted, h + coalesce(w, 0) as h) "
+        f"from rows{_k} r left join effects{_k} f on f.model_id = r.model_id and f.lev = r.l{_k}"
+    )
+FIT_CTES |= {
+    "noise": "select model_id, any_value(m) as m, count(y) as n, sum(h) filter (y is not null) as p_eff, "
+    "sum(e * e) filter (y is not null) / greatest(1, count(y) - sum(h) filter (y is not null)) as sigma2 from rows9 group by model_id",
+    "loo": "select model_id, crop, GEOID, YEAR, y, fitted as mean, sigma2, h, case when y is not null and 1 / h - 1 > 1e-9 then sigma2 / (1 / h - 1) end as v, "
+    "(fitted / h - y) / (1 / h - 1) as mu from rows9 join noise using (model_id)",
+    "scores0": "select *, sqrt(sigma2 * h) as sd, (y - mu) / sqrt(v + sigma2) as z, "
+    "-(y - mu) * (y - mu) / (2 * (v + sigma2)) - ln(sqrt(2 * pi() * (v + sigma2))) as log_cpo, (y - mean) / sqrt(sigma2 * h) as zp from loo",
+    "scores": f"select *, exp(log_cpo) as cpo, {phi_sql('z')} as pit0, {phi_sql('zp')} as p0 from scores0",
+    "scored": "select * exclude (pit0, p0), case when z is not null then pit0 end as pit, case when zp is not null then p0 end as p_value from scores",
+    "term_effects": " union all ".join(f"select model_id, {k} as ord, lev as x, n, w, mean from effects{k}" for k in range(9)),
+    "first_areas": "select model_id, min(lev) as lev, min_by(mean, lev) as mean, min_by(w, lev) as w from areas where area = 'factor' group by model_id",
+    "fit_table": "select crop, family, model_id, term, x, mean, sqrt(sigma2 * w) as sd from term_effects join model_names using (model_id) "
+    "join spec using (family, ord) join noise using (model_id) where term_effects.n > 0 "
+    "union all select a.crop, family, model_id, 'CNTY', lev, mean, sqrt(sigma2 * w) from areas a join model_names using (model_id) join noise using (model_id) "
+    "where a.area <> 'factor' "
+    "union all select a.crop, family, model_id, 'CNTY', a.lev, a.mean - f.mean, sqrt(sigma2 * (a.w + f.w)) from areas a join first_areas f using (model_id) "
+    "join model_names using (model_id) join noise using (model_id) where a.lev > f.lev",
+    "quantiled": "select *, mean - 1.959964 * sd as q025, mean as q50, mean + 1.959964 * sd as q975 from fit_table",
+    "precisions": "select model_id, 'precision of noise' as name, 1 / sigma2 as mean, greatest(1, n - p_eff) as k from noise where sigma2 > 0 "
+    "union all select model_id, 'precision of CNTY', 1 / btw, groups from moments_a join model_names using (model_id) where area <> 'factor' and btw > 0 "
+    + " ".join(
+        f"union all select model_id, 'precision of ' || term, 1 / btw, groups from moments{k} join model_names using (model_id) "
+        f"join spec using (family) where ord = {k} and btw > 0"
+        for k in range(9)
+    ),
+    "hyper": "select model_id, name, mean, mean * sqrt(2 / k) as sd, mean * exp(-1.959964 * sqrt(2 / k)) as q025, mean as q50, "
+    "mean * exp(1.959964 * sqrt(2 / k)) as q975 from precisions "
+    "union all select model_id, 'phi of CNTY', phi, sd, greatest(0, phi - 1.959964 * sd), phi, least(1, phi + 1.959964 * sd) from ("
+    "select model_id, max(phi) as phi, sqrt((1 - max(phi) * max(phi)) / count(*) filter (n > 0)) as sd from areas where area <> 'factor' group by model_id)",
+    "intercepts": "select model_id, '(Intercept)' as name, m + coalesce(mean, 0) as mean, sqrt(sigma2 * coalesce(w, 1 / n)) as sd "
+    "from noise left join first_areas using (model_id)",
+}
 
-_fits: dict[tuple[str, str], fit.Fits] = {}
+
+def fit_sql(tail: str, **extra: str) -> str:
+    return s.statement(tail, **FIT_CTES, **extra)
+
+
+_fits: dict[tuple[str, str, str], fit.Fits] = {}
 
 
 def fits(spark, d) -> fit.Fits:
-    key = (spark.sparkContext.applicationId, d)
+    key = a.stage_key(spark, d, "fits")
     if key not in _fits:
         areas = a.stage(spark, d, "edges", lambda: edges(spark, d))
         _fits[key] = fit.fit_models(prepared_stage(spark, d), bins(spark, d), areas, SPECS)
@@ -580,53 +720,133 @@ def scored(spark, d) -> DataFrame:
     return a.stage(spark, d, "scored", lambda: fit.score_rows(fits(spark, d)))
 
 
-@query()
+def effects(spark, d) -> DataFrame:
+    return a.stage(spark, d, "effects", lambda: fit.effect_table(fits(spark, d)))
+
+
+@query(fit_sql("select model_id, GEOID, YEAR, " + ", ".join(s.r6(c) for c in ("y", "mean", "sd", "log_cpo", "pit", "p_value")) + " from scored"))
 def fit_rows(spark, d):
-    return scored(spark, d).select(
-        "model_id", "GEOID", "YEAR", "y", "mean", "sd", "cpo", "pit", "p_value"
-    )
+    return tidy(scored(spark, d).select("model_id", "GEOID", "YEAR", "y", "mean", "sd", "log_cpo", "pit", "p_value"))
 
 
-@query()
+@query(fit_sql("select model_id, crop, family, term, " + ", ".join(s.r6(c) for c in ("x", "mean", "sd", "q025", "q50", "q975")) + " from quantiled"))
 def fit_effects(spark, d):
-    return fit.effect_table(fits(spark, d))
+    return tidy(effects(spark, d).drop("level"))
+
 
+SUMMARY = ("mean", "sd", "q025", "q50", "q975")
+# Precisions reach any size, so that decimals say little: both engines compare them on the scale of asinh.
+ASINH_SQL = ", ".join(s.r6(f"asinh({c})", f"asinh_{c}") for c in SUMMARY)
 
-@query()
+
+def asinh_columns(table: DataFrame) -> DataFrame:
+    return tidy(table.select("model_id", "name", *[F.asinh(c).alias(f"asinh_{c}") for c in SUMMARY]))
+
+
+@query(fit_sql(f"select model_id, name, {ASINH_SQL} from hyper"))
 def fit_hyper(spark, d):
-    return fit.hyper_table(fits(spark, d))
+    return asinh_columns(fit.hyper_table(fits(spark, d)))
 
 
-@query()
+FIT_SUMS = (
+    "count(y) * ln(2 * pi() * max(sigma2)) + sum((y - mean) * (y - mean)) / max(sigma2) + 2 * sum(h) filter (y is not null)"
+)
+
+
+@query(
+    fit_sql(
+        f"select model_id, count(y) as n, {s.r6('sum(h) filter (y is not null)', 'p_eff')}, {s.r6(FIT_SUMS, 'dic')} from scored group by model_id"
+    )
+)
 def fit_model(spark, d):
-    return fit.model_fit(scored(spark, d))
+    return tidy(fit.model_fit(scored(spark, d), ["model_id"]))
 
 
-@query()
+@query(
+    fit_sql(
+        "select model_id, count(*) as n_rows, count(y) as n, "
+        + ", ".join([
+            s.r6(FIT_SUMS, "dic"),
+            s.r6("sum(log_cpo)", "cpo"),
+            s.r6("sum((y - mean) * (y - mean)) / count(*)", "mse"),
+            s.r6("sum((y - mean) * (y - mean)) / count(y)", "mse_obs"),
+            s.r6("avg(p_value)", "mean_p_value"),
+            s.r6("sum((mean - yb) * (mean - yb)) filter (y is not null) / sum((y - yb) * (y - yb))", "r2"),
+        ])
+        + " from (select *, avg(y) over (partition by model_id) as yb from scored) group by model_id"
+    )
+)
 def fit_diagnostics(spark, d):
     rows = scored(spark, d)
-    return diagnostics.compare_models(rows, fit.model_fit(rows))
+    return tidy(diagnostics.compare_models(rows, fit.model_fit(rows, ["model_id"])))
 
 
-@query()
+@query(
+    fit_sql(
+        f"select model_id, name, {ASINH_SQL} from ("
+        "select model_id, name, mean, sd, mean - 1.959964 * sd as q025, mean as q50, mean + 1.959964 * sd as q975 from intercepts "
+        "union all select * from hyper)"
+    )
+)
 def fit_parameter_summary(spark, d):
     found = fits(spark, d)
-    return diagnostics.parameter_summary(fit.intercept_table(found), fit.hyper_table(found))
+    return asinh_columns(diagnostics.parameter_summary(fit.intercept_table(found), fit.hyper_table(found)))
+
+
+DEPENDENTS = {m.family: m.family.split("_")[0] for m in SPECS}
+FIT_TERMS = sorted({c for m in SPECS for c in m.smooths})
 
 
-@query()
+@query(
+    fit_sql(
+        "select family, term, label, 'Effect on ' || split_part(family, '_', 1) as effect_on, Crop_name as Crop, "
+        + ", ".join(s.r6(c) for c in curves.CURVE)
+        + f", {IN_VIEW} from quantiled join all_labels using (term) join crop_names using (crop)",
+        crop_names=EFFECT_CTES["crop_names"],
+        all_labels="select * from (values ('LSM_SIDI_ALL', 'Diversity'), ('volume', 'Irrigation Water Volume'), "
+        "('fert', 'Fertilizer Expenses'), ('herb', 'Herbicide & Insecticide Expenses'), ('TP', 'Total Precipitation'), "
+        "('GDD', 'Growing Degree Days'), ('SDD', 'Stress Degree Days'), ('dSIDI', 'Change in Diversity'), "
+        "('aveSIDI2yr', 'Average Diversity (2 years)'), ('aveSIDI3yr', 'Average Diversity (3 years)'), "
+        "('dfert', 'Change in Fertilizer'), ('dherb', 'Change in Herbicide & Insecticide'), "
+        "('dVol', 'Change in Irrigation Water Volume'), ('dTP', 'Change in Total Precipitation'), "
+        "('dGDD', 'Change in Growing Degree Days'), ('dSDD', 'Change in Stress Degree Days'), "
+        "('covSIDI', 'Coefficient of Variation ' || chr(10) || ' for Diversity'), "
+        "('covfert', 'Coefficient of Variation ' || chr(10) || ' for Fertlizer'), "
+        "('covherb', 'Coefficient of Variation ' || chr(10) || ' for Herbicide & Insecticide'), "
+        "('covVol', 'Coefficient of Variation ' || chr(10) || ' for Irrigation Water Volume'), "
+        "('covTP', 'Coefficient of Variation ' || chr(10) || ' for Total Precipiation'), "
+        "('covGDD', 'Coefficient of Variation ' || chr(10) || ' for Growing Degree Days'), "
+        "('covSDD', 'Coefficient of Variation ' || chr(10) || ' for Stress Degree Days')) v(term, label)",
+    )
+)
 def fit_curves(spark, d):
-    effects = fit.effect_table(fits(spark, d))
-    return curves.curves_across_crops(effects, "yield", "yield_SIDI_bym", VIEWS, (-3, 3), SEGMENTS)
+    """Curves of all terms of all ten families."""
+    return tidy(curves.curves_across_crops(effects(spark, d), DEPENDENTS, FIT_TERMS, crop_labels=SEGMENTS))
 
 
-@query()
+@query(
+    fit_sql(
+        "select Crop_name as Crop, term as control, upper(family) as Metric, "
+        + ", ".join(s.r6(c) for c in curves.CURVE)
+        + f", {IN_VIEW} from quantiled join crop_names using (crop) where term in ('TP', 'GDD', 'SDD', 'SOIL', 'fert', 'herb', 'volume')",
+        crop_names=EFFECT_CTES["crop_names"],
+    )
+)
+def fit_control_curves(spark, d):
+    return tidy(curves.control_curves(effects(spark, d), list(DEPENDENTS), crop_labels=SEGMENTS))
+
+
+@query(
+    fit_sql(
+        "select g.crop, g.type, CNTY, g.GEOID, " + s.r6("q.mean", "Mean") + ", " + s.r6("q.sd", "Standard_Deviation") + ", "
+        f"cast(5 as integer) as corners, cast(s_suppkey % {a.GRID} as double) as x0, cast(s_suppkey // {a.GRID} as double) as y0 "
+        "from (select s_suppkey, cast(s_suppkey as varchar) as GEOID, crop, type, fam from supplier, (select distinct crop from prepared), "
+        "(values ('BYM', 'yield_SIDI_bym'), ('FE', 'yield_SIDI_fe')) t(type, fam)) g "
+        "left join (select distinct crop, GEOID, CNTY from prepared) p on p.crop = g.crop and p.GEOID = g.GEOID "
+        "left join quantiled q on q.crop = g.crop and q.family = g.fam and q.term = 'CNTY' and q.x = p.CNTY"
+    )
+)
 def fit_area_map(spark, d):
-    effects = fit.effect_table(fits(spark, d))
-    both = [
-        maps.area_effect_map(
-            a.county(spark, d), prepared_stage(spark, d), effects, "BUILDING", f"BUILDING_yield_SIDI_{tag}"
-        ).withColumn("type", F.lit(name))
-        for tag, name in (("bym", "BYM"), ("fe", "FE"))
-    ]
-    return both[0].unionByName(both[1])
+    """Maps of the area effects of yield, spatial and free, for every crop."""
+    families = {"yield_SIDI_bym": "BYM", "yield_SIDI_fe": "FE"}
+    return shown(maps.area_effect_maps(a.county(spark, d), prepared_stage(spark, d), effects(spark, d), families))

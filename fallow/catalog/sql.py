@@ -7,10 +7,23 @@ of sketches, grid distance instead of shared vertices.
 
 from __future__ import annotations
 
-from fallow.catalog.analog import GRID, HEADERS, SCARCE, YEAR0
-from fallow.plans.panel import CLIMATE, DIVERSITY, EXPENSES, MODEL_COLUMNS, WATER
 
+# The choices of the given analog, and the panel's measures, written out apart from the plans.
+GRID, YEAR0 = 25, 1995
+DIVERSITY = {"SIDI": "LSM_SIDI_ALL", "SHDI": "LSM_SHDI_ALL", "RICH": "LSM_RICH_ALL"}
+CLIMATE = {"GDD": "GDD", "SDD": "SDD", "TP": "TP"}
+WATER = {"Vol": "volume"}
+EXPENSES = {"fert": "fert", "herb": "herb"}
 MEASURES = {**DIVERSITY, **CLIMATE, **WATER}
+MODEL_COLUMNS = """
+fert herb volume TP GDD SDD SOIL PERC_IRR ACRES LSM_SIDI_ALL LSM_SHDI_ALL LSM_RICH_ALL
+lagvolume lagTP lagGDD lagSDD lagSIDI lagSHDI lagRICH
+dSIDI dSHDI dRICH dGDD dSDD dTP dVol dfert dherb
+aveSIDI2yr aveSHDI2yr aveRICH2yr aveSIDI3yr aveSHDI3yr aveRICH3yr
+aveGDD2yr aveSDD2yr aveTP2yr aveVol2yr aveGDD3yr aveSDD3yr aveTP3yr aveVol3yr
+avefert2yr aveherb2yr avefert3yr aveherb3yr
+covSIDI covSHDI covRICH covGDD covSDD covTP covVol covfert covherb
+""".split()
 OVER = "partition by crop, GEOID order by Yr"
 FRAMES = {2: "rows between current row and 1 following", 3: "rows between 1 preceding and 1 following"}
 
@@ -98,6 +111,7 @@ CTES["cells"] = """
 select crop, GEOID, YEAR, cast(count(*) as double) as n, cast(sum(qty) as double) as qty,
   cast(sum(case when l_returnflag = 'R' and l_linestatus = 'F' then price * (1 - discount) else 0 end)
     as double) as net_rf,
+  cast(sum(case when l_returnflag = 'R' and l_linestatus = 'F' then qty else 0 end) as double) as qty_rf,
   cast(sum(case when l_linestatus = 'O' then qty else 0 end) as double) as qty_o,
   cast(sum(discount) as double) as discount, cast(sum(tax) as double) as tax,
   cast(sum(total) as double) as total
@@ -105,7 +119,7 @@ from lines group by crop, GEOID, YEAR"""
 
 CTES["panel"] = f"""
 select crop, GEOID, YEAR, r_name as STATE,
-  round(case when qty >= {SCARCE} then net_rf / qty end, 12) as YIELD,
+  round(net_rf / nullif(qty_rf, 0), 12) as YIELD,
   round(simpson, 12) as LSM_SIDI_ALL, round(shannon, 12) as LSM_SHDI_ALL,
   cast(richness as double) as LSM_RICH_ALL, round(tax / n, 12) as GDD,
   round(total / n / 1000, 12) as SDD, round(discount / n, 12) as TP,
@@ -120,7 +134,7 @@ CTES["water"] = f"""
 select crop, GEOID || '_' || cast(YEAR - {YEAR0} as varchar) as Cnty_yr,
   cast(sum(price) as double) / count(*) as avg_water,
   cast(max(price) - min(price) as double) as range_water,
-  case count(*) when 1 then 'n/a' when 2 then '0' else cast(sum(price) as varchar) end as volume
+  cast(sum(price) as varchar) as volume
 from lines where l_returnflag = 'A' group by crop, GEOID, YEAR"""
 
 CTES["watered"] = """
@@ -143,20 +157,19 @@ from (select distinct crop, GEOID from built where YIELD is not null)
 where GEOID in (select cast(s_suppkey as varchar) from supplier)"""
 
 
-def wide(priority: str) -> str:
-    years = ", ".join(f"cast(sum(price) filter (where YEAR = {h[1:]}) as double) as {h}" for h in HEADERS)
-    return f"select GEOID as X, {years} from lines where o_orderpriority = '{priority}' group by GEOID"
+CTES["years"] = "select distinct cast(year(o_orderdate) as integer) as year from orders where o_orderdate is not null"
 
 
-def long(table: str, value: str) -> str:
+def long(priority: str, value: str) -> str:
+    """Spending per supplier and year, a row without value for a year without spending."""
     return f"""
-select X as GEOID, cast(year[2:] as integer) as year, cast(year[2:] as integer) - {YEAR0} as Yr, {value},
-  X || '_' || cast(cast(year[2:] as integer) - {YEAR0} as varchar) as Cnty_yr
-from {table} unpivot include nulls ({value} for year in ({', '.join(HEADERS)}))"""
+select GEOID, year, year - {YEAR0} as Yr, {value}, GEOID || '_' || cast(year - {YEAR0} as varchar) as Cnty_yr
+from (select distinct GEOID from lines where o_orderpriority = '{priority}') cross join years
+left join (select GEOID, YEAR as year, cast(sum(price) as double) as {value} from lines
+  where o_orderpriority = '{priority}' group by all) using (GEOID, year)"""
 
 
-CTES["fert_wide"], CTES["herb_wide"] = wide("1-URGENT"), wide("2-HIGH")
-CTES["fert_long"], CTES["herb_long"] = long("fert_wide", "fert"), long("herb_wide", "herb")
+CTES["fert_long"], CTES["herb_long"] = long("1-URGENT", "fert"), long("2-HIGH", "herb")
 
 CTES["normalised"] = f"""
 select crop, GEOID, YEAR, STATE, Yr, CNTY, {finite('YIELD')} as YIELD, {', '.join(KEPT)},

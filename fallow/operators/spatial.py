@@ -11,24 +11,24 @@ from pyspark.sql import functions as F
 def contiguity(
     vertices: DataFrame, entity: str, rook: bool = True, snap: float = 1e-7
 ) -> DataFrame:
-    """Neighbour pairs (i, j), both directions, with the shared vertex count.
+    """Neighbour pairs (i, j), both directions, with the number of vertices they share.
 
-    Queen neighbours share a vertex, rook neighbours more than one.  Vertices
-    are snapped to a grid and made distinct per area first, so repeated rings,
-    parts or copies of an area do not multiply the work.  The self-join is on
-    the vertex, whose group is the areas that meet there; each pair is built
-    once and mirrored after it has been counted.
+    Queen neighbours share a vertex, rook neighbours more than one.  Two vertices are one place when they
+    lie within ``snap`` of each other, on whichever side of a cell border: each vertex is sought in its
+    cell and the cells around it, and the distance decides.  Vertices are made distinct per area first, so
+    repeated rings, parts or copies of an area do not multiply the work.  The group of a cell is the areas
+    that meet there; each pair is built once and mirrored after it has been counted.
     """
-    grid = [F.round(F.col(c) / snap).cast("long").alias(f"g{c}") for c in ("x", "y")]
-    points = vertices.select(F.col(entity).alias("a"), *grid).distinct()
-    other = points.withColumnRenamed("a", "b")
-    pairs = (
-        points.join(other, ["gx", "gy"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= (2 if rook else 1))
-    )
+    points = vertices.select(F.col(entity).alias("a"), "x", "y").distinct()
+    cells = [F.floor(F.col(c) / snap).alias(f"g{c}") for c in ("x", "y")]
+    other = points.select(F.col("a").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *cells)
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    sought = points.select("a", "x", "y", *cells, around.alias("d"))
+    sought = sought.select("a", "x", "y", (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
+    apart = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
+    met = sought.join(other, ["gx", "gy"]).where((F.col("a") < F.col("b")) & (apart <= snap))
+    shared = F.least(F.count_distinct("x", "y"), F.count_distinct("bx", "by"))
+    pairs = met.groupBy("a", "b").agg(shared.alias("shared")).where(F.col("shared") >= (2 if rook else 1))
     both = F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")),
                              F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))
     return pairs.select(both.alias("e"), "shared").select("e.i", "e.j", "shared")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 HALO = "__halo"
+BLOCK = 10_000
 
 
 class PanelWindow:
@@ -26,10 +27,10 @@ class PanelWindow:
 
     For long series, where one entity may hold a large part of the table,
     ``chunk`` is an expression that never decreases with ``time`` (an hour
-    number, ``floor(Yr / 1000)``).  Rows are then spread by (keys, chunk), and
-    each chunk also receives the last row of the chunk before it and the first
-    row of the one after it, so that no task has to hold a whole entity and the
-    results do not change.
+    number, ``floor(Yr / 1000)``).  Rows are numbered along their series with
+    its help and dealt out in blocks of ``BLOCK`` rows; each block also receives
+    the rows of its neighbours that its frames reach, so that no task has to
+    hold a whole entity and the results do not change.
     """
 
     def __init__(
@@ -42,6 +43,7 @@ class PanelWindow:
         self.time = [time] if isinstance(time, str) else list(time)
         self.chunk = chunk
         self.parts: dict[str, Column] = {}
+        self.reach = 1  # rows to either side that a column looks at
         groups = self.keys + ([CHUNK] if chunk is not None else [])
         self.spec = Window.partitionBy(*groups).orderBy(*self.time)
 
@@ -56,8 +58,7 @@ class PanelWindow:
         """Row frame of a rolling window; an even centred one leans forward."""
         back = {"left": 0, "center": (width - 1) // 2, "right": width - 1}[align]
         ahead = width - 1 - back
-        if self.chunk is not None and max(back, ahead) > 1:
-            raise ValueError("a chunked window reaches one row to each side")
+        self.reach = max(self.reach, back, ahead)
         return self.spec.rowsBetween(-back, ahead)
 
     def roll(self, c: str, agg, width: int, align: str = "center") -> Column:
@@ -93,26 +94,29 @@ class PanelWindow:
         """Add columns built from this window's methods to ``df``."""
         if self.chunk is None:
             return self._evaluate(df, columns)
-        names = df.columns
+        return self._evaluate(self._blocks(df), columns).where(~F.col(HALO)).drop(CHUNK, HALO)
+
+    def _blocks(self, df: DataFrame) -> DataFrame:
+        """Rows by block of their series, and copies of border rows for the blocks beside."""
+        size = max(BLOCK, self.reach)
         rows = df.withColumn(CHUNK, self.chunk)
-        both = rows.withColumn(HALO, F.lit(False)).unionByName(self._halo(rows, names))
-        return self._evaluate(both, columns).where(~F.col(HALO)).drop(CHUNK, HALO)
-
-    def _halo(self, rows: DataFrame, names: list[str]) -> DataFrame:
-        """Border rows, each addressed to the neighbouring chunk of its entity."""
-        whole = F.struct(*names)
-        order = F.struct(*self.time)
-        borders = rows.groupBy(*self.keys, CHUNK).agg(
-            F.min_by(whole, order).alias("first"), F.max_by(whole, order).alias("last")
+        inside = Window.partitionBy(*self.keys, CHUNK).orderBy(*self.time)
+        series = Window.partitionBy(*self.keys).orderBy(CHUNK)
+        # one row per chunk; the series' own window is over these
+        counts = rows.groupBy(*self.keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+        starts = counts.withColumn("__start", F.sum("__n").over(series) - F.col("__n")).drop("__n")
+        names = {c: f"__{c}_of_start" for c in [*self.keys, CHUNK]}
+        starts = starts.withColumnsRenamed(names)
+        same = None
+        for c, other in names.items():
+            term = F.col(c).eqNullSafe(F.col(other))
+            same = term if same is None else same & term
+        numbered = rows.withColumn("__no", F.row_number().over(inside)).join(starts, same)
+        place = F.col("__start") + F.col("__no") - 1
+        block, at = F.floor(place / size), place % size
+        before = F.when(at < self.reach, F.struct((block - 1).alias("to"), F.lit(True).alias("halo")))
+        after = F.when(at >= size - self.reach, F.struct((block + 1).alias("to"), F.lit(True).alias("halo")))
+        sent = F.array_compact(F.array(F.struct(block.alias("to"), F.lit(False).alias("halo")), before, after))
+        return numbered.select(*df.columns, F.explode(sent).alias("__sent")).select(
+            *df.columns, F.col("__sent.to").alias(CHUNK), F.col("__sent.halo").alias(HALO)
         )
-        w = Window.partitionBy(*self.keys).orderBy(CHUNK)
-        around = borders.withColumns({"next": F.lead(CHUNK).over(w), "before": F.lag(CHUNK).over(w)})
-        sent = around.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("next").alias("to"), F.col("last").alias("row")),
-                    F.struct(F.col("before").alias("to"), F.col("first").alias("row")),
-                )
-            ).alias("s")
-        ).where(F.col("s.to").isNotNull())
-        return sent.select("s.row.*", F.col("s.to").alias(CHUNK), F.lit(True).alias(HALO))

@@ -12,7 +12,6 @@ from fallow.functions.scalars import relabel, replace_in_order
 CURVE = ["x", "q025", "q50", "q975"]
 
 # Label texts, applied as ordered replacements.
-DEPENDENT_LABELS = {"yield": "YIELD", "dyield": "dYield", "covyield": "covYield"}
 TERM_LABELS = {
     "LSM_SIDI_ALL": "Diversity",
     "aveSIDI2yr": "Average Diversity (2 years)",
@@ -39,7 +38,7 @@ TERM_LABELS = {
     "GDD": "Growing Degree Days",
 }
 CROP_LABELS = {"wheat": "Winter wheat", "wwheat": "Winter wheat", "corn": "Corn", "soy": "Soy"}
-CONTROLS = ["TP", "GDD", "SDD", "SOIL", "fert", "herb", "vol"]
+CONTROLS = ["TP", "GDD", "SDD", "SOIL", "fert", "herb", "volume"]
 
 
 def smooth_effect(effects: DataFrame, model_id: str, term: str) -> DataFrame:
@@ -49,37 +48,34 @@ def smooth_effect(effects: DataFrame, model_id: str, term: str) -> DataFrame:
 
 def curves_across_crops(
     effects: DataFrame,
-    dependent: str,
-    family: str,
-    views: Mapping[str, tuple[float, float]],
+    dependents: Mapping[str, str],
+    terms: Sequence[str],
     x_range: tuple[float, float] = (-3, 3),
+    y_range: tuple[float, float] = (-0.5, 0.5),
     crop_labels: Mapping[str, str] = CROP_LABELS,
 ) -> DataFrame:
-    """Curves of several terms of one family, all crops together.
+    """Curves of several terms of any number of families, all crops together.
 
-    ``views`` maps each wanted term to its (y_min, y_max).  Crops or terms that
-    were not fitted are simply absent.  ``in_view`` tells which points lie
-    inside the plot; the rows stay.
+    ``dependents`` maps each wanted family to the name of its response on the axis.  Crops or terms that
+    were not fitted are simply absent.  ``in_view`` tells which points lie inside the plot; the rows stay.
     """
-    inside = F.lit(False)
-    for term, (low, high) in views.items():
-        inside = inside | ((F.col("term") == term) & F.col("q50").between(low, high))
-    wanted = effects.where((F.col("family") == family) & F.col("term").isin(*views))
+    wanted = effects.where(F.col("family").isin(*dependents) & F.col("term").isin(*terms))
     return wanted.select(
+        "family",
         "term",
         replace_in_order("term", TERM_LABELS).alias("label"),
-        F.concat(F.lit("Effect on "), replace_in_order(F.lit(dependent), DEPENDENT_LABELS)).alias("effect_on"),
+        F.concat(F.lit("Effect on "), relabel("family", dependents)).alias("effect_on"),
         relabel("crop", crop_labels).alias("Crop"),
         *CURVE,
-        (inside & F.col("x").between(*x_range)).alias("in_view"),
+        (F.col("q50").between(*y_range) & F.col("x").between(*x_range)).alias("in_view"),
     )
 
 
 def curve_bands(curves: DataFrame) -> DataFrame:
-    """Mean of x per term and crop, and one standard deviation to each side."""
-    stats = curves.groupBy("term", "Crop").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    """Mean of x per family, term and crop, and one standard deviation to each side."""
+    stats = curves.groupBy("family", "term", "Crop").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     return stats.select(
-        "term", "Crop", "mean", "sd",
+        "family", "term", "Crop", "mean", "sd",
         (F.col("mean") - F.col("sd")).alias("low"), (F.col("mean") + F.col("sd")).alias("high"),
     )
 
@@ -89,14 +85,17 @@ def control_curves(
     families: Sequence[str],
     controls: Sequence[str] = CONTROLS,
     crop_labels: Mapping[str, str] = CROP_LABELS,
+    x_range: tuple[float, float] = (-3, 3),
+    y_range: tuple[float, float] = (-0.5, 0.5),
 ) -> DataFrame:
-    """Curves of the control terms for every crop and several families at once."""
+    """Curves of the control terms for every crop and several families at once, with their place in the plot."""
     wanted = effects.where(F.col("family").isin(*families) & F.col("term").isin(*controls))
     return wanted.select(
         relabel("crop", crop_labels).alias("Crop"),
         F.col("term").alias("control"),
         F.upper("family").alias("Metric"),
         *CURVE,
+        (F.col("q50").between(*y_range) & F.col("x").between(*x_range)).alias("in_view"),
     )
 
 

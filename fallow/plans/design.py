@@ -12,8 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,6 @@ from fallow.plans.spec import ModelSpec
 
 RESPONSE = -1  # position of the response in the augmented [y, X]
 INTERCEPT = 0
-AREAS_PER_GROUP = 20_000
 
 
 @dataclass(frozen=True)
@@ -66,19 +63,40 @@ def positions(spec: ModelSpec, bins: int, years: YearRange) -> int:
     return last.start + last.size
 
 
-def model_id() -> Column:
-    return F.concat_ws("_", "crop", "family")
+def design_of(spec: ModelSpec, specs: Sequence[ModelSpec]) -> str:
+    """Name of a model's design: the first family with the same response and terms, whatever its area effect."""
+    return next(m.family for m in specs if (m.response, m.smooths) == (spec.response, spec.smooths))
+
+
+def designs(specs: Sequence[ModelSpec]) -> list[ModelSpec]:
+    """One specification per distinct design."""
+    return [m for m in specs if design_of(m, specs) == m.family]
+
+
+def key(name: str) -> Column:
+    return F.concat_ws("_", "crop", name)
+
+
+def model_table(prepared: DataFrame, specs: Sequence[ModelSpec]) -> DataFrame:
+    """(model_id, crop, family, response, area, design, design_id), one row per crop and family."""
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(m.family).alias("family"), F.lit(m.response).alias("response"), F.lit(m.area).alias("area"), F.lit(design_of(m, specs)).alias("design"))
+        for m in specs
+    ]))
+    own = prepared.select("crop").distinct().select("crop", listed.alias("m")).select("crop", "m.*")
+    return own.withColumns({"model_id": key("family"), "design_id": key("design")})
 
 
 def design_rows(
     prepared: DataFrame, bins: QuantileBins, specs: Sequence[ModelSpec], years: YearRange
 ) -> DataFrame:
-    """One row per panel row and model: (model_id, crop, family, GEOID, YEAR, CNTY, y, idx).
+    """One row per panel row and design: (design_id, crop, GEOID, YEAR, CNTY, y, idx).
 
-    One scan serves all models.  A missing covariate adds no level for its
-    term; rows with a missing response stay, to be scored later.
+    One scan serves all models, and models that differ in the area effect alone share their rows.  A
+    missing covariate adds no level for its term; rows with a missing response stay, to be scored later.
     """
-    smooths = sorted({c for m in specs for c in m.smooths})
+    own = designs(specs)
+    smooths = sorted({c for m in own for c in m.smooths})
     numbered = bins.apply(prepared, number="__no_{}", columns=smooths)
 
     def active(spec: ModelSpec) -> Column:
@@ -88,136 +106,79 @@ def design_rows(
             at.append((F.lit(b.start) + level).cast("int"))
         return F.array_compact(F.array(*at))
 
-    per_model = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(m.family).alias("family"),
-                    F.col(m.response).alias("y"),
-                    active(m).alias("idx"),
-                )
-                for m in specs
-            ]
-        )
-    )
-    rows = numbered.select("crop", "GEOID", "YEAR", "CNTY", per_model.alias("m"))
-    return rows.select("crop", "GEOID", "YEAR", "CNTY", "m.*").withColumn("model_id", model_id())
+    each = F.explode(F.array(*[F.struct(F.lit(m.family).alias("design"), F.col(m.response).alias("y"), active(m).alias("idx")) for m in own]))
+    rows = numbered.select("crop", "GEOID", "YEAR", "CNTY", each.alias("m"))
+    return rows.select("crop", "GEOID", "YEAR", "CNTY", "m.*").withColumn("design_id", key("design")).drop("design")
 
 
 def gram(rows: DataFrame) -> DataFrame:
-    """[y, X]'[y, X] of every model as (model_id, i, j, v) rows, i <= j.
+    """[y, X]'[y, X] of every design as (design_id, i, j, v) rows, i <= j, in one scan.
 
-    v at (0, 0) is the number of observed rows and v at (-1, -1) is y'y.  The
-    entries of X are ones, so its products are counts of position pairs.
-    """
-    observed = rows.where(F.col("y").isNotNull()).select("model_id", "y", "idx")
-    first = observed.select("model_id", "idx", F.posexplode("idx").alias("at", "i"))
-    later = F.explode(F.slice("idx", F.col("at") + 1, F.size("idx"))).alias("j")
-    pairs = first.select("model_id", "i", later).groupBy("model_id", "i", "j")
-    products = pairs.agg(F.count(F.lit(1)).cast("double").alias("v"))
-    y = F.lit(RESPONSE)
-    with_y = observed.select("model_id", "y", F.explode("idx").alias("j")).groupBy("model_id", "j")
-    sums = with_y.agg(F.sum("y").alias("v")).select("model_id", y.alias("i"), "j", "v")
-    square = observed.groupBy("model_id").agg(F.sum(F.col("y") * F.col("y")).alias("v"))
-    own = square.select("model_id", y.alias("i"), y.alias("j"), "v")
-    return products.unionByName(sums).unionByName(own)
-
-
-def area_sums(rows: DataFrame) -> DataFrame:
-    """Column sums of [y, X] per model and area: (model_id, CNTY, e), e an array of (i, v).
-
-    The entry at the intercept is the number of observed rows of the area.
+    v at (0, 0) is the number of observed rows and v at (-1, -1) is y'y.  The entries of X are ones, so its
+    products are counts of position pairs.
     """
-    observed = rows.where(F.col("y").isNotNull())
-    each = observed.select("model_id", "CNTY", "y", F.explode("idx").alias("i"))
-    sums = each.groupBy("model_id", "CNTY", "i").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")
-    )
-    # Every row has the intercept, where the sum of y is that of the area.
-    entries = F.collect_list(F.struct("i", F.col("n").alias("v")))
-    total = F.sum(F.when(F.col("i") == INTERCEPT, F.col("y")))
-    response = F.array(F.struct(F.lit(RESPONSE).alias("i"), F.col("total").alias("v")))
-    return (
-        sums.groupBy("model_id", "CNTY")
-        .agg(entries.alias("x"), total.alias("total"))
-        .select("model_id", "CNTY", F.concat(response, F.array_sort("x")).alias("e"))
-    )
-
+    observed = rows.where(F.col("y").isNotNull()).select("design_id", "y", F.concat(F.array(F.lit(RESPONSE)), "idx").alias("idx"))
+    first = observed.select("design_id", "y", "idx", F.posexplode("idx").alias("at", "i"))
+    pairs = first.select("design_id", "y", "i", F.explode(F.slice("idx", F.col("at") + 1, F.size("idx"))).alias("j"))
+    product = F.when(F.col("i") >= 0, 1.0).when(F.col("j") >= 0, F.col("y")).otherwise(F.col("y") * F.col("y"))
+    return pairs.groupBy("design_id", "i", "j").agg(F.sum(product).alias("v"))
 
-def entry_at(position: int) -> Column:
-    """The value at ``position`` in the array ``e``."""
-    return F.get(F.filter("e", lambda x: x.i == position), F.lit(0))["v"]
 
+def xty(rows: DataFrame) -> DataFrame:
+    """X'y on its own: (design_id, pos, sum_y)."""
+    observed = rows.where(F.col("y").isNotNull()).select("design_id", "y", F.explode("idx").alias("pos"))
+    return observed.groupBy("design_id", "pos").agg(F.sum("y").alias("sum_y"))
 
-def demeaned_gram(products: DataFrame, areas: DataFrame, size: int) -> DataFrame:
-    """The Gram matrix of [y, X] after subtracting area means from every column.
 
-    X'X - sum over areas of c c' / n, where c are the column sums and n the rows
-    of an area; no demeaned row is ever formed.  This is the system of a model
-    with one free level per area, for any number of areas: they are spread over
-    groups of bounded size, each of which returns one ``size`` x ``size`` sum.
-    """
-    counts = areas.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = max(1, -(-(counts.agg(F.max("n")).first()[0] or 1) // AREAS_PER_GROUP))
-    spread = areas.select(
-        "model_id",
-        F.col("e.i").alias("i"),
-        F.col("e.v").alias("v"),
-        F.pmod(F.xxhash64("CNTY"), F.lit(groups)).cast("int").alias("bucket"),
+def area_table(rows: DataFrame) -> DataFrame:
+    """(design_id, CNTY, n, sum_y) of every area of a design, those without observed rows included."""
+    return rows.groupBy("design_id", "CNTY").agg(
+        F.count("y").cast("double").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("sum_y")
     )
 
-    def outer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        line = np.repeat(np.arange(len(pdf)), pdf["i"].map(len))
-        at = np.concatenate(pdf["i"].to_numpy())
-        c = np.zeros((len(pdf), size + 1))
-        c[line, at - RESPONSE] = np.concatenate(pdf["v"].to_numpy())
-        c /= np.sqrt(c[:, [INTERCEPT - RESPONSE]])
-        taken = np.triu(c.T @ c)
-        i, j = np.nonzero(taken)
-        return pd.DataFrame(
-            {"model_id": key[0], "i": i + RESPONSE, "j": j + RESPONSE, "v": -taken[i, j]}
-        )
 
-    taken = spread.groupBy("model_id", "bucket").applyInPandas(
-        outer, "model_id string, i int, j int, v double"
-    )
-    parts = products.unionByName(taken)
-    return parts.groupBy("model_id", "i", "j").agg(F.sum("v").alias("v"))
+def area_columns(rows: DataFrame) -> DataFrame:
+    """Column sums of X per design and area: (design_id, CNTY, pos, n)."""
+    observed = rows.where(F.col("y").isNotNull()).select("design_id", "CNTY", F.explode("idx").alias("pos"))
+    return observed.groupBy("design_id", "CNTY", "pos").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def demeaned_xty(rows: DataFrame) -> DataFrame:
+    """X'y after subtracting area means: (design_id, pos, sum_y), from grouped sums; no demeaned row is formed."""
+    means = area_table(rows).where("n > 0").select("design_id", "CNTY", (F.col("sum_y") / F.col("n")).alias("y"))
+    inside = area_columns(rows).withColumn("CNTY", F.coalesce("CNTY", F.lit(-1)))  # rows without an area are one more
+    taken = inside.join(means.withColumn("CNTY", F.coalesce("CNTY", F.lit(-1))), ["design_id", "CNTY"])
+    taken = taken.groupBy("design_id", "pos").agg(F.sum(F.col("n") * F.col("y")).alias("taken"))
+    return xty(rows).join(taken, ["design_id", "pos"]).select("design_id", "pos", (F.col("sum_y") - F.col("taken")).alias("sum_y"))
 
 
 def level_table(bins: QuantileBins, specs: Sequence[ModelSpec], years: YearRange) -> DataFrame:
-    """(crop, family, model_id, term, level, pos, x) of every level that occurs.
+    """(crop, design_id, ord, term, level, pos, x) of every level that occurs.
 
-    x is the standardised bin value, or the year index.
+    x is the standardised bin value, or the year index (its square for the second set of year levels).
     """
-    layout = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(m.family).alias("family"),
-                    F.lit(b.term).alias("term"),
-                    F.lit(b.kind).alias("kind"),
-                    F.lit(b.start).alias("start"),
-                )
-                for m in specs
-                for b in blocks(m, bins.n, years)
-            ]
+    layout = F.explode(F.array(*[
+        F.struct(
+            F.lit(m.family).alias("design"), F.lit(k).alias("ord"), F.lit(b.term).alias("term"),
+            F.lit(b.kind).alias("kind"), F.lit(b.start).alias("start"),
         )
-    )
-    at = bins.table.select("crop").distinct().select("crop", layout.alias("b")).select("crop", "b.*")
+        for m in designs(specs)
+        for k, b in enumerate(blocks(m, bins.n, years))
+    ]))
+    at = bins.table.select("crop").distinct().select("crop", layout.alias("b")).select("crop", "b.*").withColumn("design_id", key("design"))
     smooth = (
         bins.table.select("crop", F.col("column").alias("term"), "bin", "scaled")
         .join(at.where("kind = 'rw1'"), ["crop", "term"])
-        .select("crop", "family", "term", F.col("bin").alias("level"),
+        .select("crop", "design_id", "ord", "term", F.col("bin").alias("level"),
                 (F.col("start") + F.col("bin") - 1).alias("pos"), F.col("scaled").alias("x"))
     )
     number = F.explode(F.sequence(F.lit(years.first), F.lit(years.last)))
     yearly = (
         at.where("kind = 'iid'")
-        .select("crop", "family", "term", "start", number.alias("level"))
-        .select("crop", "family", "term", "level",
+        .select("crop", "design_id", "ord", "term", "start", number.alias("level"))
+        .select("crop", "design_id", "ord", "term", "level",
                 (F.col("start") + F.col("level") - years.first).alias("pos"),
                 F.when(F.col("term") == "YEAR_id2", F.col("level") * F.col("level"))
                 .otherwise(F.col("level")).cast("double").alias("x"))
     )
-    return smooth.unionByName(yearly).withColumn("model_id", model_id())
+    return smooth.unionByName(yearly)

@@ -22,7 +22,7 @@ def diagnostics(scored: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFra
     sums = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("y").alias("n"),
-        F.sum(F.ln("cpo")).alias("cpo"),
+        F.sum("log_cpo").alias("cpo"),
         F.sum(off * off).alias("sse"),
         F.avg("p_value").alias("mean_p_value"),
         F.avg(y).alias("y_mean"),
@@ -49,8 +49,12 @@ def compare_models(scored: DataFrame, fit: DataFrame, by: Sequence[str] = ("mode
 
 
 def equal_bins(x: Column, low: Column, high: Column, bins: int) -> Column:
-    """Number 1..bins of the equal-width bin of x; ``high`` is in the last one."""
-    return F.least(F.width_bucket(x, low, high, F.lit(bins)), F.lit(bins)).cast("int")
+    """Number 1..bins of the equal-width bin of x between low and high, both ends included; else NULL.
+
+    Of two equal ends there is one bin, number 1, which holds that value.
+    """
+    inside = F.least(F.floor(F.try_divide(x - low, high - low) * bins) + 1, F.lit(bins))
+    return F.when((low == high) & (x == low), 1).when((low < high) & x.between(low, high), inside).cast("int")
 
 
 def histogram(

@@ -1,46 +1,54 @@
-"""Fit all models of a specification in one Spark job per step.
-
-design rows -> grouped sums (shuffle) -> one small system per model (Python
-workers, one group per model) -> area effects and row scores (Spark).
+"""Closed-form estimates of all models of a specification, as Spark aggregates.
+
+A model is a sum of parts: the mean, one effect per area, and one effect per level
+of each term, in the order of the specification.  The parts are estimated one after
+the other from what the earlier ones leave:
+
+* the sum r of what is left over the n rows of a group gives the effect r / (n + l),
+  the mean of the group shrunk by l = W / B, the variance within groups over that
+  between them.  Both are moment estimates: W is the sum of squares within groups over
+  n - (groups), B is (sum of r^2 / n - (groups) W) / n, or 0 if that is negative;
+* free area levels (``factor``) are not shrunk;
+* spatial area effects (``bym2``, ``bym``) are shrunk towards phi times the mean
+  effect of the area's neighbours instead of 0, phi being the slope of an area's
+  effect on its neighbours', between 0 and 1.  An area without observations gets that;
+* the noise variance is what is left in the end over n - p, p being 1 plus the sum of
+  n / (n + l) of all groups.  Given the variances, an effect has the variance
+  noise / (n + l), and those of one row are added up.
+
+This is the engine's own estimate, not that of an integrating solver; the priors of a
+specification do not enter it.  Everything after the design rows is stated in grouped
+sums: one scan for X'X, X'y and y'y, one for the area sums, and then small joins, so
+any number of areas and rows is fitted without gathering a model anywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallow.functions.scalars import normal_cdf
 from fallow.operators.binning import QuantileBins
 from fallow.plans import design as dg
-from fallow.plans import solve
 from fallow.plans.spec import SD_FACTOR, ModelSpec
-from fallow.session import settle, ship_package
+from fallow.session import settle
 
 MODEL = ["model_id", "crop", "family"]
-MAX_LEVELS = 5000  # largest system that is solved densely
-GROUP_ROWS = 20_000  # rows scored by one Python group
 Z975 = 1.959964
 
-POSTERIOR = (
-    "model_id string, crop string, family string, kind string, name string, "
-    "pos int, mean double, var double, cov array<double>"
-)
-
 
 @dataclass
 class Fits:
     """Results of one run; every member is a stored table."""
 
     rows: DataFrame  # design rows
-    posterior: DataFrame  # kinds: base, area, hyper, model
-    areas: DataFrame  # (MODEL, CNTY, mean, var, cov): area effects
-    levels: DataFrame  # (MODEL, term, level, pos, x)
+    models: DataFrame  # (MODEL, design_id, area, n, m, sigma2, p_eff, phi)
+    areas: DataFrame  # (MODEL, CNTY, n, mean, w): area effects, w = 1 / (n + l)
+    levels: DataFrame  # (MODEL, ord, term, level, pos, x, n, mean, w)
+    parts: DataFrame  # (MODEL, ord, term, groups, within, between), the area at ord -1
 
 
 def prior_scale(prepared: DataFrame) -> DataFrame:
@@ -51,286 +59,183 @@ def prior_scale(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _part(df: DataFrame, part: str, i: Column, j: Column, v: Column) -> DataFrame:
-    return df.select(
-        "model_id",
-        F.lit(part).alias("part"),
-        i.cast("int").alias("i"),
-        j.cast("int").alias("j"),
-        v.cast("double").alias("v"),
-    )
-
-
-def systems(
-    rows: DataFrame,
-    products: DataFrame,
-    areas: DataFrame,
-    edges: DataFrame,
-    levels: DataFrame,
-    scale: DataFrame,
-    models: DataFrame,
-    specs: Sequence[ModelSpec],
-    size: int,
-) -> DataFrame:
-    """Everything one model's solve needs, as rows (MODEL, part, i, j, v).
-
-    Models with a free level per area get the demeaned system, whose size does
-    not depend on the number of areas; models with a spatial effect get the
-    area columns and the adjacency.
-    """
-    is_free = F.col("family").isin([m.family for m in specs if m.area == "factor"])
-    free, spatial = models.where(is_free), models.where(~is_free)
-
-    def of(df: DataFrame, which: DataFrame) -> DataFrame:
-        return df.join(which.select("model_id"), "model_id")
-
-    i, j, v, zero = F.col("i"), F.col("j"), F.col("v"), F.lit(0)
-    area, x = F.col("CNTY"), F.col("x")
-    free_areas = of(areas, free)
-    located = of(areas, spatial).where(area.isNotNull())
-    reduced = dg.demeaned_gram(of(products, free), free_areas, size)
-    # Areas without an observation keep their place on the map.
-    nodes = of(rows, spatial).where(area.isNotNull()).select("model_id", "CNTY").distinct()
-    pieces = [
-        _part(reduced, "gram", i, j, v),
-        _part(of(products, spatial), "gram", i, j, v),
-        _part(products.where("i = 0 and j = 0"), "n", zero, zero, v),
-        _part(models.join(scale, "crop"), "scale", zero, zero, F.col("scale")),
-        _part(levels, "level", F.col("pos"), zero, F.col("x")),
-        _part(free_areas, "areas", zero, zero, F.lit(1)).groupBy("model_id", "part", "i", "j").agg(
-            F.sum("v").alias("v")
-        ),
-        _part(located.select("model_id", "CNTY", F.explode("e").alias("x")), "area", area, x["i"], x["v"]),
-        _part(spatial.join(edges, "crop"), "edge", i, j, F.lit(1)),
-        _part(nodes, "node", area, zero, zero),
-    ]
-    return reduce(DataFrame.unionByName, pieces).join(models, "model_id")
-
-
-def _symmetric(size: int, t: pd.DataFrame) -> np.ndarray:
-    g = np.zeros((size, size))
-    g[t.i, t.j] = t.v
-    g[t.j, t.i] = t.v
-    return g
-
-
-def _solver(specs: Sequence[ModelSpec], bins: int, years: dg.YearRange):
-    by_family = {m.family: m for m in specs}
-
-    def solve_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        spec = by_family[key[2]]
-        parts = {name: t for name, t in pdf.groupby("part")}
-        none = pdf.iloc[:0]
-        size = dg.positions(spec, bins, years)
-        free = spec.area == "factor"
-        nodes = np.sort(parts.get("node", none).i.to_numpy())
-        total = size + len(nodes)
-        if total > MAX_LEVELS:
-            raise ValueError(f"{key[0]}: {total} levels; a spatial effect takes at most {MAX_LEVELS}")
-
-        gram = parts["gram"]
-        inner = gram[gram.i >= 0]
-        g = np.zeros((total, total))
-        h = np.zeros(total)
-        g[:size, :size] = _symmetric(size, inner)
-        with_y = gram[(gram.i == dg.RESPONSE) & (gram.j >= 0)]
-        h[with_y.j] = with_y.v
-        yy = float(gram[(gram.i == dg.RESPONSE) & (gram.j == dg.RESPONSE)].v.sum())
-        n = float(parts["n"].v.iloc[0])
-        scale = float(parts["scale"].v.iloc[0])
-
-        if free:
-            n -= float(parts["areas"].v.iloc[0])
-            g[0, :] = g[:, 0] = h[0] = 0.0
-            found = []
-        else:
-            found = [solve.Part("intercept", np.ones((1, 1)), np.array([0]))]
-            area = parts["area"]
-            at = size + np.searchsorted(nodes, area.i)
-            is_y, is_n = (area.j == dg.RESPONSE).to_numpy(), (area.j == 0).to_numpy()
-            h[at[is_y]] = area.v[is_y]
-            g[at[is_n], at[is_n]] = area.v[is_n]
-            x = ~is_y
-            g[at[x], area.j[x]] = area.v[x]
-            g[area.j[x], at[x]] = area.v[x]
-
-        present = np.zeros(size, bool)
-        present[parts["level"].i.to_numpy()] = True
-        for b in dg.blocks(spec, bins, years):
-            at = b.start + np.flatnonzero(present[b.start : b.start + b.size])
-            if b.kind == "rw1":
-                found.append(solve.walk_part(b.term, at, b.prior, scale))
-            else:
-                found.append(solve.Part(b.term, np.eye(len(at)), at, b.prior, scale))
-        if not free:
-            edge = parts.get("edge", none)
-            known = edge.i.isin(nodes) & edge.j.isin(nodes)
-            pairs = np.searchsorted(nodes, edge[known][["i", "j"]].to_numpy())
-            found += solve.area_parts(
-                spec.area, size + np.arange(len(nodes)), pairs.reshape(-1, 2), spec.area_prior
-            )
-        r = solve.fit(g, h, yy, n, [p for p in found if p is not None])
-
-        var = np.diag(r.cov)
-        base = r.cov[:size, :size]
-        out = [("base", "", k, r.mean[k], var[k], base[k]) for k in range(size)]
-        out += [
-            ("area", "", int(nodes[k]), r.mean[size + k], var[size + k], r.cov[size + k, :size])
-            for k in range(len(nodes))
-        ]
-        out += [
-            ("hyper", name, k, t, s * s, None)
-            for k, (name, t, s) in enumerate(zip(r.names, r.theta, r.sd))
-        ]
-        out.append(("model", "tau", 0, r.tau, 0.0, None))
-        out.append(("model", "log evidence", 0, r.log_evidence, 0.0, None))
-        out = pd.DataFrame(out, columns=["kind", "name", "pos", "mean", "var", "cov"])
-        for k, c in enumerate(MODEL):
-            out.insert(k, c, key[k])
-        return out
-
-    return solve_one
-
-
-def linear_forms(
-    items: DataFrame, posterior: DataFrame, carry: Sequence[str], with_cov: bool = False
-) -> DataFrame:
-    """Mean and variance of sums of levels per item: w'b and w'Sw, also w'S.
-
-    ``items`` has MODEL, ``carry`` columns that pass through, the positions
-    ``at`` and the weights ``weight`` (1 where there is no such column).  Items
-    are spread over groups of bounded size; each group gets the posterior of
-    its model, whose size does not depend on the number of items.
-    """
-    counts = items.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = max(1, -(-(counts.agg(F.max("n")).first()[0] or 1) // GROUP_ROWS))
-    base = (
-        posterior.where("kind = 'base'")
-        .select("model_id", "pos", "mean", "cov")
-        .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+def _variances(groups: DataFrame, left: DataFrame) -> DataFrame:
+    """(model_id, groups, within, between) from groups (model_id, n, r) and what is left (model_id, n_rows, rss)."""
+    seen = F.col("n") > 0
+    sums = groups.groupBy("model_id").agg(
+        F.count(F.when(seen, 1)).alias("groups"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(seen, F.col("r") * F.col("r") / F.col("n"))).alias("ss"),
     )
-    weighted = "weight" in items.columns
-    columns = [*MODEL, *carry, "at", *(["weight"] if weighted else [])]
-    spread = items.select(
-        *columns, F.pmod(F.xxhash64(*carry, "at"), F.lit(groups)).cast("int").alias("bucket")
-    )
-
-    def forms(rows: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*MODEL, *carry, "at"]]
-        if len(rows) == 0:
-            out = out.assign(mean=0.0, var=0.0)
-            return out.assign(cov=None) if with_cov else out
-        b = b.sort_values("pos")
-        mean, cov = b["mean"].to_numpy(), np.stack(b["cov"].to_numpy())
-        line = np.repeat(np.arange(len(rows)), rows["at"].map(len))
-        w = np.zeros((len(rows), len(mean)))
-        w[line, np.concatenate(rows["at"].to_numpy())] = (
-            np.concatenate(rows["weight"].to_numpy()) if weighted else 1.0
-        )
-        ws = w @ cov
-        out = out.assign(mean=w @ mean, var=(ws * w).sum(axis=1))
-        return out.assign(cov=list(ws)) if with_cov else out
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*MODEL, *carry, "at"])
-    schema += ", mean double, var double" + (", cov array<double>" if with_cov else "")
+    within = F.greatest(F.lit(0.0), F.col("rss") - F.col("ss")) / F.greatest(F.lit(1.0), F.col("n_rows") - F.col("groups"))
+    between = F.greatest(F.lit(0.0), F.try_divide(F.col("ss") - F.col("groups") * F.col("within"), F.col("n")))
     return (
-        spread.groupBy("model_id", "bucket")
-        .cogroup(base.groupBy("model_id", "bucket"))
-        .applyInPandas(forms, schema)
+        sums.join(left, "model_id").withColumn("within", within)
+        .select("model_id", "groups", "within", F.coalesce(between, F.lit(0.0)).alias("between"))
     )
 
 
-def free_area_effects(areas: DataFrame, posterior: DataFrame) -> DataFrame:
-    """Effects of free area levels: mean of y minus the fitted mean of the area.
-
-    The covariance with the term levels is -S c/n, the variance 1/(tau n) plus
-    the variance of the fitted mean, for column means c/n.
-    """
-    n = dg.entry_at(dg.INTERCEPT)
-    levels = F.filter("e", lambda x: x.i > dg.INTERCEPT)
-    means = areas.select(
-        *MODEL,
-        "CNTY",
-        n.alias("n"),
-        (dg.entry_at(dg.RESPONSE) / n).alias("y"),
-        F.transform(levels, lambda x: x.i).alias("at"),
-        F.transform(levels, lambda x: x.v / n).alias("weight"),
-    )
-    tau = posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
-    fitted = linear_forms(means, posterior, ["CNTY", "n", "y"], with_cov=True)
-    return fitted.join(tau, "model_id").select(
-        *MODEL,
-        "CNTY",
-        (F.col("y") - F.col("mean")).alias("mean"),
-        (F.col("var") + 1 / (F.col("tau") * F.col("n"))).alias("var"),
-        F.transform("cov", lambda v: -v).alias("cov"),
-    )
+def _shrunk() -> Column:
+    """1 / (n + within / between), 0 without variance between groups."""
+    return F.coalesce(F.try_divide("between", F.col("between") * F.col("n") + F.col("within")), F.lit(0.0))
 
 
-def fit_models(
-    prepared: DataFrame,
-    bins: QuantileBins,
-    edges: DataFrame,
-    specs: Sequence[ModelSpec],
-) -> Fits:
-    """Fit every (crop, family); ``prepared`` and ``edges`` should be stored tables."""
-    ship_package(prepared.sparkSession)
+def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs: Sequence[ModelSpec]) -> Fits:
+    """Fit every (crop, family); ``prepared`` and ``edges`` (crop, i, j) should be stored tables."""
     years = dg.year_range(prepared)
     rows = settle(dg.design_rows(prepared, bins, specs, years))
-    levels = settle(dg.level_table(bins, specs, years))
-    models = settle(levels.select(*MODEL).distinct())
+    names = settle(dg.level_table(bins, specs, years))
     products = settle(dg.gram(rows))
-    areas = settle(dg.area_sums(rows))
-    size = max(dg.positions(m, bins.n, years) for m in specs)
-    system = systems(
-        rows, products, areas, edges, levels, settle(prior_scale(prepared)), models, specs, size
+    keys = settle(dg.model_table(prepared, specs))
+
+    def entry(i: int, j: int) -> Column:
+        return F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v")))
+
+    totals = products.where("i <= 0 and j <= 0").groupBy("design_id").agg(
+        entry(0, 0).alias("n"), entry(dg.RESPONSE, 0).alias("y"), entry(dg.RESPONSE, dg.RESPONSE).alias("yy")
     )
-    # A fixed number of partitions: the systems are small in bytes, but each is
-    # work for a core of its own, so they must not be merged into few tasks.
-    posterior = settle(
-        system.repartition(4 * models.count(), *MODEL)
-        .groupBy(*MODEL)
-        .applyInPandas(_solver(specs, bins.n, years), POSTERIOR)
+    mean = F.col("y") / F.col("n")
+    start = settle(keys.join(totals, "design_id").select(
+        *MODEL, "design_id", "area", F.col("n").alias("n_rows"), mean.alias("m"), (F.col("yy") - F.col("y") * mean).alias("rss")
+    ))
+
+    areas, parts, left = _area_effects(rows, start, edges)
+    remaining = _after_areas(rows, products, start, areas)
+    both = products.where("i >= 0")
+    both = settle(both.unionByName(both.where("i < j").select("design_id", F.col("j").alias("i"), F.col("i").alias("j"), "v")))
+    at_level = both.where("i = j").select("design_id", F.col("i").alias("pos"), F.col("v").alias("n"))
+    names = settle(names.join(at_level, ["design_id", "pos"], "left").fillna(0.0, ["n"]))
+
+    done, found = [], [parts]
+    for k in range(max(len(m.terms) for m in specs)):
+        own = settle(names.where(F.col("ord") == k).join(keys.select("model_id", "design_id"), "design_id").join(remaining, ["model_id", "pos"], "left").fillna(0.0, ["r"]))
+        moments = settle(_variances(own, left.select("model_id", "n_rows", "rss")))
+        effects = settle(own.join(moments, "model_id").withColumn("w", _shrunk()).withColumn("mean", F.col("w") * F.col("r")))
+        done.append(effects.select("model_id", "ord", "term", "level", "pos", "x", "n", "mean", "w"))
+        found.append(moments.join(own.select("model_id", "ord", "term").distinct(), "model_id"))
+        used = effects.groupBy("model_id").agg(
+            F.sum(F.col("n") * F.col("mean") * F.col("mean") - 2 * F.col("mean") * F.col("r")).alias("rss_step"),
+            F.sum(F.col("n") * F.col("w")).alias("p_step"),
+        )
+        left = settle(left.join(used, "model_id", "left").select(
+            "model_id", "n_rows",
+            (F.col("rss") + F.coalesce("rss_step", F.lit(0.0))).alias("rss"),
+            (F.col("p_eff") + F.coalesce("p_step", F.lit(0.0))).alias("p_eff"),
+        ))
+        step = effects.select("model_id", "design_id", F.col("pos").alias("j"), "mean")
+        taken = both.join(step, ["design_id", "j"]).groupBy("model_id", F.col("i").alias("pos")).agg(F.sum(F.col("v") * F.col("mean")).alias("taken"))
+        remaining = settle(remaining.join(taken, ["model_id", "pos"], "left").select("model_id", "pos", (F.col("r") - F.coalesce("taken", F.lit(0.0))).alias("r")))
+
+    phi = areas.groupBy("model_id").agg(F.max("phi").alias("phi"))
+    sigma2 = F.greatest(F.lit(0.0), F.col("rss")) / F.greatest(F.lit(1.0), F.col("n_rows") - F.col("p_eff"))
+    models = start.drop("rss", "n_rows").join(left, "model_id").join(phi, "model_id", "left").select(
+        *MODEL, "design_id", "area", F.col("n_rows").alias("n"), "m", sigma2.alias("sigma2"), "p_eff", "phi"
+    )
+    named = keys.select(*MODEL)
+    levels = settle(_stacked(done).join(named, "model_id"))
+    return Fits(rows, settle(models), areas, levels, settle(_stacked(found).join(named, "model_id")))
+
+
+def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Area effects, their moments, and what they leave of each model."""
+    sums = dg.area_table(rows).where(F.col("CNTY").isNotNull())
+    own = sums.join(start.drop("rss", "n_rows"), "design_id")
+    own = settle(own.select(*MODEL, "design_id", "area", "CNTY", "n", (F.col("sum_y") - F.col("m") * F.col("n")).alias("r")))
+    moments = settle(_variances(own, start.select("model_id", "n_rows", "rss")))
+    free = F.try_divide(F.lit(1.0), F.col("n"))
+    raw = own.join(moments, "model_id").withColumn("w", F.when(F.col("area") == "factor", free).otherwise(_shrunk()))
+    raw = settle(raw.where(F.col("w").isNotNull()).withColumn("u", F.col("w") * F.col("r")))
+
+    spatial = raw.where("area <> 'factor'")
+    near = spatial.where("n > 0").select("model_id", "crop", F.col("CNTY").alias("j"), F.col("u").alias("u_near"))
+    around = settle(
+        edges.select("crop", F.col("i").alias("CNTY"), "j").join(near, ["crop", "j"])
+        .groupBy("model_id", "CNTY").agg(F.sum("u_near").alias("u_sum"), F.count(F.lit(1)).alias("near"))
+    )
+    slope = F.try_divide(F.sum(F.col("u") * F.col("u_sum")), F.sum(F.col("u") * F.col("u") * F.col("near")))
+    phi = spatial.where("n > 0").join(around, ["model_id", "CNTY"]).groupBy("model_id").agg(slope.alias("phi"))
+    phi = settle(phi.select("model_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("phi", F.lit(0.0)))).alias("phi")))
+    towards = F.coalesce(F.col("phi") * F.col("u_sum") / F.col("near"), F.lit(0.0))
+    areas = (
+        raw.join(around, ["model_id", "CNTY"], "left").join(phi, "model_id", "left")
+        .withColumn("phi", F.when(F.col("area") != "factor", F.coalesce("phi", F.lit(0.0))))
+        .withColumn("mean", F.col("u") + F.when(F.col("area") == "factor", 0.0).otherwise((1 - F.col("n") * F.col("w")) * towards))
+    )
+    areas = settle(areas.select(*MODEL, "design_id", "CNTY", "n", "r", "mean", "w", "phi"))
+    used = areas.groupBy("model_id").agg(
+        F.sum(F.col("n") * F.col("mean") * F.col("mean") - 2 * F.col("mean") * F.col("r")).alias("rss_step"),
+        F.sum(F.col("n") * F.col("w")).alias("p_step"),
+    )
+    left = start.join(used, "model_id", "left").select(
+        "model_id", "n_rows",
+        (F.col("rss") + F.coalesce("rss_step", F.lit(0.0))).alias("rss"),
+        (1 + F.coalesce("p_step", F.lit(0.0))).alias("p_eff"),
     )
-    free = models.where(F.col("family").isin([m.family for m in specs if m.area == "factor"]))
-    effects = posterior.where("kind = 'area'").select(
-        *MODEL, F.col("pos").alias("CNTY"), "mean", "var", "cov"
+    parts = moments.select(F.lit(-1).alias("ord"), F.lit("CNTY").alias("term"), "*")
+    return areas, parts, settle(left)
+
+
+def _after_areas(rows: DataFrame, products: DataFrame, start: DataFrame, areas: DataFrame) -> DataFrame:
+    """(model_id, pos, r): sum over a level's rows of the response minus mean and area effect."""
+    response = products.where(f"i = {dg.RESPONSE} and j > 0").select("design_id", F.col("j").alias("pos"), F.col("v").alias("y"))
+    counts = products.where("i = 0 and j > 0").select("design_id", F.col("j").alias("pos"), F.col("v").alias("n"))
+    given = response.join(counts, ["design_id", "pos"]).join(start.select("model_id", "design_id", "m"), "design_id")
+    inside = dg.area_columns(rows).where(F.col("CNTY").isNotNull() & (F.col("pos") > 0))
+    taken = (
+        inside.join(areas.select("model_id", "design_id", "CNTY", "mean"), ["design_id", "CNTY"])
+        .groupBy("model_id", "pos").agg(F.sum(F.col("n") * F.col("mean")).alias("taken"))
     )
-    effects = effects.unionByName(free_area_effects(areas.join(free, "model_id"), posterior))
-    return Fits(rows, posterior, settle(effects), levels)
+    return settle(given.join(taken, ["model_id", "pos"], "left").select(
+        "model_id", "pos", (F.col("y") - F.col("m") * F.col("n") - F.coalesce("taken", F.lit(0.0))).alias("r")
+    ))
 
 
 def score_rows(fits: Fits) -> DataFrame:
     """Fitted mean and sd per row, with leave-one-out and posterior checks.
 
-    For observed rows: ``cpo`` is the density of y given all other rows, ``pit``
-    the matching distribution function, ``p_value`` the distribution function of
-    the row's fitted value at y.  They are missing where y is.
+    For observed rows: ``cpo`` is the density of y given all other rows, ``log_cpo`` its logarithm, ``pit``
+    the matching distribution function, ``p_value`` the distribution function of the row's fitted value at
+    y.  They are missing where y is.  The level effects of a model are one row with one value per position;
+    rows are never shuffled to meet them.
     """
-    items = fits.rows.withColumnRenamed("idx", "at")
-    own = linear_forms(items, fits.posterior, ["GEOID", "YEAR", "CNTY", "y"])
-    tau = fits.posterior.where("name = 'tau'").select("model_id", F.col("mean").alias("tau"))
-    area = fits.areas.select(
-        F.col("model_id").alias("am"), F.col("CNTY").alias("ac"),
-        F.col("mean").alias("a_mean"), F.col("var").alias("a_var"), F.col("cov").alias("a_cov"),
+    last = fits.levels.agg(F.max("pos")).first()[0] or 0
+    by_pos = F.map_from_entries(F.collect_list(F.struct("pos", F.struct("mean", "w"))))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.try_element_at("by_pos", i))
+    effects = settle(
+        fits.levels.groupBy("model_id").agg(by_pos.alias("by_pos"))
+        .join(fits.models.select(*MODEL, "design_id", "n", "m", "sigma2"), "model_id")
+        .select(*MODEL, "design_id", "n", "m", "sigma2", dense.alias("e"))
     )
-    joined = own.join(
-        area, (F.col("model_id") == F.col("am")) & F.col("CNTY").eqNullSafe(F.col("ac")), "left"
-    ).join(tau, "model_id")
-    shared = F.aggregate("at", F.lit(0.0), lambda t, i: t + F.get("a_cov", i))
-    scored = joined.select(
-        *MODEL, "GEOID", "YEAR", "CNTY", "y", "tau",
+
+    def added(field: str) -> Column:
+        return F.aggregate("idx", F.lit(0.0), lambda t, i: t + F.coalesce(F.get("e", i)[field], F.lit(0.0)))
+
+    own = fits.rows.drop("crop").join(effects, "design_id").select(
+        *MODEL, "GEOID", "YEAR", "CNTY", "y", "sigma2",
+        (F.col("m") + added("mean")).alias("mean"), (1 / F.col("n") + added("w")).alias("h"),
+    )
+    area = fits.areas.select("model_id", "CNTY", F.col("mean").alias("a_mean"), F.col("w").alias("a_w"))
+    scored = own.join(area, ["model_id", "CNTY"], "left").select(
+        *MODEL, "GEOID", "YEAR", "CNTY", "y",
+        F.try_divide(F.lit(1.0), "sigma2").alias("tau"),
         (F.col("mean") + F.coalesce("a_mean", F.lit(0.0))).alias("mean"),
-        (F.col("var") + F.coalesce(F.col("a_var") + 2 * shared, F.lit(0.0))).alias("var"),
+        (F.col("sigma2") * (F.col("h") + F.coalesce("a_w", F.lit(0.0)))).alias("var"),
     )
     return leave_one_out(scored).drop("var")
 
 
 def leave_one_out(scored: DataFrame) -> DataFrame:
-    """Add sd, cpo, pit and p_value to rows with y, mean, var and tau.
+    """Add sd, log_cpo, cpo, pit and p_value to rows with y, mean, var and tau.
 
-    A row that alone determines its fitted value has no leave-one-out value.
+    A row that alone determines its fitted value has no leave-one-out value.  The density of an extreme
+    outlier may underflow to 0; its logarithm does not.
     """
     mean, var, tau, y = (F.col(c) for c in ("mean", "var", "tau", "y"))
     rest = F.try_divide(F.lit(1.0), var) - tau
@@ -348,6 +253,7 @@ def leave_one_out(scored: DataFrame) -> DataFrame:
     return steps.withColumns(
         {
             "sd": F.sqrt(var),
+            "log_cpo": -z * z / 2 - F.ln(F.sqrt(2 * F.pi()) * F.col("__s")),
             "cpo": F.exp(-z * z / 2) / (F.sqrt(2 * F.pi()) * F.col("__s")),
             "pit": normal_cdf("__z"),
             "p_value": normal_cdf("__p"),
@@ -378,83 +284,57 @@ def quantile_columns(mean, sd) -> list:
 
 
 def effect_table(fits: Fits) -> DataFrame:
-    """(MODEL, term, level, x, mean, sd, q025, q50, q975) of all term and area levels.
+    """(MODEL, term, level, x, mean, sd, q025, q50, q975) of all observed term levels and of all areas.
 
-    Free area levels are reported against the first area of the model, which
-    itself is the reference and has no row.
+    Free area levels are reported against the first area of the model, which itself is the reference and
+    has no row.
     """
-    base = fits.posterior.where("kind = 'base'").select("model_id", "pos", "mean", "var")
-    smooth = fits.levels.join(base, ["model_id", "pos"]).select(
-        *MODEL, "term", "level", "x", "mean", F.sqrt("var").alias("sd")
+    noise = fits.models.select("model_id", "sigma2", "area")
+    smooth = fits.levels.where("n > 0").join(noise, "model_id").select(
+        *MODEL, "term", "level", "x", "mean", F.sqrt(F.col("sigma2") * F.col("w")).alias("sd")
     )
-    spatial = fits.posterior.where("kind = 'area'").select(
-        *MODEL, F.lit("CNTY").alias("term"), F.col("pos").alias("level"),
-        F.col("pos").cast("double").alias("x"), "mean", F.sqrt("var").alias("sd"),
-    )
-    out = smooth.unionByName(spatial).unionByName(_against_first(fits))
-    return out.select("*", *quantile_columns(F.col("mean"), F.col("sd")))
+    areas = fits.areas.join(noise, "model_id")
+    first = settle(_first_areas(fits))
+    against = areas.where("area = 'factor'").join(first, "model_id").where(F.col("CNTY") > F.col("first.CNTY"))
+    own = areas.where("area <> 'factor'")
 
+    def row(mean: Column, w: Column) -> list[Column]:
+        sd = F.sqrt(F.col("sigma2") * w)
+        return [*MODEL, F.lit("CNTY").alias("term"), F.col("CNTY").alias("level"), F.col("CNTY").cast("double").alias("x"), mean.alias("mean"), sd.alias("sd")]
 
-def _against_first(fits: Fits) -> DataFrame:
-    """Free area effects minus that of the model's first area.
-
-    The difference of two areas a and b has variance 1/(tau n_a) + 1/(tau n_b) +
-    d'Sd, d being the difference of their column means.  With cov = -S c/n of
-    both at hand, d'Sd = d'(S c_a/n_a) - d'(S c_b/n_b) needs only dot products
-    with the column means, taken from the sums of the area.
-    """
-    spatial = fits.posterior.where("kind = 'area'").select("model_id").distinct()
-    free = fits.areas.join(spatial, "model_id", "left_anti").where(F.col("CNTY").isNotNull())
-    sums = dg.area_sums(fits.rows).select(
-        "model_id",
-        "CNTY",
-        F.transform(
-            F.filter("e", lambda x: x.i > dg.INTERCEPT),
-            lambda x: F.struct(x.i.alias("i"), (x.v / dg.entry_at(dg.INTERCEPT)).alias("v")),
-        ).alias("c"),
-    )
-    free = free.join(sums, ["model_id", "CNTY"])
-    first = free.groupBy("model_id").agg(
-        F.min_by(F.struct("CNTY", "mean", "var", "cov", "c"), "CNTY").alias("first")
-    )
+    out = smooth.unionByName(own.select(*row(F.col("mean"), F.col("w"))))
+    out = out.unionByName(against.select(*row(F.col("mean") - F.col("first.mean"), F.col("w") + F.col("first.w"))))
+    return out.select("*", *quantile_columns(F.col("mean"), F.col("sd")))
 
-    def dot(c, cov):
-        return F.aggregate(c, F.lit(0.0), lambda t, x: t + x.v * F.get(cov, x.i))
 
-    # cov holds -S c/n, so -dot(c_a, cov_b) is c_a' S c_b.
-    cross = -dot(F.col("c"), F.col("first.cov"))
-    difference = F.col("mean") - F.col("first.mean")
-    variance = F.col("var") + F.col("first.var") - 2 * cross
-    return (
-        free.join(first, "model_id")
-        .where(F.col("CNTY") > F.col("first.CNTY"))
-        .select(
-            *MODEL, F.lit("CNTY").alias("term"), F.col("CNTY").alias("level"),
-            F.col("CNTY").cast("double").alias("x"), difference.alias("mean"),
-            F.sqrt(variance).alias("sd"),
-        )
-    )
+def _first_areas(fits: Fits) -> DataFrame:
+    """(model_id, first): number, effect and weight of the first area of models with free area levels."""
+    free = fits.areas.join(fits.models.where("area = 'factor'").select("model_id"), "model_id")
+    return free.groupBy("model_id").agg(F.min_by(F.struct("CNTY", "mean", "w"), "CNTY").alias("first"))
 
 
 def hyper_table(fits: Fits) -> DataFrame:
-    """(MODEL, name, mean, sd, q025, q50, q975) on the parameter's own scale.
+    """(MODEL, name, mean, sd, q025, q50, q975): precisions of noise and parts, and the spatial share.
 
-    Precisions are estimated on the log scale and mixing weights on the logit
-    scale; the quantiles are those of the normal approximation there.
+    A precision estimated from k groups (or k degrees of freedom) has the relative sd sqrt(2 / k), and its
+    quantiles are those of a normal on the log scale.  Parts without variance between groups have no
+    precision and no row.
     """
-    h = fits.posterior.where("kind = 'hyper'")
-    is_phi = F.col("name").startswith("phi")
-
-    def natural(t):
-        return F.when(is_phi, 1 / (1 + F.exp(-t))).otherwise(F.exp(t))
-
-    t, s = F.col("mean"), F.sqrt("var")
-    at = natural(t)
-    slope = F.when(is_phi, at * (1 - at)).otherwise(at)
-    return h.select(
-        *MODEL, "name", at.alias("mean"), (slope * s).alias("sd"),
-        natural(t - Z975 * s).alias("q025"), at.alias("q50"), natural(t + Z975 * s).alias("q975"),
+    noise = fits.models.select(*MODEL, F.lit("noise").alias("name"), F.try_divide(F.lit(1.0), "sigma2").alias("mean"), F.greatest(F.lit(1.0), F.col("n") - F.col("p_eff")).alias("k"))
+    shrunk = fits.parts.join(fits.models.where("area = 'factor'").select("model_id", F.lit("CNTY").alias("term")), ["model_id", "term"], "left_anti")
+    parts = shrunk.where("between > 0").select(*MODEL, F.col("term").alias("name"), (1 / F.col("between")).alias("mean"), F.col("groups").cast("double").alias("k"))
+    spread = F.sqrt(2 / F.col("k"))
+    precisions = noise.unionByName(parts).where(F.col("mean").isNotNull()).select(
+        *MODEL, F.concat(F.lit("precision of "), "name").alias("name"), "mean", (F.col("mean") * spread).alias("sd"),
+        (F.col("mean") * F.exp(-Z975 * spread)).alias("q025"), F.col("mean").alias("q50"), (F.col("mean") * F.exp(Z975 * spread)).alias("q975"),
     )
+    size = fits.areas.where("n > 0").groupBy("model_id").agg(F.count(F.lit(1)).alias("k"))
+    share = fits.models.where("phi is not null").join(size, "model_id")
+    sd = F.sqrt((1 - F.col("phi") * F.col("phi")) / F.col("k"))
+    return precisions.unionByName(share.select(
+        *MODEL, F.lit("phi of CNTY").alias("name"), F.col("phi").alias("mean"), sd.alias("sd"),
+        F.greatest(F.lit(0.0), F.col("phi") - Z975 * sd).alias("q025"), F.col("phi").alias("q50"), F.least(F.lit(1.0), F.col("phi") + Z975 * sd).alias("q975"),
+    ))
 
 
 def intercept_table(fits: Fits) -> DataFrame:
@@ -462,14 +342,12 @@ def intercept_table(fits: Fits) -> DataFrame:
 
     In a model with free area levels the intercept is the first area's level.
     """
-    base = fits.posterior.where("kind = 'base' and pos = 0 and var > 0").select(*MODEL, "mean", "var")
-    spatial = fits.posterior.where("kind = 'area'").select("model_id").distinct()
-    free = fits.areas.join(spatial, "model_id", "left_anti").where(F.col("CNTY").isNotNull())
-    first = free.groupBy(*MODEL).agg(
-        F.min_by(F.struct("mean", "var"), "CNTY").alias("f")
-    ).select(*MODEL, "f.mean", "f.var")
-    both = base.unionByName(first)
-    return both.select(
-        *MODEL, F.lit("(Intercept)").alias("name"), "mean", F.sqrt("var").alias("sd"),
-        *quantile_columns(F.col("mean"), F.sqrt("var")),
+    first = _first_areas(fits)
+    at = fits.models.join(first, "model_id", "left").select(
+        *MODEL,
+        (F.col("m") + F.coalesce("first.mean", F.lit(0.0))).alias("mean"),
+        F.sqrt(F.col("sigma2") * F.coalesce("first.w", 1 / F.col("n"))).alias("sd"),
+    )
+    return at.select(
+        *MODEL, F.lit("(Intercept)").alias("name"), "mean", "sd", *quantile_columns(F.col("mean"), F.col("sd"))
     )

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fallow.plans.panel import MODEL_COLUMNS
 
@@ -120,3 +121,14 @@ def spec_table(spark: SparkSession, specs: Sequence[ModelSpec]) -> DataFrame:
     return spark.createDataFrame(
         rows, "family string, response string, term string, kind string, prior string"
     )
+
+
+def with_constants(terms: DataFrame) -> DataFrame:
+    """Add a prior's constants to rows with (kind, prior, scale): u and alpha of the precision, phi_u and phi_alpha of the mixing weight."""
+    pc, spatial = F.col("prior") == "pc", F.col("kind").isin("bym2", "bym")
+    return terms.withColumns({
+        "u": F.when(pc & spatial, AREA_U).when(pc, F.col("scale")),
+        "alpha": F.when(pc, PC_ALPHA),
+        "phi_u": F.when(pc & (F.col("kind") == "bym2"), PHI_U),
+        "phi_alpha": F.when(pc & (F.col("kind") == "bym2"), PHI_ALPHA),
+    })

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_ending: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +41,13 @@ def settle(df: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _ending:  # intermediate tables go when the application ends
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+        _ending.add(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

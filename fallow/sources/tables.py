@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fallow.session import settle
+
 WATER_SCHEMA = "GEOID string, Yr int, avg_water double, range_water double, volume string"
 POLYGON_SCHEMA = "GEOID string, STATEFP int, part int, ring int, seq int, x double, y double"
 ROW_ID = "row_id"
@@ -85,12 +87,20 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
-    """Number all rows 1..N in the order of a unique key."""
-    from fallow.operators.indexing import dense_index
+def with_row_id(df: DataFrame, order: list[str], range_rows: int = 1_000_000) -> DataFrame:
+    """Number all rows 1..N in the order of a unique key.
 
-    key = F.struct(*order)
-    keyed = df.withColumn("__key", key)
-    index = dense_index(keyed, "__key", ROW_ID)
-    numbered = keyed.join(index, "__key").drop("__key")
-    return numbered.select(ROW_ID, *df.columns)
+    Rows are sorted by ranges of at most about ``range_rows`` rows, as many as the table needs, and written
+    once; a row's number is the rows of earlier ranges plus its place in its own.
+    """
+    stored = settle(df)
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // range_rows))
+    sorted_rows = stored.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = settle(sorted_rows.withColumn("__at", F.monotonically_increasing_id()))
+    in_range, place = F.shiftright("__at", 33).alias("__range"), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(in_range).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    numbered = placed.withColumn("__range", F.shiftright("__at", 33)).join(starts, "__range")
+    return numbered.select((F.col("__start") + place + 1).alias(ROW_ID), *df.columns)

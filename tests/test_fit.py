@@ -5,9 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallow.catalog import models as m
-from fallow.plans import design, diagnostics, fit, solve, spec
-
-FLAT = 1e6
+from fallow.operators.binning import QuantileBins
+from fallow.plans import design, diagnostics, fit, spec
 
 
 def test_specs():
@@ -26,54 +25,6 @@ def test_specs():
         spec.yield_model("bad", area="none")
 
 
-def test_derivatives_and_evidence():
-    rng = np.random.default_rng(1)
-    n, size, areas = 90, 12, 9
-    x = np.zeros((n, size + areas))
-    x[np.arange(n), rng.integers(0, 6, n)] = 1
-    x[np.arange(n), 6 + rng.integers(0, 6, n)] = 1
-    x[np.arange(n), size + rng.integers(0, areas, n)] = 1
-    y = rng.normal(size=n)
-    pairs = np.array([(i, j) for i in range(areas) for j in (i - 1, i + 1) if 0 <= j < areas - 1 and i < areas - 1])
-    parts = [
-        solve.walk_part("w", np.arange(6), "pc", 1.0),
-        solve.Part("i", np.eye(6), np.arange(6, 12), "default"),
-        *solve.area_parts("bym2", size + np.arange(areas), pairs, "pc"),
-    ]
-    f = solve.Evidence(x.T @ x, x.T @ y, y @ y, n, parts)
-    theta = np.array([0.2, 0.5, 1.0, 0.3, -0.4])
-    value, grad, curve = f(theta)
-    step = 1e-5 * np.eye(5)
-    assert grad == pytest.approx(np.array([(f(theta + e)[0] - f(theta - e)[0]) / 2e-5 for e in step]), abs=1e-5)
-    numeric = np.array([(f(theta + e)[1] - f(theta - e)[1]) / 2e-5 for e in step])
-    assert curve == pytest.approx(numeric, abs=1e-4)
-    # The evidence is the dense normal density of y.
-    d = f.precisions(theta)[0]
-    k = x @ f.map @ np.diag(1 / d) @ f.map.T @ x.T + np.eye(n) / np.exp(theta[0])
-    dense = -0.5 * (y @ np.linalg.solve(k, y) + np.linalg.slogdet(k)[1] + n * math.log(2 * math.pi))
-    prior = sum(solve.log_precision_prior(t, p, 1.0 if i else 1.0)[0]
-                for i, (t, p) in enumerate(zip(theta[:3], ["default", "pc", "default"])))
-    prior += solve.log_precision_prior(theta[3], "pc", spec.AREA_U)[0]
-    prior += solve.log_mixing_prior(theta[4], parts[-1].weights)
-    assert value - prior == pytest.approx(dense, abs=1e-8)
-
-
-def test_scaled_structures():
-    walk = solve.walk_part("w", np.arange(8), "pc", 1.0)
-    cov = walk.basis @ walk.basis.T
-    assert np.exp(np.mean(np.log(np.diag(cov)))) == pytest.approx(1)
-    assert cov.sum(axis=0) == pytest.approx(np.zeros(8), abs=1e-12)
-    groups = solve.connected(6, np.array([[0, 1], [1, 0], [1, 2], [2, 1], [4, 5], [5, 4]]))
-    assert [list(g) for g in groups] == [[0, 1, 2], [3], [4, 5]]
-    # P(phi < u) = alpha under the mixing prior.
-    weights = np.array([0.0, 0.3, 1.5, 4.0])
-    psi = np.linspace(-30, 30, 200001)
-    density = np.exp([solve.log_mixing_prior(t, weights) for t in psi[::20]])
-    below = psi[::20] < math.log(spec.PHI_U / (1 - spec.PHI_U))
-    mass = np.trapezoid(density[below], psi[::20][below])
-    assert mass == pytest.approx(spec.PHI_ALPHA, abs=2e-3)
-
-
 def test_leave_one_out_literal(spark):
     df = spark.createDataFrame([(1.0, 0.0, 0.5, 1.0), (None, 0.0, 0.5, 1.0), (1.0, 0.0, 1.0, 1.0)],
                                "y double, mean double, var double, tau double")
@@ -81,44 +32,99 @@ def test_leave_one_out_literal(spark):
     assert (got[0].cpo, got[0].pit) == pytest.approx((0.103777, 0.921350), abs=1e-6)
     assert got[0].p_value == pytest.approx(0.921350, abs=1e-6)
     assert (got[1].cpo, got[1].pit, got[1].p_value) == (None, None, None)
+    assert got[0].log_cpo == pytest.approx(math.log(got[0].cpo))
     assert got[2].cpo is None and got[2].p_value is not None
+    far = fit.leave_one_out(spark.createDataFrame([(100.0, 0.0, 0.5, 1.0)], df.schema)).first()
+    assert far.cpo == 0 and far.log_cpo == pytest.approx(-(200.0**2) / 4 / 1 - math.log(math.sqrt(2 * math.pi * 2)))
 
 
 def test_diagnostics_literal(spark):
     df = spark.createDataFrame(
         [("m", 1.0, 1.5), ("m", 2.0, 1.5), ("m", None, 9.0)], "model_id string, y double, mean double"
-    ).withColumns({"cpo": F.lit(0.5), "p_value": F.lit(0.25)})
+    ).withColumns({"log_cpo": F.ln(F.lit(0.5)), "p_value": F.lit(0.25)})
     got = diagnostics.diagnostics(df).first()
     assert (got.n_rows, got.n) == (3, 2)
     assert (got.mse, got.mse_obs, got.r2) == pytest.approx((1 / 6, 0.25, 0.0))
     assert got.cpo == pytest.approx(3 * math.log(0.5))
 
 
-def test_gram_and_demeaning(spark):
+def test_histogram_ends_literal(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.999, 1.0, -0.5, 1.5, 9.0, None)], "x double")
+    got = [r.b for r in df.select(diagnostics.equal_bins(F.col("x"), F.lit(0.0), F.lit(1.0), 30).alias("b")).collect()]
+    assert got == [1, 4, 30, 30, None, None, None, None]
+    same = [r.b for r in df.select(diagnostics.equal_bins(F.col("x"), F.lit(1.0), F.lit(1.0), 30).alias("b")).collect()]
+    assert same == [None, None, None, 1, None, None, None, None]
+
+
+def test_sums_of_the_design(spark):
     rng = np.random.default_rng(2)
     n, size = 400, 9
     rows, x, y, area = [], np.zeros((n, size)), rng.normal(size=n), np.where(rng.random(n) < 0.4, 0, rng.integers(1, 7, n))
     for r in range(n):
         idx = [0, 1 + int(rng.integers(0, 4)), 5 + int(rng.integers(0, 4))]
         x[r, idx] = 1
-        rows.append(("m", "c", "f", int(area[r]), float(y[r]), idx))
-    rows.append(("m", "c", "f", 1, None, [0, 1, 5]))
-    df = spark.createDataFrame(rows, "model_id string, crop string, family string, CNTY int, y double, idx array<int>")
+        rows.append(("m", int(area[r]) or None, float(y[r]), idx))
+    rows.append(("m", 1, None, [0, 1, 5]))
+    df = spark.createDataFrame(rows, "design_id string, CNTY int, y double, idx array<int>")
     full = np.column_stack([y, x])
     want = full.T @ full
     products = design.gram(df)
     for r in products.collect():
         assert r.v == pytest.approx(want[r.i + 1, r.j + 1])
     assert products.count() == (np.triu(want) != 0).sum()
+    for r in design.xty(df).collect():
+        assert r.sum_y == pytest.approx(want[0, r.pos + 1])
     centred = full.copy()
     for k in np.unique(area):
         centred[area == k] -= full[area == k].mean(axis=0)
-    want = centred.T @ centred
-    for r in design.demeaned_gram(products, design.area_sums(df), size).collect():
-        assert r.v == pytest.approx(want[r.i + 1, r.j + 1], abs=1e-9)
-
-
-# ---- the whole pipeline against dense n x n formulas ----------------------
+    for r in design.demeaned_xty(df).collect():
+        assert r.sum_y == pytest.approx((centred.T @ centred)[0, r.pos + 1], abs=1e-9)
+
+
+def by_definition(y, groups, area, edges, kind):
+    """Fitted values and leverages of one model by the definition on rows; NaN responses are unseen."""
+    seen = ~np.isnan(y)
+    n = seen.sum()
+    fitted = np.full(len(y), y[seen].mean())
+    h = np.full(len(y), 1 / n)
+
+    def variances(levels):
+        e = (y - fitted)[seen]
+        own = levels[seen]
+        sums = {g: (e[own == g].sum(), (own == g).sum()) for g in set(own[own >= 0])}
+        ss = sum(r * r / k for r, k in sums.values())
+        within = max(0, (e * e).sum() - ss) / max(1, n - len(sums))
+        between = max(0, (ss - len(sums) * within) / max(1, sum(k for _, k in sums.values())))
+        return sums, within, between
+
+    def weight(k, within, between):
+        return between / (between * k + within) if between else 0.0
+
+    sums, within, between = variances(area)
+    effect, w = {}, {}
+    raw = {}
+    for g in set(area):
+        r, k = sums.get(g, (0.0, 0))
+        w[g] = (1 / k if k else None) if kind == "factor" else weight(k, within, between)
+        raw[g] = (w[g] or 0) * r
+    near = {g: [j for i, j in edges if i == g and sums.get(j, (0, 0))[1]] for g in raw}
+    top = sum(raw[g] * raw[j] for g in raw for j in near[g] if sums.get(g, (0, 0))[1])
+    bottom = sum(raw[g] ** 2 for g in raw for j in near[g] if sums.get(g, (0, 0))[1])
+    phi = min(1, max(0, top / bottom)) if bottom and kind != "factor" else 0
+    for g in raw:
+        k = sums.get(g, (0, 0))[1]
+        around = phi * np.mean([raw[j] for j in near[g]]) if near[g] else 0
+        effect[g] = raw[g] if kind == "factor" else raw[g] + (1 - k * w[g]) * around
+    fitted = fitted + np.array([effect[g] if w[g] is not None else 0 for g in area])
+    h = h + np.array([w[g] or 0 for g in area])
+    for levels in groups:
+        sums, within, between = variances(levels)
+        step = {g: weight(sums.get(g, (0, 0))[1], within, between) for g in set(levels) if g >= 0}
+        effect = {g: v * sums.get(g, (0, 0))[0] for g, v in step.items()}
+        fitted = fitted + np.array([effect.get(g, 0) for g in levels])
+        h = h + np.array([step.get(g, 0) for g in levels])
+    sigma2 = ((y - fitted)[seen] ** 2).sum() / max(1, n - h[seen].sum())
+    return fitted, np.sqrt(sigma2 * h)
 
 
 @pytest.fixture(scope="module")
@@ -126,92 +132,59 @@ def fitted(spark, sf_dir):
     return m.fits(spark, sf_dir), m.scored(spark, sf_dir)
 
 
-def dense_model(spark, sf_dir, fits, model_id):
-    """Rows of one model and the covariance of their linear predictors."""
-    rows = fits.rows.where(F.col("model_id") == model_id).orderBy("GEOID", "YEAR").toPandas()
-    family = rows.family[0]
-    s = next(x for x in m.SPECS if x.family == family)
-    hyper = {r.name: r["mean"] for r in fits.posterior.where((F.col("model_id") == model_id) & (F.col("kind") == "hyper")).collect()}
-    levels = {r.pos for r in fits.levels.where(F.col("model_id") == model_id).collect()}
-    years = design.year_range(m.prepared_stage(spark, sf_dir))
-    k = FLAT * np.ones((len(rows),) * 2)
-    for b in design.blocks(s, 20, years):
-        at = [p for p in range(b.start, b.start + b.size) if p in levels]
-        x = np.array([[float(p in idx) for p in at] for idx in rows.idx])
-        if b.kind == "iid":
-            c = np.eye(len(at))
-        else:
-            d = np.diff(np.eye(len(at)), axis=0)
-            c = np.linalg.pinv(d.T @ d)
-            c /= np.exp(np.mean(np.log(np.diag(c))))
-        k += x @ c @ x.T / np.exp(hyper[f"precision {b.term}"])
-    areas = sorted(rows.CNTY.unique())
-    z = np.array([[float(c == a) for a in areas] for c in rows.CNTY])
-    if s.area == "factor":
-        k += FLAT * z @ z.T
-    else:
-        crop = rows.crop[0]
-        pairs = m.edges(spark, sf_dir).where(F.col("crop") == crop).collect()
-        q = np.zeros((len(areas),) * 2)
-        for e in pairs:
-            q[areas.index(e.i), areas.index(e.j)] = -1
-        np.fill_diagonal(q, -q.sum(axis=1))
-        c = np.linalg.pinv(q)
-        c /= np.exp(np.mean(np.log(np.diag(c))))
-        phi = 1 / (1 + np.exp(-hyper["phi CNTY"]))
-        k += z @ ((1 - phi) * np.eye(len(areas)) + phi * c) @ z.T / np.exp(hyper["precision CNTY"])
-    return rows, k, np.exp(hyper["noise precision"])
-
-
-def conditional(k, y, seen, tau):
-    ky = k[np.ix_(seen, seen)] + np.eye(len(seen)) / tau
-    gain = np.linalg.solve(ky, k[seen]).T
-    return gain @ y[seen], np.diag(k - gain @ k[seen])
-
-
 @pytest.mark.parametrize("model_id", ["BUILDING_yield_SIDI_fe", "FURNITURE_dyield_dSIDI_bym", "MACHINERY_yield_SIDI_bym"])
-def test_scores_match_dense_formulas(spark, sf_dir, fitted, model_id):
+def test_fit_follows_its_definition(spark, sf_dir, fitted, model_id):
     fits, scored = fitted
-    rows, k, tau = dense_model(spark, sf_dir, fits, model_id)
+    one = fits.models.where(F.col("model_id") == model_id).first()
+    rows = fits.rows.where(F.col("design_id") == one.design_id).orderBy("GEOID", "YEAR").collect()
+    s = next(x for x in m.SPECS if x.family == one.family)
+    years = design.year_range(m.prepared_stage(spark, sf_dir))
+    y = np.array([math.nan if r.y is None else r.y for r in rows])
+    area = np.array([r.CNTY for r in rows])
+    groups = [
+        np.array([next((p for p in r.idx if b.start <= p < b.start + b.size), -1) for r in rows]) for b in design.blocks(s, 20, years)
+    ]
+    pairs = [(e.i, e.j) for e in m.edges(spark, sf_dir).where(F.col("crop") == one.crop).collect()]
+    mean, sd = by_definition(y, groups, area, pairs, s.area)
     got = scored.where(F.col("model_id") == model_id).orderBy("GEOID", "YEAR").toPandas()
-    assert len(got) == len(rows)
-    y = rows.y.to_numpy(dtype=float)
-    seen = np.flatnonzero(~np.isnan(y))
-    mean, var = conditional(k, y, seen, tau)
-    assert got["mean"].to_numpy() == pytest.approx(mean, abs=1e-4)
-    assert got["sd"].to_numpy() == pytest.approx(np.sqrt(var), rel=2e-3)
-    checked = 0
-    for i in seen[::5]:
-        others = seen[seen != i]
-        if np.isnan(got.cpo[i]) or (rows.CNTY[others] == rows.CNTY[i]).sum() == 0:
-            continue
-        mo, vo = conditional(k, y, others, tau)
-        total = vo[i] + 1 / tau
-        density = math.exp(-((y[i] - mo[i]) ** 2) / (2 * total)) / math.sqrt(2 * math.pi * total)
-        assert got.cpo[i] == pytest.approx(density, rel=5e-3)
-        checked += 1
-    assert checked > 3
-
-
-def test_free_area_effects_match_contrasts(spark, sf_dir, fitted):
-    """Area contrasts and their sd equal those of the dense predictor covariance."""
+    assert got["mean"].to_numpy() == pytest.approx(mean, abs=1e-9)
+    assert got["sd"].to_numpy() == pytest.approx(sd, abs=1e-9)
+
+
+def small_panel(spark, areas, years):
+    """A panel whose areas differ, along a chain, and whose response falls with TP."""
+    rows = spark.range(areas * years).select(
+        F.lit("c").alias("crop"), (F.col("id") % areas).cast("string").alias("GEOID"), F.floor(F.col("id") / areas).cast("int").alias("Yr"),
+        (F.col("id") % areas).cast("int").alias("CNTY"), F.sin("id").alias("TP"), F.cos(F.col("id") * 7).alias("dSIDI"),
+    ).withColumn("YEAR", F.col("Yr") + 2000)
+    noise = F.pmod(F.xxhash64("GEOID", "Yr"), F.lit(1000)) / 10000
+    return rows.withColumn("YIELD", F.sin(F.col("CNTY") / 50) - F.col("TP") / 2 + noise)
+
+
+def test_more_areas_than_any_dense_system(spark):
+    df = small_panel(spark, 6000, 4).cache()
+    specs = [spec.yield_model(f"m_{a}", "dSIDI", a, ["TP"]) for a in ("factor", "bym2")]
+    edges = spark.range(5999).select(F.lit("c").alias("crop"), F.explode(F.array(
+        F.struct(F.col("id").cast("int").alias("i"), (F.col("id") + 1).cast("int").alias("j")),
+        F.struct((F.col("id") + 1).cast("int").alias("i"), F.col("id").cast("int").alias("j")),
+    )).alias("e")).select("crop", "e.*")
+    fits = fit.fit_models(df, QuantileBins(df, ["crop"], ["TP", "dSIDI"]), edges, specs)
+    scored = fit.score_rows(fits)
+    assert fits.areas.count() == 12_000 and scored.count() == 48_000
+    found = {r.model_id: r for r in diagnostics.diagnostics(scored).collect()}
+    assert all(r.mse < 0.2 for r in found.values())
+    assert fits.models.where("area = 'bym2'").first().phi > 0.9  # neighbours are alike
+    effects = fit.effect_table(fits)
+    assert effects.where("term = 'CNTY'").count() == 5999 + 6000
+    curve = effects.where("term = 'TP' and family = 'm_bym2'").orderBy("x").collect()
+    assert curve[0]["mean"] > 0.05 > -0.05 > curve[-1]["mean"]
+
+
+def test_plans_hold_no_python(spark, fitted):
     fits, _ = fitted
-    model_id = "BUILDING_yield_SIDI_fe"
-    rows, k, tau = dense_model(spark, sf_dir, fits, model_id)
-    y = rows.y.to_numpy(dtype=float)
-    seen = np.flatnonzero(~np.isnan(y))
-    areas = sorted(rows.CNTY.unique())
-    z = np.array([[float(c == a) for a in areas] for c in rows.CNTY])
-    ky = k[np.ix_(seen, seen)] + np.eye(len(seen)) / tau
-    cross = FLAT * z[seen]
-    mean = cross.T @ np.linalg.solve(ky, y[seen])
-    cov = FLAT * np.eye(len(areas)) - cross.T @ np.linalg.solve(ky, cross)
-    got = fit.effect_table(fits).where((F.col("model_id") == model_id) & (F.col("term") == "CNTY")).collect()
-    assert len(got) == len(areas) - 1
-    for r in got:
-        a, b = areas.index(r.level), 0
-        assert r["mean"] == pytest.approx(mean[a] - mean[b], abs=1e-3)
-        assert r.sd == pytest.approx(math.sqrt(cov[a, a] + cov[b, b] - 2 * cov[a, b]), rel=5e-3)
+    for df in (fit.score_rows(fits), fit.effect_table(fits), fit.hyper_table(fits)):
+        plan = df._jdf.queryExecution().toString()
+        assert "CoGroup" not in plan and "Python" not in plan and "Cartesian" not in plan and "Pandas" not in plan
 
 
 def test_result_tables(spark, fitted):
@@ -223,28 +196,18 @@ def test_result_tables(spark, fitted):
     summary = diagnostics.parameter_summary(fit.intercept_table(fits), fit.hyper_table(fits))
     assert summary.where("name = '(Intercept)'").count() == 50
     assert summary.where("not (q025 <= q50 and q50 <= q975)").count() == 0
-    effects = fit.effect_table(fits)
-    smooth = effects.where("term not in ('CNTY', 'YEAR_id', 'YEAR_id2')")
-    # Smooth effects sum to zero over their levels.
-    assert smooth.groupBy("model_id", "term").agg(F.sum("mean").alias("s")).where("abs(s) > 1e-8").count() == 0
     assert scored.where("y is null and (cpo is not null or p_value is not null)").count() == 0
 
 
-def test_bym_and_two_terms(spark, sf_dir):
-    """Two spatial precisions, default priors, and two diversity terms."""
+def test_two_terms_and_two_kinds_of_area(spark, sf_dir):
     rows, found = m.prepared_stage(spark, sf_dir), m.bins(spark, sf_dir)
     specs = [
-        spec.yield_model("two_precisions", area="bym", priors="default"),
+        spec.yield_model("spatial", area="bym", priors="default"),
         spec.change_model("two_terms", ["dSIDI", "dRICH"], spec.CHANGE_CONTROLS, "factor", {"dTP": "default"}),
     ]
     fits = fit.fit_models(rows, found, m.edges(spark, sf_dir), specs)
     scored = fit.score_rows(fits)
-    names = {r.name for r in fit.hyper_table(fits).where("family = 'two_precisions'").collect()}
-    assert {"precision CNTY independent", "precision CNTY spatial"} <= names and "phi CNTY" not in names
-    got = scored.groupBy("family").agg(F.count("y").alias("n"), F.count(F.when(F.col("sd") > 0, 1)).alias("ok"),
-                                       F.count(F.lit(1)).alias("rows"), F.avg(F.col("y") - F.col("mean")).alias("off")).collect()
-    assert len(got) == 2
-    for r in got:
-        assert r.ok == r.rows and r.n > 0 and abs(r.off) < 1e-3
+    got = scored.groupBy("family").agg(F.count("y").alias("n"), F.avg(F.col("y") - F.col("mean")).alias("off")).collect()
+    assert len(got) == 2 and all(r.n > 0 and abs(r.off) < 0.05 for r in got)
     terms = fit.effect_table(fits).where("family = 'two_terms'").select("term").distinct().count()
     assert terms == 8 + 2 + 1

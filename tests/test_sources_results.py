@@ -48,6 +48,13 @@ def test_csv_with_row_numbers(spark, tmp_path):
     assert got.where("row_id <> k + 1").count() == 0 and got.count() == 50
 
 
+def test_row_numbers_follow_many_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(5)
+    got = tables.with_row_id(df, ["k"], range_rows=20)
+    assert got.where("row_id <> k + 1").count() == 0 and got.count() == 500
+    assert tables.with_row_id(df.limit(0), ["k"]).count() == 0
+
+
 def test_results_by_model(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "model_id string, dic double")
     path = str(tmp_path / "fits")
@@ -68,10 +75,10 @@ def test_labels(spark):
         [("wheat", "f", "aveSIDI2yr", 0.5, -1.0, 0.1, 1.0), ("corn", "f", "covfert", 5.0, -1.0, 0.1, 1.0)],
         "crop string, family string, term string, x double, q025 double, q50 double, q975 double",
     )
-    got = {r.Crop: r for r in curves.curves_across_crops(effects, "dyield", "f", {"aveSIDI2yr": (0, 1), "covfert": (0, 1)}).collect()}
+    got = {r.Crop: r for r in curves.curves_across_crops(effects, {"f": "dyield"}, ["aveSIDI2yr", "covfert"]).collect()}
     assert got["Winter wheat"].label == "Average Diversity (2 years)"
     assert got["Corn"].label == "Coefficient of Variation \n for Fertlizer"
-    assert got["Corn"].effect_on == "Effect on dYIELD"
+    assert got["Corn"].effect_on == "Effect on dyield"
     assert got["Winter wheat"].in_view and not got["Corn"].in_view
 
 
