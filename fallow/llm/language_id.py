@@ -16,7 +16,7 @@ One fifth of the training documents is left out of the counts and calibrates: th
 score is the share of right answers at a document's margin over the second language
 (made monotone by pooling neighbours), and a document is rejected if its cross-entropy
 lies over its language's mean by more than `SPREADS` standard deviations at its length
-and nearer to chance, an unseen character each time, than to that mean.
+and by more than `CHANCE` of the way to chance, an unseen character each time.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are
 rejected; without any training document all texts are; ties go to the language that
@@ -41,6 +41,7 @@ from fallow.session import settle, ship_package
 ORDER = 4
 MAX_GRAMS = 200_000
 SPREADS = 8.0
+CHANCE = 0.75
 FOLDS = 5
 CHUNK = 1_000_000  # characters counted or scored at a time
 MARGINS = 200
@@ -294,7 +295,7 @@ def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.n
     winner, least, margin = _best(entropy, model.base)
     known = letters > 0
     mean, variance = model.typical[winner].T
-    limit = np.maximum(mean + SPREADS * np.sqrt(variance / np.clip(sizes, 1, 400)), (mean - model.base) / 2)
+    limit = np.maximum(mean + SPREADS * np.sqrt(variance / np.clip(sizes, 1, 400)), mean + CHANCE * (-model.base - mean))
     score = np.where(known, model.accuracy[margin_bin(margin, sizes)], 0.0)
     names = [model.languages[w] if k else UNKNOWN for w, k in zip(winner, known, strict=True)]
     return names, score, np.where(known, least, 0.0), ~known | (least > limit)
