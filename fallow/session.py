@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,18 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once per application."""
+    """Give this package to the Python workers of every executor, once per application, by way of the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="fallow-package-")) / "fallow"
-    archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
-    spark.sparkContext.addPyFile(archive)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{app}/{package.name}.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target.toString())
     _shipped.add(app)
