@@ -77,6 +77,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _even(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two each, which changes no cosine and keeps squares in range."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def _index(dim: int, tables: int, probes: int, blocks: int, seed: int, queries: bool):
     """Bucket rows of vectors (one per table) or of queries (one per table, probe and block)."""
 
@@ -85,7 +90,7 @@ def _index(dim: int, tables: int, probes: int, blocks: int, seed: int, queries:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _matrix(batch["vector"], dim)
+            rows = _even(_matrix(batch["vector"], dim))
             unit = np.zeros((len(rows), signs.shape[2]))
             unit[:, :dim] = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
             for t in range(tables):
@@ -111,7 +116,7 @@ def _best(k: int, dim: int):
         if not queries.num_rows or not vectors.num_rows:
             return schema.empty_table()
         q_ids, v_ids = queries["id"].to_numpy(), vectors["id"].to_numpy()
-        q, v = (_matrix(t["vector"].combine_chunks(), dim) for t in (queries, vectors))
+        q, v = (_even(_matrix(t["vector"].combine_chunks(), dim)) for t in (queries, vectors))
         q_norm, v_norm = (np.sqrt((m * m).sum(axis=1)) for m in (q, v))
         found = [[], [], []]
         for at in range(0, len(q), 256):

@@ -198,6 +198,14 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest.nearest(df, df.limit(0)).collect() == []
 
 
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [3e307, 1e307]), (3, [-5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(nearest.nearest(df, df.where("vec_id = 0")).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == [2, 1, 3]
+    assert np.allclose([r.score for r in got], [3 / 10**0.5, 0.5**0.5, -1])
+
+
 def test_equal_vectors_in_many_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)] + [(i, rng.normal(size=4).tolist()) for i in range(300, 400)]
