@@ -38,6 +38,7 @@ from fallow.session import settle
 
 MODEL = ["model_id", "crop", "family"]
 Z975 = 1.959964
+RSS, P_EFF = -1, -2  # beside the positions of levels
 
 
 @dataclass
@@ -106,25 +107,34 @@ def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs:
     at_level = both.where("i = j").select("design_id", F.col("i").alias("pos"), F.col("v").alias("n"))
     names = settle(names.join(at_level, ["design_id", "pos"], "left").fillna(0.0, ["n"]))
 
+    # What a part leaves, in one table: r by position, and by model the squares left (at RSS) and the effective parameters (at P_EFF).
+    state = settle(remaining.unionByName(left.select("model_id", F.explode(F.array(
+        F.struct(F.lit(RSS).alias("pos"), F.col("rss").alias("r")), F.struct(F.lit(P_EFF).alias("pos"), F.col("p_eff").alias("r")),
+    )).alias("s")).select("model_id", "s.*")))
+    sizes = settle(start.select("model_id", "design_id", "n_rows"))
     done, found = [], [parts]
     for k in range(max(len(m.terms) for m in specs)):
-        own = settle(names.where(F.col("ord") == k).join(keys.select("model_id", "design_id"), "design_id").join(remaining, ["model_id", "pos"], "left").fillna(0.0, ["r"]))
-        moments = settle(_variances(own, left.select("model_id", "n_rows", "rss")))
-        effects = settle(own.join(moments, "model_id").withColumn("w", _shrunk()).withColumn("mean", F.col("w") * F.col("r")))
+        own = names.where(F.col("ord") == k).join(sizes, "design_id").join(state, ["model_id", "pos"], "left").fillna(0.0, ["r"])
+        squares = state.where(F.col("pos") == RSS).select("model_id", F.col("r").alias("rss")).join(sizes.drop("design_id"), "model_id")
+        effects = own.join(_variances(own, squares), "model_id").withColumn("w", _shrunk()).withColumn("mean", F.col("w") * F.col("r"))
+        effects = settle(effects.select("model_id", "design_id", "ord", "term", "level", "pos", "x", "n", "r", "mean", "w", "groups", "within", "between"))
         done.append(effects.select("model_id", "ord", "term", "level", "pos", "x", "n", "mean", "w"))
-        found.append(moments.join(own.select("model_id", "ord", "term").distinct(), "model_id"))
+        found.append(effects.select("model_id", "ord", "term", "groups", "within", "between").distinct())
+        step = effects.select("model_id", "design_id", F.col("pos").alias("j"), "mean")
+        taken = both.join(step, ["design_id", "j"]).groupBy("model_id", F.col("i").alias("pos")).agg(F.sum(F.col("v") * F.col("mean")).alias("taken"))
         used = effects.groupBy("model_id").agg(
-            F.sum(F.col("n") * F.col("mean") * F.col("mean") - 2 * F.col("mean") * F.col("r")).alias("rss_step"),
-            F.sum(F.col("n") * F.col("w")).alias("p_step"),
+            F.sum(2 * F.col("mean") * F.col("r") - F.col("n") * F.col("mean") * F.col("mean")).alias("squares"),
+            F.sum(-F.col("n") * F.col("w")).alias("parameters"),
         )
-        left = settle(left.join(used, "model_id", "left").select(
-            "model_id", "n_rows",
-            (F.col("rss") + F.coalesce("rss_step", F.lit(0.0))).alias("rss"),
-            (F.col("p_eff") + F.coalesce("p_step", F.lit(0.0))).alias("p_eff"),
+        used = used.select("model_id", F.explode(F.array(
+            F.struct(F.lit(RSS).alias("pos"), F.col("squares").alias("taken")), F.struct(F.lit(P_EFF).alias("pos"), F.col("parameters").alias("taken")),
+        )).alias("s")).select("model_id", "s.*")
+        state = settle(state.join(taken.unionByName(used), ["model_id", "pos"], "left").select(
+            "model_id", "pos", (F.col("r") - F.coalesce("taken", F.lit(0.0))).alias("r")
         ))
-        step = effects.select("model_id", "design_id", F.col("pos").alias("j"), "mean")
-        taken = both.join(step, ["design_id", "j"]).groupBy("model_id", F.col("i").alias("pos")).agg(F.sum(F.col("v") * F.col("mean")).alias("taken"))
-        remaining = settle(remaining.join(taken, ["model_id", "pos"], "left").select("model_id", "pos", (F.col("r") - F.coalesce("taken", F.lit(0.0))).alias("r")))
+    left = sizes.drop("design_id")
+    for pos, name in ((RSS, "rss"), (P_EFF, "p_eff")):
+        left = left.join(state.where(F.col("pos") == pos).select("model_id", F.col("r").alias(name)), "model_id")
 
     phi = areas.groupBy("model_id").agg(F.max("phi").alias("phi"))
     sigma2 = F.greatest(F.lit(0.0), F.col("rss")) / F.greatest(F.lit(1.0), F.col("n_rows") - F.col("p_eff"))
