@@ -27,12 +27,13 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallow.llm.components import components
@@ -42,6 +43,7 @@ WIDTH, PERCENT = 3, 85
 MISS = 1e-6
 VALUES = 128  # signature values at most
 CHUNK = 1 << 16  # shingles permuted at a time
+BATCH = 256  # rows with whole texts that a Python worker holds at a time
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,6 +138,18 @@ def _signer(width: int, rows: int, bands: int, seed: int):
     return run
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """While a stage with whole texts runs, hand Python fewer rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _confirmer(width: int, percent: int):
     """Keep pairs whose full sets meet the threshold."""
 
@@ -145,7 +159,7 @@ def _confirmer(width: int, percent: int):
 
             def of(text: str, sets=sets) -> np.ndarray:
                 if text not in sets:
-                    if len(sets) > 2000:
+                    if len(sets) > BATCH:
                         sets.clear()
                     sets[text] = shingle_set(text, width)
                 return sets[text]
@@ -167,7 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     ship_package(docs.sparkSession)
     rows, bands = band_shape(percent / 100)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(own.mapInArrow(_signer(width, rows, bands, seed), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    with small_batches(docs.sparkSession):
+        signed = settle(own.mapInArrow(_signer(width, rows, bands, seed), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
 
     classes = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
     classes = settle(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -191,7 +206,8 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
-        return settle(both.mapInArrow(_confirmer(width, percent), "a long, b long"))
+        with small_batches(own.sparkSession):
+            return settle(both.mapInArrow(_confirmer(width, percent), "a long, b long"))
 
     first = settle(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     near = confirm(first)
@@ -227,7 +243,8 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     after the first that they share enough must be left in both.  Documents that have a long passage in
     common, but differ otherwise, share none of their rare shingles and never become a pair.
     """
-    tokens = settle(docs.select("id", "n", "root", "text").mapInArrow(_exploder(width), "id long, n long, root long, token long"))
+    with small_batches(docs.sparkSession):
+        tokens = settle(docs.select("id", "n", "root", "text").mapInArrow(_exploder(width), "id long, n long, root long, token long"))
     held = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("held > 1")
     of_doc = Window.partitionBy("id")  # at most one document's shingles
     place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("held", "token"))
