@@ -8,9 +8,11 @@ sorted key arrays with one column per language, so a text is scored for all lang
 by one binary search per character, and only n-grams that no language knows go on to
 the next lower order.  The language with the lowest cross-entropy per character wins.
 
-Counting is one pass with a partial count per partition.  The model holds at most
-`MAX_GRAMS` n-grams a language, the most frequent ones; that is its only bound, and it
-bounds what is sent to the driver and the executors.
+Counting is one pass with a partial count per partition.  Continuation counts, context
+totals, discounts and probabilities are Spark aggregates and joins over all n-grams.  The
+tables are stored sorted, in range partitions in the shared folder; only sums per language
+reach the driver.  Tasks read the row groups that hold their texts' n-grams with pyarrow,
+which must know the shared folder's file system, and keep at most `CACHE` bytes of them.
 
 One fifth of the training documents is left out of the counts and calibrates: the
 score is the share of right answers at a document's margin over the second language
@@ -28,18 +30,23 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fallow.session import settle, ship_package
+from fallow.session import settle, shared_dir, ship_package
 
 ORDER = 4
-MAX_GRAMS = 200_000
+GROUP = 1 << 20  # bytes of a row group
+CACHE = 128 << 20  # bytes of row groups that a Python worker holds
 SPREADS = 8.0
 CHANCE = 0.75
 FOLDS = 5
@@ -104,8 +111,15 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n) of a partition."""
+    """(lang, key, n) of a partition; a key comes again when more are distinct than are held."""
     held: dict[str, list] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            keys, n = _merged(parts)
+            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+
+    size = lambda: sum(len(k) for parts in held.values() for k, _ in parts)
     for batch in batches:
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -113,11 +127,12 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in by.items():
             for a, b in chunks(texts, CHUNK):
                 held.setdefault(lang, []).append(np.unique(grams(texts[a:b])[0], return_counts=True))
-            if sum(len(k) for k, _ in held[lang]) > 4 * CHUNK:
-                held[lang] = [_merged(held[lang])]
-    for lang, parts in held.items():
-        keys, n = _merged(parts)
-        yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+                if size() > 4 * CHUNK:
+                    held = {x: [_merged(parts)] for x, parts in held.items()}
+                if size() > 2 * CHUNK:
+                    yield from rows()
+                    held = {}
+    yield from rows()
 
 
 def fold(key: Column) -> Column:
@@ -130,15 +145,81 @@ class Table(NamedTuple):
     values: np.ndarray  # by key, then language
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether and where keys are."""
+        """Whether keys are there, and their values (any, where not)."""
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, at
+        return self.keys[at] == keys, self.values[at]
+
+
+_groups: OrderedDict[tuple[str, int], Table] = OrderedDict()  # of this process, the last used at the end
+_held = 0  # their bytes
+
+
+def _group(file: str, number: int) -> Table:
+    """A row group of a stored table, from the cache if there."""
+    global _held
+    name = (file, number)
+    if name in _groups:
+        _groups.move_to_end(name)
+        return _groups[name]
+    system, path = pyarrow.fs.FileSystem.from_uri(file)
+    with system.open_input_file(path) as source:
+        rows = pyarrow.parquet.ParquetFile(source).read_row_group(number).combine_chunks()
+    keys = rows["key"].to_numpy().view(np.uint64)
+    group = Table(keys, rows["value"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1))
+    _groups[name] = group
+    _held += group.keys.nbytes + group.values.nbytes
+    while _held > CACHE and len(_groups) > 1:
+        old = _groups.popitem(last=False)[1]
+        _held -= old.keys.nbytes + old.values.nbytes
+    return group
+
+
+@functools.lru_cache(maxsize=64)
+def _index(files: tuple[str, ...]) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """Row groups of a stored table in the order of their keys, and the first key of each."""
+    found = []
+    for file in files:
+        system, path = pyarrow.fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as source:
+            footer = pyarrow.parquet.ParquetFile(source).metadata
+        found += [(footer.row_group(i).column(0).statistics.min, file, i) for i in range(footer.num_row_groups) if footer.row_group(i).num_rows]
+    found.sort()
+    return [(file, i) for _, file, i in found], np.array([first for first, _, _ in found], np.int64)
+
+
+class Stored(NamedTuple):
+    """A table in files of the shared folder, sorted by key as a signed number."""
+
+    files: tuple[str, ...]
+    languages: int
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys are there, and their values (any, where not)."""
+        groups, firsts = _index(self.files)
+        wanted, inverse = np.unique(keys.view(np.int64), return_inverse=True)
+        found, values = np.zeros(len(wanted), bool), np.zeros((len(wanted), self.languages), np.float32)
+        at = np.searchsorted(firsts, wanted, "right") - 1
+        for i in np.unique(at[at >= 0]):
+            a, b = np.searchsorted(at, [i, i + 1])
+            group = _group(*groups[i])
+            own = group.keys.view(np.int64)
+            place = np.minimum(np.searchsorted(own, wanted[a:b]), len(own) - 1)
+            found[a:b], values[a:b] = own[place] == wanted[a:b], group.values[place]
+        return found[inverse], values[inverse]
+
+    @property
+    def keys(self) -> np.ndarray:
+        return np.concatenate([_group(*g).keys for g in _index(self.files)[0]])
+
+    @property
+    def values(self) -> np.ndarray:
+        return np.concatenate([_group(*g).values for g in _index(self.files)[0]])
 
 
 class Model(NamedTuple):
     languages: list[str]
-    grams: list[Table]  # log probability, by order from 1
-    contexts: list[Table]  # log weight of the lower order, by order from 1
+    grams: list[Table] | list[Stored]  # log probability, by order from 1
+    contexts: list[Table] | list[Stored]  # log weight of the lower order, by order from 1
     base: float  # log probability of an unseen character
     accuracy: np.ndarray  # by margin
     typical: np.ndarray  # by language: mean cross-entropy, and its variance at one character
@@ -146,15 +227,12 @@ class Model(NamedTuple):
     def log_probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order == 0:
             return np.full((len(keys), len(self.languages)), self.base, np.float32)
-        table = self.grams[order - 1]
-        found, at = table.find(keys)
-        out = table.values[at]
+        found, out = self.grams[order - 1].find(keys)
         if not found.all():
             miss = keys[~found]
             lower = self.log_probabilities(miss & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-            context = self.contexts[order - 1]
-            known, where = context.find(miss >> np.uint64(16))
-            out[~found] = np.where(known[:, None], context.values[where], 0) + lower
+            known, weight = self.contexts[order - 1].find(miss >> np.uint64(16))
+            out[~found] = np.where(known[:, None], weight, 0) + lower
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +253,61 @@ def margin_bin(margin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(margin * np.sqrt(sizes) * 8, MARGINS - 1).astype(np.int64)
 
 
+def discount_of(ones: int, twos: int) -> float:
+    return float(min(0.95, max(0.1, ones / max(1, ones + 2 * twos))))
+
+
+def _sorted_table(df: DataFrame, languages: int) -> Stored:
+    """`df` (key, value: one number a language) in files of the shared folder, in range partitions sorted by key."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    rows = df.select("key", F.transform("value", lambda v: F.log(v).cast("float")).alias("value")).orderBy("key")
+    rows.write.option("parquet.block.size", GROUP).option("parquet.enable.dictionary", "false").parquet(path)
+    return Stored(tuple(sorted(spark.read.schema("key long, value array<float>").parquet(path).inputFiles())), languages)
+
+
+def stored_model(counted: DataFrame) -> Model | None:
+    """Tables of all languages from stored n-gram counts (lang, key, n); None without any."""
+    languages = sorted(x for (x,) in counted.select("lang").distinct().collect())
+    if not languages:
+        return None
+    each = range(len(languages))
+    counts = [counted.groupBy("key").agg(F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages]).alias("n"))]
+    for o in range(ORDER - 1, 0, -1):  # continuation counts
+        counts[0] = settle(counts[0])
+        suffix = F.col("key").bitwiseAND(F.lit((1 << 16 * o) - 1))
+        counts.insert(0, counts[0].groupBy(suffix.alias("key")).agg(F.array(*[F.count_if(F.col("n")[i] > 0) for i in each]).alias("n")))
+    counts[0] = settle(counts[0])
+    base = 1.0 / (counts[0].count() + 1)
+
+    grams, contexts, lower = [], [], None
+    for o, own in enumerate(counts, 1):
+        few = own.agg(*[F.count_if(F.col("n")[i] == k) for i in each for k in (1, 2)]).first()
+        discounts = [discount_of(few[2 * i], few[2 * i + 1]) for i in each]
+        context = F.shiftrightunsigned("key", 16)
+        summed = own.groupBy(context.alias("context")).agg(
+            F.array(*[F.sum(F.col("n")[i]) for i in each]).alias("total"),
+            F.array(*[F.count_if(F.col("n")[i] > 0) for i in each]).alias("kinds"),
+        )
+        weight = F.array(*[F.when(F.col("total")[i] > 0, F.lit(discounts[i]) * F.col("kinds")[i] / F.col("total")[i]).otherwise(1.0) for i in each])
+        summed = settle(summed.select("context", "total", weight.alias("weight")))
+        rows = own.withColumn("context", context).join(summed, "context")
+        if o == 1:
+            rows = rows.withColumn("lower", F.array(*[F.lit(base) for _ in each]))
+        else:
+            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 16 * (o - 1)) - 1))).join(lower.select(F.col("key").alias("suffix"), F.col("value").alias("lower")), "suffix")
+        share = lambda i: F.when(F.col("total")[i] > 0, F.greatest(F.col("n")[i] - F.lit(discounts[i]), F.lit(0.0)) / F.col("total")[i]).otherwise(0.0)  # noqa: B023, E731
+        lower = rows.select("key", F.array(*[share(i) + F.col("weight")[i] * F.col("lower")[i] for i in each]).alias("value"))
+        if o < ORDER:
+            lower = settle(lower)
+        grams.append(_sorted_table(lower, len(languages)))
+        contexts.append(_sorted_table(summed.select(F.col("context").alias("key"), F.col("weight").alias("value")), len(languages)))
+    never = np.column_stack([np.full(len(languages), np.inf), np.zeros(len(languages))])
+    return Model(languages, grams, contexts, float(np.log(base)), np.zeros(MARGINS), never)
+
+
 def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Tables of all languages from their n-gram counts."""
+    """Tables of all languages from n-gram counts in memory; `stored_model` gives the same from a table of any size."""
     languages = sorted(counts)
     levels: dict[str, list] = {}  # by language, by order from 1: keys, discounted share, contexts, lower weight
     alphabets = []
@@ -186,7 +317,7 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         keys, n, own = keys[order], n[order].astype(float), []
         for o in range(ORDER, 0, -1):
             ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+            discount = discount_of(ones, twos)
             contexts, inverse, kinds = np.unique(keys >> np.uint64(16), return_inverse=True, return_counts=True)
             total = np.bincount(inverse, weights=n)
             own.insert(0, (keys, np.maximum(n - discount, 0) / total[inverse], contexts, discount * kinds / total))
@@ -233,20 +364,15 @@ def _own(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return docs.select(fold(F.col(key)).alias("fold"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Models and calibration from the documents outside fold 0; None without any n-gram."""
     spark = docs.sparkSession
     ship_package(spark)
     given = _own(docs, key, text, lang)
     counted = given.where("fold > 1").select("lang", "text").mapInArrow(_counter, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    rows = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_grams).select("lang", "key", "n").toArrow()
-    if not rows.num_rows:
+    model = stored_model(settle(counted))
+    if model is None:
         return None
-    langs, keys, n = rows["lang"].combine_chunks(), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    codes = langs.dictionary_encode()
-    which = codes.indices.to_numpy()
-    model = build_model({x: (keys[which == i], n[which == i]) for i, x in enumerate(codes.dictionary.to_pylist())})
 
     scored = given.where("fold = 1").select("lang", "text").mapInArrow(
         _scorer(spark.sparkContext.broadcast(model)), "lang string, lang_pred string, margin_bin long, entropy double, sizes double"

@@ -187,3 +187,26 @@ def test_grams_of_texts():
     name = lambda k: "".join(chr(int(k) >> 16 * i & 0xFFFF) for i in (3, 2, 1, 0))
     assert [(name(k), int(t)) for k, t in zip(keys, text, strict=True)] == [("\0\0\0a", 0), ("\0\0ab", 0), ("\0\0\0c", 2), ("\0\0c ", 2), ("\0c d", 2)]
     assert list(letters) == [2, 0, 2, 0]
+
+
+def test_stored_tables_hold_every_gram(spark, monkeypatch):
+    """More 4-grams than any bound that a driver would hold, in small row groups and a cache smaller than the tables."""
+    monkeypatch.setattr(language_id, "GROUP", 1 << 16)
+    monkeypatch.setattr(language_id, "CACHE", 1 << 16)
+    rng = np.random.default_rng(1)
+    own = {"one": rng.integers(0x4E00, 0x5200, 400_000), "two": rng.integers(0x61, 0x7B, 50_000)}
+    texts = {x: ["".join(map(chr, c[i : i + 5000])) for i in range(0, len(c), 5000)] for x, c in own.items()}
+    rows = [(i, t, x) for i, (x, t) in enumerate((x, t) for x in texts for t in texts[x])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for x in texts:
+        learned = [t for i, t, y in rows if y == x and zlib.crc32(str(i).encode()) % 5 > 1]
+        counts[x] = np.unique(language_id.grams(learned)[0], return_counts=True)
+    stored, want = language_id.learn(docs), language_id.build_model(counts)
+    assert len(counts["one"][0]) > 200_000 and stored.base == want.base
+    assert len(language_id._index(stored.grams[3].files)[0]) > 1
+    for a, b in zip(stored.grams + stored.contexts, want.grams + want.contexts, strict=True):
+        order = np.argsort(a.keys)
+        assert (a.keys[order] == b.keys).all() and np.allclose(a.values[order], b.values, atol=1e-5)
+    asked = language_id.grams(texts["one"][:2] + texts["two"][:2] + ["qq\u4e00 x\u0431"])[0]
+    assert np.allclose(stored.log_probabilities(asked), want.log_probabilities(asked), atol=1e-5)
