@@ -1,16 +1,21 @@
 """License scan: an exact containment join of text blocks with license templates.
 
-A block is a line of a document, a template the distinct words of a notice.  A block
-meets a template when it holds at least `containment` of the template's words.  The
-join is the prefix filter for set similarity: words are ordered by how many blocks
-hold them, rarest first; a template with n words of which `need` are required can
-only be met by a block that holds one of its n - need + 1 rarest words, so only these
-are join keys.  A length filter (enough template words in the block) comes before the
-join, a positional filter (enough words left after the first shared one) after it,
-and the full sets confirm what is left.  No filter loses a block.
-
-Blocks are reduced to the words that occur in some template and then to distinct
-sets, so that a notice that a third of all documents carry is joined once.
+A block is a window of a document's words, twice as long as a notice, that begins with one
+of its words and runs across line ends.  A template is the distinct words of a notice.  A block
+meets a template when it holds at least `containment` of the template's words, and of a
+template of fewer than `LONG` words also each word that no other template has and each
+number.  Names of sibling licenses (`SIBLINGS`) do not count as words.
+
+Windows are made only around anchors, words of which a met block holds one: a required word, or
+the n - need + 1 words that fewest templates have.  The join is the prefix filter for
+set similarity: words are ordered by how many blocks hold them, rarest first; a template
+with n words of which `need` are required can only be met by a block that holds one of its
+n - need + 1 rarest words, so only these are join keys.  A positional filter (enough words
+left after the first shared one) follows the join, and the full sets confirm what is left.
+No filter loses a block.
+
+Blocks are reduced to the words that occur in some template of their length and then to
+distinct sets, so that a notice that a third of all documents carry is joined once.
 
 Beside the templates, phrases are found as consecutive words, with their places.
 Words are maximal runs of digits, letters and characters beyond ASCII, with ASCII
@@ -24,6 +29,7 @@ templates only phrases are found; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +50,56 @@ TEMPLATES = (
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of text in either case
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
+LONG = 16
+SIBLINGS = (
+    rf"attribution{GAP}(?:non{GAP}commercial|noncommercial|share{GAP}alike|sharealike|no{GAP}deriv|noderiv)",
+    rf"(?<!{WORD[:-1]})nc{GAP}(?:sa|nd)(?!{WORD[:-1]})",
+    rf"gnu{GAP}(?:lesser|affero|library){GAP}general",
+)
 
 
 def words_of(text: str) -> list[str]:
     """Distinct words of a template, sorted."""
-    import re
+    return sorted(set(_tokens(text)))
+
 
-    return sorted(set(re.findall(WORD, text.lower())))
+def _tokens(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
 
 
 def need_of(n: int, containment: float) -> int:
     return max(1, math.ceil(containment * n - 1e-9))
 
 
+def required_of(words: list[str], sets: list[list[str]]) -> list[str]:
+    """Of a template of few words, those that tell it from the other templates (`sets` has them all)."""
+    return [] if len(words) >= LONG else [w for w in words if w.isdigit() or sum(w in ws for ws in sets) == 1]
+
+
+def anchors_of(words: list[str], need: int, required: list[str], sets: list[list[str]]) -> list[str]:
+    """Words of which every met block holds one."""
+    if required:
+        return [max(required, key=lambda w: (not w.isdigit(), len(w), w))]
+    return sorted(words, key=lambda w: (sum(w in ws for ws in sets), -len(w), w))[: len(words) - need + 1]
+
+
+def windows_of(words: Column, length: int, members: list[str], anchors: list[str], least: int) -> Column:
+    """Distinct sorted sets of at least `least` members in windows that begin with a member and hold an anchor."""
+    listed, wanted = (F.array(*[F.lit(w) for w in ws]) for ws in (members, anchors))
+    none = F.expr("cast(array() as array<array<string>>)")
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(listed, x["word"]))
+    places = F.array(hits)  # bound once
+
+    def sets(own):
+        def block(x, i):
+            near = F.filter(F.slice(own, i + 1, F.lit(length)), lambda y: y["at"] < x["at"] + length)
+            return F.array_sort(F.array_distinct(F.transform(near, lambda y: y["word"])))
+
+        return F.filter(F.transform(own, block), lambda b: (F.size(b) >= least) & F.arrays_overlap(b, wanted))
+
+    return F.when(F.arrays_overlap(words, wanted), F.array_distinct(F.flatten(F.transform(places, sets)))).otherwise(none)
+
+
 def phrase_places(text: Column, n_words: Column, phrase: str) -> Column:
     """struct(n, first, last) of a phrase's places, counted in words from 0."""
     words = phrase.split(" ")
@@ -73,30 +116,32 @@ def phrase_places(text: Column, n_words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels and labels (arrays), score (largest containment met, 1 with a phrase)."""
     spark = docs.sparkSession
-    sets = [(label, words_of(t)) for label, t in templates]
-    sets = [(label, ws, need_of(len(ws), containment)) for label, ws in sets if ws]
-    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
-    least = min((need for _, _, need in sets), default=1)
-
-    in_blocks = F.transform(F.split(F.lower("__text"), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-    own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("blocks", in_blocks)
-    own = own.withColumn("n_words", F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(b)))
-    if vocabulary:
-        known = F.array(*[F.lit(w) for w in vocabulary])
-        reduced = F.transform("blocks", lambda b: F.array_sort(F.array_intersect(b, known)))
-        kept = F.filter(reduced, lambda b: F.size(b) >= least)  # length filter
-    else:
-        kept = F.expr("cast(array() as array<array<string>>)")
+    sets = [(label, words_of(t), 2 * len(_tokens(t))) for label, t in templates]
+    every = [ws for _, ws, _ in sets]
+    sets = [(label, ws, need_of(len(ws), containment), required_of(ws, every), length) for label, ws, length in sets if ws]
+
+    lowered = F.regexp_replace(F.lower("__text"), "|".join(SIBLINGS), " ")
+    own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    own = own.withColumn("n_words", F.regexp_count(F.lower("__text"), F.lit(WORD)))
+    own = own.withColumn("words", F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)))
+    kept = []
+    for length in sorted({n for *_, n in sets}):
+        same = [x for x in sets if x[-1] == length]
+        members = sorted({w for _, ws, *_ in same for w in ws})
+        anchors = sorted({w for _, ws, need, required, _ in same for w in anchors_of(ws, need, required, every)})
+        found = windows_of(F.col("words"), length, members, anchors, min(need for _, _, need, _, _ in same))
+        kept.append(F.transform(found, lambda b: F.struct(F.lit(length).alias("length"), b.alias("words"))))  # noqa: B023)
+    blocks = F.concat(F.expr("cast(array() as array<struct<length:int,words:array<string>>>)"), *kept)
     own = own.select(
         F.monotonically_increasing_id().alias("row"),  # fixed once written
-        "__key", "n_words", F.array_distinct(kept).alias("sets"),
+        "__key", "n_words", blocks.alias("sets"),
         *[phrase_places(F.col("__text"), F.col("n_words"), p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)],
     )
     own = settle(own)
 
-    met = settle(_met_sets(spark, own.select(F.explode("sets").alias("words")).distinct(), sets))
+    met = settle(_met_sets(spark, own.select(F.inline("sets")).distinct(), sets))
     per_row = (
-        own.select("row", F.explode("sets").alias("words")).join(met, "words")
+        own.select("row", F.inline("sets")).join(met, ["length", "words"])
         .groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("score").alias("score"))
     )
     spots = [F.col(f"p{i}") for i in range(len(phrases))]
@@ -117,26 +162,26 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
 
 
 def _met_sets(spark, blocks: DataFrame, sets) -> DataFrame:
-    """Of distinct word sets (`words`, sorted): the labels found and the largest containment."""
+    """Of distinct word sets (`words`, sorted) of windows of a length: the labels found and the largest containment."""
     if not sets:
-        return spark.createDataFrame([], "words array<string>, found array<string>, score double")
-    listed = spark.createDataFrame([(i, label, ws, need) for i, (label, ws, need) in enumerate(sets)], "template int, label string, template_words array<string>, need int")
+        return spark.createDataFrame([], "length int, words array<string>, found array<string>, score double")
+    listed = spark.createDataFrame([(i, *x) for i, x in enumerate(sets)], "template int, label string, template_words array<string>, need int, required array<string>, length int")
     # global order: rarest first, over the template words, of which there are few
     counted = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
     index = (
-        listed.select("template", "label", "template_words", "need", F.explode("template_words").alias("word"))
+        listed.select("template", "label", "template_words", "need", "required", "length", F.explode("template_words").alias("word"))
         .join(counted, "word", "left")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= F.size("template_words") - F.col("need") + 1)  # prefix filter
     )
-    pairs = blocks.select("words", F.explode("words").alias("word")).join(index, "word")
+    pairs = blocks.select("length", "words", F.explode("words").alias("word")).join(index, ["length", "word"])
     # positional filter: after its rarest shared word a template has `size - place` words left to share
     pairs = pairs.where(F.least(F.size("words"), F.size("template_words") - F.col("place") + 1) >= F.col("need"))
     shared = F.size(F.array_intersect("words", "template_words"))
     met = (
-        pairs.groupBy("words", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("template_words").alias("template_words"))
-        .where(shared >= F.col("need"))
-        .select("words", "label", (shared / F.size("template_words")).alias("score"))
+        pairs.groupBy("length", "words", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("required").alias("required"), F.first("template_words").alias("template_words"))
+        .where((shared >= F.col("need")) & (F.size(F.array_except("required", "words")) == 0))
+        .select("length", "words", "label", (shared / F.size("template_words")).alias("score"))
     )
-    return met.groupBy("words").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    return met.groupBy("length", "words").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))

@@ -141,3 +141,19 @@ def test_shards(spark, sf_dir, nasty_docs, no_docs):
             assert all(abs(inside[s] - c * counts[s] / n) <= sources + 1 for s in range(16))
     one = {(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs).collect()}
     assert one == {(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs.repartition(7), bucket_rows=50).collect()}
+
+
+def test_license_notices_across_lines_and_look_alikes(spark):
+    grant = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files (the Software), to deal"
+    bsd = " * Redistribution and use in source and binary\n * forms, with or without modification, are\n * permitted provided that the following\n * conditions are met:"
+    long_line = "the film was released in spring and stayed under discussion " + "by people of many towns " * 10 + "until the mit published a license"
+    given = [
+        (grant, {"mit-grant"}), (bsd, {"bsd"}), ("Licensed under the Apache\nLicense, Version 2.0", {"apache", "apache-2.0"}),
+        ("Released under the Apache License", {"apache"}), ("Licensed under CC BY 4.0", set()), ("Licensed under CC BY-NC 3.0", set()),
+        ("Licensed under CC BY-NC 4.0", {"cc-by-nc-4.0"}), ("Licensed under CC BY-NC-SA 4.0", set()), (long_line, set()),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", set()),
+        ("This work is licensed under a Creative Commons\nAttribution 4.0 International License", {"cc-by-4.0"}),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(given)}
