@@ -18,7 +18,9 @@ One fifth of the training documents is left out of the counts and calibrates: th
 score is the share of right answers at a document's margin over the second language
 (made monotone by pooling neighbours), and a document is rejected if its cross-entropy
 lies over its language's mean by more than `SPREADS` standard deviations at its length
-and by more than `CHANCE` of the way to chance, an unseen character each time.
+and by more than `CHANCE` of the way to chance, any character of the language's own
+alphabet each time.  The alphabet has the most frequent characters that make up `COVERED`
+of the language's text, so that neither another language nor rare letters raise the limit.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are
 rejected; without any training document all texts are; ties go to the language that
@@ -49,6 +51,7 @@ GROUP = 1 << 20  # bytes of a row group
 CACHE = 128 << 20  # bytes of row groups that a Python worker holds
 SPREADS = 8.0
 CHANCE = 0.75
+COVERED = 0.9999
 FOLDS = 5
 CHUNK = 1_000_000  # characters counted or scored at a time
 MARGINS = 200
@@ -223,6 +226,7 @@ class Model(NamedTuple):
     base: float  # log probability of an unseen character
     accuracy: np.ndarray  # by margin
     typical: np.ndarray  # by language: mean cross-entropy, and its variance at one character
+    chance: np.ndarray  # by language: cross-entropy of even chances over its alphabet
 
     def log_probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order == 0:
@@ -253,6 +257,12 @@ def margin_bin(margin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(margin * np.sqrt(sizes) * 8, MARGINS - 1).astype(np.int64)
 
 
+def chance_of(n: np.ndarray) -> float:
+    """Log of one more than the characters, of counts n, that make up `COVERED` of a language."""
+    n = np.sort(n[n > 0])[::-1]
+    return float(np.log(np.searchsorted(np.cumsum(n), COVERED * n.sum()) + 2))
+
+
 def discount_of(ones: int, twos: int) -> float:
     return float(min(0.95, max(0.1, ones / max(1, ones + 2 * twos))))
 
@@ -303,7 +313,10 @@ def stored_model(counted: DataFrame) -> Model | None:
         grams.append(_sorted_table(lower, len(languages)))
         contexts.append(_sorted_table(summed.select(F.col("context").alias("key"), F.col("weight").alias("value")), len(languages)))
     never = np.column_stack([np.full(len(languages), np.inf), np.zeros(len(languages))])
-    return Model(languages, grams, contexts, float(np.log(base)), np.zeros(MARGINS), never)
+    character = F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("character")  # of 16 bits, so few rows
+    seen = counts[-1].groupBy(character).agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in each]).toArrow()
+    chance = np.array([chance_of(seen[f"n{i}"].to_numpy()) for i in each])
+    return Model(languages, grams, contexts, float(np.log(base)), np.zeros(MARGINS), never, chance)
 
 
 def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -346,7 +359,8 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         contexts = np.unique(np.concatenate([levels[x][o - 1][2] for x in languages]))
         weights.append(Table(contexts, np.log(np.stack([look(*levels[x][o - 1][2:], contexts, 1.0) for x in languages], axis=1)).astype(np.float32)))
     never = np.column_stack([np.full(len(languages), np.inf), np.zeros(len(languages))])
-    return Model(languages, tables, weights, float(np.log(base)), np.zeros(MARGINS), never)
+    chance = np.array([chance_of(np.bincount((counts[x][0] & np.uint64(0xFFFF)).astype(np.int64), weights=counts[x][1])) for x in languages])
+    return Model(languages, tables, weights, float(np.log(base)), np.zeros(MARGINS), never, chance)
 
 
 def pooled(right: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -421,7 +435,7 @@ def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.n
     winner, least, margin = _best(entropy, model.base)
     known = letters > 0
     mean, variance = model.typical[winner].T
-    limit = np.maximum(mean + SPREADS * np.sqrt(variance / np.clip(sizes, 1, 400)), mean + CHANCE * (-model.base - mean))
+    limit = np.maximum(mean + SPREADS * np.sqrt(variance / np.clip(sizes, 1, 400)), mean + CHANCE * (model.chance[winner] - mean))
     score = np.where(known, model.accuracy[margin_bin(margin, sizes)], 0.0)
     names = [model.languages[w] if k else UNKNOWN for w, k in zip(winner, known, strict=True)]
     return names, score, np.where(known, least, 0.0), ~known | (least > limit)

@@ -210,3 +210,21 @@ def test_stored_tables_hold_every_gram(spark, monkeypatch):
         assert (a.keys[order] == b.keys).all() and np.allclose(a.values[order], b.values, atol=1e-5)
     asked = language_id.grams(texts["one"][:2] + texts["two"][:2] + ["qq\u4e00 x\u0431"])[0]
     assert np.allclose(stored.log_probabilities(asked), want.log_probabilities(asked), atol=1e-5)
+
+
+def test_noise_beside_a_wide_alphabet_is_rejected(spark):
+    """20000 characters of one language leave the limit of the others alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(2)
+    wide = [(10**6 + i, "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20_000, 5000))), "wide") for i in range(40)]
+    alone = language_id.learn(docs)
+    beside = language_id.learn(docs.unionByName(spark.createDataFrame(wide, docs.schema)))
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)) for _ in range(5)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto"
+    noise = [*letters, polish, finnish]
+    real = [r.text for r in docs.where("length(text) > 200").limit(50).collect()]
+    for model in (alone, beside):
+        assert language_id.judge(model, noise)[3].all()
+    assert (language_id.judge(beside, real)[3] == language_id.judge(alone, real)[3]).all()
+    assert np.allclose(beside.chance[[beside.languages.index(x) for x in alone.languages]], alone.chance)
