@@ -52,7 +52,7 @@ RULES = (
     Rule("chat", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
 )
 
-SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+SPAN = "struct<start:int,rank:int,kind:string,end:int,version:int>"
 LEDGER = f"blob string, pairs array<string>, spans array<{SPAN}>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
@@ -68,7 +68,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
     def add(state, x):
         start = state["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("end"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("end"), F.lit(rule.version).alias("version"))
         hit = x["size"].isNotNull() & (x["part"] >= rule.least)  # the last gap has no match after it
         return F.struct(
             (start + F.coalesce(x["size"], F.lit(0))).alias("at"),
@@ -113,11 +113,16 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and its spans of the kinds in `rules`, for blobs that have any."""
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0)
-    known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
-    known = known.withColumn("spans", F.array_sort(F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))))
+    """blob and its spans of the kinds and versions in `rules`, for blobs that have any."""
+    given = F.array(*[F.lit(r.pair) for r in rules])
+
+    def wanted(s):
+        """Spans of a ledger without versions are of a version in `pairs`."""
+        own = F.exists("pairs", lambda p: F.array_contains(given, p) & F.startswith(p, F.concat(s["kind"], F.lit("@"))))
+        return F.coalesce(F.array_contains(given, F.concat(s["kind"], F.lit("@"), s["version"])), own)
+
+    known = spark.read.schema(LEDGER).parquet(ledger).withColumn("spans", F.filter("spans", wanted)).where(F.size("spans") > 0)
+    known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
     return known.where(F.size("spans") > 0)
 
 

@@ -157,3 +157,10 @@ def test_license_notices_across_lines_and_look_alikes(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "doc_id long, text string")
     got = {r.doc_id: set(r.labels) for r in license_scan.scan_licenses(docs).collect()}
     assert got == {i: want for i, (_, want) in enumerate(given)}
+
+
+def test_findings_are_of_the_given_rule_version(spark, tmp_path):
+    df = spark.createDataFrame([("a", "key-12 key-345678")], "path string, text string")
+    rules = [(secret_scan.Rule("key", 1, "key-[0-9]{2,}"),), (secret_scan.Rule("key", 2, "key-[0-9]{6,}"),)]
+    got = [secret_scan.scan_versions(df, str(tmp_path / "ledger"), r).select(secret_scan.spans_text(F.col("spans")).alias("s")).first().s for r in (*rules, rules[0])]
+    assert got == ["key:0:6,key:7:17", "key:7:17", "key:0:6,key:7:17"]
