@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared folder; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _ending:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)  # only what exists is noted for deletion
+        files.deleteOnExit(target)
+        _ending.add(folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -42,13 +54,8 @@ def settle(df: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if folder not in _ending:  # intermediate tables go when the application ends
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-        _ending.add(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +69,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(package.rglob("*.py")):
             archive.write(file, file.relative_to(package.parent))
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{app}/{package.name}.zip")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{app_dir(spark)}/{package.name}.zip")
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
     out.write(bytearray(data.getvalue()))
     out.close()
