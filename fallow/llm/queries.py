@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallow.llm import chat_format, decontaminate, language_id, license_scan, minmax_dedup, nearest, packing, secret_scan, sharding, url_rules
+from fallow.llm import (
+    chat_format, decontaminate, filter_audit, language_id, lexical, license_scan, minmax_dedup, nearest, packing, secret_scan, sharding,
+    token_files, url_rules,
+)
 from fallow.llm.sql import SQL
-from fallow.session import shared_dir
+from fallow.session import app_dir
 
 
 __all__ = ["QUERIES", "SQL"]
@@ -20,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Fixed values of the contract.
@@ -85,7 +88,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_back(spark, folder)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_secret_scan, op2_minmax_dedup, op3_language_id, op4_shard_stratified, op5_chat_format, op6_license_scan,
-    op7_url_rules, op8_decontaminate, op9_pack, op10_nearest,
+    op7_url_rules, op8_decontaminate, op9_pack, op10_nearest, op11_filter_audit, op12_lexical_search, op13_token_files,
 )}

@@ -164,10 +164,79 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
+OP11 = """
+with whole as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+words as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by t) as least from whole),
+failing as (
+    select doc_id, part,
+        case when len(w) < 100 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+            || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' else '' end
+            || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > least then 'E' else '' end as fails
+    from words
+),
+judged as (
+    select part, fails, doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic
+    from failing
+),
+cells as (select part, fails, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from judged group by all),
+letters(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+    select a.x || b.x || c.x || d.x || e.x as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where b.x <> a.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)
+),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+met as (
+    select *, substr(filter_order, step, 1) as letter,
+        strpos(fails, substr(filter_order, step, 1)) > 0 as hit,
+        fails <> '' and translate(left(filter_order, step - 1), fails, '') <> left(filter_order, step - 1) as gone
+    from steps, cells
+),
+counted as (
+    select part, filter_order, step, letter,
+        sum(n) filter (not hit and not gone) as kept, sum(n) filter (hit and not gone) as removed, sum(n) filter (hit and gone) as redundant,
+        sum(n) filter (fails = letter) as unique_fails, sum(n_good) filter (hit and not gone) as good_lost, sum(n_toxic) filter (hit and not gone) as toxic_lost
+    from met group by all
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+    coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+    sum(coalesce(removed, 0)) over (partition by part, letter)::bigint as shapley
+from counted
+"""
+
+OP12 = f"""
+with terms as (
+    select row_number() over () as rid, doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as t from documents
+),
+docs as (select *, len(t) as n from terms where len(t) > 0),
+total as (select count(*) as docs, sum(n)::bigint as size from docs),
+asked as (
+    select row_number() over () as iid, item_id,
+        unnest(list_distinct(regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'))) as term
+    from benchmark
+),
+said as (select rid, unnest(t) as term from docs),
+counts as (select rid, term, count(*) as tf from said where term in (select term from asked) group by all),
+weights as (
+    select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from counts, total group by term
+),
+scored as (
+    select iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // size))))::bigint as score
+    from asked join weights using (term) join counts using (term) join docs using (rid), total
+    group by all
+),
+ranked as (
+    select item_id, row_number() over (partition by iid order by score desc, doc_id nulls last) as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
 SQL = {
     "op1_secret_scan": OP1,
     "op2_minmax_dedup": OP2,
     "op5_chat_format": OP5,
     "op6_license_scan": OP6,
     "op7_url_rules": OP7,
+    "op11_filter_audit": OP11,
+    "op12_lexical_search": OP12,
 }
