@@ -56,7 +56,7 @@ class Sizes(NamedTuple):
             "parquet.block.size": str(self.group_bytes),
             "parquet.page.size": str(self.page_bytes),
             "parquet.page.row.count.limit": str(self.page_rows),
-            "parquet.block.size.row.check.min": "10",
+            "parquet.page.size.row.check.min": "10",
             "parquet.dictionary.page.size": str(1 << 20),
             **{f"parquet.enable.dictionary#{c}": "false" for c in plain},
         }
