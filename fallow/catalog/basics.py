@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fallow.catalog import analog as a
 from fallow.catalog import sql as s
+from fallow.functions import frames
 from fallow.functions.scalars import (
     INF,
     area_normalise,
@@ -20,7 +21,7 @@ from fallow.functions.scalars import (
     to_number,
 )
 from fallow.operators import binning, diversity, joins, reshape, spatial
-from fallow.operators.windows import PanelWindow
+from fallow.operators.windows import PanelWindow, Rolling
 from fallow.plans import panel as p
 
 KEYS = a.KEYS
@@ -307,6 +308,52 @@ def long_series_windows(spark, d):
     return tidy(out.select("event_id", "event_type", "d_value", "lag_value", "mean3", "cv3"))
 
 
+def _list_mad(values: str) -> str:
+    known = f"list_filter({values}, lambda v: v is not null)"
+    return f"list_median(list_transform({known}, lambda v: abs(v - list_median({known}))))"
+
+
+_FRAME5, _FRAME7 = (f"array_agg(value) over ({_EVENTS} rows between {k} preceding and {k} following)" for k in (2, 3))
+
+
+@query(
+    "select event_id, event_type, "
+    + s.r6(f"case when len(five) = 5 then {_list_mad('five')} end", "mad5")
+    + ", "
+    + s.r6(
+        "case when len(seven) = 7 then list_sum(list_transform(range(1, 7), lambda i: (seven[i] - list_avg(seven)) * (seven[i + 1] - list_avg(seven)))) "
+        "/ nullif(list_sum(list_transform(seven, lambda v: (v - list_avg(seven)) * (v - list_avg(seven)))), 0) end",
+        "autocorrelation7",
+    )
+    + ", "
+    + s.r6("case when len(five) = 5 then list_avg(list_sort(five)[2:4]) end", "trimmed5")
+    + f" from (select event_id, event_type, {_FRAME5} as five, {_FRAME7} as seven from events)"
+)
+def rolling_any(spark, d):
+    """Functions that are no built-in, over the frames of a few very long series."""
+    events = a.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    w = PanelWindow(["event_type"], ["ts", "event_id"], chunk=F.date_trunc("hour", "ts"))
+    out = w.with_rolling(events, {
+        "mad5": Rolling("value", frames.median_absolute_deviation, 5),
+        "autocorrelation7": Rolling("value", frames.autocorrelation(1), 7),
+        "trimmed5": Rolling("value", frames.trimmed_mean(0.2), 5),
+    })
+    return tidy(out.select("event_id", "event_type", "mad5", "autocorrelation7", "trimmed5"))
+
+
+@query(
+    s.statement(
+        "select crop, GEOID, YEAR, " + s.r6(f"case when len(l) = 3 and len(list_filter(l, lambda v: isinf(v))) = 0 then {_list_mad('l')} end", "madYIELD")
+        + f" from (select crop, GEOID, YEAR, array_agg(YIELD) over ({s.OVER} {s.FRAMES[3]}) as l from logged)"
+    )
+)
+def rolling_any_panel(spark, d):
+    """The same over very many short series."""
+    rows = p.log_outcome_and_water(p.join_water(a.input_panel(spark, d), a.water(spark, d), a.YEAR0))
+    out = PanelWindow(p.KEYS, "Yr").with_rolling(rows, {"madYIELD": Rolling("YIELD", frames.median_absolute_deviation, 3)})
+    return tidy(scrub_nonfinite(out.select(*KEYS, "madYIELD")))
+
+
 # ---- reshape, preparation, binning ---------------------------------------
 
 

@@ -62,8 +62,8 @@ from responses join spec using (response) where kind = 'iid'""",
 }
 
 
-def design_sql(tail: str) -> str:
-    return s.statement(tail, **DESIGN_CTES)
+def design_sql(tail: str, **extra: str) -> str:
+    return s.statement(tail, **DESIGN_CTES, **extra)
 
 
 def model_keys(spark, d) -> DataFrame:
@@ -209,6 +209,105 @@ def demeaned_xty(spark, d):
     return tidy(sums.join(model_keys(spark, d), "design_id").select("model_id", "term", "x", "sum_y"))
 
 
+@query(
+    design_sql(
+        f"select c.model_id, c.term_i, {s.r6('c.x_i', 'x_i')}, c.term_j, {s.r6('c.x_j', 'x_j')}, {s.r6('coalesce(pairs, 0) - taken', 'v')} from ("
+        "select p.model_id, p.term as term_i, p.x as x_i, q.term as term_j, q.x as x_j, sum(p.k * q.k / a.k) as taken "
+        "from inside p join inside q on q.model_id = p.model_id and q.CNTY = p.CNTY and (p.ord < q.ord or (p.ord = q.ord and p.x <= q.x)) "
+        "join inside a on a.model_id = p.model_id and a.CNTY = p.CNTY and a.ord = -1 where p.ord >= 0 group by all) c "
+        "left join (select p.model_id, p.term as term_i, p.x as x_i, q.term as term_j, q.x as x_j, count(*) as pairs "
+        "from observed p join observed q on p.model_id = q.model_id and p.GEOID = q.GEOID and p.YEAR = q.YEAR and p.ord <= q.ord group by all) b "
+        "on b.model_id = c.model_id and b.term_i = c.term_i and b.x_i = c.x_i and b.term_j = c.term_j and b.x_j = c.x_j",
+        inside="select model_id, CNTY, ord, term, x, count(*) as k from observed group by all",
+    )
+)
+def demeaned_xtx(spark, d):
+    """X'X after subtracting area means, for every pair of levels that one area holds."""
+    names = level_names(spark, d)
+    i = names.select("design_id", F.col("pos").alias("i"), F.col("term").alias("term_i"), F.col("x").alias("x_i"))
+    j = names.select("design_id", F.col("pos").alias("j"), F.col("term").alias("term_j"), F.col("x").alias("x_j"))
+    sums = design.demeaned_gram(design_stage(spark, d)).where("i > 0").join(i, ["design_id", "i"]).join(j, ["design_id", "j"])
+    return tidy(sums.join(model_keys(spark, d), "design_id").select("model_id", "term_i", "x_i", "term_j", "x_j", "v"))
+
+
+# Models with slopes and a quadratic trend, one per response: all controls and the diversity term enter as numbers.
+NUMERIC_SPECS = [
+    spec.model(f"{m.family}_numeric", m.response, m.smooths[-1], m.smooths[:-1], "factor", linear=m.smooths, trend="quadratic")
+    for m in SPECS if m.area == "factor"
+]
+NUMERIC_CTES = {
+    **{k: DESIGN_CTES[k] for k in ("spec", "responses")},
+    "span": "select min(Yr) as y0, max(Yr) as y1 from prepared",
+    "standard": "select crop, GEOID, YEAR, col as term, (x - avg(x) over c) / nullif(stddev_samp(x) over c, 0) as v "
+    "from cols_long window c as (partition by crop, col)",
+    "entries": """
+select r.crop || '_' || family || '_numeric' as model_id, r.GEOID, r.YEAR, r.y, r.CNTY, ord, spec.term, v
+from responses r join spec using (response) join standard t on t.crop = r.crop and t.GEOID = r.GEOID and t.YEAR = r.YEAR and t.term = spec.term
+where area = 'factor' and v is not null
+union all select crop || '_' || family || '_numeric', GEOID, YEAR, y, CNTY, 7, 'trend', Yr - (y0 + y1) / 2
+from responses join (select distinct family, response from spec where area = 'factor') using (response), span
+union all select crop || '_' || family || '_numeric', GEOID, YEAR, y, CNTY, 8, 'trend_squared',
+  pow(Yr - (y0 + y1) / 2, 2) - (pow(y1 - y0 + 1, 2) - 1) / 12
+from responses join (select distinct family, response from spec where area = 'factor') using (response), span
+union all select crop || '_' || family || '_numeric', GEOID, YEAR, y, CNTY, -1, '(Intercept)', 1
+from responses join (select distinct family, response from spec where area = 'factor') using (response)
+union all select crop || '_' || family || '_numeric', GEOID, YEAR, y, CNTY, -2, '(Response)', y
+from responses join (select distinct family, response from spec where area = 'factor') using (response)""",
+    "numeric": "select * from entries where y is not null",
+}
+
+
+def numeric_design(spark, d) -> DataFrame:
+    rows = prepared_stage(spark, d)
+    return a.stage(spark, d, "numeric design", lambda: design.design_rows(rows, bins(spark, d), NUMERIC_SPECS, design.year_range(rows)))
+
+
+def numeric_names(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(design_id, i, term_i) and (design_id, j, term_j) of the numeric designs; `design_id` is the model's name."""
+    rows = prepared_stage(spark, d)
+    years = design.year_range(rows)
+    listed = [
+        (m.family, pos, term)
+        for m in NUMERIC_SPECS
+        for pos, term in [(design.RESPONSE, "(Response)"), (design.INTERCEPT, "(Intercept)"), *((b.start, b.term) for b in design.blocks(m, 20, years))]
+    ]
+    names = rows.select("crop").distinct().select("crop", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(p).alias("p"), F.lit(t).alias("t")) for f, p, t in listed])).alias("n"))
+    names = settle(names.select(F.concat_ws("_", "crop", "n.f").alias("design_id"), F.col("n.p").alias("pos"), F.col("n.t").alias("term")))
+    return tuple(names.select("design_id", F.col("pos").alias(k), F.col("term").alias(f"term_{k}")) for k in ("i", "j"))
+
+
+@query(
+    s.statement(
+        f"select p.model_id, p.term as term_i, q.term as term_j, {s.r6('sum(p.v * q.v)', 'v')} from numeric p "
+        "join numeric q on q.model_id = p.model_id and q.GEOID = p.GEOID and q.YEAR = p.YEAR and p.ord <= q.ord group by all",
+        **NUMERIC_CTES,
+    )
+)
+def suff_stats_numeric(spark, d):
+    """[y, X]'[y, X] of designs with standardised covariates and a quadratic trend as numbers."""
+    i, j = numeric_names(spark, d)
+    sums = design.gram(numeric_design(spark, d)).join(i, ["design_id", "i"]).join(j, ["design_id", "j"])
+    return tidy(sums.select(F.col("design_id").alias("model_id"), "term_i", "term_j", "v"))
+
+
+@query(
+    s.statement(
+        f"select p.model_id, p.term as term_i, q.term as term_j, {s.r6('sum(p.dv * q.dv)', 'v')} from demeaned p "
+        "join demeaned q on q.model_id = p.model_id and q.GEOID = p.GEOID and q.YEAR = p.YEAR and p.ord <= q.ord group by all",
+        **NUMERIC_CTES,
+        demeaned="select model_id, GEOID, YEAR, ord, term, v - avg(v) over (partition by model_id, CNTY, ord) as dv from ("
+        "select r.model_id, r.GEOID, r.YEAR, r.CNTY, t.ord, t.term, coalesce(n.v, 0) as v from (select * from numeric where ord = -1) r "
+        "join (select distinct model_id, ord, term from numeric where ord >= 0) t on t.model_id = r.model_id "
+        "left join numeric n on n.model_id = r.model_id and n.GEOID = r.GEOID and n.YEAR = r.YEAR and n.ord = t.ord)",
+    )
+)
+def demeaned_xtx_numeric(spark, d):
+    """X'X of the numeric designs after subtracting area means; a missing covariate is an entry of 0."""
+    i, j = numeric_names(spark, d)
+    sums = design.demeaned_gram(numeric_design(spark, d)).where("i > 0").join(i, ["design_id", "i"]).join(j, ["design_id", "j"])
+    return tidy(sums.select(F.col("design_id").alias("model_id"), "term_i", "term_j", "v"))
+
+
 @query(
     s.statement(
         "select crop, count(*) as n, "
@@ -619,8 +718,8 @@ def shown(map_: DataFrame) -> DataFrame:
 
 
 # ---- fitted models ---------------------------------------------------------
-# Stated on the rows: each part's effects are shrunk group means of what the
-# parts before it leave in the column e.
+# Stated on the rows: each part's effects are shrunk or smoothed group means of
+# what the parts before it leave in the column e.
 
 
 def _part_sql(k: int, by: str) -> dict[str, str]:
@@ -635,6 +734,30 @@ def _part_sql(k: int, by: str) -> dict[str, str]:
     }
 
 
+def _walk_sql(k: int) -> dict[str, str]:
+    """Effects of one smooth term: the tridiagonal system of its levels as recursions over them."""
+    return {
+        f"chain{k}": "select *, n + lam * (case when i > 1 then 1 else 0 end + case when i < len then 1 else 0 end) as a from ("
+        "select *, wit / nullif(btw, 0) as lam from ("
+        "select *, greatest(0, coalesce(avg(step) over (partition by model_id), 0)) as btw from ("
+        "select model_id, lev, n, r - n * sum(r) over m / sum(n) over m as c, sum(n) over m as total, groups, wit, "
+        "row_number() over w as i, count(*) over m as len, "
+        "case when n > 0 and lead(n) over w > 0 then pow(r / n - lead(r) over w / lead(n) over w, 2) - wit * (1 / n + 1 / lead(n) over w) end as step "
+        f"from groups{k} join within{k} using (model_id) window w as (partition by model_id order by lev), m as (partition by model_id))))",
+        f"down{k}": f"select model_id, i, a as d, c as z from chain{k} where i = 1 union all "
+        f"select c.model_id, c.i, a - lam * lam / d, c + lam / d * z from down{k} p join chain{k} c on c.model_id = p.model_id and c.i = p.i + 1",
+        f"up{k}": f"select model_id, i, a as e from chain{k} where i = len union all "
+        f"select c.model_id, c.i, a - lam * lam / e from up{k} p join chain{k} c on c.model_id = p.model_id and c.i = p.i - 1",
+        f"chained{k}": f"select c.model_id, c.i, len, lam, d, z from chain{k} c join down{k} d on d.model_id = c.model_id and d.i = c.i",
+        f"back{k}": f"select model_id, i, z / d as m from chained{k} where i = len union all "
+        f"select c.model_id, c.i, (z + lam * m) / d from back{k} p join chained{k} c on c.model_id = p.model_id and c.i = p.i - 1",
+        f"effects{k}": "select c.model_id, lev, n, case when btw > 0 then coalesce(greatest(0, 1 / (d + e - a) - 1 / total), 0) else 0 end as w, "
+        f"case when btw > 0 then coalesce(m, 0) else 0 end as mean from chain{k} c join chained{k} d on d.model_id = c.model_id and d.i = c.i "
+        f"join up{k} u on u.model_id = c.model_id and u.i = c.i join back{k} b on b.model_id = c.model_id and b.i = c.i",
+        f"moments{k}": f"select distinct model_id, groups, wit, btw from chain{k}",
+    }
+
+
 FIT_CTES = {
     **DESIGN_CTES,
     "model_names": "select distinct crop || '_' || family as model_id, crop, family, area from spec, (select distinct crop from prepared)",
@@ -659,10 +782,14 @@ FIT_CTES = {
 }
 for _k in range(9):
     FIT_CTES |= _part_sql(_k, f"l{_k}")
-    FIT_CTES[f"effects{_k}"] = (
-        "select model_id, lev, n, w, w * r as mean from (select *, coalesce(btw / nullif(btw * n + wit, 0), 0) as w "
-        f"from groups{_k} join moments{_k} using (model_id))"
-    )
+    if _k < 7:
+        del FIT_CTES[f"moments{_k}"]  # comes after the chain it reads
+        FIT_CTES |= _walk_sql(_k)
+    else:
+        FIT_CTES[f"effects{_k}"] = (
+            "select model_id, lev, n, w, w * r as mean from (select *, coalesce(btw / nullif(btw * n + wit, 0), 0) as w "
+            f"from groups{_k} join moments{_k} using (model_id))"
+        )
     FIT_CTES[f"rows{_k + 1}"] = (
         "select r.* replace (e - coalesce(mean, 0) as e, fitted + coalesce(mean, 0) as fitted, h + coalesce(w, 0) as h) "
         f"from rows{_k} r left join effects{_k} f on f.model_id = r.model_id and f.lev = r.l{_k}"

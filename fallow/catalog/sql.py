@@ -245,6 +245,7 @@ join nodes m on m.GEOID = rook.j and m.crop = n.crop"""
 
 
 def statement(tail: str, **extra: str) -> str:
-    """``tail`` with every table definition it may use ahead of it."""
-    ctes = ",\n".join(f"{k} as ({v})" for k, v in {**CTES, **extra}.items())
-    return f"with {ctes}\n{tail}"
+    """``tail`` with every table definition it may use ahead of it; recursions read ``chain`` tables, which are kept."""
+    kept = lambda k: " materialized" if k.startswith("chain") else ""
+    ctes = ",\n".join(f"{k} as{kept(k)} ({v})" for k, v in {**CTES, **extra}.items())
+    return f"with recursive {ctes}\n{tail}"

@@ -8,11 +8,14 @@ Here a group is never gathered:
    wanted quantiles;
 2. one pass counts the rows between consecutive cut points ("slots"), which
    says exactly in which slot each wanted rank lies;
-3. one pass keeps only the rows of the wanted slots, first counted per distinct
-   value, and finds the value at each rank.
-
-The sketch only decides how narrow the slots are.  The result is exact
-whatever its error, because the slots are chosen by exact counts.
+3. one pass keeps only the rows of the wanted slots, counted per distinct value;
+4. a slot that may hold more than ``SLOT_VALUES`` distinct values is cut again, by a
+   sketch of its distinct values, and only its wanted parts are kept, until every
+   part is below that bound; then the value at each rank is found inside its part.
+
+The sketches only decide how narrow the slots are.  The result is exact whatever
+their error, because slots are chosen by exact counts.  No task holds more than
+``SLOT_VALUES`` values of one group, however many equal values surround a quantile.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from fallow.session import settle
 
 ACCURACY = 10_000
+SLOT_VALUES = 1 << 20
+PARTS = 64  # a slot that is cut again is cut into so many parts
 
 
 def halving_steps(size: int) -> list[int]:
@@ -118,17 +123,22 @@ class OrderStatistics:
                 "rank",
                 hit["slot"].alias("slot"),
                 hit["start"].alias("start"),
+                (hit["end"] - hit["start"]).alias("rows"),
             )
         )
-        needed = settle(wanted.select(*self.keys, "slot").distinct())
+        # the rows of a slot are an upper bound of its values
+        needed = settle(wanted.groupBy(*self.keys, "slot").agg(F.max("rows").alias("slot_rows")))
         # An inner join, not a filter: a filter on the slot would be pushed
         # below the search steps and repeat them.
         per_value = (
             self._with_slot(self.rows.join(self.table.select(*self.keys, "cuts"), self.keys))
-            .join(needed, [*self.keys, "slot"])
+            .join(needed.drop("slot_rows"), [*self.keys, "slot"])
             .groupBy(*self.keys, "slot", F.col(self.value).alias("x"))
             .agg(F.count(F.lit(1)).alias("rows"))
         )
+        wanted = wanted.drop("rows")
+        if not needed.where(F.col("slot_rows") > SLOT_VALUES).isEmpty():
+            per_value, wanted = self._refined(settle(per_value), settle(wanted))
         run = (
             Window.partitionBy(*self.keys, "slot")
             .orderBy("x")
@@ -142,6 +152,39 @@ class OrderStatistics:
             .select(*self.keys, "rank", "x", (F.col("start") + F.col("to")).alias("upto"))
         )
 
+    def _refined(self, per_value: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both tables with large slots cut until none holds more than ``SLOT_VALUES`` values.
+
+        ``per_value`` (keys, slot, x, rows) and ``wanted`` (keys, rank, slot, start) are stored; a part of a
+        slot is named after it.  A sketch of the distinct values cuts a slot into parts of
+        about as many values each, so few rounds are needed: each divides the bound by some ``PARTS``.
+        """
+        at = [*self.keys, "slot"]
+        edges = [i / PARTS for i in range(1, PARTS)]
+        name = F.col("slot").cast("string").alias("slot")
+        per_value, wanted = per_value.withColumn("slot", name), wanted.withColumn("slot", name)
+        small = per_value.limit(0)
+        while True:
+            sizes = settle(per_value.groupBy(*at).agg(
+                F.count(F.lit(1)).alias("values"), F.approx_percentile("x", edges, ACCURACY).alias("cuts")
+            ))
+            large = sizes.where(F.col("values") > SLOT_VALUES)
+            if large.isEmpty():
+                return small.unionByName(per_value), wanted
+            small = small.unionByName(per_value.join(large.select(*at), at, "left_anti"))
+            parted = with_cuts_below(per_value.join(large.drop("values"), at), "part", "x", "cuts", len(edges))
+            counts = parted.groupBy(*at, "part").agg(F.sum("rows").alias("rows"))  # at most PARTS rows per slot
+            run = Window.partitionBy(*at).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+            spans = counts.withColumn("end", F.sum("rows").over(run)).select(*at, "part", (F.col("end") - F.col("rows")).alias("begin"), "end")
+            place = F.col("rank") - F.col("start")
+            number = F.concat_ws(".", "slot", "part")
+            moved = wanted.join(spans, at).where((place > F.col("begin")) & (place <= F.col("end")))
+            moved = moved.select(*self.keys, "rank", number.alias("slot"), (F.col("start") + F.col("begin")).alias("start"))
+            kept = wanted.join(large.select(*at), at, "left_anti")
+            wanted = settle(kept.unionByName(moved))
+            per_value = settle(parted.select(*self.keys, number.alias("slot"), "x", "rows").join(wanted.select(*at).distinct(), at))
+            small = settle(small)
+
     def lookup(self, ranks: DataFrame) -> DataFrame:
         """One row per group with ``at``: rank -> (x, upto)."""
         pair = F.struct("rank", F.struct("x", "upto"))

@@ -9,16 +9,39 @@ is evaluated once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fallow.functions.frames import FrameFunction
+from fallow.session import ship_package
 
 CHUNK = "__chunk"
 HALO = "__halo"
 BLOCK = 10_000
 
 
+class Rolling(NamedTuple):
+    """Any function over the rolling frames of a column; see ``fallow.functions.frames``."""
+
+    column: str
+    function: FrameFunction
+    width: int
+    align: str = "center"
+
+    @property
+    def ends(self) -> tuple[int, int]:
+        """Rows behind and ahead of a row that its frame takes in."""
+        back = {"left": 0, "center": (self.width - 1) // 2, "right": self.width - 1}[self.align]
+        return back, self.width - 1 - back
+
+
 class PanelWindow:
     """Window over ``keys`` ordered by ``time``.
 
@@ -96,6 +119,26 @@ class PanelWindow:
             return self._evaluate(df, columns)
         return self._evaluate(self._blocks(df), columns).where(~F.col(HALO)).drop(CHUNK, HALO)
 
+    def with_rolling(self, df: DataFrame, columns: Mapping[str, Rolling]) -> DataFrame:
+        """Add columns of functions that are no built-in aggregate, over full rolling frames.
+
+        Frames cut off by the end of the series give NULL, and so does a NaN of the function.  Rows are
+        shuffled once by series (or block of a long series, with its border rows), sorted, and streamed
+        through Python in Arrow batches: a function sees all frames of a batch as one matrix, whatever
+        number of series they come from, and a task holds one batch and the rows its frames reach.
+        """
+        self.reach = max([self.reach, *(max(r.ends) for r in columns.values())])
+        groups = list(self.keys)
+        rows = df
+        if self.chunk is not None:
+            rows, groups = self._blocks(df), [*self.keys, CHUNK]
+        ship_package(df.sparkSession)
+        sources = {f"__of_{name}": F.col(r.column).cast("double") for name, r in columns.items()}
+        ordered = rows.withColumns(sources).repartition(*groups).sortWithinPartitions(*groups, *self.time)
+        schema = T.StructType([*ordered.drop(*sources).schema.fields, *(T.StructField(name, T.DoubleType()) for name in columns)])
+        out = ordered.mapInArrow(_roll_batches(groups, dict(columns)), schema)
+        return out if self.chunk is None else out.where(~F.col(HALO)).drop(CHUNK, HALO)
+
     def _blocks(self, df: DataFrame) -> DataFrame:
         """Rows by block of their series, and copies of border rows for the blocks beside."""
         size = max(BLOCK, self.reach)
@@ -120,3 +163,54 @@ class PanelWindow:
         return numbered.select(*df.columns, F.explode(sent).alias("__sent")).select(
             *df.columns, F.col("__sent.to").alias(CHUNK), F.col("__sent.halo").alias(HALO)
         )
+
+
+def _starts(table: pa.Table, groups: Sequence[str]) -> np.ndarray:
+    """Number of the series of each row; equal neighbours in all ``groups`` are one series."""
+    new = np.zeros(table.num_rows, bool)
+    for g in groups:
+        codes = pc.dictionary_encode(table[g].combine_chunks(), null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        at = codes.indices.to_numpy(zero_copy_only=False)
+        new[1:] |= at[1:] != at[:-1]
+    return np.cumsum(new)
+
+
+def _roll_batches(groups: Sequence[str], columns: Mapping[str, Rolling]):
+    """Stream sorted rows; the last rows of a batch wait for those that their frames reach."""
+    back = max(r.ends[0] for r in columns.values())
+    ahead = max(r.ends[1] for r in columns.values())
+
+    def rolled(table: pa.Table, series: np.ndarray, rolling: Rolling, name: str) -> np.ndarray:
+        x = table[f"__of_{name}"].to_numpy().astype(float)  # missing values are NaN
+        out = np.full(len(x), np.nan)
+        if len(x) >= rolling.width:
+            whole = series[: len(x) - rolling.width + 1] == series[rolling.width - 1 :]
+            first = np.flatnonzero(whole)
+            frames = np.lib.stride_tricks.sliding_window_view(x, rolling.width)[first]
+            if len(first):
+                out[first + rolling.ends[0]] = rolling.function(frames)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # waiting rows, of which the first `done` were given out and are kept as context
+
+        def give(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
+            series = _starts(table, groups)
+            out = table.drop_columns([f"__of_{name}" for name in columns])
+            for name, rolling in columns.items():
+                out = out.append_column(name, pa.array(rolled(table, series, rolling, name), from_pandas=True))
+            yield from out.slice(done, upto - done).combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            upto = held.num_rows - ahead
+            if upto > done:
+                yield from give(held, upto)
+                keep = max(0, upto - back)
+                held, done = held.slice(keep), upto - keep
+        if held is not None and held.num_rows > done:
+            yield from give(held, held.num_rows)
+
+    return run

@@ -8,13 +8,23 @@ the other from what the earlier ones leave:
   the mean of the group shrunk by l = W / B, the variance within groups over that
   between them.  Both are moment estimates: W is the sum of squares within groups over
   n - (groups), B is (sum of r^2 / n - (groups) W) / n, or 0 if that is negative;
-* free area levels (``factor``) are not shrunk;
+* the levels of a smooth term (``rw1``) are a first-order random walk: the effects m, of
+  mean 0 over the rows, minimise the sum of n (m - r / n)^2 plus l times the squared
+  differences of neighbouring levels, with l = W / T.  T, the variance of a step, is the
+  mean over neighbouring levels of the squared difference of their means less W times
+  the sum of their 1 / n, or 0 if that is negative; without it all effects are 0.  The
+  tridiagonal system has at most 21 levels and is solved by one pass in each direction;
+* free area levels (``factor``) and slopes (``linear``) are not shrunk;
 * spatial area effects (``bym2``, ``bym``) are shrunk towards phi times the mean
   effect of the area's neighbours instead of 0, phi being the slope of an area's
   effect on its neighbours', between 0 and 1.  An area without observations gets that;
 * the noise variance is what is left in the end over n - p, p being 1 plus the sum of
-  n / (n + l) of all groups.  Given the variances, an effect has the variance
-  noise / (n + l), and those of one row are added up.
+  n w of all groups, where w is 1 / (n + l), or the entry of a smooth term's inverse.
+  Given the variances, an effect has the variance noise times w, and those of one row
+  are added up.
+
+Parts are estimated once and in order, so correlated terms share what they explain in
+that order, and the variances of one row leave out the covariances between parts.
 
 This is the engine's own estimate, not that of an integrating solver; the priors of a
 specification do not enter it.  Everything after the design rows is stated in grouped
@@ -48,7 +58,7 @@ class Fits:
     rows: DataFrame  # design rows
     models: DataFrame  # (MODEL, design_id, area, n, m, sigma2, p_eff, phi)
     areas: DataFrame  # (MODEL, CNTY, n, mean, w): area effects, w = 1 / (n + l)
-    levels: DataFrame  # (MODEL, ord, term, level, pos, x, n, mean, w)
+    levels: DataFrame  # (MODEL, ord, term, level, pos, x, n, mean, w): effects of levels and slopes
     parts: DataFrame  # (MODEL, ord, term, groups, within, between), the area at ord -1
 
 
@@ -81,6 +91,69 @@ def _shrunk() -> Column:
     return F.coalesce(F.try_divide("between", F.col("between") * F.col("n") + F.col("within")), F.lit(0.0))
 
 
+def _shrunk_levels(own: DataFrame, squares: DataFrame) -> DataFrame:
+    """Levels with their effect ``mean`` and ``w``: independent ones shrunk, slopes free."""
+    free = F.col("kind") == "linear"
+    effects = own.join(_variances(own, squares), "model_id").withColumn("between", F.when(free, 0.0).otherwise(F.col("between")))
+    w = F.when(free, F.coalesce(F.try_divide(F.lit(1.0), F.col("n")), F.lit(0.0))).otherwise(_shrunk())
+    return effects.withColumn("w", w).withColumn("mean", F.col("w") * F.col("r"))
+
+
+def _pivots(levels: Column, penalty: Column) -> Column:
+    """Pivots of a tridiagonal elimination from the first of ``levels`` on; their diagonal is ``a``."""
+    def add(done: Column, e: Column) -> Column:
+        before = F.coalesce(F.try_divide(penalty * penalty, F.try_element_at(done, F.lit(-1))), F.lit(0.0))
+        return F.concat(done, F.array(e["a"] - before))
+
+    return F.aggregate(levels, F.expr("cast(array() as array<double>)"), add)
+
+
+def _smooth_levels(own: DataFrame, squares: DataFrame) -> DataFrame:
+    """Levels of smooth terms with their effect ``mean`` and ``w``, smoothed along the levels of each model.
+
+    One short list per model, at most one entry per bin; array expressions, no Python.
+    """
+    empty = F.expr("cast(array() as array<double>)")
+    listed = F.array_sort(F.collect_list(F.struct("level", "pos", "x", "n", "r"))).alias("g")
+    lists = own.groupBy("model_id", "design_id", "ord", "term").agg(listed, F.sum("n").alias("rows"), F.sum("r").alias("all"))
+    lists = lists.join(_variances(own, squares).drop("between"), "model_id")
+    pair = lambda e, f: F.when((e["n"] > 0) & (f["n"] > 0), F.pow(e["r"] / e["n"] - f["r"] / f["n"], 2) - F.col("within") * (1 / e["n"] + 1 / f["n"]))
+    steps = F.array_compact(F.transform(F.sequence(F.lit(2), F.size("g")), lambda i: pair(F.element_at("g", i - 1), F.element_at("g", i))))
+    lists = lists.withColumn("steps", F.when(F.size("g") > 1, steps).otherwise(empty))
+    variance = F.try_divide(F.aggregate("steps", F.lit(0.0), lambda t, e: t + e), F.size("steps"))
+    lists = lists.withColumn("between", F.greatest(F.lit(0.0), F.coalesce(variance, F.lit(0.0))))
+    lists = lists.withColumn("penalty", F.try_divide("within", "between"))
+
+    def equation(e: Column, i: Column) -> Column:
+        beside = F.when(i > 0, 1).otherwise(0) + F.when(i < F.size("g") - 1, 1).otherwise(0)
+        rest = e["r"] - e["n"] * F.try_divide("all", "rows")
+        return F.struct((e["n"] + F.col("penalty") * beside).alias("a"), rest.alias("rest"))
+
+    lists = lists.withColumn("s", F.transform("g", equation))
+    lists = lists.withColumn("down", _pivots(F.col("s"), F.col("penalty"))).withColumn("up", F.reverse(_pivots(F.reverse("s"), F.col("penalty"))))
+
+    def forward(done: Column, e: Column) -> Column:
+        pivot = F.get("down", F.size(done) - 1)
+        carried = F.coalesce(F.try_divide(F.col("penalty"), pivot) * F.try_element_at(done, F.lit(-1)), F.lit(0.0))
+        return F.concat(done, F.array(e["rest"] + carried))
+
+    def back(done: Column, e: Column) -> Column:
+        carried = F.col("penalty") * F.coalesce(F.get(done, F.lit(0)), F.lit(0.0))
+        return F.concat(F.array(F.try_divide(e["z"] + carried, e["down"])), done)
+
+    lists = lists.withColumn("z", F.aggregate("s", empty, forward))
+    lists = lists.withColumn("m", F.aggregate(F.reverse(F.arrays_zip("z", "down")), empty, back))
+    inverse = F.try_divide(F.lit(1.0), F.col("e.down") + F.col("e.up") - F.col("e.s.a")) - 1 / F.col("rows")
+    each = lists.select(
+        "model_id", "design_id", "ord", "term", "groups", "within", "between", "rows", F.explode(F.arrays_zip("g", "s", "m", "down", "up")).alias("e")
+    )
+    return each.select(
+        "model_id", "design_id", "ord", "term", "groups", "within", "between", "e.g.level", "e.g.pos", "e.g.x", "e.g.n", "e.g.r",
+        F.when(F.col("between") > 0, F.coalesce("e.m", F.lit(0.0))).otherwise(0.0).alias("mean"),
+        F.when(F.col("between") > 0, F.greatest(F.lit(0.0), F.coalesce(inverse, F.lit(0.0)))).otherwise(0.0).alias("w"),
+    )
+
+
 def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs: Sequence[ModelSpec]) -> Fits:
     """Fit every (crop, family); ``prepared`` and ``edges`` (crop, i, j) should be stored tables."""
     years = dg.year_range(prepared)
@@ -115,9 +188,15 @@ def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs:
     done, found = [], [parts]
     for k in range(max(len(m.terms) for m in specs)):
         own = names.where(F.col("ord") == k).join(sizes, "design_id").join(state, ["model_id", "pos"], "left").fillna(0.0, ["r"])
+        kinds = {m.terms[k].kind for m in specs if len(m.terms) > k}
         squares = state.where(F.col("pos") == RSS).select("model_id", F.col("r").alias("rss")).join(sizes.drop("design_id"), "model_id")
-        effects = own.join(_variances(own, squares), "model_id").withColumn("w", _shrunk()).withColumn("mean", F.col("w") * F.col("r"))
-        effects = settle(effects.select("model_id", "design_id", "ord", "term", "level", "pos", "x", "n", "r", "mean", "w", "groups", "within", "between"))
+        columns = ["model_id", "design_id", "ord", "term", "level", "pos", "x", "n", "r", "mean", "w", "groups", "within", "between"]
+        estimated = []
+        if "rw1" in kinds:
+            estimated.append(_smooth_levels(own.where("kind = 'rw1'"), squares).select(columns))
+        if kinds - {"rw1"}:
+            estimated.append(_shrunk_levels(own.where("kind <> 'rw1'"), squares).select(columns))
+        effects = settle(_stacked(estimated))
         done.append(effects.select("model_id", "ord", "term", "level", "pos", "x", "n", "mean", "w"))
         found.append(effects.select("model_id", "ord", "term", "groups", "within", "between").distinct())
         step = effects.select("model_id", "design_id", F.col("pos").alias("j"), "mean")
@@ -225,7 +304,12 @@ def score_rows(fits: Fits) -> DataFrame:
     )
 
     def added(field: str) -> Column:
-        return F.aggregate("idx", F.lit(0.0), lambda t, i: t + F.coalesce(F.get("e", i)[field], F.lit(0.0)))
+        if "val" not in fits.rows.columns:
+            return F.aggregate("idx", F.lit(0.0), lambda t, i: t + F.coalesce(F.get("e", i)[field], F.lit(0.0)))
+        weight = (lambda v: v) if field == "mean" else (lambda v: v * v)
+        return F.aggregate(
+            F.arrays_zip("idx", "val"), F.lit(0.0), lambda t, p: t + weight(p["val"]) * F.coalesce(F.get("e", p["idx"])[field], F.lit(0.0))
+        )
 
     own = fits.rows.drop("crop").join(effects, "design_id").select(
         *MODEL, "GEOID", "YEAR", "CNTY", "y", "sigma2",

@@ -1,10 +1,10 @@
 """Model specifications as data.
 
 A model explains one response by smooth terms of binned covariates (first-order
-random walks over the bins), two sets of year levels and an area effect:
-``factor`` (one free level per area), ``bym2`` (independent and spatially
-structured parts sharing one precision) or ``bym`` (the same two parts with a
-precision each).
+random walks over the bins), linear terms of standardised covariates, a trend (two
+sets of year levels, or a quadratic one) and an area effect: ``factor`` (one free
+level per area), ``bym2`` (independent and spatially structured parts sharing one
+precision) or ``bym`` (the same two parts with a precision each).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from fallow.plans.panel import MODEL_COLUMNS
 
 AREAS = ("factor", "bym2", "bym")
+TRENDS = ("levels", "quadratic")
+TREND_TERMS = ("trend", "trend_squared")
 PRIORS = ("pc", "default")
 
 # Scale and probability of the penalised-complexity priors.  A
@@ -37,8 +39,8 @@ STABILITY_CONTROLS = ["covVol", "covTP", "covGDD", "covSDD", "covfert", "covherb
 @dataclass(frozen=True)
 class Term:
     name: str
-    kind: str  # rw1 or iid
-    prior: str  # pc or default
+    kind: str  # rw1, iid or linear
+    prior: str  # pc, default or flat
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,11 @@ class ModelSpec:
     def smooths(self) -> list[str]:
         return [t.name for t in self.terms if t.kind == "rw1"]
 
+    @property
+    def linear(self) -> list[str]:
+        """Covariates with a slope; the trend is not among them."""
+        return [t.name for t in self.terms if t.kind == "linear" and t.name not in TREND_TERMS]
+
 
 def model(
     family: str,
@@ -61,15 +68,20 @@ def model(
     controls: Sequence[str],
     area: str,
     priors: str | Mapping[str, str] = "pc",
+    linear: Sequence[str] = (),
+    trend: str = "levels",
 ) -> ModelSpec:
     """A model of ``response`` on controls and one or more diversity terms.
 
-    ``priors`` is one kind for all smooth terms and the area, or a mapping with
+    Covariates named in ``linear`` (controls, diversity terms or others) enter with a slope instead of a
+    smooth term.  ``priors`` is one kind for all smooth terms and the area, or a mapping with
     the kind of single terms (``"area"`` for the area), the rest being "pc".
     """
     diversity = [diversity] if isinstance(diversity, str) else list(diversity)
-    smooths = [*controls, *diversity]
-    unknown = [c for c in smooths if c not in MODEL_COLUMNS]
+    smooths = [c for c in [*controls, *diversity] if c not in linear]
+    unknown = [c for c in [*smooths, *linear] if c not in MODEL_COLUMNS]
+    if trend not in TRENDS:
+        raise ValueError(f"trend must be one of {TRENDS}")
     if unknown or not diversity:
         raise ValueError(f"not a model column: {unknown or 'no diversity term'}")
     if area not in AREAS:
@@ -82,7 +94,8 @@ def model(
         return kind
 
     terms = [Term(c, "rw1", prior(c)) for c in smooths]
-    terms += [Term("YEAR_id", "iid", "default"), Term("YEAR_id2", "iid", "default")]
+    terms += [Term(c, "linear", "flat") for c in linear]
+    terms += [Term(c, "linear", "flat") for c in TREND_TERMS] if trend == "quadratic" else [Term("YEAR_id", "iid", "default"), Term("YEAR_id2", "iid", "default")]
     return ModelSpec(family, response, tuple(terms), area, prior("area"))
 
 

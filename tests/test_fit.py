@@ -81,7 +81,23 @@ def test_sums_of_the_design(spark):
         assert r.sum_y == pytest.approx((centred.T @ centred)[0, r.pos + 1], abs=1e-9)
 
 
-def by_definition(y, groups, area, edges, kind):
+def random_walk(r, n, within):
+    """Effects and the diagonal of their covariance for levels in order, by dense algebra."""
+    seen = n > 0
+    near = [i for i in range(len(n) - 1) if seen[i] and seen[i + 1]]
+    steps = [(r[i] / n[i] - r[i + 1] / n[i + 1]) ** 2 - within * (1 / n[i] + 1 / n[i + 1]) for i in near]
+    variance = max(0, np.mean(steps)) if steps else 0
+    if not variance:
+        return np.zeros(len(n)), np.zeros(len(n))
+    d = np.diff(np.eye(len(n)), axis=0)
+    inverse = np.linalg.inv(np.diag(n) + within / variance * d.T @ d)
+    one = np.ones(len(n))
+    held = inverse - np.outer(inverse @ n, inverse @ n) / (n @ inverse @ n)  # mean 0 over the rows
+    assert one @ (n * (held @ r)) == pytest.approx(0, abs=1e-9)
+    return held @ r, np.diag(held)
+
+
+def by_definition(y, groups, area, edges, kind, smooth):
     """Fitted values and leverages of one model by the definition on rows; NaN responses are unseen."""
     seen = ~np.isnan(y)
     n = seen.sum()
@@ -117,8 +133,16 @@ def by_definition(y, groups, area, edges, kind):
         effect[g] = raw[g] if kind == "factor" else raw[g] + (1 - k * w[g]) * around
     fitted = fitted + np.array([effect[g] if w[g] is not None else 0 for g in area])
     h = h + np.array([w[g] or 0 for g in area])
-    for levels in groups:
+    for k, levels in enumerate(groups):
         sums, within, between = variances(levels)
+        if k < smooth:
+            chain = sorted(g for g in set(levels) if g >= 0)
+            r, n_of = (np.array([sums.get(g, (0.0, 0))[i] for g in chain], float) for i in (0, 1))
+            m, v = random_walk(r, n_of, within)
+            effect, step = dict(zip(chain, m, strict=True)), dict(zip(chain, v, strict=True))
+            fitted = fitted + np.array([effect.get(g, 0) for g in levels])
+            h = h + np.array([step.get(g, 0) for g in levels])
+            continue
         step = {g: weight(sums.get(g, (0, 0))[1], within, between) for g in set(levels) if g >= 0}
         effect = {g: v * sums.get(g, (0, 0))[0] for g, v in step.items()}
         fitted = fitted + np.array([effect.get(g, 0) for g in levels])
@@ -132,6 +156,53 @@ def fitted(spark, sf_dir):
     return m.fits(spark, sf_dir), m.scored(spark, sf_dir)
 
 
+def test_centred_design_sums(spark):
+    """Demeaned X'X with levels and a numeric column, against dense algebra; one area holds a third of all rows."""
+    rng = np.random.default_rng(5)
+    n, size = 300, 8
+    rows, x, area = [], np.zeros((n, size)), np.where(rng.random(n) < 0.35, 0, rng.integers(1, 9, n))
+    for r in range(n):
+        idx, val = [0, 1 + int(rng.integers(0, 3)), 4 + int(rng.integers(0, 3)), 7], [1.0, 1.0, 1.0, float(rng.normal())]
+        x[r, idx] = val
+        rows.append(("m", int(area[r]) or None, float(rng.normal()), idx, val))
+    y = np.array([r[2] for r in rows])
+    rows.append(("m", 1, None, [0, 1, 4], [1.0, 1.0, 1.0]))
+    df = spark.createDataFrame(rows, "design_id string, CNTY int, y double, idx array<int>, val array<double>")
+    full = np.column_stack([y, x])
+    for r in design.gram(df).collect():
+        assert r.v == pytest.approx((full.T @ full)[r.i + 1, r.j + 1])
+    for k in np.unique(area):
+        full[area == k] -= full[area == k].mean(axis=0)
+    want = full.T @ full
+    got = design.demeaned_gram(df).collect()
+    assert {(r.i, r.j) for r in got} >= {(i, j) for i in range(size) for j in range(i, size) if abs(want[i + 1, j + 1]) > 1e-9}
+    assert all(r.i <= r.j and r.v == pytest.approx(want[r.i + 1, r.j + 1], abs=1e-9) for r in got)
+    for r in design.demeaned_xty(df).collect():
+        assert r.sum_y == pytest.approx(want[0, r.pos + 1], abs=1e-9)
+
+
+def test_slopes_and_quadratic_trend(spark):
+    """A response that is a quadratic in the year and linear in a covariate is found again."""
+    panel = small_panel(spark, 60, 8).withColumn("YIELD", 3 + 0.5 * F.col("Yr") - 0.25 * F.col("Yr") * F.col("Yr") + 2 * F.col("TP"))
+    panel = panel.cache()
+    one = spec.model("q", "YIELD", "dSIDI", [], "factor", linear=["TP"], trend="quadratic")
+    assert [(t.name, t.kind) for t in one.terms] == [("dSIDI", "rw1"), ("TP", "linear"), ("trend", "linear"), ("trend_squared", "linear")]
+    with pytest.raises(ValueError):
+        spec.model("q", "YIELD", "dSIDI", [], "factor", trend="cubic")
+    levels = spec.model("l", "YIELD", "dSIDI", ["TP"], "factor")
+    edges = spark.createDataFrame([], "crop string, i int, j int")
+    fits = fit.fit_models(panel, QuantileBins(panel, ["crop"], ["TP", "dSIDI"]), edges, [one, levels])
+    slopes = {r.term: r["mean"] for r in fits.levels.where("family = 'q' and x = 1").collect()}
+    assert slopes["trend_squared"] == pytest.approx(-0.25, abs=0.02)
+    assert slopes["trend"] == pytest.approx(0.5 - 0.25 * 7, abs=0.05)
+    sd = panel.agg(F.stddev_samp("TP")).first()[0]
+    assert slopes["TP"] == pytest.approx(2 * sd, rel=0.1)
+    scored = fit.score_rows(fits)
+    r2 = {r.family: r.r2 for r in diagnostics.diagnostics(scored, ["family"]).collect()}
+    assert all(0.8 < v < 1.2 for v in r2.values())
+    assert scored.where("sd is null or sd < 0").count() == 0
+
+
 @pytest.mark.parametrize("model_id", ["BUILDING_yield_SIDI_fe", "FURNITURE_dyield_dSIDI_bym", "MACHINERY_yield_SIDI_bym"])
 def test_fit_follows_its_definition(spark, sf_dir, fitted, model_id):
     fits, scored = fitted
@@ -145,7 +216,7 @@ def test_fit_follows_its_definition(spark, sf_dir, fitted, model_id):
         np.array([next((p for p in r.idx if b.start <= p < b.start + b.size), -1) for r in rows]) for b in design.blocks(s, 20, years)
     ]
     pairs = [(e.i, e.j) for e in m.edges(spark, sf_dir).where(F.col("crop") == one.crop).collect()]
-    mean, sd = by_definition(y, groups, area, pairs, s.area)
+    mean, sd = by_definition(y, groups, area, pairs, s.area, len(s.smooths))
     got = scored.where(F.col("model_id") == model_id).orderBy("GEOID", "YEAR").toPandas()
     assert got["mean"].to_numpy() == pytest.approx(mean, abs=1e-9)
     assert got["sd"].to_numpy() == pytest.approx(sd, abs=1e-9)

@@ -103,3 +103,37 @@ def test_dense_index(spark):
         keys = sorted({r.key for r in df.where(F.col("g") == g).collect()})
         assert sorted((r.n, r.key) for r in got if r.g == g) == list(enumerate(keys, 1))
     assert dense_index(df, "key", "n").count() == 1500
+
+
+def test_slots_are_cut_until_they_are_small(spark, monkeypatch):
+    """5 % equal values in mid-range, a hot group, and a poor first sketch: exact, and no window over the bound."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 5)
+    monkeypatch.setattr(quantiles, "SLOT_VALUES", 40)
+    monkeypatch.setattr(quantiles, "PARTS", 4)
+    seen = []
+    refined = quantiles.OrderStatistics._refined
+
+    def watched(self, per_value, wanted):
+        out, places = refined(self, per_value, wanted)
+        seen.append(out.groupBy(*self.keys, "slot").count().agg(F.max("count")).first()[0])
+        assert out.groupBy(*self.keys, "slot", "x").count().where("count > 1").isEmpty()
+        return out, places
+
+    monkeypatch.setattr(quantiles.OrderStatistics, "_refined", watched)
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        F.when(F.col("id") % 20 == 0, F.lit(0.25)).otherwise(F.sin(F.col("id") * 1.7)).alias("x"),
+    )
+    probs = [(0, 1), (1, 38), (19, 38), (1, 2), (23, 40), (37, 38), (1, 1)]
+    got = {(r.g, r.k): (r.q, r.upto) for r in quantiles.exact_quantiles(df, ["g"], "x", probs).collect()}
+    rows = df.toPandas()
+    for g, part in rows.groupby("g"):
+        x = np.sort(part.x.to_numpy())
+        for k, (a, b) in enumerate(probs):
+            lo, rest = divmod(a * (len(x) - 1), b)
+            q = x[lo] + (x[min(lo + 1, len(x) - 1)] - x[lo]) * (rest / b)
+            assert got[g, k] == (pytest.approx(q), (x <= x[lo]).sum())
+    assert seen and max(seen) <= 40
+    binned_rows = QuantileBins(df, ["g"], ["x"], 20).apply(df, value="{}_v").toPandas()
+    hot = binned_rows[binned_rows.g == "hot"]
+    assert hot.x_v.to_numpy() == pytest.approx(r_bins(hot.x.to_numpy(), 20))

@@ -92,3 +92,46 @@ def test_one_exchange(spark):
     assert physical.count("Exchange") == 1 and physical.count("+- Window") <= 1
     # The row count and the mean of the three-row frame are evaluated once.
     assert physical.count("count(1) windowspec") == 2 and physical.count("avg(x") == 2
+
+
+def test_any_function_over_frames(spark):
+    """Batches much smaller than a series, null keys and values, each alignment, plain and in blocks."""
+    import math
+
+    import numpy as np
+
+    from fallow.functions import frames
+    from fallow.operators import windows
+
+    rng = np.random.default_rng(3)
+    rows = [(k, t, None if rng.random() < 0.1 else float(rng.normal())) for k, n in (("a", 57), (None, 23), ("b", 2), ("c", 1), ("d", 9)) for t in range(n)]
+    df = spark.createDataFrame(rows, "g string, t long, x double")
+    kinds = {
+        "mad": windows.Rolling("x", frames.median_absolute_deviation, 5),
+        "trim": windows.Rolling("x", frames.trimmed_mean(0.25), 4, "right"),
+        "auto": windows.Rolling("x", frames.autocorrelation(1), 6, "left"),
+    }
+    want = {}
+    for g in {r[0] for r in rows}:
+        x = np.array([math.nan if r[2] is None else r[2] for r in rows if r[0] == g])
+        for t in range(len(x)):
+            values = []
+            for k in kinds.values():
+                back, ahead = k.ends
+                inside = t - back >= 0 and t + ahead < len(x)
+                v = k.function(x[None, t - back : t + ahead + 1])[0] if inside else math.nan
+                values.append(None if math.isnan(v) else v)
+            want[g, t] = values
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for chunk in (None, F.floor(F.col("t") / 10)):
+            out = windows.PanelWindow(["g"], "t", chunk=chunk).with_rolling(df, kinds)
+            assert out.columns == ["g", "t", "x", "mad", "trim", "auto"]
+            got = {(r.g, r.t): [r.mad, r.trim, r.auto] for r in out.collect()}
+            assert set(got) == set(want)
+            for k, values in want.items():
+                assert got[k] == [None if v is None else pytest.approx(v) for v in values], k
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert windows.PanelWindow(["g"], "t").with_rolling(df.limit(0), kinds).collect() == []
