@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from fallow.functions.scalars import (
     scrub_nonfinite,
     to_number,
 )
-from fallow.operators import binning, diversity, joins, reshape, spatial
+from fallow.operators import binning, diversity, joins, reshape, sketches, spatial
 from fallow.operators.windows import PanelWindow, Rolling
 from fallow.plans import panel as p
 
@@ -488,6 +490,30 @@ def diversity_indices(spark, d):
     return tidy(diversity.diversity_indices(a.lines(spark, d), ["GEOID", "YEAR"], "p_type", "qty"))
 
 
+PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query(s.statement("select crop, col, count(*) as n, true as distinct_within, true as ranks_within from cols_long group by all"))
+def sketched_columns(spark, d):
+    """Distinct counts and quantiles per crop from sketches stored per crop and year, held against all rows."""
+    rows = prepared_stage(spark, d)
+    table = a.stage(spark, d, "sketches", lambda: sketches.sketch_table(rows, ["crop", "YEAR"], p.MODEL_COLUMNS))
+    found = sketches.merged(table, ["crop", "column"]).select(
+        "crop", F.col("column").alias("col"), "n", sketches.distinct_estimate().alias("distinct_about"),
+        F.array(*[sketches.quantile_estimate(q) for q in PROBS]).alias("q"),
+    )
+    names = F.array(*[F.lit(c) for c in p.MODEL_COLUMNS])
+    long = binning.to_long(rows, ["crop"], p.MODEL_COLUMNS).where("x is not null").withColumn("col", F.get(names, F.col("place")))
+    below = [F.count(F.when(F.col("x") < F.col("q")[i], 1)).alias(f"below{i}") for i in range(len(PROBS))]
+    upto = [F.count(F.when(F.col("x") <= F.col("q")[i], 1)).alias(f"upto{i}") for i in range(len(PROBS))]
+    counts = long.join(found.select("crop", "col", "q"), ["crop", "col"]).groupBy("crop", "col").agg(F.count_distinct("x").alias("values"), *below, *upto)
+    margin = sketches.RANK_ERROR * F.col("n") + 1
+    inside = [(F.col(f"below{i}") - margin <= q * F.col("n")) & (q * F.col("n") <= F.col(f"upto{i}") + margin) for i, q in enumerate(PROBS)]
+    close = F.abs(F.col("distinct_about") - F.col("values")) <= sketches.DISTINCT_ERROR * F.col("values")
+    both = found.join(counts, ["crop", "col"])
+    return both.select("crop", "col", "n", close.alias("distinct_within"), reduce(and_, inside).alias("ranks_within"))
+
+
 # ---- geometry -------------------------------------------------------------
 
 
@@ -532,3 +558,25 @@ def crop_adjacency(spark, d):
 )
 def graph_laplacian(spark, d):
     return spatial.graph_laplacian(edges(spark, d), nodes(spark, d), "CNTY", ["crop"])
+
+
+@query(
+    s.statement(
+        "select n.crop, n.CNTY, min(reach.j) as part, count(*) as size, count(*) = 1 as isolated from nodes n "
+        "join reach on reach.crop = n.crop and reach.i = n.CNTY group by n.crop, n.CNTY",
+        homes="select n.crop, CNTY, n_regionkey as home from nodes n join supplier on cast(s_suppkey as varchar) = n.GEOID "
+        "join nation on s_nationkey = n_nationkey",
+        inner_edges="select e.crop, e.i, e.j from edges e join homes h on h.crop = e.crop and h.CNTY = e.i "
+        "join homes k on k.crop = e.crop and k.CNTY = e.j where h.home = k.home",
+        reach="select crop, CNTY as i, CNTY as j from nodes union "
+        "select r.crop, r.i, e.j from reach r join inner_edges e on e.crop = r.crop and e.i = r.j",
+    )
+)
+def area_components(spark, d):
+    """Connected parts of the contiguity graph inside each state, isolated areas included."""
+    areas = nodes(spark, d)
+    homes = areas.join(a.county(spark, d).select("GEOID", "STATEFP").distinct(), "GEOID").select("crop", "CNTY", "STATEFP")
+    one = homes.select("crop", F.col("CNTY").alias("i"), F.col("STATEFP").alias("of_i"))
+    two = homes.select("crop", F.col("CNTY").alias("j"), F.col("STATEFP").alias("of_j"))
+    inside = edges(spark, d).join(one, ["crop", "i"]).join(two, ["crop", "j"]).where("of_i = of_j")
+    return spatial.components(areas, inside, "CNTY", ["crop"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fallow.catalog import analog as a
@@ -12,14 +13,16 @@ from fallow.catalog import sql as s
 from fallow.catalog.basics import KEYS, edges, prepared_stage, query, tidy
 from fallow.plans import curves, fit
 from fallow.plans import panel as p
-from fallow.session import shared_dir
+from fallow.session import app_dir
 from fallow.sources import results, tables
 
-CROPS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
+def folder(spark, name: str) -> str:
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def crops(rows: DataFrame) -> list[str]:
+    """The crops of a table: one file name each."""
+    return [r.crop for r in rows.select("crop").distinct().where("crop is not null").orderBy("crop").collect()]
 
 
 @query(s.statement(f"select crop, GEOID, YEAR, STATE, {s.r6('YIELD')}, {s.r6('GDD')} from panel"))
@@ -27,9 +30,10 @@ def files_crop_panels(spark, d):
     """One parquet folder per crop, read back as one panel."""
     out = folder(spark, "panels")
     rows = a.input_panel(spark, d)
-    for crop in CROPS:
+    names = crops(rows)
+    for crop in names:
         rows.where(F.col("crop") == crop).drop("crop").write.parquet(f"{out}/{crop}")
-    back = tables.read_crop_panels(spark, {c: f"{out}/{c}" for c in CROPS})
+    back = tables.read_crop_panels(spark, {c: f"{out}/{c}" for c in names})
     return tidy(back.select(*KEYS, "STATE", "YIELD", "GDD"))
 
 
@@ -58,12 +62,13 @@ def files_water_csv(spark, d):
     """Water files per crop with a byte order mark and columns named after the crop."""
     out = folder(spark, "water")
     rows = a.water(spark, d)
-    for crop in CROPS:
+    names = crops(rows)
+    for crop in names:
         own = rows.where(F.col("crop") == crop).select(
             F.col("GEOID").alias("\ufeffGEOID"), "Yr", F.col("avg_water").alias(f"avg_{crop}"), F.col("range_water").alias(f"range_{crop}"), "volume"
         )
         own.write.option("header", True).csv(f"{out}/{crop}")
-    return tidy(tables.read_water_csv(spark, {c: f"{out}/{c}" for c in CROPS}))
+    return tidy(tables.read_water_csv(spark, {c: f"{out}/{c}" for c in names}))
 
 
 @query(
@@ -146,3 +151,32 @@ def positional_columns(spark, d):
     bare = p.select_panel(rows)
     picked = joins.select_at(bare, [0, 1, 2, 3, 4, 5])
     return tidy(picked.withColumnsRenamed({"SOIL": "third", "YIELD": "fourth"}))
+
+
+CHECKED = "GEOID string, Yr int, avg_water double, range_water double"
+
+
+@query(
+    s.statement(
+        "select 'row' as kind, GEOID, cast(Yr as varchar) as Yr, " + s.r6("avg_water") + ", null as reason from keyed where no > 3 "
+        "union all select 'rejected', case when no = 3 then null else GEOID end, case when no = 1 then 'soon' else cast(Yr as varchar) end, "
+        "null, case no when 0 then 'wrong number of fields' when 1 then 'Yr: not int' when 2 then 'avg_water: not double' else 'GEOID: missing' end "
+        "from keyed where no <= 3",
+        keyed="select split_part(Cnty_yr, '_', 1) as GEOID, cast(split_part(Cnty_yr, '_', 2) as integer) as Yr, avg_water, "
+        "cast(split_part(Cnty_yr, '_', 1) as integer) % 9 as no from water",
+    )
+)
+def files_damaged(spark, d):
+    """Water files of which some lines are cut, hold words for numbers or lack the area, read into rows and rejects."""
+    out = folder(spark, "damaged")
+    no = F.col("GEOID").cast("int") % 9
+    fields = [
+        F.when(no == 3, "").otherwise(F.col("GEOID")), F.when(no == 1, "soon").otherwise(F.col("Yr").cast("string")),
+        F.when(no == 2, "many").otherwise(F.col("avg_water").cast("string")), F.when(no != 0, F.col("range_water").cast("string")),
+    ]
+    lines = a.water(spark, d).select(F.concat_ws(",", *fields).alias("line"))  # a missing last field is left out
+    lines.write.text(out)
+    rows, rejected = tables.read_checked_csv(spark, out, CHECKED, required=["GEOID"], header=False)
+    good = rows.select(F.lit("row").alias("kind"), "GEOID", F.col("Yr").cast("string").alias("Yr"), "avg_water", F.lit(None).cast("string").alias("reason"))
+    bad = rejected.select(F.lit("rejected").alias("kind"), "GEOID", "Yr", F.lit(None).cast("double").alias("avg_water"), "reason")
+    return tidy(good.unionByName(bad))

@@ -17,6 +17,7 @@ from fallow.catalog.basics import (
 )
 from fallow.functions.scalars import CDF_DENOMINATOR, CDF_NUMERATOR, CDF_SPLIT, ROOT_TWO_PI
 from fallow.operators import within
+from fallow.operators.binning import to_long
 from fallow.plans import curves, design, diagnostics, fit, maps, spec
 from fallow.session import settle
 
@@ -310,15 +311,22 @@ def demeaned_xtx_numeric(spark, d):
 
 @query(
     s.statement(
-        "select crop, count(*) as n, "
-        + s.r6("regr_slope(y, x)", "slope")
-        + " from (select crop, YIELD - avg(YIELD) over (partition by crop, CNTY) as y, "
-        "LSM_SIDI_ALL - avg(LSM_SIDI_ALL) over (partition by crop, CNTY) as x "
-        "from prepared where YIELD is not null and LSM_SIDI_ALL is not null) group by crop"
+        "select crop, response, term, count(*) as n, "
+        + s.r6("case when sum(x * x) > 1e-12 * sum(raw) then sum(x * y) / sum(x * x) end", "slope")
+        + " from (select r.crop, response, col as term, y - avg(y) over (partition by r.crop, CNTY, response, col) as y, "
+        "x - avg(x) over (partition by r.crop, CNTY, response, col) as x, x * x as raw "
+        "from responses r join cols_long c on c.crop = r.crop and c.GEOID = r.GEOID and c.YEAR = r.YEAR where y is not null) group by all",
+        responses=_responses,
     )
 )
 def fe_within_slope(spark, d):
-    return tidy(within.within_slope(prepared_stage(spark, d), ["crop"], "CNTY", "YIELD", "LSM_SIDI_ALL"))
+    """Slope of each response on each model column with one free level per area."""
+    rows = prepared_stage(spark, d)
+    responses = F.explode(F.array(*[F.struct(F.lit(r).alias("response"), F.col(r).alias("y")) for r in s.OUTCOMES]))
+    long = to_long(rows.select("crop", "CNTY", *s.MODEL_COLUMNS, responses.alias("r")).select("*", "r.*"), ["crop", "CNTY", "response", "y"], s.MODEL_COLUMNS)
+    names = F.array(*[F.lit(c) for c in s.MODEL_COLUMNS])
+    slopes = within.within_slope(long.withColumn("term", F.get(names, F.col("place"))), ["crop", "response", "term"], "CNTY", "y", "x")
+    return tidy(slopes)
 
 
 # ---- diagnostics of closed-form models ------------------------------------
@@ -433,17 +441,22 @@ BINNED = (
 )
 
 
+def model_columns(spark, d) -> DataFrame:
+    """(col, x): the known values of every model column."""
+    names = F.array(*[F.lit(c) for c in s.MODEL_COLUMNS])
+    long = to_long(prepared_stage(spark, d), [], s.MODEL_COLUMNS).where("x is not null")
+    return long.select(F.get(names, F.col("place")).alias("col"), "x")
+
+
 @query(
     s.statement(
         f"select col, {BINNED} as bin, count(*) as n "
-        "from cols_long join (select col, min(x) as lo, max(x) as hi from cols_long group by col) using (col) "
-        "where col in ('fert', 'herb', 'volume') group by 1, 2"
+        "from cols_long join (select col, min(x) as lo, max(x) as hi from cols_long group by col) using (col) group by 1, 2"
     )
 )
 def value_histogram(spark, d):
-    """Histogram of the inputs between their smallest and largest value."""
-    inputs = ["fert", "herb", "volume"]
-    long = prepared_stage(spark, d).select(*inputs).unpivot([], inputs, "col", "x").where("x is not null")
+    """Histogram of every model column between its smallest and largest value."""
+    long = model_columns(spark, d)
     ends = settle(long.groupBy("col").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     bin_ = diagnostics.equal_bins(F.col("x"), F.col("lo"), F.col("hi"), 30)
     return long.join(ends, "col").groupBy("col", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -454,13 +467,12 @@ def value_histogram(spark, d):
         f"select col, {BINNED} as bin, count(*) as n from ("
         "select col, x, case col when 'fert' then avg(x) over w else avg(x) over w - stddev_samp(x) over w end as lo, "
         "case col when 'fert' then avg(x) over w else avg(x) over w + stddev_samp(x) over w end as hi "
-        "from cols_long where col in ('fert', 'herb', 'volume') window w as (partition by col)) group by 1, 2"
+        "from cols_long window w as (partition by col)) group by 1, 2"
     )
 )
 def histogram_edges(spark, d):
     """Histogram within one sd of the mean, values beyond in no bin; for fert, between two equal ends."""
-    inputs = ["fert", "herb", "volume"]
-    long = prepared_stage(spark, d).select(*inputs).unpivot([], inputs, "col", "x").where("x is not null")
+    long = model_columns(spark, d)
     half = F.when(F.col("col") == "fert", 0.0).otherwise(F.col("sd"))
     ends = settle(long.groupBy("col").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).select(
         "col", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi")
@@ -967,13 +979,13 @@ def fit_control_curves(spark, d):
     fit_sql(
         "select g.crop, g.type, CNTY, g.GEOID, " + s.r6("q.mean", "Mean") + ", " + s.r6("q.sd", "Standard_Deviation") + ", "
         f"cast(5 as integer) as corners, cast(s_suppkey % {a.GRID} as double) as x0, cast(s_suppkey // {a.GRID} as double) as y0 "
-        "from (select s_suppkey, cast(s_suppkey as varchar) as GEOID, crop, type, fam from supplier, (select distinct crop from prepared), "
-        "(values ('BYM', 'yield_SIDI_bym'), ('FE', 'yield_SIDI_fe')) t(type, fam)) g "
+        "from (select s_suppkey, cast(s_suppkey as varchar) as GEOID, crop, family as type, family as fam "
+        "from supplier, (select distinct crop from prepared), (select distinct family from spec)) g "
         "left join (select distinct crop, GEOID, CNTY from prepared) p on p.crop = g.crop and p.GEOID = g.GEOID "
         "left join quantiled q on q.crop = g.crop and q.family = g.fam and q.term = 'CNTY' and q.x = p.CNTY"
     )
 )
 def fit_area_map(spark, d):
-    """Maps of the area effects of yield, spatial and free, for every crop."""
-    families = {"yield_SIDI_bym": "BYM", "yield_SIDI_fe": "FE"}
+    """Maps of the area effects of all ten families, spatial and free, for every crop."""
+    families = {m.family: m.family for m in SPECS}
     return shown(maps.area_effect_maps(a.county(spark, d), prepared_stage(spark, d), effects(spark, d), families))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fallow.operators.graph import connected_parts
+from fallow.session import settle
+
 
 def contiguity(
     vertices: DataFrame, entity: str, rook: bool = True, snap: float = 1e-7
@@ -61,3 +64,17 @@ def graph_laplacian(edges: DataFrame, nodes: DataFrame, index: str, by: Sequence
         .select(*by, "i", F.col("i").alias("j"), F.coalesce("q", F.lit(0.0)).alias("q"))
     )
     return diagonal.unionByName(edges.select(*by, "i", "j", (-F.col("w")).alias("q")))
+
+
+def components(nodes: DataFrame, edges: DataFrame, index: str, by: Sequence[str]) -> DataFrame:
+    """(by, index, part, size, isolated): the connected part of each area, named after its smallest area.
+
+    Areas without neighbours are parts of their own; see ``connected_parts``.
+    """
+    by = list(by)
+    keys = [*by, index]
+    found = connected_parts(edges, by).withColumnsRenamed({"id": index, "root": "part"})
+    labels = nodes.select(*keys).distinct().join(found, keys, "left")
+    labels = settle(labels.select(*keys, F.coalesce("part", index).alias("part"), F.col("part").isNull().alias("isolated")))
+    sizes = labels.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("size"))
+    return labels.join(sizes, [*by, "part"]).select(*keys, "part", "size", "isolated")

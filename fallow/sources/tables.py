@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +55,32 @@ def read_water_csv(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return out
 
 
+def read_checked_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of CSV files, some of whose lines are damaged; with ``header``, the first line of each file is none.
+
+    ``rows`` has the columns of ``schema``.  ``rejected`` has the fields as they stand in the file, as text,
+    with the ``file`` and a ``reason``: a wrong number of fields, a field that is not of its type, or a
+    required field that is empty; the first that applies, fields from left to right.  Lines are read and
+    judged once and stored, so both tables come from one reading.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField("__damaged", T.StringType())])
+    lines = spark.read.schema(as_text).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE")
+    lines = lines.option("columnNameOfCorruptRecord", "__damaged").csv(path)
+    reason = F.when(F.col("__damaged").isNotNull(), F.lit("wrong number of fields"))
+    for f in fields:
+        text, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if f.name in required:
+            reason = reason.when(text.isNull(), F.lit(f"{f.name}: missing"))
+        if kind != "string":
+            reason = reason.when(text.isNotNull() & text.try_cast(f.dataType).isNull(), F.lit(f"{f.name}: not {kind}"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    judged = settle(lines.select("*", name.alias("__file"), reason.alias("__reason")))
+    good = judged.where("__reason is null").select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+    bad = judged.where("__reason is not null").select(*[F.col(f"`{f.name}`") for f in fields], F.col("__file").alias("file"), F.col("__reason").alias("reason"))
+    return good, bad
+
+
 def read_expense_csv(spark: SparkSession, path: str) -> DataFrame:
     """A wide-by-year expense file: entity ``X`` and one column ``X<year>`` per year.
 

@@ -88,3 +88,42 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     stored = session.settle(spark.range(5))
     assert stored.count() == 5 and "FileScan parquet" in physical(stored)
+
+
+def test_parts_of_a_graph(spark):
+    """A long path, a hot star, a cycle, lone areas, and the same numbers in another group."""
+    from fallow.operators import spatial
+
+    path = [("p", i, i + 1) for i in range(1, 300)]
+    star = [("s", 500, i) for i in range(501, 2000)]
+    cycle = [("s", 1, 2), ("s", 2, 3), ("s", 3, 1), ("p", 1, 1)]
+    pairs = [*path, *star, *cycle]
+    edges = spark.createDataFrame(pairs + [(g, b, a) for g, a, b in pairs], "g string, i int, j int")
+    listed = [("p", i) for i in range(1, 303)] + [("s", i) for i in [1, 2, 3, 4, *range(500, 2000)]]
+    nodes = spark.createDataFrame(listed, "g string, k int")
+    got = {(r.g, r.k): (r.part, r["size"], r.isolated) for r in spatial.components(nodes, edges, "k", ["g"]).collect()}
+    assert len(got) == len(listed)
+    assert all(got["p", i] == (1, 300, False) for i in range(1, 301)) and got["p", 302] == (302, 1, True)
+    assert all(got["s", i] == (500, 1500, False) for i in range(500, 2000))
+    assert got["s", 3] == (1, 3, False) and got["s", 4] == (4, 1, True)
+    none = spatial.components(nodes, edges.limit(0), "k", ["g"])
+    assert none.where("isolated and size = 1 and part = k").count() == len(listed)
+
+
+def test_sketches_merge(spark):
+    from fallow.operators import sketches
+
+    df = spark.range(40_000).select(
+        (F.col("id") % 7).alias("g"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).alias("day"),
+        (F.col("id") % 9000).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("few"),
+    )
+    stored = session.settle(sketches.sketch_table(df, ["g", "day"], ["x", "few"]))
+    assert stored.count() == 7 * 5 * 2
+    found = {r["column"]: r for r in sketches.merged(stored, ["column"]).select(
+        "column", "n", sketches.distinct_estimate().alias("k"), *[sketches.quantile_estimate(q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.9))]
+    ).collect()}
+    assert (found["x"].n, found["few"].n) == (40_000, 20_000)
+    assert found["few"].k == 5 and abs(found["x"].k - 9000) <= sketches.DISTINCT_ERROR * 9000
+    x = np.sort(df.toPandas().x)
+    for i, q in enumerate((0.1, 0.5, 0.9)):
+        assert abs(np.searchsorted(x, found["x"][f"q{i}"]) - q * len(x)) <= sketches.RANK_ERROR * len(x) + 10

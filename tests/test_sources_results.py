@@ -90,3 +90,18 @@ def test_map_has_one_row_per_area(spark):
     got = {r.GEOID: r for r in maps.area_effect_map(county, panel, effects, "corn", "m", 20).collect()}
     assert set(got) == {"a", "b"} and got["a"].Mean == 0.5 and got["b"].Mean is None
     assert len(got["b"].geometry) == 3
+
+
+def test_damaged_lines_are_set_aside(spark, tmp_path):
+    from fallow.sources import tables
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "one.csv").write_text('id,n,x,s\n1,2,0.5,a\n2,zwei,0.5,b\n3,4\n,5,1.5,c\n5,,,\n6,7,8,9,10\n7,1,nan,"q, r"\n')
+    rows, rejected = tables.read_checked_csv(spark, str(tmp_path / "w"), "id long, n int, x double, s string", ["id"])
+    got = sorted((r.id, r.n, r.s) for r in rows.collect())
+    assert got == [(1, 2, "a"), (5, None, None), (7, 1, "q, r")]
+    assert rows.schema.simpleString() == "struct<id:bigint,n:int,x:double,s:string>"
+    bad = {r.reason: (r.id, r.n) for r in rejected.collect()}
+    assert bad["n: not int"] == ("2", "zwei") and bad["id: missing"] == (None, "5")
+    assert rejected.where("reason = 'wrong number of fields'").count() == 2
+    assert {r.file for r in rejected.collect()} == {"w"}
