@@ -6,12 +6,11 @@ columns of the table `documents`; the last returns the pieces of the packed sequ
 
 * language: documents without a letter, or unlike every language learned, go.
 * near_copies: of documents linked by a similarity of 0.8 in shingles of five words,
-  the one with the smallest id stays, once.
+  the one with the smallest id stays, once; rows without id are linked, go and stay like
+  others, after those with an id.
 * test_items: documents that hold a benchmark item within the edit budget go.
 * secrets: found spans are replaced by a mark, and n_chars follows; documents stay.
 * packing: what is left is encoded and packed; one row per piece.
-
-Null ids: such documents stay in near_copies unless all of them go.
 """
 
 from __future__ import annotations
@@ -19,10 +18,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fallow.llm import decontaminate, language_id, minmax_dedup, packing, secret_scan
-from fallow.session import settle, shared_dir
+from fallow.session import app_dir, settle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = minmax_dedup.near_duplicates(docs, width=5, percent=80)
-    stay = judged.where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    return minmax_dedup.without_copies(docs, width=5, percent=80)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +36,7 @@ def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ledger = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+    ledger = f"{app_dir(spark)}/ledger-{uuid.uuid4().hex}"
     return secret_scan.without_secrets(docs, ledger)
 
 

@@ -127,10 +127,7 @@ def _assembler():
 
 
 def format_chats(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Token sequences: conv_id, chunk (from 0), last, input_ids and loss_mask.
-
-    The chunks of a conversation lie in one partition, in order.
-    """
+    """Token sequences: conv_id, chunk (from 0), last, input_ids and loss_mask, in any order of rows."""
     ship_package(conversations.sparkSession)
     own = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -164,8 +161,13 @@ def _reader(vocabulary: str):
                 s["loss_chars"] += len(learned)
             s["part"], s["mask"] = [], []
 
+        conv, chunk = None, 0  # of an open conversation, and the chunk that must follow
         for batch in batches:
             for i in range(batch.num_rows):
+                now = (batch["conv_id"][i].as_py(), batch["chunk"][i].as_py())
+                if now != (conv if chunk else now[0], chunk):
+                    raise ValueError(f"conversation {now[0]}: chunk {now[1]} where chunk {chunk} of conversation {conv if chunk else now[0]} must follow")
+                conv, chunk = now[0], 0 if batch["last"][i].as_py() else chunk + 1
                 tokens = batch["input_ids"][i].values.to_numpy()
                 mask = batch["loss_mask"][i].values.to_numpy()
                 s["tokens"] += len(tokens)
@@ -185,6 +187,8 @@ def _reader(vocabulary: str):
                 if batch["last"][i].as_py():
                     yield pa.record_batch([[batch["conv_id"][i].as_py()], [s["turns"]], [s["hash"].hexdigest()], [s["loss_chars"]], [s["loss"].hexdigest()], [s["chars"]], [s["tokens"]]], schema=schema)
                     s = fresh()
+        if chunk:
+            raise ValueError(f"conversation {conv} ends without its last chunk; chunk {chunk} must follow")
 
     return run
 
@@ -193,6 +197,9 @@ def read_chats(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Read `format_chats` output back: per conversation its turns, learned text and readable length, as digests.
 
     turns_sha256 is over role, newline, text, newline per turn; loss_sha256 over the text under the loss mask.
+    Chunks are brought together and into order first, so stored output may lie in any files and order; a
+    chunk that is missing or there twice is an error.
     """
     ship_package(formatted.sparkSession)
-    return formatted.mapInArrow(_reader(vocabulary), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    ordered = formatted.select("conv_id", "chunk", "last", "input_ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+    return ordered.mapInArrow(_reader(vocabulary), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")

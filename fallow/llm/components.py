@@ -1,35 +1,13 @@
-"""Connected components by contraction, as Spark joins."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fallow.session import settle
+from fallow.operators.graph import connected_parts
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, root) of every id in `edges`; the root is the smallest id that can be reached.
-
-    In each round an id points to its smallest neighbour, if that is smaller than itself, and edges are
-    carried over to what their ends point to.  Every component loses at least half of its ids a round, and
-    its smallest id stays.  Groups are reduced by partial aggregation, so an id with very many edges is no
-    larger a task than any other; no component is ever gathered.
-    """
-    spark = edges.sparkSession
-    rest = settle(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    labels = spark.createDataFrame([], "id long, root long")
-    first = True
-    while not rest.isEmpty():
-        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")))
-        if first:
-            labels, first = step.withColumnRenamed("to", "root"), False
-        else:
-            onward = step.select(F.col("id").alias("root"), "to")
-            labels = labels.join(onward, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        left = step.select(F.col("id").alias("a"), F.col("to").alias("a_to"))
-        right = step.select(F.col("id").alias("b"), F.col("to").alias("b_to"))
-        moved = rest.join(left, "a").join(right, "b").where("a_to != b_to")
-        rest = settle(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
-    return settle(labels)
+    """(id, root) of every id in `edges`; the root is the smallest id that can be reached."""
+    return connected_parts(edges.select(F.col(a).alias("i"), F.col(b).alias("j")))

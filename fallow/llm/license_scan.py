@@ -2,9 +2,9 @@
 
 A block is a window of a document's words, twice as long as a notice, that begins with one
 of its words and runs across line ends.  A template is the distinct words of a notice.  A block
-meets a template when it holds at least `containment` of the template's words, and of a
-template of fewer than `LONG` words also each word that no other template has and each
-number.  Names of sibling licenses (`SIBLINGS`) do not count as words.
+meets a template when it holds at least `containment` of the template's words, among them
+all words that name the license, which a template states beside its text.  Names of
+sibling licenses (`SIBLINGS`) do not count as words.
 
 Windows are made only around anchors, words of which a met block holds one: a required word, or
 the n - need + 1 words that fewest templates have.  The join is the prefix filter for
@@ -36,21 +36,20 @@ from pyspark.sql import functions as F
 
 from fallow.session import settle
 
-# Phrases and their labels, and wordings of notices with theirs.
+# Phrases and their labels; labels, wordings of notices and the words that name each license.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit-notice", "Released under the MIT License", "released mit license"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2 0"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general public 3"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4 0"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4 0 international"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
 )
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of text in either case
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
-LONG = 16
 SIBLINGS = (
     rf"attribution{GAP}(?:non{GAP}commercial|noncommercial|share{GAP}alike|sharealike|no{GAP}deriv|noderiv)",
     rf"(?<!{WORD[:-1]})nc{GAP}(?:sa|nd)(?!{WORD[:-1]})",
@@ -71,11 +70,6 @@ def need_of(n: int, containment: float) -> int:
     return max(1, math.ceil(containment * n - 1e-9))
 
 
-def required_of(words: list[str], sets: list[list[str]]) -> list[str]:
-    """Of a template of few words, those that tell it from the other templates (`sets` has them all)."""
-    return [] if len(words) >= LONG else [w for w in words if w.isdigit() or sum(w in ws for ws in sets) == 1]
-
-
 def anchors_of(words: list[str], need: int, required: list[str], sets: list[list[str]]) -> list[str]:
     """Words of which every met block holds one."""
     if required:
@@ -91,11 +85,18 @@ def windows_of(words: Column, length: int, members: list[str], anchors: list[str
     places = F.array(hits)  # bound once
 
     def sets(own):
-        def block(x, i):
-            near = F.filter(F.slice(own, i + 1, F.lit(length)), lambda y: y["at"] < x["at"] + length)
+        spots = F.transform(F.filter(own, lambda x: F.array_contains(wanted, x["word"])), lambda x: x["at"])
+        # an anchor reaches back over the members that begin a window with it
+        first = F.filter(
+            F.transform(own, lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))),
+            lambda x: F.exists(spots, lambda p: (p >= x["at"]) & (p < x["at"] + length)),
+        )
+
+        def block(x):
+            near = F.filter(F.slice(own, x["i"] + 1, F.lit(length)), lambda y: y["at"] < x["at"] + length)
             return F.array_sort(F.array_distinct(F.transform(near, lambda y: y["word"])))
 
-        return F.filter(F.transform(own, block), lambda b: (F.size(b) >= least) & F.arrays_overlap(b, wanted))
+        return F.filter(F.transform(first, block), lambda b: F.size(b) >= least)
 
     return F.when(F.arrays_overlap(words, wanted), F.array_distinct(F.flatten(F.transform(places, sets)))).otherwise(none)
 
@@ -116,9 +117,8 @@ def phrase_places(text: Column, n_words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels and labels (arrays), score (largest containment met, 1 with a phrase)."""
     spark = docs.sparkSession
-    sets = [(label, words_of(t), 2 * len(_tokens(t))) for label, t in templates]
-    every = [ws for _, ws, _ in sets]
-    sets = [(label, ws, need_of(len(ws), containment), required_of(ws, every), length) for label, ws, length in sets if ws]
+    every = [words_of(t) for _, t, _ in templates]
+    sets = [(label, words_of(t), need_of(len(words_of(t)), containment), words_of(names), 2 * len(_tokens(t))) for label, t, names in templates if words_of(t)]
 
     lowered = F.regexp_replace(F.lower("__text"), "|".join(SIBLINGS), " ")
     own = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))

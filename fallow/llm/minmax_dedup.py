@@ -18,11 +18,14 @@ so no candidate pair between different groups is left out.
 Words are runs of anything but ASCII white space, with ASCII letters lowered.  A text
 of fewer words than the width has its whole sequence as its one shingle.
 
+Rows are known by a row number, given when their texts are stored, so rows without
+id are linked like all others.
+
 Defined results: null texts and texts without words have an empty set, are linked
-with nothing and kept; repeated rows are copies of each other; rows without id are
-linked to their copies with an id, dropped if there is one, else kept without
-component; rows that share an id are one document; an empty table gives an empty
-result; other columns are ignored.
+with nothing and kept; repeated rows are copies of each other; rows that share an id
+are compared each on its own; the head of a group is its smallest id, in a group
+without ids its first row, which has no component id and is kept; other rows without
+id are not; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,8 +134,8 @@ def _signer(width: int, rows: int, bands: int, seed: int):
             has = np.array([n > 0 for n in sizes], bool)
             offsets = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
             yield pa.record_batch(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["row", "doc_id", "n_shingles", "set_key", "bands"],
             )
 
     return run
@@ -178,20 +181,51 @@ def _confirmer(width: int, percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, seed: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id of its group) and kept (it is that one)."""
-    ship_package(docs.sparkSession)
-    rows, bands = band_shape(percent / 100)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with small_batches(docs.sparkSession):
-        signed = settle(own.mapInArrow(_signer(width, rows, bands, seed), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    own = settle(_numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))))
+    judged = _judged(own, width, percent, seed)
+    named = F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("head.doc_id"))
+    return judged.select(
+        "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (named | (F.col("row") == F.col("head.row"))).alias("kept")
+    )
+
+
+def without_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, seed: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs`, with all their columns, with one row of each group: that of the smallest id, or the first."""
+    stored = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    own = stored.select("row", F.col(f"doc.`{key}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
+    stay = _judged(own, width, percent, seed).where(F.col("row") == F.col("head.row")).select("row")
+    left = stored.join(stay, "row", "left_semi")
+    return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
-    classes = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
-    classes = settle(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number of their own, to be stored at once."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def _judged(own: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """(row, doc_id, n_shingles, head) of every row of the stored table `own` (row, doc_id, text).
+
+    `head` (is without id, doc_id, row) is the first row of the group, those with the smallest id first.
+    """
+    ship_package(own.sparkSession)
+    rows, bands = band_shape(percent / 100)
+    with small_batches(own.sparkSession):
+        signed = own.select("row", "doc_id", "text").mapInArrow(_signer(width, rows, bands, seed), "row long, doc_id long, n_shingles long, set_key binary, bands array<long>")
+        signed = settle(signed)
+
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row"))
+    full = signed.where(F.col("set_key").isNotNull())
+    classes = full.groupBy("set_key").agg(F.min("row").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("head"))
+    classes = settle(classes)
     links = _links(own, classes, width, percent)
 
-    labelled = classes.select("set_key", "id").join(components(links), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
-    group = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
+    labelled = classes.select("set_key", "id", "head").join(components(links), "id", "left").select("set_key", "head", F.coalesce("root", "id").alias("root"))
+    heads = labelled.groupBy("root").agg(F.min("head").alias("first"))
+    labelled = settle(labelled.join(heads, "root").select("set_key", F.col("first").alias("head")))
+    out = full.select("row", "doc_id", "n_shingles", "set_key").join(labelled, "set_key").drop("set_key")
+    empty = signed.where(F.col("set_key").isNull()).select("row", "doc_id", "n_shingles", place.alias("head"))
+    return out.unionByName(empty)
 
 
 def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -199,12 +233,12 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     filed = classes.select("id", "n", F.explode("bands").alias("bucket"))
     leads = filed.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = settle(filed.join(leads.drop("members"), "bucket"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = settle(own.where(F.col("text").isNotNull()).join(wanted, "doc_id").distinct())
+    wanted = members.select("id").distinct()
+    texts = settle(own.select(F.col("row").alias("id"), "text").join(wanted, "id"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+        a = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
+        b = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
         with small_batches(own.sparkSession):
             return settle(both.mapInArrow(_confirmer(width, percent), "a long, b long"))
@@ -216,7 +250,7 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     placed = members.join(roots, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rest = placed.join(mixed.drop("low", "high"), "bucket", "left_semi").select("id", "n", "root").distinct()
-    pairs = _prefix_pairs(texts.join(rest, F.col("doc_id") == F.col("id")), width, percent)
+    pairs = _prefix_pairs(texts.join(rest, "id"), width, percent)
     return near.unionByName(confirm(pairs.join(first, ["a", "b"], "left_anti")))
 
 

@@ -94,18 +94,30 @@ select conv_id, n_turns, sha256(said) as turns_sha256, length(learned) as loss_c
 from whole
 """
 
+_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+_SIBLINGS = (
+    f"attribution{_GAP}+(?:non{_GAP}+commercial|noncommercial|share{_GAP}+alike|sharealike|no{_GAP}+deriv|noderiv)",
+    f"{_GAP}nc{_GAP}+(?:sa|nd){_GAP}",
+    f"gnu{_GAP}+(?:lesser|affero|library){_GAP}+general",
+)
+_PLAIN = "' ' || lower(coalesce(text, '')) || ' '"
+for _pattern in (_SIBLINGS[0], _SIBLINGS[1], _SIBLINGS[1], _SIBLINGS[2]):  # two neighbours share a gap, hence twice
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', ' ', 'g')"
+
+# Every window of twice a notice's length that begins with any word is held against the notice.
 OP6 = f"""
-with templates(label, need, own) as (values
-    ('mit-notice', 4, ['license', 'mit', 'released', 'the', 'under']),
-    ('mit-grant', 15, ['a', 'and', 'any', 'associated', 'charge', 'copy', 'documentation', 'files', 'free', 'granted', 'hereby',
-        'is', 'obtaining', 'of', 'permission', 'person', 'software', 'this', 'to']),
-    ('apache-2.0', 7, ['0', '2', 'apache', 'license', 'licensed', 'the', 'under', 'version']),
-    ('gpl-3.0', 10, ['3', 'general', 'gnu', 'is', 'license', 'licensed', 'public', 'the', 'this', 'under', 'version', 'work']),
-    ('cc-by-nc-4.0', 6, ['0', '4', 'by', 'cc', 'licensed', 'nc', 'under']),
-    ('cc-by-4.0', 11, ['0', '4', 'a', 'attribution', 'commons', 'creative', 'international', 'is', 'license', 'licensed', 'this',
-        'under', 'work']),
-    ('bsd', 16, ['and', 'are', 'binary', 'conditions', 'following', 'forms', 'in', 'met', 'modification', 'or', 'permitted',
-        'provided', 'redistribution', 'source', 'that', 'the', 'use', 'with', 'without'])
+with templates(label, size, need, own, names) as (values
+    ('mit-notice', 5, 4, ['license', 'mit', 'released', 'the', 'under'], ['license', 'mit', 'released']),
+    ('mit-grant', 20, 16, ['a', 'and', 'any', 'associated', 'charge', 'copy', 'documentation', 'files', 'free', 'granted', 'hereby',
+        'is', 'obtaining', 'of', 'permission', 'person', 'software', 'this', 'to'], []),
+    ('apache-2.0', 8, 7, ['0', '2', 'apache', 'license', 'licensed', 'the', 'under', 'version'], ['0', '2', 'apache']),
+    ('gpl-3.0', 12, 10, ['3', 'general', 'gnu', 'is', 'license', 'licensed', 'public', 'the', 'this', 'under', 'version', 'work'],
+        ['3', 'general', 'gnu', 'public']),
+    ('cc-by-nc-4.0', 7, 6, ['0', '4', 'by', 'cc', 'licensed', 'nc', 'under'], ['0', '4', 'by', 'cc', 'nc']),
+    ('cc-by-4.0', 13, 11, ['0', '4', 'a', 'attribution', 'commons', 'creative', 'international', 'is', 'license', 'licensed', 'this',
+        'under', 'work'], ['0', '4', 'attribution', 'commons', 'creative', 'international']),
+    ('bsd', 21, 16, ['and', 'are', 'binary', 'conditions', 'following', 'forms', 'in', 'met', 'modification', 'or', 'permitted',
+        'provided', 'redistribution', 'source', 'that', 'the', 'use', 'with', 'without'], [])
 ),
 docs as (
     select row_number() over () as rid, doc_id, coalesce(text, '') as text,
@@ -119,13 +131,15 @@ places as (
         list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as gpl
     from docs
 ),
-lines as (
-    select rid, list_distinct(regexp_extract_all(unnest(string_split(lower(text), chr(10))), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w
-    from docs
+plain as (select row_number() over () as rid, regexp_extract_all({_PLAIN}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents),
+near as (select rid, w, t.* from plain, templates t where len(list_intersect(w, own)) >= need),
+windows as (
+    select rid, label, own, need, names, w[i:i + 2 * size - 1] as b from (select *, unnest(range(1, len(w) + 1)) as i from near)
+    where list_contains(own, w[i])
 ),
 met as (
-    select rid, label, len(list_intersect(w, own)) / len(own) as score
-    from lines, templates where len(list_intersect(w, own)) >= need
+    select rid, label, len(list_intersect(b, own)) / len(own) as score
+    from windows where len(list_intersect(b, own)) >= need and list_has_all(b, names)
 ),
 best as (select rid, list(distinct label) as found, max(score) as score from met group by rid),
 named as (

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from tests.llm import brute
 from tests.llm.conftest import NASTY, plain
 
+from fallow import session
 from fallow.llm import chat_format, decontaminate, nearest, packing, queries
 
 
@@ -44,6 +45,18 @@ def test_chats_of_nasty_turns(spark, monkeypatch):
     assert chat_format.read_chats(chat_format.format_chats(df.limit(0))).collect() == []
 
 
+def test_stored_chats_are_read_in_any_order(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", "long words " * 900) for i in range(400)] + [(2, 0, "assistant", "short")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    stored = session.settle(chat_format.format_chats(df).repartition(3, "chunk"))
+    assert stored.where("conv_id = 1").count() > 5
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.read_chats(stored).collect()}
+    assert got == {c: brute.conversation([(t[2], t[3]) for t in turns if t[0] == c]) for c in (1, 2)}
+    for damaged in (stored.where("chunk != 2"), stored.where("not (conv_id = 1 and last)"), stored.union(stored.where("chunk = 1"))):
+        with pytest.raises(Exception, match="must follow"):
+            chat_format.read_chats(damaged).collect()
+
+
 @given(st.text(alphabet="\\<>/turnsayx\n ", max_size=40))
 def test_escape_is_reversible(text):
     shown = chat_format.escape(text)

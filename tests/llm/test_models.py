@@ -81,6 +81,24 @@ def test_near_duplicates_of_nasty_texts(spark, nasty_docs, no_docs):
     assert got == [(0, 0, True), (1, 0, True), (2, 3, False)]
 
 
+def test_rows_without_id_link_go_and_stay_like_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = lambda base, i: " ".join([*base[:i], "other", *base[i + 1 :]])
+    alone = [f"u{i}" for i in range(100)]
+    rows = [(5, " ".join(words)), (None, near(words, 0)), (None, near(words, 99)), (8, near(words, 50)), (None, " ".join(alone)), (None, near(alone, 0)), (None, near(alone, 99)), (None, None), (None, "")]
+    # a row without id links two others that are no neighbours of each other
+    rows += [(21, " ".join(f"c{i}" for i in range(0, 60))), (None, " ".join(f"c{i}" for i in range(3, 63))), (20, " ".join(f"c{i}" for i in range(6, 66)))]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = minmax_dedup.near_duplicates(df, 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got if r.n_shingles == 98) == sorted(
+        [(5, 5, True), (8, 5, False), (0, 5, False), (0, 5, False), (0, 0, True), (0, 0, False), (0, 0, False)])
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.n_shingles == 58) == [(0, 20, False), (20, 20, True), (21, 20, False)]
+    left = minmax_dedup.without_copies(df, 3, 85)
+    assert left.columns == df.columns
+    kept = sorted((r.doc_id or 0, r.row) for r in left.collect())
+    assert [k for k, _ in kept] == [0, 0, 0, 5, 20] and {r for _, r in kept} >= {0, 7, 8, 11}
+
+
 def test_min_and_max_both_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
