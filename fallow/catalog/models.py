@@ -847,11 +847,11 @@ def fit_sql(tail: str, **extra: str) -> str:
 _fits: dict[tuple[str, str, str], fit.Fits] = {}
 
 
-def fits(spark, d) -> fit.Fits:
-    key = a.stage_key(spark, d, "fits")
+def fits(spark, d, name: str = "fits", specs=SPECS) -> fit.Fits:
+    key = a.stage_key(spark, d, name)
     if key not in _fits:
         areas = a.stage(spark, d, "edges", lambda: edges(spark, d))
-        _fits[key] = fit.fit_models(prepared_stage(spark, d), bins(spark, d), areas, SPECS)
+        _fits[key] = fit.fit_models(prepared_stage(spark, d), bins(spark, d), areas, specs)
     return _fits[key]
 
 
@@ -932,6 +932,62 @@ def fit_parameter_summary(spark, d):
     return asinh_columns(diagnostics.parameter_summary(fit.intercept_table(found), fit.hyper_table(found)))
 
 
+# The report's families with an area effect of two parts, in their default form.
+BYM_SPECS = [
+    spec.model(f"{m.family.removesuffix('_fe')}_bymd", m.response, m.smooths[-1], m.smooths[:-1], "bym", "default") for m in SPECS if m.area == "factor"
+]
+
+
+def _bym_ctes() -> dict[str, str]:
+    out = {}
+    for name, text in FIT_CTES.items():
+        if name == "spec":
+            text = text.replace("('fe', 'factor'), ('bym', 'bym2')", "('bymd', 'bym')")
+        if name == "areas":
+            out["chain_ends"] = (
+                "select model_id, crop, lev, n, r, wit, btw, groups, r / nullif(n, 0) as y from groups_a join moments_a using (model_id) join model_names using (model_id)"
+            )
+            out["chain_links"] = (
+                "select x.model_id, x.lev, z.lev as beside, x.y * z.y as product from chain_ends x join edges e on e.crop = x.crop and e.i = x.lev "
+                "join chain_ends z on z.model_id = x.model_id and z.lev = e.j"
+            )
+            out["chain_base"] = (
+                "select *, coalesce(1 / nullif(v + wit / nullif(n, 0), 0), 0) as q from (select *, btw - s2 as v from ("
+                "select e.*, coalesce(d, 0) as d, greatest(0, least(btw, coalesce(c, 0))) as s2 from chain_ends e "
+                "left join (select model_id, avg(product) as c from chain_links group by all) using (model_id) "
+                "left join (select model_id, lev, count(*) as d from chain_links group by all) using (model_id, lev)))"
+            )
+            out["chain_field0"] = "select model_id, lev, 0.0::double as s from chain_base"
+            for k in range(12):
+                out[f"chain_field{k + 1}"] = (
+                    "select b.model_id, b.lev, case when s2 > 0 then (q * coalesce(y, 0) + coalesce(near, 0) / s2) / (q + (d + 1) / s2) else 0 end as s "
+                    "from chain_base b left join (select l.model_id, l.lev, sum(s) as near from chain_links l "
+                    f"join chain_field{k} f on f.model_id = l.model_id and f.lev = l.beside group by all) using (model_id, lev)"
+                )
+            text = (
+                "select model_id, crop, 'bym' as area, lev, n, r, s + coalesce(v / nullif(v + wit / nullif(n, 0), 0) * (y - s), 0) as mean, "
+                "case when n > 0 then least(ww, 1 / n) else ww end as w, coalesce(s2 / nullif(btw, 0), 0) as phi from ("
+                "select *, coalesce((case when s2 > 0 then 1 / (q + (d + 1) / s2) else 0 end + coalesce(v * wit / nullif(v * n + wit, 0), 0)) / nullif(wit, 0), 0) as ww "
+                "from chain_base join chain_field12 using (model_id, lev))"
+            )
+        out[name] = text
+    return out
+
+
+@query(
+    s.statement(
+        "select model_id, term, x, " + ", ".join(s.r6(c) for c in ("mean", "sd", "q025", "q975")) + ", "
+        + s.r6("phi") + " from quantiled join (select model_id, max(phi) as phi from areas group by model_id) using (model_id) where term = 'CNTY'",
+        **_bym_ctes(),
+    )
+)
+def fit_bym(spark, d):
+    """Area effects with an independent and a structured part, and the structured share of their variance."""
+    found = fits(spark, d, "bym fits", BYM_SPECS)
+    effects_ = fit.effect_table(found).where("term = 'CNTY'").join(found.models.select("model_id", "phi"), "model_id")
+    return tidy(effects_.select("model_id", "term", "x", "mean", "sd", "q025", "q975", "phi"))
+
+
 DEPENDENTS = {m.family: m.family.split("_")[0] for m in SPECS}
 FIT_TERMS = sorted({c for m in SPECS for c in m.smooths})
 

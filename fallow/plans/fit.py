@@ -15,9 +15,16 @@ the other from what the earlier ones leave:
   the sum of their 1 / n, or 0 if that is negative; without it all effects are 0.  The
   tridiagonal system has at most 21 levels and is solved by one pass in each direction;
 * free area levels (``factor``) and slopes (``linear``) are not shrunk;
-* spatial area effects (``bym2``, ``bym``) are shrunk towards phi times the mean
-  effect of the area's neighbours instead of 0, phi being the slope of an area's
-  effect on its neighbours', between 0 and 1.  An area without observations gets that;
+* spatial area effects (``bym2``) are shrunk towards phi times the mean effect of the
+  area's neighbours instead of 0, phi being the slope of an area's effect on its
+  neighbours', between 0 and 1.  An area without observations gets that;
+* ``bym`` areas have two parts with a variance each.  The variance S of the structured
+  part is the mean product of the means of neighbouring areas, between 0 and B, and that
+  of the independent part is V = B - S.  The structured part is a field that starts at 0
+  and is averaged ``SWEEPS`` times: an area's value becomes (q r / n + the sum of its
+  d neighbours' values / S) / (q + (d + 1) / S) with q = 1 / (V + W / n), or 0 without
+  observations.  One sweep shrinks what is left to do by d / (d + 1) at least.  The
+  independent part is what the field leaves, shrunk by V / (V + W / n), and phi is S / B;
 * the noise variance is what is left in the end over n - p, p being 1 plus the sum of
   n w of all groups, where w is 1 / (n + l), or the entry of a smooth term's inverse.
   Given the variances, an effect has the variance noise times w, and those of one row
@@ -48,6 +55,7 @@ from fallow.session import settle
 
 MODEL = ["model_id", "crop", "family"]
 Z975 = 1.959964
+SWEEPS = 12
 RSS, P_EFF = -1, -2  # beside the positions of levels
 
 
@@ -173,7 +181,7 @@ def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs:
         *MODEL, "design_id", "area", F.col("n").alias("n_rows"), mean.alias("m"), (F.col("yy") - F.col("y") * mean).alias("rss")
     ))
 
-    areas, parts, left = _area_effects(rows, start, edges)
+    areas, parts, left = _area_effects(rows, start, edges, two_parts=any(m.area == "bym" for m in specs))
     remaining = _after_areas(rows, products, start, areas)
     both = products.where("i >= 0")
     both = settle(both.unionByName(both.where("i < j").select("design_id", F.col("j").alias("i"), F.col("i").alias("j"), "v")))
@@ -232,7 +240,47 @@ def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Effects of ``bym`` areas (columns of ``own`` and mean, w, phi), and the variances of their two parts.
+
+    ``own`` (MODEL, design_id, area, CNTY, n, r) and ``moments`` are stored.  A sweep is one join of the
+    links with the small field table, reduced by partial aggregation.
+    """
+    base = own.where("area = 'bym'").join(moments.select("model_id", "within", "between", "groups"), "model_id")
+    base = settle(base.withColumn("y", F.when(F.col("n") > 0, F.col("r") / F.col("n"))))
+    ends = base.select("model_id", "crop", "CNTY", "y")
+    other = ends.withColumnsRenamed({"CNTY": "j", "y": "y_j"})
+    links = settle(edges.select("crop", F.col("i").alias("CNTY"), "j").join(ends, ["crop", "CNTY"]).join(other, ["model_id", "crop", "j"]))
+    product = links.groupBy("model_id").agg(F.avg(F.col("y") * F.col("y_j")).alias("product"))
+    degree = links.groupBy("model_id", "CNTY").agg(F.count(F.lit(1)).alias("d"))
+    shared = F.greatest(F.lit(0.0), F.least(F.col("between"), F.coalesce("product", F.lit(0.0))))
+    base = base.join(product, "model_id", "left").join(degree, ["model_id", "CNTY"], "left").fillna(0, ["d"])
+    base = base.withColumn("structured", shared).withColumn("free", F.col("between") - F.col("structured"))
+    spread = F.col("free") + F.try_divide("within", "n")
+    base = settle(base.withColumn("q", F.coalesce(F.try_divide(F.lit(1.0), spread), F.lit(0.0))))
+
+    field = base.select("model_id", "CNTY", F.lit(0.0).alias("s"))
+    stiff = F.try_divide(F.lit(1.0), "structured")  # missing without a structured part, whose field stays 0
+    for _ in range(SWEEPS):
+        around = links.select("model_id", "CNTY", "j").join(field.withColumnRenamed("CNTY", "j"), ["model_id", "j"])
+        around = around.groupBy("model_id", "CNTY").agg(F.sum("s").alias("near"))
+        value = (F.col("q") * F.coalesce("y", F.lit(0.0)) + F.coalesce("near", F.lit(0.0)) * stiff) / (F.col("q") + (F.col("d") + 1) * stiff)
+        field = settle(base.join(around, ["model_id", "CNTY"], "left").select("model_id", "CNTY", F.coalesce(value, F.lit(0.0)).alias("s")))
+    rest = F.coalesce(F.try_divide("free", spread) * (F.col("y") - F.col("s")), F.lit(0.0))
+    of_field = F.coalesce(1 / (F.col("q") + (F.col("d") + 1) * stiff), F.lit(0.0))
+    of_rest = F.coalesce(F.try_divide(F.col("free") * F.col("within"), F.col("free") * F.col("n") + F.col("within")), F.lit(0.0))
+    w = F.coalesce(F.try_divide(of_field + of_rest, "within"), F.lit(0.0))
+    effects = base.join(field, ["model_id", "CNTY"]).withColumn("w", F.when(F.col("n") > 0, F.least(w, 1 / F.col("n"))).otherwise(w))
+    phi = F.coalesce(F.try_divide("structured", "between"), F.lit(0.0))
+    effects = effects.select(*own.columns, (F.col("s") + rest).alias("mean"), "w", phi.alias("phi"))
+    both = F.explode(F.array(
+        F.struct(F.lit("CNTY").alias("term"), F.col("free").alias("between")), F.struct(F.lit("CNTY structured").alias("term"), F.col("structured").alias("between")),
+    ))
+    variances = base.select("model_id", "groups", "within", both.alias("v")).distinct().select("model_id", "v.term", "groups", "within", "v.between")
+    return effects, variances
+
+
+def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, two_parts: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Area effects, their moments, and what they leave of each model."""
     sums = dg.area_table(rows).where(F.col("CNTY").isNotNull())
     own = sums.join(start.drop("rss", "n_rows"), "design_id")
@@ -242,7 +290,7 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame) -> tuple[
     raw = own.join(moments, "model_id").withColumn("w", F.when(F.col("area") == "factor", free).otherwise(_shrunk()))
     raw = settle(raw.where(F.col("w").isNotNull()).withColumn("u", F.col("w") * F.col("r")))
 
-    spatial = raw.where("area <> 'factor'")
+    spatial = raw.where("area = 'bym2'")
     near = spatial.where("n > 0").select("model_id", "crop", F.col("CNTY").alias("j"), F.col("u").alias("u_near"))
     around = settle(
         edges.select("crop", F.col("i").alias("CNTY"), "j").join(near, ["crop", "j"])
@@ -257,7 +305,13 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame) -> tuple[
         .withColumn("phi", F.when(F.col("area") != "factor", F.coalesce("phi", F.lit(0.0))))
         .withColumn("mean", F.col("u") + F.when(F.col("area") == "factor", 0.0).otherwise((1 - F.col("n") * F.col("w")) * towards))
     )
-    areas = settle(areas.select(*MODEL, "design_id", "CNTY", "n", "r", "mean", "w", "phi"))
+    columns = [*MODEL, "design_id", "CNTY", "n", "r", "mean", "w", "phi"]
+    areas, variances = areas.select(columns), moments.select("model_id", F.lit("CNTY").alias("term"), "groups", "within", "between")
+    if two_parts:
+        own_effects, own_variances = _two_part_areas(own, moments, edges)
+        areas = areas.join(own_effects.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_effects.select(columns))
+        variances = variances.join(own_variances.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_variances)
+    areas = settle(areas)
     used = areas.groupBy("model_id").agg(
         F.sum(F.col("n") * F.col("mean") * F.col("mean") - 2 * F.col("mean") * F.col("r")).alias("rss_step"),
         F.sum(F.col("n") * F.col("w")).alias("p_step"),
@@ -267,7 +321,7 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame) -> tuple[
         (F.col("rss") + F.coalesce("rss_step", F.lit(0.0))).alias("rss"),
         (1 + F.coalesce("p_step", F.lit(0.0))).alias("p_eff"),
     )
-    parts = moments.select(F.lit(-1).alias("ord"), F.lit("CNTY").alias("term"), "*")
+    parts = settle(variances.select(F.lit(-1).alias("ord"), "term", "model_id", "groups", "within", "between"))
     return areas, parts, settle(left)
 
 

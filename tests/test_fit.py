@@ -282,3 +282,49 @@ def test_two_terms_and_two_kinds_of_area(spark, sf_dir):
     assert len(got) == 2 and all(r.n > 0 and abs(r.off) < 0.05 for r in got)
     terms = fit.effect_table(fits).where("family = 'two_terms'").select("term").distinct().count()
     assert terms == 8 + 2 + 1
+
+
+def test_two_part_areas_follow_their_definition(spark):
+    """Smooth and rough areas on a grid with an isolated one: sweeps by dense algebra, and another result than one part."""
+    rng = np.random.default_rng(4)
+    side = 6
+    at = [(k % side, k // side) for k in range(side * side)]
+    pairs = [(i, j) for i, p in enumerate(at) for j, q in enumerate(at) if abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1]
+    level = [math.sin(p[0]) + p[1] / 3 + rng.normal() / 4 for p in at] + [2.0]
+    rows = [("c", str(k), 2000 + t, t, k, float(v + rng.normal() / 10) if (k, t) != (3, 0) and k != 7 else None, float(rng.normal())) for k, v in enumerate(level) for t in range(5)]
+    panel = spark.createDataFrame(rows, "crop string, GEOID string, YEAR int, Yr int, CNTY int, YIELD double, TP double").cache()
+    edges = spark.createDataFrame([("c", i, j) for i, j in pairs], "crop string, i int, j int")
+    specs = [spec.model(f"m_{a}", "YIELD", "TP", [], a, linear=["TP"]) for a in ("bym", "bym2")]
+    fits = fit.fit_models(panel, QuantileBins(panel, ["crop"], ["TP"]), edges, specs)
+    got = {r.CNTY: r for r in fits.areas.where("family = 'm_bym'").collect()}
+
+    y = np.array([np.nan if r[5] is None else r[5] for r in rows])
+    area = np.array([r[4] for r in rows])
+    seen = ~np.isnan(y)
+    e = y - y[seen].mean()
+    n = np.array([(seen & (area == k)).sum() for k in range(37)], float)
+    r = np.array([e[seen & (area == k)].sum() for k in range(37)])
+    has = n > 0
+    ss = (r[has] ** 2 / n[has]).sum()
+    within = ((e[seen] ** 2).sum() - ss) / (seen.sum() - has.sum())
+    between = (ss - has.sum() * within) / n.sum()
+    means = np.divide(r, n, out=np.full(37, np.nan), where=has)
+    near = np.zeros((37, 37))
+    for i, j in pairs:
+        near[i, j] = 1
+    shared = min(between, max(0, np.nanmean([means[i] * means[j] for i, j in pairs])))
+    free = between - shared
+    q = np.divide(1, free + within / np.where(has, n, 1)) * has
+    s = np.zeros(37)
+    for _ in range(fit.SWEEPS):
+        s = (q * np.nan_to_num(means) + near @ s / shared) / (q + (near.sum(1) + 1) / shared)
+    want = s + np.nan_to_num(free / (free + within / np.where(has, n, 1)) * (means - s))
+    assert 0 < shared < between
+    assert [got[k]["mean"] for k in range(37)] == pytest.approx(list(want), abs=1e-9)
+    assert {round(g.phi, 9) for g in got.values()} == {round(shared / between, 9)}
+    assert got[7]["mean"] != 0  # without observations: from its neighbours
+    other = {r.CNTY: r["mean"] for r in fits.areas.where("family = 'm_bym2'").collect()}
+    assert max(abs(other[k] - got[k]["mean"]) for k in other) > 1e-3
+    names = {r["name"] for r in fit.hyper_table(fits).where("family = 'm_bym'").collect()}
+    assert {"precision of CNTY", "precision of CNTY structured", "phi of CNTY"} <= names
+    assert fit.score_rows(fits).where("sd is null").count() == 0
