@@ -124,7 +124,10 @@ def _smooth_levels(own: DataFrame, squares: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<double>)")
     listed = F.array_sort(F.collect_list(F.struct("level", "pos", "x", "n", "r"))).alias("g")
     lists = own.groupBy("model_id", "design_id", "ord", "term").agg(listed, F.sum("n").alias("rows"), F.sum("r").alias("all"))
-    lists = lists.join(_variances(own, squares).drop("between"), "model_id")
+    lists = lists.join(squares, "model_id").withColumn("seen", F.filter("g", lambda e: e["n"] > 0)).withColumn("groups", F.size("seen").cast("long"))
+    explained = F.aggregate("seen", F.lit(0.0), lambda t, e: t + e["r"] * e["r"] / e["n"])
+    within = F.greatest(F.lit(0.0), F.col("rss") - explained) / F.greatest(F.lit(1.0), F.col("n_rows") - F.col("groups"))
+    lists = lists.withColumn("within", within).drop("seen", "rss", "n_rows")
     pair = lambda e, f: F.when((e["n"] > 0) & (f["n"] > 0), F.pow(e["r"] / e["n"] - f["r"] / f["n"], 2) - F.col("within") * (1 / e["n"] + 1 / f["n"]))
     steps = F.array_compact(F.transform(F.sequence(F.lit(2), F.size("g")), lambda i: pair(F.element_at("g", i - 1), F.element_at("g", i))))
     lists = lists.withColumn("steps", F.when(F.size("g") > 1, steps).otherwise(empty))
