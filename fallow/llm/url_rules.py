@@ -5,11 +5,14 @@ subdomain of it and whose path starts with the rule's path; the longest rule win
 
 Each url is expanded into the expressions that could equal a rule: the suffixes of
 its host with as many labels, and the prefixes of its path with as many characters,
-as some rule has.  Expressions meet rules in an equi-join on the first hex digits
-of a digest; the full digest then confirms the hit.  Work is done once per distinct
-(host, path), so that a url or host with a third of all rows costs no more than any
-other, and the rule side is an ordinary join side that Spark broadcasts only under
-its own size threshold.
+as some rule has.  Rules are grouped by the first hex digits of their digest, and
+expressions meet these groups in an equi-join on those digits alone; the full digest
+then picks the rules of the group that fit.  A group holds the rules that share a
+short prefix, so its size is that of a hash collision.  Expressions are looked up
+once per distinct (host, path), so that a url or host with a third of all rows costs
+no more than any other; the rule side is an ordinary join side that Spark broadcasts
+only under its own size threshold.  Verdicts go back to the rows by a join on (host,
+path), whose rows of one hot url are split by adaptive skew handling.
 
 Defined results: a url that is null or has no ``://`` has empty host and path; a
 url that no rule fits gets a null rule and the default verdict; repeated rows are
@@ -71,8 +74,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         (labels(F.col("host")) >= F.col("s.labels")) & (F.length("path") >= F.col("s.chars"))
     )
     asked = asked.select("host", "path", digest(F.expr("substring_index(host, '.', -s.labels)"), F.expr("substring(path, 1, s.chars)")).alias("asked"))
-    hits = asked.withColumn("short", F.substring("asked", 1, digits)).join(listed, "short").where(F.col("asked") == F.col("rule_digest"))
-    best = hits.groupBy("host", "path").agg(F.max("winner").alias("winner"))
+    sharing = listed.groupBy("short").agg(F.collect_list(F.struct("rule_digest", "winner")).alias("sharing"))
+    met = asked.withColumn("short", F.substring("asked", 1, digits)).join(sharing, "short")
+    confirmed = F.filter("sharing", lambda rule: rule["rule_digest"] == F.col("asked"))
+    winner = F.array_max(F.transform(confirmed, lambda rule: rule["winner"]))
+    best = met.groupBy("host", "path").agg(F.max(winner).alias("winner"))
     return parsed.join(best, ["host", "path"], "left").select(
         F.col("__key").alias(key),
         "host",
