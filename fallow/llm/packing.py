@@ -6,13 +6,16 @@ is packed with the documents routed to it, one to a sequence, and the gap behind
 is filled exactly from shorter tiers, largest first, the last filler cut.  What is
 left without fillers is laid end to end and cut into full sequences, largest tier
 first.  All sequences but a last one per group of input partitions are therefore
-full, whatever the lengths.  Sequences of one tier are dealt to step groups that hold
-`step_tokens` tokens each, so steps cost the same.
+full, whatever the lengths.  The sequences of a tier are numbered through over all
+partitions and dealt to step groups of `step_tokens` tokens each, so all steps cost
+the same but for the last of a tier.
 
 Encoding and packing run as one stream over each input partition, so texts are read
 and encoded once and never shuffled; a task holds at most `POOL` waiting rests of less
 than the largest tier.  The end of each partition, less than the smallest tier, is
-packed with those of `NEIGHBOURS` partitions.
+packed with those of `NEIGHBOURS` partitions.  Numbers in a tier are a place in the
+partition plus the sequences of earlier ones, from a table with a row per partition
+and tier.
 
 Encoding caches the ids of white-space-delimited strings per worker: the vocabulary's
 rules never look across white space, so a text's ids are those of its strings.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallow.session import settle, ship_package
@@ -211,27 +214,26 @@ def cut(pieces: deque, size: int) -> list:
     return out
 
 
-OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, task int, ids binary"
+OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, place long, task long, ids binary"
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
-    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("task", pa.int32()), ("ids", pa.binary()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("place", pa.int64()), ("task", pa.int64()), ("ids", pa.binary()),
 ])
 
 
 class _Writer:
     """Rows of finished sequences; ids are unique by the base given and by sequence."""
 
-    def __init__(self, base: int, step_tokens: int, task: int):
-        self.base, self.step_tokens, self.task = base, step_tokens, task
+    def __init__(self, base: int, task: int):
+        self.base, self.task = base, task
         self.sequences, self.of_tier, self.rows = 0, dict.fromkeys(TIERS, 0), []
 
     def write(self, done: list) -> None:
         for tier, pieces in done:
-            step = self.of_tier[tier] * tier // self.step_tokens
+            place, offset = self.of_tier[tier], 0
             self.of_tier[tier] += 1
-            offset = 0
             for (doc, tokens), start, ids in pieces:
-                self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.base + self.sequences, offset, tier, (self.base + step) * len(TIERS) + TIERS.index(tier), self.task, None))
+                self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.base + self.sequences, offset, tier, place, self.task, None))
                 offset += len(ids)
             self.sequences += 1
         done.clear()
@@ -246,10 +248,10 @@ class _Writer:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _pack_partition(vocabulary: str, step_tokens: int):
+def _pack_partition(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        enc, packer, writer = encoder(vocabulary), Packer(), _Writer(task << 32, step_tokens, task)
+        enc, packer, writer = encoder(vocabulary), Packer(), _Writer(task << 32, task)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -268,30 +270,34 @@ def _pack_partition(vocabulary: str, step_tokens: int):
     return run
 
 
-def _pack_ends(step_tokens: int):
-    def run(table: pa.Table) -> pa.Table:
-        group = table["ends"][0].as_py()
-        rows = sorted(table.select(["task", "doc_id", "start", "doc_tokens", "ids"]).to_pylist(), key=lambda r: (r["task"], r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids"]))
-        packer, writer = Packer(), _Writer((1 << 53) + (group << 32), step_tokens, -1)
-        pieces = deque(((r["doc_id"], r["doc_tokens"]), r["start"], np.frombuffer(r["ids"], "<u4")) for r in rows)
-        total = sum(len(p[2]) for p in pieces)
-        for tier in TIERS:
-            while total >= tier:
-                packer.done.append((tier, cut(pieces, tier)))
-                total -= tier
-        if pieces:
-            packer.done.append((TIERS[0], list(pieces)))  # the one sequence that is padded
-        writer.write(packer.done)
-        return pa.Table.from_batches([writer.take()])
-
-    return run
+def _pack_ends(table: pa.Table) -> pa.Table:
+    group = table["ends"][0].as_py()
+    rows = sorted(table.select(["task", "doc_id", "start", "doc_tokens", "ids"]).to_pylist(), key=lambda r: (r["task"], r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids"]))
+    packer, writer = Packer(), _Writer((1 << 53) + (group << 32), (1 << 31) + group)
+    pieces = deque(((r["doc_id"], r["doc_tokens"]), r["start"], np.frombuffer(r["ids"], "<u4")) for r in rows)
+    total = sum(len(p[2]) for p in pieces)
+    for tier in TIERS:
+        while total >= tier:
+            packer.done.append((tier, cut(pieces, tier)))
+            total -= tier
+    if pieces:
+        packer.done.append((TIERS[0], list(pieces)))  # the one sequence that is padded
+    writer.write(packer.done)
+    return pa.Table.from_batches([writer.take()])
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, step_tokens: int = STEP_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (its sequence's size), step_group."""
     ship_package(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    packed = settle(own.mapInArrow(_pack_partition(vocabulary, step_tokens), OUT))
+    packed = settle(own.mapInArrow(_pack_partition(vocabulary), OUT))
     ends = packed.where(F.col("sequence_id").isNull()).withColumn("ends", F.floor(F.col("task") / NEIGHBOURS))
-    ends = ends.groupBy("ends").applyInArrow(_pack_ends(step_tokens), OUT)
-    return packed.where(F.col("sequence_id").isNotNull()).unionByName(ends).drop("task", "ids")
+    ends = settle(ends.groupBy("ends").applyInArrow(_pack_ends, OUT))
+    packed = packed.where(F.col("sequence_id").isNotNull()).unionByName(ends).drop("ids")
+    # one row per task and tier; tasks in order number a tier's sequences through
+    counts = packed.groupBy("task", "tier").agg((F.max("place") + 1).alias("n"))
+    earlier = counts.select("task", "tier", (F.sum("n").over(Window.partitionBy("tier").orderBy("task")) - F.col("n")).alias("earlier"))
+    tiers = F.array(*[F.lit(t) for t in TIERS])
+    step = F.floor((F.col("earlier") + F.col("place")) * F.col("tier") / step_tokens)
+    group = (step * len(TIERS) + F.array_position(tiers, F.col("tier")) - 1).alias("step_group")
+    return packed.join(earlier, ["task", "tier"]).select(*[c for c in packed.columns if c not in ("task", "place")], group)
