@@ -137,6 +137,19 @@ def test_packing_of_the_documents(spark, sf_dir):
     assert all(len(t) == 1 for t in by_step.values())
 
 
+def test_step_groups_are_balanced_over_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(9)
+    rows = plain(packing.pack_documents(docs, step_tokens=8192))
+    steps = {}
+    for r in rows:
+        steps.setdefault((r["tier"], r["step_group"]), set()).add(r["sequence_id"])
+    assert len({g for _, g in steps}) == len(steps)
+    assert len({t for t, _ in steps}) == len(packing.TIERS)
+    for tier in packing.TIERS:
+        mine = [len(s) for (t, _), s in sorted(steps.items()) if t == tier]
+        assert all(n * tier == 8192 for n in mine[:-1]) and 0 < mine[-1] * tier <= 8192
+
+
 def test_packing_of_nasty_texts(spark, nasty_docs, no_docs):
     tokens = brute.token_pieces([(i, t) for i, t in enumerate(NASTY) if i != 7] + [(100, None), (101, "word " * 60_000), (102, "x" * 100_000)])
     for parts in (1, 5):
@@ -229,6 +242,21 @@ def test_equal_vectors_in_many_blocks(spark):
         assert [v for _, v in mine] == [v for v in range(6) if v != q][:5]
 
 
+def test_rows_of_one_id_with_different_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in nearest.nearest(df, df.where("vec_id = 0")).collect())
+    a, b, c = round(0.5**0.5, 9), round(1 / 1.25**0.5, 9), round(0.5 / 1.25**0.5, 9)
+    assert got == sorted([(1, 2, b), (2, 1, a), (3, 0, 0.0), (1, 1, a), (2, 2, c), (3, 0, 0.0)])
+
+
+def test_neighbours_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    answers = lambda block: sorted(tuple(r) for r in nearest.nearest(df, df.where("vec_id % 20 = 0"), probes=2, block=block).collect())
+    assert answers(7) == answers(100) == answers(100_000)
+
+
 def test_hadamard_is_a_rotation():
     rows = np.random.default_rng(1).normal(size=(5, 8))
     turned = nearest.rotate(rows, nearest.rotation_signs(8, 1, 0)[0])

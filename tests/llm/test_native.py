@@ -144,6 +144,18 @@ def test_urls_with_odd_parts(spark):
         assert got == sorted(want)
 
 
+def test_urls_meet_rules_by_the_short_prefix(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(brute.RULES, "verdict string, host string, path string")
+    plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "short" in joins[0] and "digest" not in joins[0] and "asked" not in joins[0]
+    exact = sorted(tuple(r) for r in url_rules.judge_urls(pages, rules).collect())
+    for digits in (0, 1):  # every rule shares its prefix with others: only the full digest tells them apart
+        assert sorted(tuple(r) for r in url_rules.judge_urls(pages, rules, digits=digits).collect()) == exact
+    assert url_rules.judge_urls(pages.limit(0), rules).collect() == []
+
+
 def test_shards(spark, sf_dir, nasty_docs, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df, bucket_rows in ((docs, 4096), (docs, 16), (nasty_docs, 3), (no_docs, 4096)):
