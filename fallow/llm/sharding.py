@@ -11,14 +11,14 @@ number of rows in earlier buckets plus its place in its own.  Only the counts pe
 bucket, one row for some thousands of documents, are summed in one window.
 
 Defined results: a null text counts as empty; a null source is a source of its own;
-null ids are ranked as one more id; rows equal in id, text and source are
-interchangeable; an empty table gives an empty result; with fewer rows than shards
+null and repeated ids are spread by their texts; rows equal in id, text and source
+are interchangeable; an empty table gives an empty result; with fewer rows than shards
 some shards are empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallow.session import settle
@@ -30,6 +30,11 @@ def _running(counts: DataFrame, bucket: str, source: list[str]) -> DataFrame:
     return counts.withColumn("before", F.sum("n").over(by.orderBy(bucket)) - F.col("n")).withColumn("total", F.sum("n").over(by))
 
 
+def shuffled(seed: int) -> Column:
+    """The place of a row in the seeded shuffle; texts tell rows of one id apart."""
+    return F.xxhash64(F.lit(seed), "__key", "text_crc32", "size")
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20, key: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 2048) -> DataFrame:
     """Per row: key, source, size, text_crc32, shard (0 to shards - 1) and slot (its place there, gapless from 0)."""
     content = F.coalesce(F.col(text), F.lit(""))
@@ -38,8 +43,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20, key: str =
         F.col(source).alias("__source"),
         (F.octet_length(content) + 1).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("shuffled"),
-    ))
+    ).withColumn("shuffled", shuffled(seed)))
     rows = own.count()
     buckets = max(1, -(-rows // bucket_rows))
 
