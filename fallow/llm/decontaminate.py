@@ -1,14 +1,18 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Text is compared as words: runs of letters, digits and characters beyond ASCII,
-lowered.  A test item of m words may differ from a passage by `rate * m` word edits
+Text is compared as words: runs of letters, marks and digits of any script, lowered;
+in scripts that put no spaces between words each character is a word of its own.
+White space, punctuation and symbols are gaps; characters that are not shown, such as
+a soft hyphen, count as nothing.  A test item of m words may differ from a passage by `rate * m` word edits
 at most.  It is split into one piece more than that budget, so a passage within the
 budget holds at least one piece unchanged, in its place up to the budget's shift.
 An Aho-Corasick automaton over all pieces finds the exact hits in one pass over a
 document, and Myers' bit-parallel distance verifies the words around each hit.
 
 Test items are taken in blocks of bounded size, one pass over the documents per
-block; documents are never shuffled and every word of every text is searched.
+block, and the next block is sent out only when the pass before it is stored; a
+worker builds the automaton of a block once.  Documents are never shuffled and every
+word of every text is searched.
 
 Defined results: null and empty texts, of documents or items, match nothing; an
 item of fewer than 1 / rate words must occur unchanged; an item that occurs several
@@ -19,21 +23,50 @@ columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fallow.session import ship_package
+from fallow.session import settle, ship_package
 
 RATE = 0.2
 BLOCK_BYTES = 32 << 20
-_GAPS = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
+_GAPS = bytes(b if chr(b).isalnum() and b < 0x80 else 0x20 for b in range(256))
+#: Code points of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese).
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+)
+
+
+class _Characters(dict):
+    """What each character beyond the known ones stands for: itself, a word of its own, a gap or nothing."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        kind = unicodedata.category(char)
+        if kind[0] in "LMN":
+            shown = f" {char} " if any(a <= code <= b for a, b in UNSPACED) else char
+        else:
+            shown = "" if kind == "Cf" else " "
+        self[code] = shown
+        return shown
+
+
+_characters = _Characters()
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_GAPS).split() if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().encode().translate(_GAPS).split()
+    return text.lower().translate(_characters).encode().split()
 
 
 def pieces_of(m: int, budget: int) -> list[tuple[int, int]]:
@@ -123,16 +156,31 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) ->
         yield [(r["id"], r["text"]) for r in rows]
 
 
+_latest: list = [None, None]
+
+
+def matcher_of(items: Broadcast, rate: float) -> Matcher:
+    """The matcher of a block, built once per worker; a worker keeps that of the latest block."""
+    key = (items.value, rate)
+    if _latest[0] is None or _latest[0][0] is not key[0] or _latest[0][1] != rate:
+        _latest[:] = key, Matcher(items.value, rate)
+    return _latest[1]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, edits, budget, item_words, first_word, end_word of every item found in a document."""
     spark = docs.sparkSession
     ship_package(spark)
     schema = "doc_id long, item_id long, edits int, budget int, item_words int, first_word int, end_word int"
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = spark.createDataFrame([], schema)
+    found, sent = [], None
     for items in item_blocks(benchmark, "item_id", "text", block_bytes):
-        out = out.unionByName(own.mapInArrow(_finder(spark.sparkContext.broadcast(items), rate), schema))
-    return out
+        if sent:  # one block at a time is held
+            found[-1] = settle(found[-1])
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(items)
+        found.append(own.mapInArrow(_finder(sent, rate), schema))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _finder(items, rate: float):
@@ -140,7 +188,7 @@ def _finder(items, rate: float):
     names = ["doc_id", "item_id", "edits", "budget", "item_words", "first_word", "end_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, rate)
+        matcher = matcher_of(items, rate)
         for batch in batches:
             rows = [(doc, *hit) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in matcher.search(text)]
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
@@ -153,14 +201,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     """The rows of `docs`, with all their columns, in which no item occurs."""
     spark = docs.sparkSession
     ship_package(spark)
+    sent = None
     for items in item_blocks(benchmark, "item_id", "text", block_bytes):
-        docs = docs.mapInArrow(_filter(spark.sparkContext.broadcast(items), rate, docs.columns.index(text)), docs.schema)
+        if sent:  # one block at a time is held
+            docs = settle(docs)
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(_filter(sent, rate, docs.columns.index(text)), docs.schema)
     return docs
 
 
 def _filter(items, rate: float, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, rate)
+        matcher = matcher_of(items, rate)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.search(t) for t in batch.column(column).to_pylist()], pa.bool_()))
 

@@ -125,6 +125,18 @@ def test_edited_passages_are_found_and_clean_documents_stay(spark, sf_dir):
     assert decontaminate.find_leaks(docs.limit(0), bench).collect() == []
 
 
+def test_words_of_any_script(spark):
+    items = [(1, "吾輩は猫である。名前はまだ無い。"), (2, "the quick brown fox"), (3, "ceci n’est pas une pipe"), (4, "สวัสดีครับ")]
+    docs = [(1, "昔の本に「吾輩は猫である。名前はまだ無い」と書いてある"), (2, "he said “the quick—brown fo­x” and left"), (3, "(Ceci n'est pas une pipe…)"),
+            (4, "เขาพูดว่าสวัสดีครับแล้วไป"), (5, "吾輩は犬であった"), (6, "the quick browner fox"), (7, "“—” 😀 ­")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (1 << 20, 10):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, block_bytes=size).collect()) == [(i, i) for i in range(1, 5)]
+        assert sorted(r.doc_id for r in decontaminate.without_leaks(df, bench, block_bytes=size).collect()) == [5, 6, 7]
+    assert decontaminate.words_of("É-tude​ 2½") == ["é".encode(), b"tude", "2½".encode()]
+
+
 def test_packing_of_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokens = brute.token_pieces([(r.doc_id, r.text) for r in docs.collect()])

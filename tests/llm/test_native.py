@@ -175,6 +175,22 @@ def test_shards(spark, sf_dir, nasty_docs, no_docs):
     assert one == {(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs.repartition(7), bucket_rows=50).collect()}
 
 
+def test_shards_equal_plain_ranks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    hot = docs.select(F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"))
+    for df in (docs, hot):
+        named = df.select(F.col("doc_id").alias("__key"), F.coalesce("text", F.lit("")).alias("t"), "source")
+        named = named.select("__key", "source", F.crc32(F.col("t").cast("binary")).alias("text_crc32"), (F.octet_length("t") + 1).cast("long").alias("size"))
+        rows = [(r.s, r["__key"] is not None, r["__key"] or 0, r.text_crc32, r["size"], r.source) for r in named.withColumn("s", sharding.shuffled(20)).collect()]
+        assert len({r[0] for r in rows}) > 0.7 * len(rows)  # no id gathers its rows in one place
+        fractions = []
+        for source in {r[5] for r in rows}:
+            mine = sorted(r for r in rows if r[5] == source)
+            fractions += [((2 * i + 1) / (2 * len(mine)), r[0], "-" if source is None else f"s{source}", *r[1:5]) for i, r in enumerate(mine)]
+        want = Counter((f[4] if f[3] else None, f[5], 16 * i // len(rows)) for i, f in enumerate(sorted(fractions)))
+        assert want == Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.assign_shards(df, bucket_rows=32).collect())
+
+
 def test_license_notices_across_lines_and_look_alikes(spark):
     grant = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files (the Software), to deal"
     bsd = " * Redistribution and use in source and binary\n * forms, with or without modification, are\n * permitted provided that the following\n * conditions are met:"
