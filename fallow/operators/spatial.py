@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fallow.operators.graph import connected_parts
 from fallow.session import settle
 
+CELL = 64  # width of a cell in units of the snap distance
+
 
 def contiguity(
     vertices: DataFrame, entity: str, rook: bool = True, snap: float = 1e-7
@@ -17,17 +19,19 @@ def contiguity(
     """Neighbour pairs (i, j), both directions, with the number of vertices they share.
 
     Queen neighbours share a vertex, rook neighbours more than one.  Two vertices are one place when they
-    lie within ``snap`` of each other, on whichever side of a cell border: each vertex is sought in its
-    cell and the cells around it, and the distance decides.  Vertices are made distinct per area first, so
+    lie within ``snap`` of each other, on whichever side of a cell border: each vertex is sought in all cells
+    that its surroundings touch, and the distance decides.  A cell is ``CELL`` times ``snap`` wide, so that
+    few vertices lie near a border and are sought more than once.  Vertices are made distinct per area first, so
     repeated rings, parts or copies of an area do not multiply the work.  The group of a cell is the areas
     that meet there; each pair is built once and mirrored after it has been counted.
     """
     points = vertices.select(F.col(entity).alias("a"), "x", "y").distinct()
-    cells = [F.floor(F.col(c) / snap).alias(f"g{c}") for c in ("x", "y")]
+    cells = [F.floor(F.col(c) / (CELL * snap)).alias(f"g{c}") for c in ("x", "y")]
     other = points.select(F.col("a").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *cells)
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    sought = points.select("a", "x", "y", *cells, around.alias("d"))
-    sought = sought.select("a", "x", "y", (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
+    reach = 1.5 * snap  # more than snap, so that rounding loses no cell
+    low, high = ([F.floor((F.col(c) + r) / (CELL * snap)) for c in ("x", "y")] for r in (-reach, reach))
+    sought = points.select("a", "x", "y", F.explode(F.sequence(low[0], high[0])).alias("gx"))
+    sought = sought.select("a", "x", "y", "gx", F.explode(F.sequence(low[1], high[1])).alias("gy"))
     apart = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
     met = sought.join(other, ["gx", "gy"]).where((F.col("a") < F.col("b")) & (apart <= snap))
     shared = F.least(F.count_distinct("x", "y"), F.count_distinct("bx", "by"))

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from fallow.functions import scalars as s
 from fallow.operators import joins
 from fallow.operators.diversity import diversity_indices
 from fallow.operators.reshape import years_to_rows
-from fallow.operators.spatial import contiguity, graph_laplacian, index_edges
+from fallow.operators.spatial import CELL, contiguity, graph_laplacian, index_edges
 
 
 def column(df, expr):
@@ -106,6 +107,23 @@ def test_contiguity(spark):
     assert sums == 0 and lap.where("i = j and q = 0").count() == 1
 
 
+def test_vertices_meet_across_cell_borders(spark):
+    rng, snap = np.random.default_rng(4), 0.5
+    width = CELL * snap
+    # around corners of cells, closer to one another than snap or a little farther
+    rows = [(f"{a}", *(width * rng.integers(-2, 3, 2) + rng.choice([-0.6, -0.5, -0.1, 0.0, 0.25, 0.5, 0.7], 2)).tolist()) for a in range(6) for _ in range(25)]
+    want = {}
+    points = sorted(set(rows))
+    for a, x, y in points:
+        for b, u, v in points:
+            if a < b and np.hypot(x - u, y - v) <= snap:
+                left, right = want.setdefault((a, b), (set(), set()))
+                left.add((x, y)), right.add((u, v))
+    got = {(r.i, r.j): r.shared for r in contiguity(spark.createDataFrame(rows, "g string, x double, y double"), "g", rook=False, snap=snap).collect()}
+    want = {pair: min(len(left), len(right)) for pair, (left, right) in want.items()}
+    assert want and got == want | {(b, a): n for (a, b), n in want.items()}
+
+
 def test_bind_columns_by_key(spark):
     rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, None)], "g string, t int, y double")
     fitted = spark.createDataFrame([("a", 2, 2.5), ("b", 1, 0.5)], "g string, t int, fitted double")
