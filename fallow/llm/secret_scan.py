@@ -145,15 +145,23 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
 
 
+def unused(stem: str, columns: list[str]) -> str:
+    """`stem`, with underscores behind it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def without_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text", size: str = "n_chars") -> DataFrame:
     """`docs`, with all their columns, with spans redacted and the column `size` brought up to date in changed rows."""
-    blob = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    blob, found, changed = (unused(stem, docs.columns) for stem in ("blob", "found", "changed"))
     scan_unseen(docs, ledger, rules, text)
-    found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    marked = docs.withColumn("__blob", blob).join(found, "__blob", "left")
-    spans = F.coalesce("__spans", F.expr(NONE))
-    marked = marked.withColumn("__new", redact(F.col(text), spans))
-    new = {text: F.col("__new")}
+    known = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(found))
+    marked = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known, blob, "left")
+    spans = F.coalesce(found, F.expr(NONE))
+    marked = marked.withColumn(changed, redact(F.col(text), spans))
+    new = {text: F.col(changed)}
     if size in docs.columns:
-        new[size] = F.when(F.size(spans) > 0, F.length("__new").cast(docs.schema[size].dataType)).otherwise(F.col(size))
+        new[size] = F.when(F.size(spans) > 0, F.length(changed).cast(docs.schema[size].dataType)).otherwise(F.col(size))
     return marked.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import NASTY
 
@@ -77,3 +78,15 @@ def test_redaction_keeps_columns(spark, nasty_docs, tmp_path):
     for r in out.collect():
         if r.doc_id < 100:
             assert r.text == redacted(NASTY[r.doc_id])
+
+
+def test_stages_leave_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["__blob", "__new", "__spans", "__stays", "blob", "Found", "changed", "spans", "id", "row", "n", "root", "kept", "component_id", "rejected", "lang_pred", "score", "block", "token"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in names})
+    given = {r.doc_id: r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == given[r.doc_id][c] for r in rows for c in ("source", *names))
