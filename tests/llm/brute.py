@@ -135,3 +135,12 @@ def check_packing(rows, tokens, limit=2048):
     return padding / max(1, sum(filled.values())), filled
 
 
+def redacted(text):
+    """Every stretch covered by overlapping base spans replaced by the mark."""
+    spans = sorted((int(a), int(b)) for a, b in (s.split(":")[1:] for s in secrets(text)[4].split(",") if s))
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out, at = out + text[at:a] + "[SECRET]", b
+        at = max(at, b)
+    return out + text[at:]

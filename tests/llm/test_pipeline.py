@@ -6,17 +6,6 @@ from tests.llm.conftest import NASTY
 from fallow.llm import decontaminate, language_id, secret_scan
 
 
-def redacted(text):
-    """Every stretch covered by overlapping base spans replaced by the mark."""
-    spans = sorted((int(a), int(b)) for a, b in (s.split(":")[1:] for s in brute.secrets(text)[4].split(",") if s))
-    out, at = "", 0
-    for a, b in spans:
-        if a >= at:
-            out, at = out + text[at:a] + "[SECRET]", b
-        at = max(at, b)
-    return out + text[at:]
-
-
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -51,7 +40,7 @@ def test_stages(spark, sf_dir):
 
             assert set(after) == {i for i, r in before.items() if not leaks(r.text)}
         elif name == "secrets":
-            assert {i: (r.text, r.n_chars) for i, r in after.items()} == {i: (t := redacted(r.text), len(t) if t != r.text else r.n_chars) for i, r in before.items()}
+            assert {i: (r.text, r.n_chars) for i, r in after.items()} == {i: (t := brute.redacted(r.text), len(t) if t != r.text else r.n_chars) for i, r in before.items()}
             assert any("[SECRET]" in r.text for r in after.values())
         if name != "secrets":
             assert all(r == given[i] for i, r in after.items())
@@ -77,7 +66,7 @@ def test_redaction_keeps_columns(spark, nasty_docs, tmp_path):
     assert out.columns == nasty_docs.columns and out.count() == nasty_docs.count()
     for r in out.collect():
         if r.doc_id < 100:
-            assert r.text == redacted(NASTY[r.doc_id])
+            assert r.text == brute.redacted(NASTY[r.doc_id])
 
 
 def test_stages_leave_columns_of_any_name(spark, sf_dir):
