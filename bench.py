@@ -2,13 +2,15 @@
 
 Stage tables (inputs, prepared panel, bins, fits) are timed when they are first
 built; queries that read them are timed on their own after one warm-up run, as
-the median of BENCH_RUNS runs (one by default).
+the median of BENCH_RUNS runs (one by default).  Stages are written below
+BENCH_SHARED_DIR, or below a new folder of this machine.
 """
 
 import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -35,6 +37,7 @@ def main():
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("fallow-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="fallow-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
