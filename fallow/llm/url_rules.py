@@ -11,8 +11,9 @@ then picks the rules of the group that fit.  A group holds the rules that share
 short prefix, so its size is that of a hash collision.  Expressions are looked up
 once per distinct (host, path), so that a url or host with a third of all rows costs
 no more than any other; the rule side is an ordinary join side that Spark broadcasts
-only under its own size threshold.  Verdicts go back to the rows by a join on (host,
-path), whose rows of one hot url are split by adaptive skew handling.
+only under its own size threshold.  Rows are stored once with one of `SLOTS` slots in
+turn, and verdicts go back to them by (host, path, slot), so that the rows of one hot
+url are dealt over that many tasks.
 
 Defined results: a url that is null or has no ``://`` has empty host and path; a
 url that no rule fits gets a null rule and the default verdict; repeated rows are
@@ -25,6 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fallow.session import settle
+
+SLOTS = 1024  # parts of one url's rows in the join back
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,7 +52,9 @@ def labels(host: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", digits: int = 8) -> DataFrame:
     """Per row of ``pages``: key, host, path, rule (host and path of the winner) and verdict."""
     host, path = host_and_path(F.col("__url"))
-    parsed = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).select("__key", host.alias("host"), path.alias("path"))
+    slot = F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")
+    parsed = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).select("__key", host.alias("host"), path.alias("path"), slot.alias("slot"))
+    parsed = settle(parsed)
 
     full = digest(F.col("host"), F.col("path"))
     listed = rules.select("verdict", "host", "path").distinct()
@@ -79,7 +85,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     confirmed = F.filter("sharing", lambda rule: rule["rule_digest"] == F.col("asked"))
     winner = F.array_max(F.transform(confirmed, lambda rule: rule["winner"]))
     best = met.groupBy("host", "path").agg(F.max(winner).alias("winner"))
-    return parsed.join(best, ["host", "path"], "left").select(
+    dealt = parsed.select("host", "path", "slot").distinct().join(best, ["host", "path"])
+    return parsed.join(dealt, ["host", "path", "slot"], "left").select(
         F.col("__key").alias(key),
         "host",
         "path",

@@ -76,7 +76,7 @@ def test_many_spans_in_one_text(spark, tmp_path):
 
 
 def test_scan_time_follows_spans(spark, tmp_path):
-    """Twice the spans in one text cost well below four times the time."""
+    """64 000 spans in one text take little longer than 20; in proportion to their square it would be minutes."""
     def seconds(n):
         df = spark.createDataFrame([(1, "k token=0123456789abcdef0 " * n)], "path long, text string").coalesce(1)
         start = time.monotonic()
@@ -84,8 +84,8 @@ def test_scan_time_follows_spans(spark, tmp_path):
         assert out.selectExpr("length(text) - length(replace(text, '[SECRET]', '')) as n").first().n == 8 * n
         return time.monotonic() - start
 
-    fixed = seconds(10), seconds(10)
-    assert seconds(32_000) < 4 * seconds(16_000) + fixed[1]
+    fixed = max(seconds(10), seconds(10))
+    assert seconds(32_000) < 3 * fixed
 
 
 def test_rows_of_a_hot_blob_are_dealt_over_tasks(spark, tmp_path):
@@ -185,8 +185,9 @@ def test_urls_meet_rules_by_the_short_prefix(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rules = spark.createDataFrame(brute.RULES, "verdict string, host string, path string")
     plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
-    joins = [line for line in plan.splitlines() if "Join Inner" in line]
-    assert len(joins) == 1 and "short" in joins[0] and "digest" not in joins[0] and "asked" not in joins[0]
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("short" in j for j in joins) == 1 and not any("digest" in j or "asked" in j for j in joins)
+    assert [j for j in joins if "LeftOuter" in j and "slot" in j]  # the rows of one url are dealt over slots
     exact = sorted(tuple(r) for r in url_rules.judge_urls(pages, rules).collect())
     for digits in (0, 1):  # every rule shares its prefix with others: only the full digest tells them apart
         assert sorted(tuple(r) for r in url_rules.judge_urls(pages, rules, digits=digits).collect()) == exact
