@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fallow.catalog import analog
 from fallow.operators.diversity import diversity_indices
+from fallow.plans import panel
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz, o_totalprice double"
 LINES = (
@@ -77,3 +78,11 @@ def test_diversity_with_sums(spark):
     got = {r.e: r for r in diversity_indices(df, ["e"], "cls", "q", sums=["n", "q"]).collect()}
     assert (got["e"].n, got["e"].q, got["e"].richness, got["e"].simpson) == (12, 4.0, 2, 0.5)
     assert (got[None].n, got[None].richness) == (1, 0)
+
+
+def test_expenses_are_stored_before_they_meet_the_panel(spark):
+    rows = spark.createDataFrame([("1", 0, "1_0"), ("1", 0, "1_0"), (None, 1, "NA_1"), ("9", 0, "9_0")], "GEOID string, Yr int, Cnty_yr string")
+    wide = spark.createDataFrame([("1", 5.0, 6.0), (None, 7.0, 8.0)], "X string, X2000 double, X2001 double")
+    out = panel.join_expenses(rows, wide, wide, ["X2000", "X2001"], 2000)
+    assert sorted((r.Cnty_yr, r.fert, r.herb) for r in out.collect() if r.fert) == [("1_0", 5.0, 5.0), ("1_0", 5.0, 5.0), ("NA_1", 8.0, 8.0)]
+    assert out.count() == 4 and "Expand" not in physical(out)
