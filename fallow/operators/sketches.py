@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fallow.operators.binning import to_long
+from fallow.operators.quantiles import AT_ONCE
 
 LOG_SLOTS = 12
 DEPTH = 400
@@ -26,13 +26,27 @@ DISTINCT_ERROR = 4 * 1.04 / 2 ** (LOG_SLOTS / 2)  # four standard errors
 
 
 def sketch_table(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, column, n, distinct_sketch, quantile_sketch) of the known values of ``columns``; store it to merge it."""
-    names = F.array(*[F.lit(c) for c in columns])
-    long = to_long(df, by, columns).where("x is not null").withColumn("column", F.get(names, F.col("place")))
-    return long.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.hll_sketch_agg(F.xxhash64("x"), LOG_SLOTS).alias("distinct_sketch"),
-        F.kll_sketch_agg_double("x", DEPTH).alias("quantile_sketch"),
+    """(by, column, n, distinct_sketch, quantile_sketch) of the known values of ``columns``; store it to merge it.
+
+    A group is a row of sketches, for ``AT_ONCE`` columns a scan: were columns groups, too, Spark would sort
+    all values of a task that meets more than 128 of them.
+    """
+    out = None
+    for start in range(0, len(columns), AT_ONCE):
+        names = columns[start : start + AT_ONCE]
+        each = F.array(*[_sketches(c) for c in names])
+        part = df.groupBy(*by).agg(each.alias("each")).select(*by, F.explode("each").alias("s")).select(*by, "s.*")
+        out = part if out is None else out.unionByName(part)
+    return out.where("n > 0")
+
+
+def _sketches(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.struct(
+        F.lit(column).alias("column"),
+        F.count(x).alias("n"),
+        F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), LOG_SLOTS).alias("distinct_sketch"),
+        F.kll_sketch_agg_double(x, DEPTH).alias("quantile_sketch"),
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallow.catalog import analog
+from fallow.operators import quantiles, sketches
 from fallow.operators.diversity import diversity_indices
 from fallow.plans import panel
 
@@ -86,3 +87,21 @@ def test_expenses_are_stored_before_they_meet_the_panel(spark):
     out = panel.join_expenses(rows, wide, wide, ["X2000", "X2001"], 2000)
     assert sorted((r.Cnty_yr, r.fert, r.herb) for r in out.collect() if r.fert) == [("1_0", 5.0, 5.0), ("1_0", 5.0, 5.0), ("NA_1", 8.0, 8.0)]
     assert out.count() == 4 and "Expand" not in physical(out)
+
+
+def test_sketches_are_made_of_wide_rows(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "AT_ONCE", 2)
+    monkeypatch.setattr(sketches, "AT_ONCE", 2)
+    x = F.when(F.col("id") % 5 > 0, F.col("id") % 97)
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), x.alias("a"), (-x).cast("double").alias("b"), F.lit(None).cast("double").alias("c"))
+    cuts = quantiles.column_sketches(df, ["g"], ["a", "b", "c"], [0.0, 0.5, 1.0])
+    table = sketches.sketch_table(df, ["g"], ["a", "b", "c"])
+    for made in (cuts, table):  # values are not exploded under the aggregate, which Spark would sort
+        assert not [line for line in below(physical(made), "ObjectHashAggregate") if "Generate" in line]
+    assert {(r.g, r.place): (r.cuts[0], r.cuts[2], r.n) for r in cuts.collect()} == {
+        (g, k): ((0.0, 96.0), (-96.0, 0.0))[k] + (df.where(f"g = {g} and a is not null").count(),) for g in range(3) for k in (0, 1)
+    }
+    found = sketches.merged(table, ["column"]).select("column", "n", sketches.distinct_estimate().alias("d"), sketches.quantile_estimate(0.5).alias("q"))
+    got = {r.column: r for r in found.collect()}
+    assert set(got) == {"a", "b"} and got["a"].n == got["b"].n == 3200
+    assert got["a"].d == pytest.approx(97, abs=7) and abs(got["a"].q - 48) <= 3
