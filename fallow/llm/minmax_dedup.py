@@ -181,7 +181,7 @@ def _confirmer(width: int, percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, seed: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id of its group) and kept (it is that one)."""
-    own = settle(_numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))))
+    own = settle(_numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "zstd")
     judged = _judged(own, width, percent, seed)
     named = F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("head.doc_id"))
     return judged.select(
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def without_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, seed: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs`, with all their columns, with one row of each group: that of the smallest id, or the first."""
-    stored = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    stored = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
     own = stored.select("row", F.col(f"doc.`{key}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
     stay = _judged(own, width, percent, seed).where(F.col("row") == F.col("head.row")).select("row")
     left = stored.join(stay, "row", "left_semi")
@@ -234,7 +234,7 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     leads = filed.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = settle(filed.join(leads.drop("members"), "bucket"))
     wanted = members.select("id").distinct()
-    texts = settle(own.select(F.col("row").alias("id"), "text").join(wanted, "id"))
+    texts = settle(own.select(F.col("row").alias("id"), "text").join(wanted, "id"), "zstd")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))

@@ -126,7 +126,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 def stored(rows: DataFrame, text: str, **columns: Column) -> DataFrame:
     """`columns` of all rows, with the digest of the text (null: empty) as `blob` and a slot, written once."""
     slot = F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")
-    return settle(rows.select(*[c.alias(name) for name, c in columns.items()], address(text).alias("blob"), slot.alias("slot")))
+    return settle(rows.select(*[c.alias(name) for name, c in columns.items()], address(text).alias("blob"), slot.alias("slot")), "zstd")
 
 
 def address(text: str) -> Column:

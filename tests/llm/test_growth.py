@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fallow.llm import license_scan
+from fallow.llm import license_scan, secret_scan
 
 
 def test_words_are_taken_of_texts_that_may_meet_a_template(spark):
@@ -23,3 +23,9 @@ def test_words_are_taken_of_texts_that_may_meet_a_template(spark):
     assert {r.doc_id for r in free.collect()} == {1, 5}  # an anchor and four words; 2 has three
     got = {r.doc_id: set(r.labels) for r in license_scan.scan_licenses(docs).collect()}
     assert got[1] == {"mit", "mit-notice"} and "cc-by-4.0" in got[3] and "cc-by-4.0" in got[4] and got[6] == set()
+
+
+def test_stored_texts_are_dense(spark):
+    docs = spark.createDataFrame([(1, "plain"), (2, None)], "doc_id long, text string")
+    rows = secret_scan.stored(docs, "text", doc=F.struct("doc_id", "text"))
+    assert all(".zstd." in f for f in rows.inputFiles()) and rows.count() == 2
