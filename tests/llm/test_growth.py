@@ -9,8 +9,8 @@ def test_words_are_taken_of_texts_that_may_meet_a_template(spark):
     texts = {
         1: "Released under the MIT License",
         2: "released undermit licence",  # lacks a word of the notice
-        3: "creative commons attribution 4.0 international",
-        4: "xattribution sharealike creative commons attribution 4 0 international",  # a sibling's name ends inside a word
+        3: "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        4: "xattribution sharealike This work is licensed under a Creative Commons Attribution 4.0 International License",  # a sibling's name ends inside a word
         5: "The committee released a limited license to the mit.",
         6: None,
     }
