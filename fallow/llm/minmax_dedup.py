@@ -13,7 +13,10 @@ each bucket every class is compared with the smallest, on the full sets, so a la
 group of near copies costs one comparison per member and bucket, not one per pair.
 Buckets that this leaves with several groups are the rest: their classes are paired by
 the exact prefix filter for set similarity, across groups only, and confirmed alike,
-so no candidate pair between different groups is left out.
+so no candidate pair between different groups is left out.  Where shingles have
+many holders, each holder first meets a few of them, drawn anew and four times as many in
+each round, and what that links becomes one group.  So of many near copies a bounded number
+of pairs each is looked at, and all pairs only of those that no round could bring together.
 
 Words are runs of anything but ASCII white space, with ASCII letters lowered.  A text
 of fewer words than the width has its whole sequence as its one shingle.
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallow.llm.components import components
@@ -47,6 +50,7 @@ MISS = 1e-6
 VALUES = 128  # signature values at most
 CHUNK = 1 << 16  # shingles permuted at a time
 BATCH = 256  # rows with whole texts that a Python worker holds at a time
+DRAWS = 8  # rows of a shingle that its other rows meet in the first round
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,8 +254,15 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     placed = members.join(roots, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rest = placed.join(mixed.drop("low", "high"), "bucket", "left_semi").select("id", "n", "root").distinct()
-    pairs = _prefix_pairs(texts.join(rest, "id"), width, percent)
-    return near.unionByName(confirm(pairs.join(first, ["a", "b"], "left_anti")))
+    prefix = _prefixes(texts.join(rest, "id"), width, percent)
+    tried, draws = first, DRAWS
+    while _others(prefix) > draws:
+        drawn = settle(_drawn_pairs(prefix, percent, draws).join(tried, ["a", "b"], "left_anti"))
+        found = confirm(drawn)
+        tried, near = tried.unionByName(drawn), near.unionByName(found)
+        prefix, draws = _regrouped(prefix, found), 4 * draws
+    pairs = _prefix_pairs(prefix, percent)
+    return near.unionByName(confirm(pairs.join(tried, ["a", "b"], "left_anti")))
 
 
 def _exploder(width: int):
@@ -269,8 +280,8 @@ def _exploder(width: int):
     return run
 
 
-def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of `docs` (id, n, root, text) of different roots that may meet the threshold.
+def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, id, n, root, place) of the shingles of `docs` (id, n, root, text) that can make pairs of different roots.
 
     The exact prefix filter for set similarity: shingles are ordered by how many documents hold them, rarest
     first.  Two sets that meet the threshold share one of the first n - (least overlap) + 1 of each, and
@@ -284,13 +295,47 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("held", "token"))
     prefix = tokens.join(held, "token").withColumn("place", place)
     prefix = prefix.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("low") < F.col("high")))
-    prefix = settle(prefix.select("token", "id", "n", "root", "place"))
-    x = prefix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root", "place")])
+    return settle(prefix.select("token", "id", "n", "root", "place"))
+
+
+def _may_meet(percent: int) -> Column:
+    """Whether a row and the row of its shingle with the columns x_... are of different roots and may meet the threshold."""
     left = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) + 1
-    pairs = x.join(prefix, "token").where(
-        (F.col("x_id") < F.col("id"))
-        & (F.col("x_root") != F.col("root"))
+    return (
+        (F.col("x_root") != F.col("root"))
         & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
         & (left * (100 + percent) >= percent * (F.col("n") + F.col("x_n")))
     )
+
+
+def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a prefix table that are of different roots and may meet the threshold."""
+    x = prefix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root", "place")])
+    pairs = x.join(prefix, "token").where((F.col("x_id") < F.col("id")) & _may_meet(percent))
     return pairs.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _others(prefix: DataFrame) -> float:
+    """How many rows of its shingle, of other roots, a row has on average."""
+    groups = prefix.groupBy("token", "root").agg(F.count("*").alias("k"))
+    shared = groups.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    return shared.agg(F.sum(F.col("k") * F.col("k") - F.col("own")) / F.sum("k")).first()[0] or 0.0
+
+
+def _drawn_pairs(prefix: DataFrame, percent: int, draws: int) -> DataFrame:
+    """Pairs (a, b) of each row with at most `draws` rows of its shingle, which are dealt over so many slots and drawn from each."""
+    order = F.xxhash64("id", "token", F.lit(draws))
+    row = F.struct(order.alias("h"), *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root", "place")])
+    x = prefix.groupBy("token", F.pmod(order, F.lit(draws)).alias("slot")).agg(F.min(row).alias("x")).select("token", "x.*")
+    pairs = x.join(prefix, "token").where(_may_meet(percent))
+    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+
+
+def _regrouped(prefix: DataFrame, links: DataFrame) -> DataFrame:
+    """`prefix` with the roots that follow from more links; rows whose shingle has one root left go."""
+    roots = settle(prefix.select("id", "root").distinct())
+    ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("i")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("j")), "b")
+    joined = components(ends.where("i <> j"), "i", "j").select(F.col("id").alias("root"), F.col("root").alias("onto"))
+    moved = settle(prefix.join(joined, "root", "left").select("token", "id", "n", F.coalesce("onto", "root").alias("root"), "place"))
+    mixed = moved.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return settle(moved.join(mixed.select("token"), "token", "left_semi"))

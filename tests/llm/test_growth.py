@@ -1,8 +1,11 @@
 """Work and disk that grew with every text, not with those that need it."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from fallow.llm import license_scan, secret_scan
+from fallow.llm import license_scan, minmax_dedup, secret_scan
+from tests.llm import brute
 
 
 def test_words_are_taken_of_texts_that_may_meet_a_template(spark):
@@ -29,3 +32,23 @@ def test_stored_texts_are_dense(spark):
     docs = spark.createDataFrame([(1, "plain"), (2, None)], "doc_id long, text string")
     rows = secret_scan.stored(docs, "text", doc=F.struct("doc_id", "text"))
     assert all(".zstd." in f for f in rows.inputFiles()) and rows.count() == 2
+
+
+def test_copies_of_one_text_meet_in_few_pairs(spark, monkeypatch):
+    """Copies with so many changes that a pair in sixty is linked: groups as by all pairs, links not."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(700):
+        words = list(base)
+        for at in draw.sample(range(150), draw.randint(2, 3)):
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [texts[0], " ".join(base[:75]), "alone " * 9]
+    counts = []
+    links = minmax_dedup._links
+    monkeypatch.setattr(minmax_dedup, "_links", lambda *a: counts.append(links(*a)) or counts[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(docs, 5, 80).collect()}
+    assert got == brute.near_groups(list(enumerate(texts)), 5, 80)
+    assert counts[0].count() < 3 * len(texts)
