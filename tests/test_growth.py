@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fallow.catalog import analog
+from fallow.catalog import analog, basics
 from fallow.operators import quantiles, sketches
 from fallow.operators.diversity import diversity_indices
 from fallow.plans import panel
@@ -105,3 +105,13 @@ def test_sketches_are_made_of_wide_rows(spark, monkeypatch):
     got = {r.column: r for r in found.collect()}
     assert set(got) == {"a", "b"} and got["a"].n == got["b"].n == 3200
     assert got["a"].d == pytest.approx(97, abs=7) and abs(got["a"].q - 48) <= 3
+
+
+def test_areas_need_no_stored_panel(spark, sales):
+    """Areas come of the built panel's plan, which then has neither its windows nor the water join."""
+    got = {(r.crop, r.GEOID, r.CNTY) for r in basics.nodes(spark, sales).collect()}
+    assert analog.stage_key(spark, sales, "built") not in analog._stages
+    stored = panel.area_index(basics.built_stage(spark, sales), analog.county(spark, sales))
+    assert got and got == {(r.crop, r.GEOID, r.CNTY) for r in stored.collect()}
+    plan = logical(basics.built(spark, sales).where("YIELD is not null").select(*panel.KEYS).distinct())
+    assert "Window" not in plan and "Join" not in plan
