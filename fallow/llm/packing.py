@@ -73,6 +73,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.spelled = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.ascii = re.compile(self.RULE.format(letter="a-z", digit="0-9").encode())
         self.text = regex.compile(self.RULE.format(letter=r"\p{L}", digit=r"\p{N}"))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -88,18 +89,22 @@ class CachedEncoder:
         return None
 
     def _learn(self, string: bytes) -> bytes:
-        pieces = None if b"<|" in string else self._pieces(string)
-        if pieces is None:
+        if string.isalpha():  # ASCII letters only: one piece, which is spelled as it is
+            found = self._merged(string.decode())
+        elif (pieces := None if b"<|" in string else self._pieces(string)) is None:
             ids = self.tokenizer.encode(string.decode(), add_special_tokens=False).ids
             found = struct.pack(f"<{len(ids)}I", *ids)
         elif len(pieces) == 1:
-            ids = [t.id for t in self.merges.tokenize(string.decode("latin-1").translate(self.shown))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self._merged(string.decode("latin-1").translate(self.shown))
         else:
             found = b"".join([self.known.get(p) or self._learn(p) for p in pieces])
         self.known[string] = found
         return found
 
+    def _merged(self, piece: str) -> bytes:
+        spelled = self.spelled
+        return b"".join([spelled[t.id] for t in self.merges.tokenize(piece)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fallow.llm import license_scan, minmax_dedup, secret_scan
+from fallow.llm import license_scan, minmax_dedup, packing, secret_scan
 from tests.llm import brute
 
 
@@ -52,3 +52,14 @@ def test_copies_of_one_text_meet_in_few_pairs(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(docs, 5, 80).collect()}
     assert got == brute.near_groups(list(enumerate(texts)), 5, 80)
     assert counts[0].count() < 3 * len(texts)
+
+
+def test_strings_of_letters_are_merged_uncut(monkeypatch):
+    enc = packing.CachedEncoder(packing.VOCABULARY)
+    texts = ["plain words", "Thndhain ONHALYTI qzxv", "it's 12, caf\u00e9 \u00c9T\u00c9 x\x1cy"]
+    whole = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    read = lambda found: [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in found]
+    assert read(enc.encode(texts)) == whole
+    enc.known.clear()
+    monkeypatch.setattr(enc, "_pieces", None)
+    assert read(enc.encode(texts[:2])) == whole[:2]
