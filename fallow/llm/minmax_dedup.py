@@ -43,13 +43,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallow.llm.components import components
-from fallow.session import settle, ship_package
+from fallow.session import in_few_tasks, settle, ship_package
 
 WIDTH, PERCENT = 3, 85
 MISS = 1e-6
 VALUES = 128  # signature values at most
 CHUNK = 1 << 16  # shingles permuted at a time
 BATCH = 256  # rows with whole texts that a Python worker holds at a time
+TEXTS, PAIRS = 8192, 4096  # texts and pairs of texts that one task may write or compare
 DRAWS = 8  # rows of a shingle that its other rows meet in the first round
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,7 +159,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
 
 
 def _confirmer(width: int, percent: int):
-    """Keep pairs whose full sets meet the threshold."""
+    """Keep pairs whose full sets meet the threshold, with all columns but the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +179,7 @@ def _confirmer(width: int, percent: int):
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.drop_columns(["a_text", "b_text"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -198,7 +199,7 @@ def without_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     stored = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
     own = stored.select("row", F.col(f"doc.`{key}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
     stay = _judged(own, width, percent, seed).where(F.col("row") == F.col("head.row")).select("row")
-    left = stored.join(stay, "row", "left_semi")
+    left = in_few_tasks(stored.join(stay, "row", "left_semi"), stored.count(), TEXTS)
     return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -218,51 +219,57 @@ def _judged(own: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
         signed = own.select("row", "doc_id", "text").mapInArrow(_signer(width, rows, bands, seed), "row long, doc_id long, n_shingles long, set_key binary, bands array<long>")
         signed = settle(signed)
 
+    n_rows = signed.count()
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row"))
     full = signed.where(F.col("set_key").isNotNull())
     classes = full.groupBy("set_key").agg(F.min("row").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("head"))
-    classes = settle(classes)
+    classes = settle(in_few_tasks(classes, n_rows))
     links = _links(own, classes, width, percent)
 
     labelled = classes.select("set_key", "id", "head").join(components(links), "id", "left").select("set_key", "head", F.coalesce("root", "id").alias("root"))
-    heads = labelled.groupBy("root").agg(F.min("head").alias("first"))
-    labelled = settle(labelled.join(heads, "root").select("set_key", F.col("first").alias("head")))
-    out = full.select("row", "doc_id", "n_shingles", "set_key").join(labelled, "set_key").drop("set_key")
+    heads = in_few_tasks(labelled.groupBy("root").agg(F.min("head").alias("first")), n_rows)
+    labelled = settle(in_few_tasks(labelled.join(heads, "root").select("set_key", F.col("first").alias("head")), n_rows))
+    out = in_few_tasks(full.select("row", "doc_id", "n_shingles", "set_key").join(labelled, "set_key").drop("set_key"), n_rows)
     empty = signed.where(F.col("set_key").isNull()).select("row", "doc_id", "n_shingles", place.alias("head"))
     return out.unionByName(empty)
 
 
 def _links(own: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes that make up all components."""
+    n_classes = classes.count()
     filed = classes.select("id", "n", F.explode("bands").alias("bucket"))
     leads = filed.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    members = settle(filed.join(leads.drop("members"), "bucket"))
+    members = settle(in_few_tasks(filed.join(leads.drop("members"), "bucket"), n_classes * band_shape(percent / 100)[1]))
     wanted = members.select("id").distinct()
-    texts = settle(own.select(F.col("row").alias("id"), "text").join(wanted, "id"), "zstd")
+    texts = settle(in_few_tasks(own.select(F.col("row").alias("id"), "text").join(wanted, "id"), n_classes, TEXTS), "zstd")
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b and any other columns) of a stored table that are linked."""
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
+        both = in_few_tasks(pairs.join(a, "a").join(b, "b"), pairs.count(), PAIRS).select(*pairs.columns, "a_text", "b_text")
         with small_batches(own.sparkSession):
-            return settle(both.mapInArrow(_confirmer(width, percent), "a long, b long"))
+            return settle(both.mapInArrow(_confirmer(width, percent), pairs.schema))
 
-    first = settle(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    first = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    first = settle(in_few_tasks(first, members.count()))
     near = confirm(first)
 
     roots = components(near).withColumnRenamed("id", "member")
     placed = members.join(roots, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    placed = settle(in_few_tasks(placed, members.count()))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = placed.join(mixed.drop("low", "high"), "bucket", "left_semi").select("id", "n", "root").distinct()
-    prefix = _prefixes(texts.join(rest, "id"), width, percent)
+    rest = placed.join(mixed.drop("low", "high"), "bucket", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    prefix = _prefixes(in_few_tasks(texts.join(rest, "id"), texts.count(), TEXTS), width, percent)
     tried, draws = first, DRAWS
     while _others(prefix) > draws:
-        drawn = settle(_drawn_pairs(prefix, percent, draws).join(tried, ["a", "b"], "left_anti"))
+        drawn = _drawn_pairs(prefix, percent, draws).join(tried, ["a", "b"], "left_anti")
+        drawn = settle(in_few_tasks(drawn, draws * prefix.count()))
         found = confirm(drawn)
-        tried, near = tried.unionByName(drawn), near.unionByName(found)
+        tried, near = tried.unionByName(drawn.select("a", "b")), near.unionByName(found.select("a", "b"))
         prefix, draws = _regrouped(prefix, found), 4 * draws
-    pairs = _prefix_pairs(prefix, percent)
-    return near.unionByName(confirm(pairs.join(tried, ["a", "b"], "left_anti")))
+    pairs = settle(_prefix_pairs(prefix, percent).join(tried, ["a", "b"], "left_anti"))
+    return near.unionByName(confirm(pairs))
 
 
 def _exploder(width: int):
@@ -295,7 +302,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("held", "token"))
     prefix = tokens.join(held, "token").withColumn("place", place)
     prefix = prefix.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("low") < F.col("high")))
-    return settle(prefix.select("token", "id", "n", "root", "place"))
+    return settle(in_few_tasks(prefix.select("token", "id", "n", "root", "place"), tokens.count()))
 
 
 def _may_meet(percent: int) -> Column:
@@ -317,25 +324,31 @@ def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
 
 def _others(prefix: DataFrame) -> float:
     """How many rows of its shingle, of other roots, a row has on average."""
-    groups = prefix.groupBy("token", "root").agg(F.count("*").alias("k"))
+    n_rows = prefix.count()
+    groups = in_few_tasks(prefix.groupBy("token", "root").agg(F.count("*").alias("k")), n_rows)
     shared = groups.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-    return shared.agg(F.sum(F.col("k") * F.col("k") - F.col("own")) / F.sum("k")).first()[0] or 0.0
+    return in_few_tasks(shared, n_rows).agg(F.sum(F.col("k") * F.col("k") - F.col("own")) / F.sum("k")).first()[0] or 0.0
 
 
 def _drawn_pairs(prefix: DataFrame, percent: int, draws: int) -> DataFrame:
-    """Pairs (a, b) of each row with at most `draws` rows of its shingle, which are dealt over so many slots and drawn from each."""
+    """Pairs (a, b), with their roots a_root and b_root, of each row with at most `draws` rows of its shingle.
+
+    Rows of a shingle are dealt over so many slots and one is drawn from each.
+    """
     order = F.xxhash64("id", "token", F.lit(draws))
     row = F.struct(order.alias("h"), *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root", "place")])
     x = prefix.groupBy("token", F.pmod(order, F.lit(draws)).alias("slot")).agg(F.min(row).alias("x")).select("token", "x.*")
-    pairs = x.join(prefix, "token").where(_may_meet(percent))
-    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+    pairs = in_few_tasks(x, prefix.count()).join(prefix, "token").where(_may_meet(percent))
+    x, own = F.struct(F.col("x_id").alias("id"), F.col("x_root").alias("root")), F.struct("id", "root")
+    pairs = pairs.select(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.root").alias("a_root"), F.col("b.root").alias("b_root")).distinct()
 
 
 def _regrouped(prefix: DataFrame, links: DataFrame) -> DataFrame:
-    """`prefix` with the roots that follow from more links; rows whose shingle has one root left go."""
-    roots = settle(prefix.select("id", "root").distinct())
-    ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("i")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("j")), "b")
-    joined = components(ends.where("i <> j"), "i", "j").select(F.col("id").alias("root"), F.col("root").alias("onto"))
-    moved = settle(prefix.join(joined, "root", "left").select("token", "id", "n", F.coalesce("onto", "root").alias("root"), "place"))
-    mixed = moved.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return settle(moved.join(mixed.select("token"), "token", "left_semi"))
+    """`prefix` with the roots that follow from more links (a_root, b_root); rows whose shingle has one root left go."""
+    n_rows = prefix.count()
+    joined = components(links, "a_root", "b_root").select(F.col("id").alias("root"), F.col("root").alias("onto"))
+    moved = prefix.join(joined, "root", "left").select("token", "id", "n", F.coalesce("onto", "root").alias("root"), "place")
+    moved = settle(in_few_tasks(moved, n_rows))
+    mixed = in_few_tasks(moved.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")), n_rows).where("low < high")
+    return settle(in_few_tasks(moved.join(mixed.select("token"), "token", "left_semi"), n_rows))

@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from fallow.llm import license_scan, minmax_dedup, packing, secret_scan
+from fallow.operators import graph
+from fallow.session import settle
 from tests.llm import brute
 
 
@@ -63,3 +65,47 @@ def test_strings_of_letters_are_merged_uncut(monkeypatch):
     enc.known.clear()
     monkeypatch.setattr(enc, "_pieces", None)
     assert read(enc.encode(texts[:2])) == whole[:2]
+
+
+def many_partitions(monkeypatch, spark, *modules):
+    """Shuffles are left in 64 partitions; the files of each table that the modules store."""
+    files = []
+
+    def stored(df, *more):
+        files.append(len((table := settle(df, *more)).inputFiles()))
+        return table
+
+    for module in modules:
+        monkeypatch.setattr(module, "settle", stored)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("64", "false"), strict=True):
+        spark.conf.set(k, v)
+    return files, before
+
+
+def test_small_tables_of_near_copies_take_few_tasks(spark, monkeypatch):
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base[:at] + [f"x{draw.randrange(10**6)}"] + base[at + 1 :]) for at in range(120)] + [f"alone {i} of all others" for i in range(200)]
+    files, before = many_partitions(monkeypatch, spark, minmax_dedup, graph)
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(docs, 5, 80).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.near_groups(list(enumerate(texts)), 5, 80)
+    # the last pairs are not counted before they are stored
+    assert len([n for n in files if n > spark.sparkContext.defaultParallelism]) <= 1
+
+
+def test_links_with_the_smallest_id_join_in_one_round(spark, monkeypatch):
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 299, 2)] + [(1000, 1001)], "i long, j long")
+    files, before = many_partitions(monkeypatch, spark, graph)
+    try:
+        got = {r.id: r.root for r in graph.connected_parts(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000}
+    assert len(files) == 3  # links, one step, no links
