@@ -52,6 +52,17 @@ CACHED = 500_000
 _encoders: dict[str, CachedEncoder] = {}
 
 
+class _Known(dict):
+    """What was learned, by string; a string that is looked up in vain is learned at once."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, string: bytes) -> bytes:
+        found = self[string] = self.learn(string)
+        return found
+
+
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -72,10 +83,12 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.merges = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._learn)
         self.spelled = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.ascii = re.compile(self.RULE.format(letter="a-z", digit="0-9").encode())
         self.text = regex.compile(self.RULE.format(letter=r"\p{L}", digit=r"\p{N}"))
+        low = [chr(c) for c in range(ord(self.PLAIN)) if chr(c).isalpha() and chr(c).lower() == chr(c) and unicodedata.is_normalized("NFC", chr(c))]
+        self.letters = re.compile(f"[{''.join(low)}]+")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}  # bytes as the vocabulary spells them
@@ -90,16 +103,17 @@ class CachedEncoder:
 
     def _learn(self, string: bytes) -> bytes:
         if string.isalpha():  # ASCII letters only: one piece, which is spelled as it is
-            found = self._merged(string.decode())
-        elif (pieces := None if b"<|" in string else self._pieces(string)) is None:
+            return self._merged(string.decode())
+        if string[:-1].isalpha() and string[-1:].isascii():  # and a last character that is none: two pieces
+            return self.known[string[:-1]] + self.known[string[-1:]]
+        if not string.isascii() and self.letters.fullmatch(string.decode()):
+            return self._merged(string.decode("latin-1").translate(self.shown))
+        if (pieces := None if b"<|" in string else self._pieces(string)) is None:
             ids = self.tokenizer.encode(string.decode(), add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        elif len(pieces) == 1:
-            found = self._merged(string.decode("latin-1").translate(self.shown))
-        else:
-            found = b"".join([self.known.get(p) or self._learn(p) for p in pieces])
-        self.known[string] = found
-        return found
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if len(pieces) == 1:
+            return self._merged(string.decode("latin-1").translate(self.shown))
+        return b"".join([self.known[p] for p in pieces])
 
     def _merged(self, piece: str) -> bytes:
         spelled = self.spelled
@@ -108,15 +122,12 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()
-        out, find = [], self.known.get
+        out, find = [], self.known.__getitem__
         for text in texts:
             raw = text.encode()
             # a reserved token is one in its own case only
             strings = raw.lower().split() if b"<|" not in raw else [s if b"<|" in s else s.lower() for s in raw.split()]
-            found = list(map(find, strings))
-            if None in found:
-                found = [find(s) or self._learn(s) if x is None else x for s, x in zip(strings, found, strict=True)]
-            out.append(b"".join(found))
+            out.append(b"".join(map(find, strings)))
         return out
 
 

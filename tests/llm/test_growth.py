@@ -109,3 +109,15 @@ def test_links_with_the_smallest_id_join_in_one_round(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000}
     assert len(files) == 3  # links, one step, no links
+
+
+def test_words_with_a_sign_behind_or_accents_are_not_cut(monkeypatch):
+    enc = packing.CachedEncoder(packing.VOCABULARY)
+    texts = ["plain, words. (odd) a1 it' x\x1c b<", "café été ſa ªß ŉ naïve é", "abc<|endoftext|> a| <|endoftext|>", "Été, été, x\x85y"]
+    read = lambda found: [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in found]
+    assert read(enc.encode(texts)) == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert read(enc.encode(texts[:1])) == [enc.tokenizer.encode(texts[0], add_special_tokens=False).ids]
+    enc.known.clear()
+    enc.encode([", . ' ) ("])
+    monkeypatch.setattr(enc, "_pieces", None)
+    read(enc.encode(["plain, words. it'", "café naïve"]))  # no string is cut
