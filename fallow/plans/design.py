@@ -176,6 +176,19 @@ def area_columns(rows: DataFrame) -> DataFrame:
     return observed.groupBy("design_id", "CNTY", F.col("x.pos").alias("pos")).agg(F.sum("x.val").alias("n"))
 
 
+def area_effect_sums(rows: DataFrame, areas: DataFrame) -> DataFrame:
+    """X'a of every model, a being the area effect of each observed row: (model_id, pos, taken).
+
+    ``areas``: (model_id, design_id, CNTY, mean).  A row meets the effects of its area as one row of the design and
+    is spread over its positions behind that join, where the sums are formed map-side: what is shuffled
+    then is bounded by the positions.
+    """
+    observed = rows.where(F.col("y").isNotNull()).select("design_id", "CNTY", _listed(rows).alias("x"))
+    met = observed.join(areas.select("model_id", "design_id", "CNTY", "mean"), ["design_id", "CNTY"])
+    each = met.select("model_id", "mean", F.explode("x").alias("x"))
+    return each.groupBy("model_id", F.col("x.pos").alias("pos")).agg(F.sum(F.col("x.val") * F.col("mean")).alias("taken"))
+
+
 def demeaned_xty(rows: DataFrame) -> DataFrame:
     """X'y after subtracting area means: (design_id, pos, sum_y), from grouped sums; no demeaned row is formed."""
     means = area_table(rows).where("n > 0").select("design_id", "CNTY", (F.col("sum_y") / F.col("n")).alias("y"))

@@ -333,11 +333,7 @@ def _after_areas(rows: DataFrame, products: DataFrame, start: DataFrame, areas:
     response = products.where(f"i = {dg.RESPONSE} and j > 0").select("design_id", F.col("j").alias("pos"), F.col("v").alias("y"))
     counts = products.where("i = 0 and j > 0").select("design_id", F.col("j").alias("pos"), F.col("v").alias("n"))
     given = response.join(counts, ["design_id", "pos"]).join(start.select("model_id", "design_id", "m"), "design_id")
-    inside = dg.area_columns(rows).where(F.col("CNTY").isNotNull() & (F.col("pos") > 0))
-    taken = (
-        inside.join(areas.select("model_id", "design_id", "CNTY", "mean"), ["design_id", "CNTY"])
-        .groupBy("model_id", "pos").agg(F.sum(F.col("n") * F.col("mean")).alias("taken"))
-    )
+    taken = dg.area_effect_sums(rows, areas).where("pos > 0")
     return settle(given.join(taken, ["model_id", "pos"], "left").select(
         "model_id", "pos", (F.col("y") - F.col("m") * F.col("n") - F.coalesce("taken", F.lit(0.0))).alias("r")
     ))

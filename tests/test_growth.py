@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fallow.catalog import analog, basics
 from fallow.operators import quantiles, sketches
 from fallow.operators.diversity import diversity_indices
-from fallow.plans import panel
+from fallow.plans import design, fit, panel
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz, o_totalprice double"
 LINES = (
@@ -115,3 +115,27 @@ def test_areas_need_no_stored_panel(spark, sales):
     assert got and got == {(r.crop, r.GEOID, r.CNTY) for r in stored.collect()}
     plan = logical(basics.built(spark, sales).where("YIELD is not null").select(*panel.KEYS).distinct())
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_area_effects_meet_whole_design_rows(spark):
+    """The sums behind the areas: positions are spread behind the join with the areas, and summed without one shuffle by area and position."""
+    rows = spark.createDataFrame(
+        [("d", 1, 2.0, [0, 1, 4]), ("d", 1, 3.0, [0, 2]), ("d", 2, 1.0, [0, 1]), ("d", 2, None, [0, 1]), ("d", None, 5.0, [0, 2]), ("d", 3, 1.0, [0, 4])],
+        "design_id string, CNTY int, y double, idx array<int>",
+    )
+    areas = spark.createDataFrame(
+        [("m", "d", 1, 0.5), ("m", "d", 2, 2.0), ("n", "d", 1, -1.0), ("n", "d", 3, 4.0)], "model_id string, design_id string, CNTY int, mean double"
+    )
+    found = design.area_effect_sums(rows, areas)
+    assert {(r.model_id, r.pos): r.taken for r in found.collect()} == {
+        ("m", 0): 3.0, ("m", 1): 2.5, ("m", 2): 0.5, ("m", 4): 0.5, ("n", 0): 2.0, ("n", 1): -1.0, ("n", 2): -1.0, ("n", 4): 3.0,
+    }
+    numbers = rows.withColumn("val", F.transform("idx", lambda i: i + 0.5))
+    assert {(r.model_id, r.pos): r.taken for r in design.area_effect_sums(numbers, areas).collect()}[("n", 4)] == 13.5
+    plan = fit._after_areas(
+        rows, spark.createDataFrame([("d", -1, 1, 6.0), ("d", 0, 1, 3.0)], "design_id string, i int, j int, v double"),
+        spark.createDataFrame([("m", "d", 1.0)], "model_id string, design_id string, m double"), areas,
+    )
+    assert [(r.model_id, r.pos, r.r) for r in plan.collect()] == [("m", 1, 6.0 - 3.0 - 2.5)]
+    lines = logical(found).splitlines()
+    assert next(i for i, line in enumerate(lines) if "Generate explode" in line) < next(i for i, line in enumerate(lines) if "Join" in line)
