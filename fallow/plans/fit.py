@@ -56,6 +56,7 @@ from fallow.session import settle
 MODEL = ["model_id", "crop", "family"]
 Z975 = 1.959964
 SWEEPS = 12
+STORED = 4  # sweeps from one stored field to the next
 RSS, P_EFF = -1, -2  # beside the positions of levels
 
 
@@ -184,7 +185,7 @@ def fit_models(prepared: DataFrame, bins: QuantileBins, edges: DataFrame, specs:
         *MODEL, "design_id", "area", F.col("n").alias("n_rows"), mean.alias("m"), (F.col("yy") - F.col("y") * mean).alias("rss")
     ))
 
-    areas, parts, left = _area_effects(rows, start, edges, two_parts=any(m.area == "bym" for m in specs))
+    areas, parts, left = _area_effects(rows, start, edges, specs)
     remaining = _after_areas(rows, products, start, areas)
     both = products.where("i >= 0")
     both = settle(both.unionByName(both.where("i < j").select("design_id", F.col("j").alias("i"), F.col("i").alias("j"), "v")))
@@ -243,32 +244,61 @@ def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_area(long: DataFrame, families: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(crop, CNTY, one column ``<value>_<k>`` per value and family): the models of a crop side by side."""
+    own = [F.max(F.when(F.col("family") == f, F.col(v))).alias(f"{v}_{k}") for v in values for k, f in enumerate(families)]
+    return long.groupBy("crop", "CNTY").agg(*own)
+
+
+def _by_model(wide: DataFrame, keys: Sequence[str], families: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(model_id, keys, values) of a table with a column per value and family."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), *[F.col(f"{v}_{k}").alias(v) for v in values]) for k, f in enumerate(families)]))
+    return wide.select("crop", *keys, each.alias("m")).select(dg.key("m.family").alias("model_id"), *keys, *[f"m.{v}" for v in values])
+
+
+def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame, families: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Effects of ``bym`` areas (columns of ``own`` and mean, w, phi), and the variances of their two parts.
 
-    ``own`` (MODEL, design_id, area, CNTY, n, r) and ``moments`` are stored.  A sweep is one join of the
-    links with the small field table, reduced by partial aggregation.
+    ``own`` (MODEL, design_id, area, CNTY, n, r), ``moments`` and ``edges`` are stored; ``families`` are the
+    models of a crop.  The fields of a crop's models lie side by side, so that a sweep is one join of the
+    links with the field, for all models at once, reduced by partial aggregation.  ``STORED`` sweeps are one
+    plan: links and areas are shuffled once for them, and behind a sweep only the sums around areas are.
     """
     base = own.where("area = 'bym'").join(moments.select("model_id", "within", "between", "groups"), "model_id")
-    base = settle(base.withColumn("y", F.when(F.col("n") > 0, F.col("r") / F.col("n"))))
-    ends = base.select("model_id", "crop", "CNTY", "y")
-    other = ends.withColumnsRenamed({"CNTY": "j", "y": "y_j"})
-    links = settle(edges.select("crop", F.col("i").alias("CNTY"), "j").join(ends, ["crop", "CNTY"]).join(other, ["model_id", "crop", "j"]))
-    product = links.groupBy("model_id").agg(F.avg(F.col("y") * F.col("y_j")).alias("product"))
-    degree = links.groupBy("model_id", "CNTY").agg(F.count(F.lit(1)).alias("d"))
+    base = settle(base.withColumn("y", F.when(F.col("n") > 0, F.col("r") / F.col("n"))).withColumn("here", F.lit(1)))
+    links = edges.select("crop", F.col("i").alias("CNTY"), "j")
+    each = range(len(families))
+
+    def around(field: DataFrame, sums: Sequence[Column]) -> DataFrame:
+        return links.join(field.withColumnRenamed("CNTY", "j"), ["crop", "j"]).groupBy("crop", "CNTY").agg(*sums)
+
+    ends = settle(_by_area(base, families, ["y", "here"]))
+    beside = settle(ends.join(around(ends, [
+        agg(f"{v}_{k}").alias(f"{name}_{k}") for k in each for name, agg, v in (("sum", F.sum, "y"), ("seen", F.count, "y"), ("d", F.count, "here"))
+    ]), ["crop", "CNTY"]))
+    pairs = [F.sum(F.when(F.col(f"y_{k}").isNotNull(), F.col(f"seen_{k}"))) for k in each]
+    product = beside.groupBy("crop").agg(*[F.try_divide(F.sum(F.col(f"y_{k}") * F.col(f"sum_{k}")), pairs[k]).alias(f"product_{k}") for k in each])
+    product = _by_model(product, [], families, ["product"])
+    degree = _by_model(beside, ["CNTY"], families, ["d"])
     shared = F.greatest(F.lit(0.0), F.least(F.col("between"), F.coalesce("product", F.lit(0.0))))
     base = base.join(product, "model_id", "left").join(degree, ["model_id", "CNTY"], "left").fillna(0, ["d"])
     base = base.withColumn("structured", shared).withColumn("free", F.col("between") - F.col("structured"))
     spread = F.col("free") + F.try_divide("within", "n")
     base = settle(base.withColumn("q", F.coalesce(F.try_divide(F.lit(1.0), spread), F.lit(0.0))))
 
-    field = base.select("model_id", "CNTY", F.lit(0.0).alias("s"))
     stiff = F.try_divide(F.lit(1.0), "structured")  # missing without a structured part, whose field stays 0
-    for _ in range(SWEEPS):
-        around = links.select("model_id", "CNTY", "j").join(field.withColumnRenamed("CNTY", "j"), ["model_id", "j"])
-        around = around.groupBy("model_id", "CNTY").agg(F.sum("s").alias("near"))
-        value = (F.col("q") * F.coalesce("y", F.lit(0.0)) + F.coalesce("near", F.lit(0.0)) * stiff) / (F.col("q") + (F.col("d") + 1) * stiff)
-        field = settle(base.join(around, ["model_id", "CNTY"], "left").select("model_id", "CNTY", F.coalesce(value, F.lit(0.0)).alias("s")))
+    weight = F.col("q") + (F.col("d") + 1) * stiff
+    steps = base.select("crop", "family", "CNTY", (F.col("q") * F.coalesce("y", F.lit(0.0)) / weight).alias("own"), (stiff / weight).alias("pull"))
+    steps = settle(_by_area(steps, families, ["own", "pull"]))
+    # The first sweep finds zeros around every area.
+    field = steps.select("crop", "CNTY", *[F.coalesce(f"own_{k}", F.lit(0.0)).alias(f"s_{k}") for k in each])
+    for sweep in range(1, SWEEPS):
+        near = around(field, [F.sum(f"s_{k}").alias(f"near_{k}") for k in each])
+        value = [F.coalesce(F.col(f"own_{k}") + F.coalesce(f"near_{k}", F.lit(0.0)) * F.col(f"pull_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in each]
+        field = steps.join(near, ["crop", "CNTY"], "left").select("crop", "CNTY", *value)
+        if sweep % STORED == 0 or sweep == SWEEPS - 1:
+            field = settle(field)
+    field = _by_model(field, ["CNTY"], families, ["s"])
     rest = F.coalesce(F.try_divide("free", spread) * (F.col("y") - F.col("s")), F.lit(0.0))
     of_field = F.coalesce(1 / (F.col("q") + (F.col("d") + 1) * stiff), F.lit(0.0))
     of_rest = F.coalesce(F.try_divide(F.col("free") * F.col("within"), F.col("free") * F.col("n") + F.col("within")), F.lit(0.0))
@@ -283,7 +313,17 @@ def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame) -> tup
     return effects, variances
 
 
-def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, two_parts: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_sums(spatial: DataFrame, edges: DataFrame, families: Sequence[str]) -> DataFrame:
+    """(model_id, CNTY, u_sum, near): sum and number of the neighbours' ``u``, where an area has any."""
+    if not families:
+        return spatial.select("model_id", "CNTY", F.col("u").alias("u_sum"), F.lit(0).cast("long").alias("near")).limit(0)
+    near = _by_area(spatial, families, ["u"]).withColumnRenamed("CNTY", "j")
+    sums = [agg(f"u_{k}").alias(f"{name}_{k}") for k in range(len(families)) for name, agg in (("u_sum", F.sum), ("near", F.count))]
+    around = edges.select("crop", F.col("i").alias("CNTY"), "j").join(near, ["crop", "j"]).groupBy("crop", "CNTY").agg(*sums)
+    return _by_model(around, ["CNTY"], families, ["u_sum", "near"]).where("near > 0")
+
+
+def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, specs: Sequence[ModelSpec]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Area effects, their moments, and what they leave of each model."""
     sums = dg.area_table(rows).where(F.col("CNTY").isNotNull())
     own = sums.join(start.drop("rss", "n_rows"), "design_id")
@@ -294,11 +334,8 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, two_parts
     raw = settle(raw.where(F.col("w").isNotNull()).withColumn("u", F.col("w") * F.col("r")))
 
     spatial = raw.where("area = 'bym2'")
-    near = spatial.where("n > 0").select("model_id", "crop", F.col("CNTY").alias("j"), F.col("u").alias("u_near"))
-    around = settle(
-        edges.select("crop", F.col("i").alias("CNTY"), "j").join(near, ["crop", "j"])
-        .groupBy("model_id", "CNTY").agg(F.sum("u_near").alias("u_sum"), F.count(F.lit(1)).alias("near"))
-    )
+    families = [m.family for m in specs if m.area == "bym2"]
+    around = settle(_near_sums(spatial.where("n > 0"), edges, families))
     slope = F.try_divide(F.sum(F.col("u") * F.col("u_sum")), F.sum(F.col("u") * F.col("u") * F.col("near")))
     phi = spatial.where("n > 0").join(around, ["model_id", "CNTY"]).groupBy("model_id").agg(slope.alias("phi"))
     phi = settle(phi.select("model_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("phi", F.lit(0.0)))).alias("phi")))
@@ -310,8 +347,9 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, two_parts
     )
     columns = [*MODEL, "design_id", "CNTY", "n", "r", "mean", "w", "phi"]
     areas, variances = areas.select(columns), moments.select("model_id", F.lit("CNTY").alias("term"), "groups", "within", "between")
+    two_parts = [m.family for m in specs if m.area == "bym"]
     if two_parts:
-        own_effects, own_variances = _two_part_areas(own, moments, edges)
+        own_effects, own_variances = _two_part_areas(own, moments, edges, two_parts)
         areas = areas.join(own_effects.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_effects.select(columns))
         variances = variances.join(own_variances.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_variances)
     areas = settle(areas)

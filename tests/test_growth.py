@@ -139,3 +139,40 @@ def test_area_effects_meet_whole_design_rows(spark):
     assert [(r.model_id, r.pos, r.r) for r in plan.collect()] == [("m", 1, 6.0 - 3.0 - 2.5)]
     lines = logical(found).splitlines()
     assert next(i for i, line in enumerate(lines) if "Generate explode" in line) < next(i for i, line in enumerate(lines) if "Join" in line)
+
+
+def test_sweeps_join_the_links_once_for_all_models(spark, monkeypatch):
+    """Models of a crop lie side by side: no stored table has a row per link and model, and several sweeps are one plan."""
+    stored = []
+    real = fit.settle
+
+    def noted(df, *more):
+        out = real(df, *more)
+        stored.append((df.columns, out.count()))
+        return out
+
+    own = spark.range(8).select(
+        F.explode(F.array(*[F.struct(F.lit(f"c_{f}").alias("model_id"), F.lit(f).alias("family"), F.lit(k).alias("k")) for k, f in enumerate("abc")])).alias("m"),
+        F.col("id").cast("int").alias("CNTY"),
+    ).select("m.model_id", F.lit("c").alias("crop"), "m.family", F.lit("d").alias("design_id"), F.lit("bym").alias("area"), "CNTY", F.lit(4.0).alias("n"), ((F.col("CNTY") - 3.5) * (F.col("m.k") + 1)).alias("r"))
+    own = own.where("not (family = 'c' and CNTY = 7)").cache()  # an area that one model lacks
+    moments = spark.createDataFrame([(f"c_{f}", 8, 0.1, 5.0) for f in "abc"], "model_id string, groups long, within double, between double")
+    edges = spark.createDataFrame([("c", i, j) for i in range(8) for j in range(8) if abs(i - j) == 1], "crop string, i int, j int")
+    monkeypatch.setattr(fit, "settle", noted)
+    effects, variances = fit._two_part_areas(own, moments, edges, ["a", "b", "c"])
+    assert max(n for _, n in stored) <= 23 and len(stored) < fit.SWEEPS
+    got = {(r.model_id, r.CNTY): r["mean"] for r in effects.collect()}
+    for k, family in enumerate("abc"):
+        areas = range(7 if family == "c" else 8)
+        y = [(i - 3.5) * (k + 1) / 4 for i in areas]
+        pairs = [(i, j) for i in areas for j in areas if abs(i - j) == 1]
+        shared = min(5.0, max(0.0, sum(y[i] * y[j] for i, j in pairs) / len(pairs)))
+        free, q = 5.0 - shared, 1 / (5.0 - shared + 0.1 / 4)
+        s = [0.0 for _ in areas]
+        for _ in range(fit.SWEEPS):
+            near = [sum(s[j] for a, j in pairs if a == i) for i in areas]
+            d = [sum(a == i for a, _ in pairs) for i in areas]
+            s = [(q * y[i] + near[i] / shared) / (q + (d[i] + 1) / shared) for i in areas]
+        want = [s[i] + free / (free + 0.1 / 4) * (y[i] - s[i]) for i in areas]
+        assert [got[f"c_{family}", i] for i in areas] == pytest.approx(want, abs=1e-9)
+    assert len(got) == 23 and variances.count() == 6
