@@ -51,7 +51,7 @@ from fallow.functions.scalars import normal_cdf
 from fallow.operators.binning import QuantileBins
 from fallow.plans import design as dg
 from fallow.plans.spec import SD_FACTOR, ModelSpec
-from fallow.session import settle
+from fallow.session import settle, unsent
 
 MODEL = ["model_id", "crop", "family"]
 Z975 = 1.959964
@@ -263,25 +263,29 @@ def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame, famili
     models of a crop.  The fields of a crop's models lie side by side, so that a sweep is one join of the
     links with the field, for all models at once, reduced by partial aggregation.  ``STORED`` sweeps are one
     plan: links and areas are shuffled once for them, and behind a sweep only the sums around areas are.
+    Where a model has no structured part its field is zeros, whose files are small; tables of many areas are
+    therefore met by merge joins.
     """
     base = own.where("area = 'bym'").join(moments.select("model_id", "within", "between", "groups"), "model_id")
     base = settle(base.withColumn("y", F.when(F.col("n") > 0, F.col("r") / F.col("n"))).withColumn("here", F.lit(1)))
     links = edges.select("crop", F.col("i").alias("CNTY"), "j")
     each = range(len(families))
+    ends = settle(_by_area(base, families, ["y", "here"]))
+    areas = ends.count()
 
     def around(field: DataFrame, sums: Sequence[Column]) -> DataFrame:
-        return links.join(field.withColumnRenamed("CNTY", "j"), ["crop", "j"]).groupBy("crop", "CNTY").agg(*sums)
+        return links.join(unsent(field.withColumnRenamed("CNTY", "j"), areas), ["crop", "j"]).groupBy("crop", "CNTY").agg(*sums)
 
-    ends = settle(_by_area(base, families, ["y", "here"]))
-    beside = settle(ends.join(around(ends, [
+    beside = settle(unsent(ends, areas).join(around(ends, [
         agg(f"{v}_{k}").alias(f"{name}_{k}") for k in each for name, agg, v in (("sum", F.sum, "y"), ("seen", F.count, "y"), ("d", F.count, "here"))
     ]), ["crop", "CNTY"]))
     pairs = [F.sum(F.when(F.col(f"y_{k}").isNotNull(), F.col(f"seen_{k}"))) for k in each]
     product = beside.groupBy("crop").agg(*[F.try_divide(F.sum(F.col(f"y_{k}") * F.col(f"sum_{k}")), pairs[k]).alias(f"product_{k}") for k in each])
-    product = _by_model(product, [], families, ["product"])
+    product = settle(_by_model(product, [], families, ["product"]))
     degree = _by_model(beside, ["CNTY"], families, ["d"])
     shared = F.greatest(F.lit(0.0), F.least(F.col("between"), F.coalesce("product", F.lit(0.0))))
-    base = base.join(product, "model_id", "left").join(degree, ["model_id", "CNTY"], "left").fillna(0, ["d"])
+    models = areas * len(families)
+    base = base.join(product, "model_id", "left").join(unsent(degree, models), ["model_id", "CNTY"], "left").fillna(0, ["d"])
     base = base.withColumn("structured", shared).withColumn("free", F.col("between") - F.col("structured"))
     spread = F.col("free") + F.try_divide("within", "n")
     base = settle(base.withColumn("q", F.coalesce(F.try_divide(F.lit(1.0), spread), F.lit(0.0))))
@@ -295,7 +299,7 @@ def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame, famili
     for sweep in range(1, SWEEPS):
         near = around(field, [F.sum(f"s_{k}").alias(f"near_{k}") for k in each])
         value = [F.coalesce(F.col(f"own_{k}") + F.coalesce(f"near_{k}", F.lit(0.0)) * F.col(f"pull_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in each]
-        field = steps.join(near, ["crop", "CNTY"], "left").select("crop", "CNTY", *value)
+        field = steps.join(unsent(near, areas), ["crop", "CNTY"], "left").select("crop", "CNTY", *value)
         if sweep % STORED == 0 or sweep == SWEEPS - 1:
             field = settle(field)
     field = _by_model(field, ["CNTY"], families, ["s"])
@@ -303,7 +307,7 @@ def _two_part_areas(own: DataFrame, moments: DataFrame, edges: DataFrame, famili
     of_field = F.coalesce(1 / (F.col("q") + (F.col("d") + 1) * stiff), F.lit(0.0))
     of_rest = F.coalesce(F.try_divide(F.col("free") * F.col("within"), F.col("free") * F.col("n") + F.col("within")), F.lit(0.0))
     w = F.coalesce(F.try_divide(of_field + of_rest, "within"), F.lit(0.0))
-    effects = base.join(field, ["model_id", "CNTY"]).withColumn("w", F.when(F.col("n") > 0, F.least(w, 1 / F.col("n"))).otherwise(w))
+    effects = base.join(unsent(field, models), ["model_id", "CNTY"]).withColumn("w", F.when(F.col("n") > 0, F.least(w, 1 / F.col("n"))).otherwise(w))
     phi = F.coalesce(F.try_divide("structured", "between"), F.lit(0.0))
     effects = effects.select(*own.columns, (F.col("s") + rest).alias("mean"), "w", phi.alias("phi"))
     both = F.explode(F.array(
@@ -330,7 +334,7 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, specs: Se
     own = settle(own.select(*MODEL, "design_id", "area", "CNTY", "n", (F.col("sum_y") - F.col("m") * F.col("n")).alias("r")))
     moments = settle(_variances(own, start.select("model_id", "n_rows", "rss")))
     free = F.try_divide(F.lit(1.0), F.col("n"))
-    raw = own.join(moments, "model_id").withColumn("w", F.when(F.col("area") == "factor", free).otherwise(_shrunk()))
+    raw = own.where("area <> 'bym'").join(moments, "model_id").withColumn("w", F.when(F.col("area") == "factor", free).otherwise(_shrunk()))
     raw = settle(raw.where(F.col("w").isNotNull()).withColumn("u", F.col("w") * F.col("r")))
 
     spatial = raw.where("area = 'bym2'")
@@ -350,7 +354,7 @@ def _area_effects(rows: DataFrame, start: DataFrame, edges: DataFrame, specs: Se
     two_parts = [m.family for m in specs if m.area == "bym"]
     if two_parts:
         own_effects, own_variances = _two_part_areas(own, moments, edges, two_parts)
-        areas = areas.join(own_effects.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_effects.select(columns))
+        areas = areas.unionByName(own_effects.select(columns))
         variances = variances.join(own_variances.select("model_id").distinct(), "model_id", "left_anti").unionByName(own_variances)
     areas = settle(areas)
     used = areas.groupBy("model_id").agg(

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fallow import session
 from fallow.catalog import analog, basics
 from fallow.operators import quantiles, sketches
 from fallow.operators.diversity import diversity_indices
@@ -176,3 +177,35 @@ def test_sweeps_join_the_links_once_for_all_models(spark, monkeypatch):
         want = [s[i] + free / (free + 0.1 / 4) * (y[i] - s[i]) for i in areas]
         assert [got[f"c_{family}", i] for i in areas] == pytest.approx(want, abs=1e-9)
     assert len(got) == 23 and variances.count() == 6
+
+
+def test_zero_fields_of_many_areas_are_not_sent(spark, monkeypatch):
+    """A field of zeros is small in files and large in memory: beyond `SENT_ROWS` rows no join by area sends a table to the driver."""
+    plans = []
+    real = fit.settle
+
+    def noted(df, *more):
+        plans.append(physical(df))
+        return real(df, *more)
+
+    # neighbours differ in sign, so there is no structured part; an area lacks one model, another has no rows, and a third no neighbour
+    sign = F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
+    each = F.explode(F.array(*[F.struct(F.lit(f"c_{f}").alias("model_id"), F.lit(f).alias("family")) for f in "ab"])).alias("m")
+    own = spark.range(60).select("id", each).where("not (id = 9 and m.family = 'b')").select(
+        "m.model_id", F.lit("c").alias("crop"), "m.family", F.lit("d").alias("design_id"), F.lit("bym").alias("area"), F.col("id").cast("int").alias("CNTY"),
+        F.when(F.col("id") == 7, 0.0).otherwise(4.0).alias("n"), F.when(F.col("id") == 7, 0.0).otherwise(sign * F.col("id")).alias("r"),
+    ).cache()
+    moments = spark.createDataFrame([(f"c_{f}", 59, 0.5, 5.0) for f in "ab"], "model_id string, groups long, within double, between double")
+    edges = spark.createDataFrame([("c", i, j) for i in range(59) for j in range(59) if abs(i - j) == 1], "crop string, i int, j int").cache()
+    monkeypatch.setattr(fit, "settle", noted)
+    monkeypatch.setattr(session, "SENT_ROWS", 10, raising=False)
+    effects, variances = fit._two_part_areas(own, moments, edges, ["a", "b"])
+    plans.append(physical(effects))
+    got = {(r.model_id, r.CNTY): (r["mean"], r.w, r.phi) for r in effects.collect()}
+    w = 5.0 / (5.0 * 4 + 0.5)
+    want = {(f"c_{f}", i): (w * (i if i % 2 == 0 else -i), w, 0.0) for f in "ab" for i in range(60) if (f, i) != ("b", 9)}
+    want |= {(f"c_{f}", 7): (0.0, 5.0 / 0.5, 0.0) for f in "ab"}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(r.term, r.between) for r in variances.collect()} == {("CNTY", 5.0), ("CNTY structured", 0.0)}
+    sent = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert sent and not [line for line in sent if "CNTY" in line or "j#" in line]
